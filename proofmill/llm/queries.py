@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash
+from . import langid, packing, simhash, toxicity
 from .common import table
 
 
@@ -13,6 +13,18 @@ def crc(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lang_model = langid.fit(docs.where(crc() % 3 != 1), max_docs=1500)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(crc() % 3 != 1), lang_model)
+    found = toxicity.score(docs, model, lang_model).withColumn("held_out", crc("id") % 3 == 1)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= toxicity.AT, 1).otherwise(0).alias("predicted"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -22,9 +34,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(crc() % 5 != 0))
     found = langid.identify(docs, model)
-    return found.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("id").alias("doc_id"), (crc("id") % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op4_packing, op8_toxicity, op9_simhash_near_dedup, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
