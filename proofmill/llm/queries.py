@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, substring, toxicity
+from . import decontam, langid, packing, simhash, substring, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("words_sha256").alias("kept_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lang_model = langid.fit(docs.where(crc() % 3 != 1), max_docs=1500)
@@ -42,6 +46,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc("id") % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_substring_dedup, op8_toxicity, op9_simhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op4_packing, op6_substring_dedup, op7_decontamination, op8_toxicity, op9_simhash_near_dedup, op10_language_id)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.ORACLE}
