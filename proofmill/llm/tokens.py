@@ -17,6 +17,29 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that may follow a word of letters and are then a pre-token of their own.
+MARKS = b".,;:!?*&$%#|"
+
+
+def letters(word: bytes) -> bool:
+    s = word.decode("utf-8", "replace")
+    return s.isalpha() and s.lower().isalpha()
+
+
+class Ids:
+    """The ids of numbered words, one after the other."""
+
+    def __init__(self) -> None:
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self.start = np.cumsum(self.size) - self.size
+
+    def get(self, numbers: np.ndarray) -> np.ndarray:
+        return self.flat[ragged(self.start[numbers], self.size[numbers])]
+
+
 class Encoder:
     """Encodes texts through the tokenizer once per distinct word of a task.
 
@@ -28,26 +51,52 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or default_path())
+        self.tokenizer, self.last = Tokenizer.from_file(path or default_path()), None
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            vocab = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.words = Words()
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words, self.parts = Words(), Words()
+        self.of_words, self.of_parts = Ids(), Ids()
 
     def encode(self, texts: list[bytes | None], end: int | None = END) -> list[np.ndarray]:
         """ids of each text as unsigned 32-bit integers, with the end id appended; null counts as empty."""
         if len(self.words.number) > MAX_WORDS:
             self.clear()
         numbers = [self.words.numbers((t if b"<|" in t else t.lower()).split()) if t else np.zeros(0, np.int32) for t in texts]
-        new = self.words.new()
-        flat, size = [self.flat], [self.size]
-        for lo in range(0, len(new), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[lo : lo + 20_000]], add_special_tokens=False)]
-            size.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter((i for x in found for i in x), np.uint32, int(size[-1].sum())))
-        if new:
-            self.flat, self.size = np.concatenate(flat), np.concatenate(size)
-            self.start = np.cumsum(self.size) - self.size
+        if new := self.words.new():
+            self.learn(new)
         tail = np.array([] if end is None else [end], np.uint32)
-        return [np.concatenate([self.flat[ragged(self.start[n], self.size[n])], tail]) for n in numbers]
+        return [np.concatenate([self.of_words.get(n), tail]) for n in numbers]
+
+    def learn(self, words: list[bytes]) -> None:
+        """A word of letters before marks is two pre-tokens, each encoded once; any other word is one part."""
+        cores = [w.rstrip(MARKS) for w in words]
+        split = [c if c and letters(c) else w for c, w in zip(cores, words)]
+        both = np.empty(2 * len(words), np.int32)
+        both[::2] = self.parts.numbers(split)
+        both[1::2] = self.parts.numbers([w[len(c) :] for c, w in zip(split, words)])
+        if new := self.parts.new():
+            self.of_parts.add(*self.encode_parts([p.decode("utf-8", "replace") for p in new]))
+        size = self.of_parts.size[both].reshape(-1, 2).sum(1)
+        self.of_words.add(self.of_parts.get(both), size)
+
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and how many of each part. Parts of letters go to the tokenizer 50 in a text: each ends with its only end-of-word id."""
+        run = lambda texts: [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list = [None] * len(parts)
+        plain = [i for i, p in enumerate(parts) if p.isalpha() and p.lower().isalpha()] if self.last is not None else []
+        for lo in range(0, len(plain), 50_000):
+            some = plain[lo : lo + 50_000]
+            for k, ids in zip(range(0, len(some), 50), run([" ".join(parts[i] for i in some[k : k + 50]) for k in range(0, len(some), 50)])):
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(some[k : k + 50]):
+                    for i, piece in zip(some[k : k + 50], np.split(ids, ends[:-1])):
+                        out[i] = piece
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, run([parts[i] for i in rest])):
+            out[i] = ids
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
