@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, simhash, substring, toxicity
+from . import decontam, langid, packing, simhash, substring, tokenfile, toxicity, warc
 from .common import table
 
 
@@ -13,10 +13,18 @@ def crc(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read(*tokenfile.write(table(spark, sf_dir, "documents")), with_ids=False)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(*warc.write(table(spark, sf_dir, "pages")), with_payload=False)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.deduplicate(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("words_sha256").alias("kept_sha256"))
@@ -46,6 +54,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc("id") % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_substring_dedup, op7_decontamination, op8_toxicity, op9_simhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_packing, op5_warc, op6_substring_dedup, op7_decontamination, op8_toxicity, op9_simhash_near_dedup, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.ORACLE}
