@@ -35,13 +35,15 @@ class Hashes:
     def __init__(self) -> None:
         self.words, self.table = Words(), np.zeros(0, np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.words.number) > MAX_WORDS:
-            self.__init__()
-        n = self.words.numbers(words)
-        if new := self.words.new():
-            self.table = np.concatenate([self.table, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
-        return self.table[n]
+    def of(self, texts: list[bytes]):
+        """The hashes of each text's words, in turn. The table grows once in 500 texts, as growing copies it."""
+        for lo in range(0, len(texts), 500):
+            if len(self.words.number) > MAX_WORDS:
+                self.__init__()
+            numbers = [self.words.numbers(t.split()) for t in texts[lo : lo + 500]]
+            if new := self.words.new():
+                self.table = np.concatenate([self.table, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
+            yield from (self.table[n] for n in numbers)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,8 +97,8 @@ def duplicate_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WI
         hashes, powers = Hashes(), Powers()
         for b in it:
             cols, sizes = [], []
-            for t in b.column(2).to_pylist():
-                cols.append(anchors(hashes.of(t.split()), powers, width, gram, run))
+            for h in hashes.of(b.column(2).to_pylist()):
+                cols.append(anchors(h, powers, width, gram, run))
                 sizes.append(len(cols[-1][0]))
             if cols:
                 a, s, x, n = (np.concatenate(c) for c in zip(*cols))
@@ -114,8 +116,7 @@ def duplicate_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WI
     def cut(it):
         hashes = Hashes()
         for b in it:
-            for i, t, runs in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
-                h = hashes.of(t.split())
+            for i, h, runs in zip(b.column(0).to_pylist(), hashes.of(b.column(2).to_pylist()), b.column(3).to_pylist()):
                 parts = [(r["anchor"], r["seq"], i, r["n"], h[r["x"] : r["x"] + r["n"] + width - 1].tobytes()) for r in runs]
                 for lo in range(0, len(parts), 20_000):
                     yield record(sequences, *zip(*parts[lo : lo + 20_000]))
