@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pivots, simhash, substring, tokenfile, toxicity, warc
+from . import decontam, langid, licenses, packing, pivots, simhash, substring, tokenfile, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -59,6 +64,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc("id") % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_embedding_near_dedup, op4_packing, op5_warc, op6_substring_dedup, op7_decontamination, op8_toxicity, op9_simhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_embedding_near_dedup, op3_license_scan, op4_packing, op5_warc, op6_substring_dedup, op7_decontamination, op8_toxicity, op9_simhash_near_dedup, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.ORACLE}
