@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import langid, simhash
+from proofmill.llm import decontam, langid, packing, simhash, substring
 from proofmill.llm.common import stored, table
 from proofmill.llm.queries import crc
 
@@ -19,19 +19,38 @@ MIN_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the network can tell."""
+    """Keeps documents whose language the network can tell; they pass through unchanged, without a shuffle."""
     model = langid.fit(docs.where(crc() % 5 != 0))
-    named = langid.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return docs.join(named.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*COLUMNS)
+    named = langid.identify(docs, model, carry=COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return named.select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates."""
+    """Keeps the smallest doc_id of each group of near-duplicates; rows without a doc_id go here."""
     kept = simhash.near_duplicates(docs).where("id = component").select(F.col("id").alias("doc_id"))
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("language", language), ("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated passages of 50 words or more; a document of which nothing is left goes."""
+    found = substring.deduplicate(docs, carry=("lang", "source", "n_chars")).where("n_removed = 0 or n_removed < n_words")
+    text = F.col("kept").alias("text")
+    chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.select(F.col("id").alias("doc_id"), text, "lang", "source", chars).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence."""
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontaminate", decontaminate), ("pack", pack)]
 
 ORACLE_SQL = None  # recurrent networks and byte-pair encoding have no SQL form; tests hold stages against brute force
 

@@ -44,9 +44,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def as_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text as UTF-8 bytes): only the two columns are read, whatever else the table holds."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+def as_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list | tuple = ()) -> DataFrame:
+    """(id, text as UTF-8 bytes) and the columns in more: nothing else is read, whatever else the table holds."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), *more)
 
 
 def batches(it: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:

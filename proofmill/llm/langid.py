@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Words, as_bytes, batches, record
+from .common import MAX_WORDS, Words, as_bytes
 
 MAX_SEGMENT = 24
 LETTER = regex.compile(r"\p{L}")
@@ -162,14 +162,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     return train(texts, langs) if texts else None
 
 
-def identify(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for each row of docs. score is the pooled probability of the language named."""
-    schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def identify(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang_pred, score) and the columns in carry for each row of docs. score is the pooled probability of the language named."""
     names = [*(model.langs if model else []), "und"]
 
     def run(it):
         words, sums = Words(), np.zeros((0, len(names) - 1), np.float32)
-        for ids, texts in batches(it):
+        for b in it:
+            ids, texts = b.column(0), b.column(1).to_pylist()
             best, score = np.full(len(ids), len(names) - 1), np.zeros(len(ids))
             for lo in range(0, len(ids), 1000):
                 part = [t if model and t and LETTER.search(t.decode("utf-8", "replace")) else b"" for t in texts[lo : lo + 1000]]
@@ -183,6 +183,9 @@ def identify(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", tex
                         y = sums[n].sum(0, dtype=np.float64)
                         y = np.exp(y - y.max())
                         best[i], score[i] = y.argmax(), y.max() / y.sum()
-            yield record(schema, ids, [names[i] for i in best], score)
+            made = [ids, pa.array([names[i] for i in best], pa.string()), pa.array(score, pa.float64()), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(made, ["id", "lang_pred", "score", *(f"carried_{k}" for k in range(len(carry)))])
 
-    return as_bytes(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double")
+    rows = as_bytes(docs, id_col, text_col, [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
+    kinds = "".join(f", carried_{k} {rows.schema[2 + k].dataType.simpleString()}" for k in range(len(carry)))
+    return rows.mapInArrow(run, "id long, lang_pred string, score double" + kinds).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})

@@ -172,35 +172,40 @@ def search(it, width: int):
         yield shard(held)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, n_words, n_removed, kept): kept words joined by one space, or the text itself if nothing went.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, n_removed, kept, words_sha256) and the columns in carry. kept: the kept words joined by one space, or
+    the text itself if nothing went; words_sha256: of the kept words joined by one space.
 
     A null text has no words. A row with a null id is kept whole and is no source. Rows that share an id never match each
     other; equal rows are treated alike.
     """
     spans = duplicate_spans(docs, id_col, text_col, width)
     text = F.col(text_col).cast("string").cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"), text.alias("text"))
-    joined = rows.join(spans, ["id", "t"], "left").select("id", "text", "spans")
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("words_sha256", pa.string())])
+    more = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"), text.alias("text"), *more)
+    joined = rows.join(spans, ["id", "t"], "left").select("id", "text", "spans", *(f"carried_{k}" for k in range(len(carry))))
+    made = "id long, n_words long, n_removed long, kept binary, words_sha256 string"
 
     def clean(it):
         for b in it:
-            out = []
-            for i, t, spans in zip(*(b.column(k).to_pylist() for k in range(3))):
-                words, n = t.split() if t else [], 0
-                kept = words
-                if spans:
-                    gone = np.zeros(len(words) + 1, np.int32)
-                    lo, hi = (np.array([s[k] for s in spans]) for k in ("lo", "hi"))
-                    np.add.at(gone, lo, 1)
-                    np.add.at(gone, hi, -1)
-                    stay = np.cumsum(gone[:-1]) == 0
-                    n = int((~stay).sum())
-                    kept = [words[k] for k in np.flatnonzero(stay)]
-                joined = b" ".join(kept)
-                out.append((i, len(words), n, joined if n else t, hashlib.sha256(joined).hexdigest()))
-            for lo in range(0, len(out), 1000):
-                yield record(schema, *zip(*out[lo : lo + 1000]))
-
-    return joined.mapInArrow(clean, "id long, n_words long, n_removed long, kept binary, words_sha256 string").withColumn("kept", F.col("kept").cast("string"))
+            for lo in range(0, b.num_rows, 1000):
+                part, out = b.slice(lo, 1000), []
+                for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    words, n = t.split() if t else [], 0
+                    kept = words
+                    if spans:
+                        gone = np.zeros(len(words) + 1, np.int32)
+                        np.add.at(gone, [s["lo"] for s in spans], 1)
+                        np.add.at(gone, [s["hi"] for s in spans], -1)
+                        stay = np.cumsum(gone[:-1]) == 0
+                        n = int((~stay).sum())
+                        kept = [words[k] for k in np.flatnonzero(stay)]
+                    joined = b" ".join(kept)
+                    out.append((len(words), n, joined if n else t, hashlib.sha256(joined).hexdigest()))
+                cols = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.string()))]
+                names = ["id", "n_words", "n_removed", "kept", "words_sha256", *(f"carried_{k}" for k in range(len(carry)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, *part.columns[3:]], names)
+
+    kinds = "".join(f", carried_{k} {joined.schema[3 + k].dataType.simpleString()}" for k in range(len(carry)))
+    found = joined.mapInArrow(clean, made + kinds).withColumn("kept", F.col("kept").cast("string"))
+    return found.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
