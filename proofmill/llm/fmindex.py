@@ -93,25 +93,26 @@ def repeated_windows(index: FMIndex, codes: np.ndarray, base: np.ndarray, size:
     """(lane, first, last) window starts of width codes that occur in documents smaller than the lane's.
 
     The longest match that ends at the last position is extended backwards. Where it stops, at f, windows that begin at
-    f or before can only end where a match from f on still ends: that end is found by bisection, and the search goes on.
+    f or before need a match from f to position width - 1 at least; lanes that have it search each such window by itself.
     """
     out = []
     lane, end = np.arange(len(base)), size - 1
-    zero = np.zeros(len(base), np.int64)
-    while len(lane):
-        reached = index.extend(codes, base[lane], end, zero[: len(lane)], doc[lane])
-        for i, s, e in zip(lane, reached, end - width + 1):
-            if s <= e:
-                out.append((int(i), int(s), int(e)))
-        f = reached - 1
-        more = (f >= 0) & (end - 1 >= width - 1)
-        lane, f, high = lane[more], f[more], end[more] - 1
-        low = np.full(len(lane), width - 1)
-        ok = index.extend(codes, base[lane], low, np.minimum(f, low), doc[lane]) <= f
-        lane, f, low, high = lane[ok], f[ok], low[ok], high[ok]
-        while (low < high).any():  # low fits, beyond high nothing does
-            middle = (low + high + 1) // 2
-            fits = index.extend(codes, base[lane], middle, np.minimum(f, middle), doc[lane]) <= f
-            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
-        end = low
+    reached = index.extend(codes, base, end, np.zeros(len(base), np.int64), doc)
+    some = np.flatnonzero(reached <= end - width + 1)
+    out += zip(some.tolist(), reached[some].tolist(), (end - width + 1)[some].tolist())
+    f = reached - 1
+    lane = np.flatnonzero((f >= 0) & (end > width - 1))
+    low = np.full(len(lane), width - 1)
+    at = np.minimum(f[lane], low)
+    lane = lane[index.extend(codes, base[lane], low, at, doc[lane]) <= at]
+    many = np.minimum(f[lane], size[lane] - width - 1) + 1  # the last window is known
+    for lo in range(0, len(lane), 20_000):
+        own, n = lane[lo : lo + 20_000], many[lo : lo + 20_000]
+        each = np.repeat(own, n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        good = index.extend(codes, base[each], start + width - 1, start, doc[each]) == start
+        each, start = each[good], start[good]
+        first = np.flatnonzero(np.concatenate([[True], (each[1:] != each[:-1]) | (start[1:] != start[:-1] + 1)])) if len(each) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(each)) - 1
+        out += zip(each[first].tolist(), start[first].tolist(), start[last].tolist())
     return out
