@@ -324,14 +324,14 @@ def ui_quoting(el: DataFrame) -> DataFrame:
 @check("locale_spelling")
 def locale_spelling(el: DataFrame, lexicon: DataFrame, region: str = "british") -> DataFrame:
     """Words of another region's spelling. lexicon: (region, wrong, right); it is the size of a word list."""
-    words = outside(spans(el, r"\b[a-zA-Z]+\b"))
+    words = spans(el, r"\b[a-zA-Z]+\b")
     swaps = lexicon.where(F.col("region") == region).select("wrong", "right")
-    hits = words.join(F.broadcast(swaps), F.lower("m") == F.col("wrong"))
+    hits = outside(words.join(F.broadcast(swaps), F.lower("m") == F.col("wrong")))
     out = make(hits, "locale_spelling", spelling_kind(F.col("wrong"), F.col("right")), "spelling", "warning", 0.95, at("s"), at("e"), F.col("m"), T.preserve_case(F.col("m"), F.col("right")), f"{region} spelling", True)
     if region not in ("british", "australian", "new_zealand"):
         return out
     doubt = F.create_map(*(F.lit(x) for b, a in L.AMBIGUOUS.items() for x in (a, b)))
-    unsure = words.withColumn("right", F.element_at(doubt, F.lower("m"))).where("right IS NOT NULL")
+    unsure = outside(words.withColumn("right", F.element_at(doubt, F.lower("m"))).where("right IS NOT NULL"))
     return out.unionByName(make(unsure, "locale_spelling", "context", "spelling", "suggestion", 0.7, at("s"), at("e"), F.col("m"), T.preserve_case(F.col("m"), F.col("right")), "depends on the meaning", False))
 
 

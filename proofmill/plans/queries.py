@@ -161,7 +161,7 @@ def currency_styles(spark, sf_dir, el):
     return checks.currency_occurrences(el).groupBy("doc_id", "style").agg(F.count("*").alias("n"))
 
 
-@query(EL + ", o AS (SELECT doc_id, len(regexp_extract_all(text, '\\$500 USD ')) AS both_n, len(regexp_extract_all(text, '€300 ')) AS sym, len(regexp_extract_all(text, '250 EUR ')) AS code FROM el WHERE elem_type = 'paragraph' AND regexp_matches(text, '\\$500 USD |€300 |250 EUR ')) SELECT doc_id, CAST(sum(sym) AS BIGINT) AS symbols, CAST(sum(code) AS BIGINT) AS codes, CASE WHEN sum(sym) + sum(code) = 0 THEN NULL WHEN sum(sym) >= sum(code) THEN 'symbol' ELSE 'code' END AS dominant FROM o GROUP BY 1")
+@query(EL + ", o AS (SELECT doc_id, len(regexp_extract_all(text, '\\$500 USD ')) AS both_n, len(regexp_extract_all(text, '€30 ')) AS sym, len(regexp_extract_all(text, '25 EUR ')) AS code FROM el WHERE elem_type = 'paragraph' AND regexp_matches(text, '\\$500 USD |€30 |25 EUR ')) SELECT doc_id, CAST(sum(sym) AS BIGINT) AS symbols, CAST(sum(code) AS BIGINT) AS codes, CASE WHEN sum(sym) + sum(code) = 0 THEN NULL WHEN sum(sym) >= sum(code) THEN 'symbol' ELSE 'code' END AS dominant FROM o GROUP BY 1")
 def currency_dominant(spark, sf_dir, el):
     return checks.currency_dominance(checks.currency_occurrences(el)).select("doc_id", *long("symbols", "codes"), "dominant")
 
