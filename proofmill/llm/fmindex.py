@@ -112,7 +112,9 @@ def repeated_windows(index: FMIndex, codes: np.ndarray, base: np.ndarray, size:
         start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         good = index.extend(codes, base[each], start + width - 1, start, doc[each]) == start
         each, start = each[good], start[good]
-        first = np.flatnonzero(np.concatenate([[True], (each[1:] != each[:-1]) | (start[1:] != start[:-1] + 1)])) if len(each) else np.zeros(0, np.int64)
+        if not len(each):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], (each[1:] != each[:-1]) | (start[1:] != start[:-1] + 1)]))
         last = np.append(first[1:], len(each)) - 1
         out += zip(each[first].tolist(), start[first].tolist(), start[last].tolist())
     return out

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Words, as_bytes
+from .common import MAX_WORDS, Words, as_bytes, bounded_sample
 
 MAX_SEGMENT = 24
 LETTER = regex.compile(r"\p{L}")
@@ -148,12 +148,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     Both bounds hold for learning only. None where no row has a text and a label.
     """
     rows = (
-        labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select(F.substring(text_col, 1, max_chars).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(id_col).alias("h"))
-        .orderBy("h", "t", "l")
-        .limit(max_docs)
-        .toLocalIterator()
-    )
+        bounded_sample(
+            labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+            .select(F.col(id_col).alias("id"), F.substring(text_col, 1, max_chars).alias("t"), F.col(lang_col).cast("string").alias("l")),
+            max_docs, "id",
+        ).select("t", "l").toLocalIterator()
+    )
     texts, langs = [], []
     for r in rows:
         if r.t.split():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Words, as_bytes, batches, record
+from .common import MAX_WORDS, Words, as_bytes, batches, bounded_sample, record
 from .toxicity import MARKS
 
 BUCKETS, WINDOW, LEAST, CONTAINED = 1 << 20, 60, 0.6, 0.6
@@ -147,7 +147,8 @@ def material(lines: list[bytes], variants: int = 40, seed: int = 5) -> tuple[lis
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 500, max_lines: int = 2000) -> Classifier:
     """Learns with the lines of at most max_docs documents, in the order of the id's hash, and max_lines in all."""
-    chosen = docs.where(F.col(text_col).isNotNull()).select(F.substring(text_col, 1, 4000).alias("t"), F.xxhash64(id_col).alias("h")).orderBy("h", "t").limit(max_docs)
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, 4000).alias("t"))
+    chosen = bounded_sample(rows, max_docs, "id")
     lines = [x.encode() for r in chosen.collect() for x in r.t.split("\n")][:max_lines]
     rows, names = material(lines)
     model = Classifier()
@@ -170,7 +171,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
             for lo in range(0, len(ids), 200):
                 if len(words.number) > MAX_WORDS:
                     words, hashes = Words(), hashes[:0]
-                lines = [(i, k, line.split()) for i, t in zip(ids[lo : lo + 200].tolist(), texts[lo : lo + 200]) if t for k, line in enumerate(t.split(b"\n"))]
+                lines = [(i, k, line.split()) for i, t in zip(ids[lo : lo + 200].to_pylist(), texts[lo : lo + 200]) if t for k, line in enumerate(t.split(b"\n"))]
                 numbers = words.numbers([w for _, _, ws in lines for w in ws])
                 if new := words.new():
                     clean = [w.lower().strip(MARKS) for w in new]

@@ -126,10 +126,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         for ids, texts in batches(it):
             for lo in range(0, len(ids), 500):
-                part = ids[lo : lo + 500].tolist()
+                part = ids[lo : lo + 500].to_pylist()
                 for i, t in zip(part, encoder.encode(texts[lo : lo + 500])):
                     group = groups[zlib.crc32(str(i).encode()) % OPEN_GROUPS]
-                    group[0].append(None if i != i else int(i))
+                    group[0].append(i)
                     group[1].append(t)
                     group[2] += len(t)
                     if group[2] >= group_tokens:

@@ -26,7 +26,7 @@ from .tokens import Encoder
 
 MAGIC, END = b"PMT1", b"1TMP"
 BLOCK, FOOTER = struct.Struct("<III"), struct.Struct("<QIIIIQ4s")
-FILE_TOKENS, LANES, LONGEST = 6_000_000, 1024, 8192
+FILE_TOKENS, LANES, LONGEST = 2_000_000, 1024, 8192
 
 
 def crc(ids: np.ndarray) -> int:
@@ -89,7 +89,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
             return record(schema, [part], [seq], [files.write(folder, "tokens", pack_file(doc_ids, ids))], [held], [len(ids)])
 
         for names, texts in batches(it):
-            names = [None if i != i else int(i) for i in names.tolist()]
+            names = names.to_pylist()
             for lo in range(0, len(names), 200):
                 for i, t in zip(names[lo : lo + 200], encoder.encode(texts[lo : lo + 200])):
                     doc_ids.append(i)
@@ -111,7 +111,11 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 def read(folder: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32 and, if wanted, ids) of each document in the files of the manifest."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
-    found = manifest.sparkSession.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "content")
+    spark = manifest.sparkSession
+    columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    if manifest.isEmpty():  # no file, no folder
+        return spark.createDataFrame([], columns)
+    found = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "content")
 
     def run(it):
         for b in it:
@@ -124,4 +128,4 @@ def read(folder: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     yield record(schema, doc_ids[lo : lo + 1000], start[lo : lo + 1000], size[lo : lo + 1000], [crc(x) for x in part], *[[x.astype("<u4").tobytes() for x in part]] * with_ids)
 
     joined = manifest.select("file", "first").join(found, "file").select("first", "content")
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return joined.mapInArrow(run, columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Words, as_bytes, batches, record
+from .common import MAX_WORDS, Words, as_bytes, batches, bounded_sample, record
 from .langid import ByteGRU
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, lang_model: ByteGRU | None, id_col:
     The bounds hold for learning only. Rows without a label or a text are left out.
     """
     pick = [
-        labels.where(F.col(label_col) == v).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"), F.xxhash64(id_col).alias("h")).orderBy("h", "id").limit(n)
+        bounded_sample(labels.where(F.col(label_col) == v).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")), n, "id")
         for v, n in ((1, max_toxic), (0, max_other))
     ]
     chosen = pick[0].union(pick[1])  # at most max_toxic + max_other rows, whatever the size of the table

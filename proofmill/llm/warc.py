@@ -163,7 +163,11 @@ def read(folder: str, manifest: DataFrame, with_payload: bool = True) -> DataFra
     A response's digest and length are those of the payload as read.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload)
-    found = manifest.sparkSession.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "content")
+    spark = manifest.sparkSession
+    columns = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
+    if manifest.isEmpty():  # no bundle, no folder
+        return spark.createDataFrame([], columns)
+    found = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "content")
 
     def run(it):
         number = lambda x: None if x is None else int(x)
@@ -183,4 +187,4 @@ def read(folder: str, manifest: DataFrame, with_payload: bool = True) -> DataFra
                     yield record(schema, *zip(*rows))
 
     kept = found.join(manifest.select("file"), "file").select("content")
-    return kept.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+    return kept.mapInArrow(run, columns)
