@@ -322,17 +322,18 @@ def ui_quoting(el: DataFrame) -> DataFrame:
 
 
 @check("locale_spelling")
-def locale_spelling(el: DataFrame, lexicon: DataFrame, region: str = "british") -> DataFrame:
-    """Words of another region's spelling. lexicon: (region, wrong, right); it is the size of a word list."""
-    words = spans(el, r"\b[a-zA-Z]+\b")
-    swaps = lexicon.where(F.col("region") == region).select("wrong", "right")
-    hits = outside(words.join(F.broadcast(swaps), F.lower("m") == F.col("wrong")))
-    out = make(hits, "locale_spelling", spelling_kind(F.col("wrong"), F.col("right")), "spelling", "warning", 0.95, at("s"), at("e"), F.col("m"), T.preserve_case(F.col("m"), F.col("right")), f"{region} spelling", True)
-    if region not in ("british", "australian", "new_zealand"):
-        return out
-    doubt = F.create_map(*(F.lit(x) for b, a in L.AMBIGUOUS.items() for x in (a, b)))
-    unsure = outside(words.withColumn("right", F.element_at(doubt, F.lower("m"))).where("right IS NOT NULL"))
-    return out.unionByName(make(unsure, "locale_spelling", "context", "spelling", "suggestion", 0.7, at("s"), at("e"), F.col("m"), T.preserve_case(F.col("m"), F.col("right")), "depends on the meaning", False))
+def locale_spelling(el: DataFrame, region: str = "british", swaps: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """Words of another region's spelling. swaps: (region, wrong, right), a word list; only its words are looked for."""
+    right = {w: r for k, w, r in (L.swaps() if swaps is None else swaps) if k == region}
+    doubt = {a: b for b, a in L.AMBIGUOUS.items() if a not in right} if region in ("british", "australian", "new_zealand") else {}
+    both = F.create_map(*(F.lit(x) for kv in (right | doubt).items() for x in kv))
+    hits = outside(spans(el, r"\b(?:" + "|".join(sorted(right | doubt, key=lambda w: (-len(w), w))) + r")\b", True))
+    hits = hits.withColumn("wrong", F.lower("m")).withColumn("right", F.element_at(both, F.lower("m"))).withColumn("sure", ~F.col("wrong").isin(list(doubt)) if doubt else F.lit(True))
+    sub = F.when(F.col("sure"), spelling_kind(F.col("wrong"), F.col("right"))).otherwise("context")
+    return make(
+        hits, "locale_spelling", sub, "spelling", F.when(F.col("sure"), "warning").otherwise("suggestion"), F.when(F.col("sure"), 0.95).otherwise(0.7), at("s"), at("e"), F.col("m"),
+        T.preserve_case(F.col("m"), F.col("right")), F.when(F.col("sure"), f"{region} spelling").otherwise("depends on the meaning"), F.col("sure"),
+    )
 
 
 def spelling_kind(wrong: Column, right: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import briefs_checks, checks, document, edits, findings, profile, reports
+from ..operators import briefs, briefs_checks, checks, document, edits, findings, profile, reports
 from ..sources import config, corpus
 from .articles import EL, HARD, SOFT, elements, spans_sql
 
@@ -200,13 +200,13 @@ format_query("latin", EL + "," + spans_sql("f", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.|v
 
 @query(EL + "," + spans_sql("f", r"\bcolour\b") + "SELECT doc_id, start_offset + s AS start_offset, m AS original_text, 'color' AS proposed_text FROM f")
 def spelling_swaps(spark, sf_dir, el):
-    rows = checks.locale_spelling(el, config.spelling(spark), "american").where("original_text = 'colour'")
+    rows = checks.locale_spelling(el, "american").where("original_text = 'colour'")
     return rows.select("doc_id", "start_offset", "original_text", "proposed_text")
 
 
 @query()
 def spelling_context(spark, sf_dir, el):
-    return checks.locale_spelling(el, config.spelling(spark), "british").where("sub_check = 'context'").select("doc_id", "start_offset", "original_text", "proposed_text")
+    return checks.locale_spelling(el, "british").where("sub_check = 'context'").select("doc_id", "start_offset", "original_text", "proposed_text")
 
 
 @query()
@@ -311,7 +311,7 @@ def claim_pairs(spark, sf_dir, el):
 
 
 def all_findings(spark, el: DataFrame) -> DataFrame:
-    parts = [checks.stop_words(el, TERMS), checks.voice(el), checks.headings(el), checks.currency(el), checks.formatting(el), checks.locale_spelling(el, config.spelling(spark), "american"), checks.brand_names(el, "KoiFortune", OPERATORS), briefs_checks.structure(el)]
+    parts = [checks.stop_words(el, TERMS), checks.voice(el), checks.headings(el), checks.currency(el), checks.formatting(el), checks.locale_spelling(el, "american"), checks.brand_names(el, "KoiFortune", OPERATORS), briefs_checks.structure(el)]
     return findings.union(parts)
 
 
@@ -460,3 +460,43 @@ def config_merge(spark, sf_dir, el):
 def conversation_offsets(spark, sf_dir, el):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), "role", F.col("turn").alias("idx"), "text")
     return corpus.with_offsets(turns).select("doc_id", "role", F.col("idx").alias("turn"), "start_offset")
+
+
+# --- briefs: two small workbooks as cells ---
+
+BRIEF = (
+    ("b1", "Brief", 1, 1, "Task"), ("b1", "Brief", 1, 2, "Casino review"), ("b1", "Brief", 2, 1, "Market"), ("b1", "Brief", 2, 2, "Canada"), ("b1", "Brief", 3, 1, "Word count: 1200"),
+    ("b1", "Brief", 5, 1, "Main keywords"), ("b1", "Brief", 5, 2, "Qty"), ("b1", "Brief", 6, 1, "koi casino"), ("b1", "Brief", 6, 2, "1-3"), ("b1", "Brief", 7, 1, "koi bonus (bonus)"), ("b1", "Brief", 7, 2, "Min 2"),
+    ("b1", "Brief", 5, 7, "Section"), ("b1", "Brief", 5, 8, "Words"), ("b1", "Brief", 6, 7, "Bonuses"), ("b1", "Brief", 6, 8, "300"), ("b1", "Brief", 7, 7, "Banking"), ("b1", "Brief", 7, 8, "200"),
+    ("b1", "Brief", 12, 1, "Link 1 - Anchor"), ("b1", "Brief", 12, 2, "play"), ("b1", "Brief", 13, 1, "Link 1 - URL"), ("b1", "Brief", 13, 2, "/play"),
+    ("b2", "Sheet1", 1, 1, "Keywords: slots, free spins (3x), rtp / demo"), ("b3", "One", 1, 1, "x"), ("b3", "Two", 1, 1, "y"),
+)
+
+
+def cells(spark):
+    return spark.createDataFrame(BRIEF, "brief_id string, sheet string, row int, col int, value string")
+
+
+@query("SELECT * FROM (VALUES ('b1', 'koi casino', 1, 3, 'main', 'sure'), ('b1', 'koi bonus', 2, NULL, 'main', 'sure'), ('b2', 'slots', NULL, NULL, 'main', 'weak'), ('b2', 'free spins', 3, 3, 'main', 'weak'), ('b2', 'rtp', NULL, NULL, 'main', 'weak'), ('b2', 'demo', NULL, NULL, 'main', 'weak')) t(brief_id, keyword, low, high, grp, trust)")
+def brief_keywords(spark, sf_dir, el):
+    return briefs.keywords(cells(spark)).select("brief_id", "keyword", "low", "high", "grp", F.when(F.col("confidence") > 0.9, "sure").otherwise("weak").alias("trust"))
+
+
+@query("SELECT * FROM (VALUES ('b1', 'Bonuses', 300), ('b1', 'Banking', 200)) t(brief_id, heading, word_count)")
+def brief_sections(spark, sf_dir, el):
+    return briefs.sections(cells(spark)).select("brief_id", "heading", "word_count")
+
+
+@query("SELECT * FROM (VALUES ('b1', 'play', '/play', 'internal')) t(brief_id, anchor, url, link_type)")
+def brief_links(spark, sf_dir, el):
+    return briefs.links(cells(spark)).select("brief_id", "anchor", "url", "link_type")
+
+
+@query("SELECT * FROM (VALUES ('b1', 'READY', 'main_review'), ('b2', 'NEEDS_CLARIFICATION', 'game_review'), ('b3', 'NEEDS_TASK_SELECTION', 'general')) t(brief_id, state, article_type)")
+def brief_state(spark, sf_dir, el):
+    return briefs.parse(cells(spark)).select("brief_id", "state", "article_type")
+
+
+@query("SELECT * FROM (VALUES ('b2', 'keywords'), ('b2', 'sections'), ('b2', 'target_word_count'), ('b3', 'keywords'), ('b3', 'sections'), ('b3', 'article_type'), ('b3', 'target_word_count')) t(brief_id, field)")
+def brief_clarifications(spark, sf_dir, el):
+    return briefs.clarifications(briefs.parse(cells(spark))).select("brief_id", "field")
