@@ -119,14 +119,14 @@ def fields(cells: DataFrame) -> DataFrame:
 
 
 def tasks(cells: DataFrame) -> DataFrame:
-    """(brief_id, task): right of a task label, or above that cell if it is empty; else the names of several telling sheets."""
+    """(brief_id, task): right of a task label, or above that cell if it is empty; else the names of several telling sheets (of workbooks)."""
     c = filled(cells).where("row <= 20")
     label = c.where(F.col("value").rlike("(?i)" + FIELDS["task"]) & (F.col("col") <= 10)).select("brief_id", "sheet", "row", (F.col("col") + 1).alias("col"))
     here = filled(cells).select("brief_id", "sheet", "row", "col", F.col("value").alias("own"))
     above = here.select("brief_id", "sheet", (F.col("row") + 1).alias("row"), "col", F.col("own").alias("up"))
     named = label.join(here, ["brief_id", "sheet", "row", "col"], "left").join(above, ["brief_id", "sheet", "row", "col"], "left")
     named = named.select("brief_id", F.coalesce("own", "up").alias("task")).where("task IS NOT NULL").distinct()
-    sheets = cells.select("brief_id", "sheet").distinct().where(~F.lower("sheet").isin(DULL_SHEETS))
+    sheets = cells.select("brief_id", "sheet").distinct().where(~F.lower("sheet").isin(DULL_SHEETS) & ~F.col("sheet").rlike(r"^(table \d+|text)$"))
     many = sheets.withColumn("n", F.count("*").over(Window.partitionBy("brief_id"))).where("n > 1").select("brief_id", F.col("sheet").alias("task"))
     return named.union(many.join(named.select("brief_id").distinct(), "brief_id", "left_anti"))
 

@@ -440,7 +440,8 @@ def judge(pairs: DataFrame, ask: Callable[[str], str | None] | None = None) -> D
 
     kind = prompts.schema["doc_id"].dataType.simpleString()
     answered = prompts.mapInPandas(run, f"doc_id {kind}, answer string") if ask else prompts.select("doc_id", F.lit(None).cast("string").alias("answer"))
-    verdict = F.upper(F.regexp_extract(F.col("answer"), F.concat(F.lit(r"(?i)PAIR\s+"), F.col("pair").cast("string"), F.lit(r"\s*:\s*(CONFLICT|DIFFERENT|UNCLEAR)")), 1))
+    line = F.concat(F.lit(r"(?i)PAIR\s+"), F.col("pair").cast("string"), F.lit(r"\s*:\s*(CONFLICT|DIFFERENT|UNCLEAR)"))
+    verdict = F.upper(F.call_function("regexp_extract", F.col("answer"), line, F.lit(1)))
     return pairs.join(answered, "doc_id", "left").withColumn("verdict", F.when(F.col("answer").isNotNull(), F.when(verdict == "", "UNCLEAR").otherwise(verdict))).drop("answer")
 
 
