@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .checks import check
 from .document import full_text, of_type
-from .findings import make
+from .findings import make, make_each
 
 
 def escape(text: Column) -> Column:
@@ -137,14 +137,16 @@ def structure(el: DataFrame, required: DataFrame | None = None, targets: DataFra
     from .checks import heading_rows
 
     text, s, e = F.col("text"), F.col("start_offset"), F.col("end_offset")
-    h = heading_rows(el)
-    out = make(h.where("h1 > 1 AND h1_no = 2"), "structure", "multiple_h1", "structure", "warning", 0.95, s, e, text, None, "more than one H1", False)
-    out = out.unionByName(make(h.where("level > prev_level + 1"), "structure", "hierarchy", "structure", "warning", 0.9, s, e, text, None, "a level is skipped", False))
-    ends = intro_outro(el)
-    zero = F.lit(0)
-    out = out.unionByName(make(ends.where("first_heading IS NOT NULL AND intro = 0"), "structure", "intro", "structure", "suggestion", 0.75, zero, zero, F.lit(""), None, "no introduction", False))
-    bad = ends.where("last_type = 'heading' OR (last_type = 'paragraph' AND last_words < 20)")
-    out = out.unionByName(make(bad, "structure", "outro", "structure", "suggestion", F.when(F.col("last_type") == "heading", 0.8).otherwise(0.7), F.col("s"), F.col("e"), F.col("t"), None, "no closing paragraph", False))
+    zero, none, no = F.lit(0), F.lit(None), F.lit(False)
+    out = make_each(heading_rows(el), "structure", [
+        ((F.col("h1") > 1) & (F.col("h1_no") == 2) & (F.col("level") == 1), "multiple_h1", "structure", "warning", 0.95, s, e, text, none, "more than one H1", False),
+        (F.coalesce(F.col("level") > F.col("prev_level") + 1, no), "hierarchy", "structure", "warning", 0.9, s, e, text, none, "a level is skipped", False),
+    ])
+    last = F.col("last_type") == "heading"
+    out = out.unionByName(make_each(intro_outro(el), "structure", [
+        (F.col("first_heading").isNotNull() & (F.col("intro") == 0), "intro", "structure", "suggestion", 0.75, zero, zero, F.lit(""), none, "no introduction", False),
+        (F.coalesce(last | ((F.col("last_type") == "paragraph") & (F.col("last_words") < 20)), no), "outro", "structure", "suggestion", F.when(last, 0.8).otherwise(0.7), F.col("s"), F.col("e"), F.col("t"), none, "no closing paragraph", False),
+    ]))
     if required is not None:
         gone = missing_sections(el, required).withColumn("idx", F.lit(0).cast("long"))
         out = out.unionByName(make(gone, "structure", "missing_section", "structure", "warning", 0.8, zero, zero, F.lit(""), None, F.concat(F.lit("missing: "), "heading"), False))

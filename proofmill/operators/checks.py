@@ -11,8 +11,8 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..sources.config import brand_pattern, operator_pattern
 from ..sources.corpus import in_order
-from .document import of_type, sections
-from .findings import make
+from .document import of_type
+from .findings import make, make_each
 
 #: Registered checks by name; user checks add themselves.
 CHECKS: dict[str, Callable[..., DataFrame]] = {}
@@ -80,8 +80,10 @@ def stop_word_counts(el: DataFrame, terms: list[tuple[str, str, str]]) -> DataFr
 @check("stop_words")
 def stop_words(el: DataFrame, terms: list[tuple[str, str, str]], share: float = 0.005) -> DataFrame:
     hits = stop_word_hits(el, terms)
-    kept = hits.where("tier = 'hard'").unionByName(hits.where("tier = 'soft'").join(soft_gate(el, hits, share).select("doc_id"), "doc_id", "left_semi"))
     hard = F.col("tier") == "hard"
+    words = of_type(el, "paragraph").groupBy("doc_id").agg(F.sum(T.space_words(F.col("text"))).alias("words"))
+    soft = F.count_if(~hard).over(Window.partitionBy("doc_id"))
+    kept = hits.withColumn("soft", soft).join(words, "doc_id").where(hard | (F.col("soft") / F.col("words") > share))
     return make(kept, "stop_words", F.col("tier"), "style", F.when(hard, "warning").otherwise("suggestion"), F.when(hard, 0.9).otherwise(0.6), at("s"), at("e"), F.col("m"), None, F.concat(F.lit("stop word: "), F.col("term")), False)
 
 
@@ -156,21 +158,20 @@ def voice(el: DataFrame, person: str = "second") -> DataFrame:
 # --- headings ---
 
 
-def in_faq(el: DataFrame) -> DataFrame:
-    """(doc_id, idx) of headings under a FAQ heading, itself included."""
-    h = sections(el)
-    faq = h.withColumn("faq", any_of(F.lower("title"), L.FAQ_WORDS))
-    up = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    # the open FAQ section with the furthest end covers a heading if that end lies behind it
-    end = F.max(F.when(F.col("faq"), F.coalesce("next_idx", F.lit(1 << 60)))).over(up)
-    return faq.withColumn("open_to", end).where("open_to > idx").select("doc_id", "idx")
-
-
 def heading_rows(el: DataFrame) -> DataFrame:
-    w = in_order()
+    """Headings with the element and heading before them, the number of H1 and whether they stand in a FAQ section.
+
+    A FAQ section runs to the next heading of its level or a smaller one; of the FAQ headings so far, the one whose
+    section ends last covers what lies before that end.
+    """
+    w, by = in_order(), Window.partitionBy("doc_id")
     rows = el.withColumn("prev_end", F.lag("end_offset").over(w)).where("elem_type = 'heading'")
-    rows = rows.withColumn("prev_level", F.lag("level").over(w)).withColumn("h1", F.count_if(F.col("level") == 1).over(Window.partitionBy("doc_id")))
-    return rows.withColumn("h1_no", F.when(F.col("level") == 1, F.count_if(F.col("level") == 1).over(w)))
+    rows = rows.withColumn("prev_level", F.lag("level").over(w)).withColumn("h1", F.count_if(F.col("level") == 1).over(by))
+    rows = rows.withColumn("h1_no", F.count_if(F.col("level") == 1).over(w))
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    ends = F.coalesce(*(F.when(F.col("level") == k, F.first(F.when(F.col("level") <= k, F.col("idx")), ignorenulls=True).over(after)) for k in (1, 2, 3, 4)), F.lit(1 << 60))
+    rows = rows.withColumn("faq_end", F.when(any_of(F.lower("text"), L.FAQ_WORDS), ends))
+    return rows.withColumn("in_faq", F.coalesce(F.max("faq_end").over(w.rowsBetween(Window.unboundedPreceding, 0)) > F.col("idx"), F.lit(False)))
 
 
 def special_words(text: Column, known: list[str] | None = None) -> Column:
@@ -190,27 +191,26 @@ def special_words(text: Column, known: list[str] | None = None) -> Column:
 
 @check("headings")
 def headings(el: DataFrame, capitalization: str | None = "title", known: list[str] | None = None) -> DataFrame:
-    h = heading_rows(el).join(in_faq(el).withColumn("in_faq", F.lit(True)), ["doc_id", "idx"], "left")
+    h = heading_rows(el)
+    if capitalization:
+        h = h.withColumn("target", T.title_case(F.col("text")) if capitalization == "title" else T.sentence_case(F.col("text")))
     text, s, e = F.col("text"), F.col("start_offset"), F.col("end_offset")
-    out = [make(h.where("prev_end IS NOT NULL AND start_offset - prev_end <= 1"), "headings", "blank_line", "structure", "suggestion", 0.95, s, e, text, None, "no blank line before the heading", False)]
-    asks = h.where(text.rlike(r"\?\s*$") & F.col("in_faq").isNull())
+    asks = text.rlike(r"\?\s*$") & ~F.col("in_faq")
     faq_like = any_of(text, [rf"^\s*({'|'.join(L.QUESTION_STARTERS)})\b"]) & ~text.rlike(r"(?i)^\s*how\s+to\b")
-    out.append(make(asks, "headings", "question_mark", "structure", "warning", F.when(faq_like, 0.6).otherwise(0.9), s, e, text, F.regexp_replace(text, r"\?+\s*$", ""), "question mark in a heading", ~faq_like))
+    generic = (F.size(T.tokens(text)) == 1) & F.regexp_replace(F.lower(text), r"[^\w]", "").isin(L.GENERIC_HEADINGS)
+    levels = F.concat(F.lit("skips "), F.array_join(F.transform(F.sequence(F.col("prev_level") + 1, F.greatest(F.col("level") - 1, F.col("prev_level") + 1)), lambda x: F.concat(F.lit("H"), x)), ", "))
+    none = F.lit(None)
+    rules = [
+        (F.coalesce(F.col("start_offset") - F.col("prev_end") <= 1, F.lit(False)), "blank_line", "structure", "suggestion", 0.95, s, e, text, none, "no blank line before the heading", False),
+        (asks, "question_mark", "structure", "warning", F.when(faq_like, 0.6).otherwise(0.9), s, e, text, F.regexp_replace(text, r"\?+\s*$", ""), "question mark in a heading", ~faq_like),
+        (generic, "descriptive", "style", "suggestion", 0.6, s, e, text, none, "the heading says too little", False),
+        (F.coalesce(F.col("level") > F.col("prev_level") + 1, F.lit(False)), "skipped_level", "structure", "warning", 0.8, s, e, text, none, levels, False),
+        ((F.col("h1") > 1) & (F.col("h1_no") == 1) & (F.col("level") == 1), "multiple_h1", "structure", "warning", 0.8, s, e, text, none, F.concat(F.col("h1"), F.lit(" headings of level 1")), False),
+    ]
     if capitalization:
-        target = T.title_case(text) if capitalization == "title" else T.sentence_case(text)
-        wrong = h.withColumn("target", target).where("target <> text")
         unsure = special_words(text, known) | text.contains("?")
-        out.append(make(wrong, "headings", "capitalization", "style", "warning", F.when(unsure, 0.5).otherwise(0.85), s, e, text, F.col("target"), f"{capitalization} case", ~unsure))
-    words = T.tokens(text)
-    generic = h.where((F.size(words) == 1) & F.regexp_replace(F.lower(text), r"[^\w]", "").isin(L.GENERIC_HEADINGS))
-    out.append(make(generic, "headings", "descriptive", "style", "suggestion", 0.6, s, e, text, None, "the heading says too little", False))
-    skipped = h.where("level > prev_level + 1")
-    out.append(make(skipped, "headings", "skipped_level", "structure", "warning", 0.8, s, e, text, None, F.concat(F.lit("skips "), F.array_join(F.transform(F.sequence(F.col("prev_level") + 1, F.col("level") - 1), lambda x: F.concat(F.lit("H"), x)), ", ")), False))
-    out.append(make(h.where("h1 > 1 AND h1_no = 1"), "headings", "multiple_h1", "structure", "warning", 0.8, s, e, text, None, F.concat("h1", F.lit(" headings of level 1")), False))
-    rows = out[0]
-    for o in out[1:]:
-        rows = rows.unionByName(o)
-    return rows
+        rules.append((F.col("target") != text, "capitalization", "style", "warning", F.when(unsure, 0.5).otherwise(0.85), s, e, text, F.col("target"), f"{capitalization} case", ~unsure))
+    return make_each(h, "headings", rules)
 
 
 # --- currency ---
@@ -242,34 +242,50 @@ def currency_occurrences(el: DataFrame) -> DataFrame:
     return rows.withColumn("symbol", symbol).withColumn("code", code).withColumn("amount", F.trim(F.regexp_replace("m", rf"(?i)^(?:{L.SYMBOLS})|(?:{L.CODES})$", "")))
 
 
+def dominance() -> tuple[Column, Column]:
+    """The style in the lead and whether it is sure, at over 70 %; a tie is symbol, not sure; none is null, not sure."""
+    top, total = F.greatest("symbols", "codes"), F.col("symbols") + F.col("codes")
+    lead = F.when(total == 0, None).when(F.col("symbols") >= F.col("codes"), "symbol").otherwise("code")
+    return lead, (total > 0) & (top / F.greatest(total, F.lit(1)) > 0.7)
+
+
+def convention() -> Column:
+    return F.when(F.col("style") == "symbol", F.concat(F.lit("symbol:"), "symbol")).when(F.col("style") == "code", F.concat(F.lit("code:"), "code"))
+
+
 def currency_dominance(found: DataFrame) -> DataFrame:
-    """(doc_id, symbols, codes, dominant, sure): sure at over 70 %; a tie is symbol, not sure; none is null, not sure."""
+    """(doc_id, symbols, codes, dominant, sure)."""
     n = found.groupBy("doc_id").agg(F.count_if(F.col("style") == "symbol").alias("symbols"), F.count_if(F.col("style") == "code").alias("codes"))
-    top, total = F.greatest("symbols", "codes"), F.col("symbols") + F.col("codes")
-    return n.withColumn("dominant", F.when(total == 0, None).when(F.col("symbols") >= F.col("codes"), "symbol").otherwise("code")).withColumn("sure", (total > 0) & (top / F.greatest(total, F.lit(1)) > 0.7))
+    lead, sure = dominance()
+    return n.withColumn("dominant", lead).withColumn("sure", sure)
 
 
 def currency_conventions(found: DataFrame) -> DataFrame:
     """(doc_id, prose, tables): the sets of conventions such as symbol:$ and code:USD in paragraphs and in tables."""
-    name = F.when(F.col("style") == "symbol", F.concat(F.lit("symbol:"), "symbol")).when(F.col("style") == "code", F.concat(F.lit("code:"), "code"))
-    of = lambda table: F.array_sort(F.collect_set(F.when((F.col("elem_type") == "table_cell") == table, name)))
+    of = lambda table: F.array_sort(F.collect_set(F.when((F.col("elem_type") == "table_cell") == table, convention())))
     return found.groupBy("doc_id").agg(of(False).alias("prose"), of(True).alias("tables"))
 
 
 @check("currency")
 def currency(el: DataFrame, mode: str = "exclusive") -> DataFrame:
+    """One scan finds the occurrences; what their documents use is counted in windows over them."""
     found = currency_occurrences(el.where(F.lit(mode == "exclusive")))
-    ways = currency_conventions(found).withColumn("ways", F.size(F.array_union("prose", "tables")))
-    rows = found.join(currency_dominance(found), "doc_id").join(ways, "doc_id")
+    w = Window.partitionBy("doc_id")
+    name, table = convention(), F.col("elem_type") == "table_cell"
+    rows = found.withColumn("symbols", F.count_if(F.col("style") == "symbol").over(w)).withColumn("codes", F.count_if(F.col("style") == "code").over(w))
+    rows = rows.withColumn("prose", F.array_sort(F.collect_set(F.when(~table, name)).over(w))).withColumn("tables", F.array_sort(F.collect_set(F.when(table, name)).over(w)))
+    dominant, sure = dominance()
+    rows = rows.withColumn("dominant", dominant).withColumn("sure", sure)
     pairs = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
-    both = rows.where("style = 'combined'")
     drop = F.when(F.col("dominant") == "code", F.concat("amount", F.lit(" "), "code")).otherwise(F.concat("symbol", "amount"))
-    out = make(both, "currency", "combined", "currency", "warning", 0.95, at("s"), at("e"), F.col("m"), drop, "symbol and code together", F.col("dominant").isNotNull())
-    minor = rows.where("style <> 'combined' AND style <> dominant AND symbols > 0 AND codes > 0")
     fix = F.when(F.col("style") == "symbol", F.concat("amount", F.lit(" "), F.element_at(pairs(L.SYMBOL_CODE), F.col("symbol")))).otherwise(F.concat(F.element_at(pairs(L.CODE_SYMBOL), F.col("code")), "amount"))
-    unsure = ~F.col("sure") | (F.col("ways") >= 3) | ((F.size("prose") > 0) & (F.size("tables") > 0) & (F.col("prose") != F.col("tables")))
-    minor = minor.withColumn("fix", fix).where("fix IS NOT NULL")
-    return out.unionByName(make(minor, "currency", "consistency", "currency", "warning", F.when(unsure, 0.5).otherwise(0.85), at("s"), at("e"), F.col("m"), F.col("fix"), "style differs from the document's", ~unsure))
+    unsure = ~F.col("sure") | (F.size(F.array_union("prose", "tables")) >= 3) | ((F.size("prose") > 0) & (F.size("tables") > 0) & (F.col("prose") != F.col("tables")))
+    both = F.col("style") == "combined"
+    minor = ~both & (F.col("style") != F.col("dominant")) & (F.col("symbols") > 0) & (F.col("codes") > 0) & fix.isNotNull()
+    return make_each(rows, "currency", [
+        (both, "combined", "currency", "warning", 0.95, at("s"), at("e"), F.col("m"), drop, "symbol and code together", F.col("dominant").isNotNull()),
+        (F.coalesce(minor, F.lit(False)), "consistency", "currency", "warning", F.when(unsure, 0.5).otherwise(0.85), at("s"), at("e"), F.col("m"), fix, "style differs from the document's", ~unsure),
+    ])
 
 
 # --- formatting ---
@@ -295,20 +311,30 @@ def missing_space_kind(text: Column, p: Column) -> Column:
     )
 
 
+FORMAT_RULES = (("double_space", r"  +"), ("space_before_punct", r" +[,;:!?]|(?<!\.) +\.(?!\.)"), ("missing_space", r"[,.][A-Za-z]"), ("latin", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.|viz\.|cf\.)"), ("trailing_space", r"[ \t]+$"))
+
+
 @check("formatting")
 def formatting(el: DataFrame) -> DataFrame:
-    double = spans(el, "  +")
-    out = make(double, "formatting", "double_space", "formatting", "suggestion", 0.95, at("s"), at("e"), F.col("m"), F.lit(" "), "more than one space", True)
-    before = spans(el, r" +[,;:!?]|(?<!\.) +\.(?!\.)").where(~F.col("m").contains(".."))
-    out = out.unionByName(make(before, "formatting", "space_before_punct", "formatting", "suggestion", 0.95, at("s"), at("e"), F.col("m"), F.ltrim("m"), "space before a mark", True))
-    missing = spans(el, r"[,.][A-Za-z]").withColumn("kind", missing_space_kind(F.col("text"), F.col("s"))).where("kind <> 'skip'")
-    fix = F.concat(F.substring("m", 1, 1), F.lit(" "), F.substring("m", 2, 1))
-    out = out.unionByName(make(missing, "formatting", "missing_space", "formatting", "suggestion", F.when(F.col("kind") == "fix", 0.9).otherwise(0.6), at("s"), at("e"), F.col("m"), fix, "no space after a mark", F.col("kind") == "fix"))
-    latin = spans(of_type(el, "paragraph", "heading"), r"\b(?:e\.g\.|i\.e\.|etc\.|viz\.|cf\.)", True)
+    """All rules in one scan: the matches of each, as arrays, become one."""
+
+    def hits(kind: str, pattern: str) -> Column:
+        return F.transform(T.match_spans(F.col("text"), pattern), lambda x: F.struct(F.lit(kind).alias("rule"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
+
+    rows = el.where(F.col("text").rlike("|".join(f"(?:{p})" for _, p in FORMAT_RULES)))
+    rows = rows.select("*", F.explode(F.flatten(F.array(*(hits(*r) for r in FORMAT_RULES)))).alias("x")).select("*", "x.*").drop("x")
+    prose = F.col("elem_type").isin("paragraph", "heading")
+    rows = rows.where(((F.col("rule") != "latin") | prose) & ~((F.col("rule") == "space_before_punct") & F.col("m").contains("..")))
+    missing = F.col("rule") == "missing_space"
+    rows = rows.withColumn("kind", F.when(missing, missing_space_kind(F.col("text"), F.col("s"))).otherwise("fix")).where("kind <> 'skip'")
     word = F.element_at(F.create_map(*(F.lit(x) for kv in L.LATIN.items() for x in kv)), F.lower("m"))
-    out = out.unionByName(make(latin, "formatting", "latin", "style", "suggestion", 0.85, at("s"), at("e"), F.col("m"), word, "Latin abbreviation", False))
-    trail = spans(el, r"[ \t]+$")
-    return out.unionByName(make(trail, "formatting", "trailing_space", "formatting", "suggestion", 0.95, at("s"), at("e"), F.col("m"), F.lit(""), "space at the end", True))
+    rule = F.col("rule")
+    fix = (
+        F.when(rule == "double_space", " ").when(rule == "space_before_punct", F.ltrim("m")).when(rule == "latin", word).when(rule == "trailing_space", "")
+        .otherwise(F.concat(F.substring("m", 1, 1), F.lit(" "), F.substring("m", 2, 1)))
+    )
+    sure = F.when(rule == "latin", 0.85).when(F.col("kind") == "unsure", 0.6).when(missing, 0.9).otherwise(0.95)
+    return make(rows, "formatting", rule, F.when(rule == "latin", "style").otherwise("formatting"), "suggestion", sure, at("s"), at("e"), F.col("m"), fix, F.regexp_replace(rule, "_", " "), (rule != "latin") & (F.col("kind") == "fix"))
 
 
 def ui_quoting(el: DataFrame) -> DataFrame:

@@ -23,6 +23,21 @@ def make(rows: DataFrame, check: str, sub: str | Column, category: str, severity
     return rows.select("doc_id", "idx", *(c.alias(k) for k, c in cols.items())).select(*COLUMNS)
 
 
+def make_each(rows: DataFrame, check: str, rules: list[tuple]) -> DataFrame:
+    """Findings of several rules over the same rows, in one pass.
+
+    A rule: condition, then sub, category, severity, confidence, start, end, original, proposed, reasoning, auto.
+    """
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    kinds = (("sub_check", "string"), ("category", "string"), ("severity", "string"), ("confidence", "double"), ("start_offset", "long"), ("end_offset", "long"), ("original_text", "string"), ("proposed_text", "string"), ("reasoning", "string"), ("auto_applicable", "boolean"))
+    one = [F.when(r[0], F.struct(*(lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r[1:], kinds)))) for r in rules]
+    any_rule = rules[0][0]
+    for r in rules[1:]:
+        any_rule = any_rule | r[0]
+    found = rows.where(any_rule).select("doc_id", "idx", F.explode(F.filter(F.array(*one), lambda x: x.isNotNull())).alias("f"))
+    return found.select("doc_id", "idx", "f.*").withColumn("check_name", F.lit(check)).select(*COLUMNS)
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """All findings, with finding_id and a finding_key that is unique within the table's documents."""
     rows = parts[0]

@@ -23,8 +23,15 @@ def injected(text):
     return text
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores (one small file, say) dealt over all of them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", injected(F.col("text")).alias("text"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
+    docs = docs.withColumn("text", injected(F.col("text")))
     return corpus.from_text(docs)
 
 
