@@ -120,29 +120,30 @@ class TextCNN:
                 gc += d * d
                 self.c -= np.float32(rate * d / np.sqrt(gc))
 
-    def calibrate(self, texts: list[np.ndarray], label: np.ndarray, lang: list[str], least: int = 20) -> None:
+    def calibrate(self, texts: list[np.ndarray], label: np.ndarray, lang: list[str], other: float = 1.0, least: int = 20) -> None:
         """Each language's best threshold on the given rows; the pooled one where it has too few of either class."""
         y = np.array([self.logit(self.responses(self.project(t))[0]) if len(t) else self.logit(-self.b) for t in texts])
-        self.shift = {"": best_threshold(y, label)}
+        self.shift = {"": best_threshold(y, label, other)}
         for name in sorted(set(lang)):
             own = np.array([x == name for x in lang])
             if min(label[own].sum(), (1 - label[own]).sum()) >= least:
-                self.shift[name] = best_threshold(y[own], label[own])
+                self.shift[name] = best_threshold(y[own], label[own], other)
 
 
-def best_threshold(y: np.ndarray, label: np.ndarray) -> float:
-    """The middle of the widest-scoring gap: among cuts with the best F1, the mean of the two values around it."""
+def best_threshold(y: np.ndarray, label: np.ndarray, other: float = 1.0) -> float:
+    """The cut with the best F1, midway between the two values around it; a row of the other class counts other times."""
     if not len(y):
         return 0.0
     order = np.argsort(-y, kind="stable")
     s, hit = y[order], np.cumsum(label[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + label.sum())
+    named = np.cumsum(np.where(label[order] == 1, 1.0, other))
+    f1 = 2 * hit / (named + label.sum())
     f1[:-1][s[:-1] == s[1:]] = -1
     k = int(f1.argmax())
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, lang_model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2500, max_other: int = 3500, max_chars: int = 40_000) -> TextCNN:
+def fit(docs: DataFrame, labels: DataFrame, lang_model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 3000, max_other: int = 6000, max_chars: int = 40_000) -> TextCNN:
     """A model from at most max_toxic and max_other labelled rows, in the order of the id's hash, and max_chars of each.
 
     The bounds hold for learning only. Rows without a label or a text are left out.
@@ -151,24 +152,31 @@ def fit(docs: DataFrame, labels: DataFrame, lang_model: ByteGRU | None, id_col:
         bounded_sample(labels.where(F.col(label_col) == v).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")), n, "id")
         for v, n in ((1, max_toxic), (0, max_other))
     ]
+    total = {r[0]: r[1] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
     chosen = pick[0].union(pick[1])  # at most max_toxic + max_other rows, whatever the size of the table
     joined = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, max_chars).alias("t"))
     rows = sorted(joined.join(F.broadcast(chosen), "id").select("h", "id", "y", "t").toLocalIterator(), key=lambda r: (r.h, r.id, r.t))
     model = TextCNN()
-    words = [r.t.encode().split() for r in rows]
-    texts = [np.array([row_of(w) for w in ws], np.int64) for ws in words]
+    known: dict[bytes, int] = {}
+    texts, words = [], []
+    for r in rows:
+        ws = r.t.encode().split()
+        texts.append(np.array([known[w] if w in known else known.setdefault(w, row_of(w)) for w in ws], np.int32))
+        words.append(ws[:100])
     label = np.array([r.y for r in rows], np.float32)
     if len(rows):
         own = np.arange(len(rows)) % 5 > 0  # every fifth row is kept for the thresholds
         if not (label[own].any() and label[~own].any()):
             own[:] = True
-        model.fit([t for t, x in zip(texts, own) if x], label[own])
+        model.fit([t for t, x in zip(texts, own) if x], label[own], least=max(4, int(own.sum()) // 500))
         held = [i for i, x in enumerate(own) if not x] or range(len(rows))
         lang = []
         for ws in (words[i] for i in held):
-            y = lang_model.segments(ws[:200]).sum(0) if lang_model and ws else None
+            y = lang_model.segments(ws).sum(0) if lang_model and ws else None
             lang.append("" if y is None else lang_model.langs[int(y.argmax())])
-        model.calibrate([texts[i] for i in held], label[list(held)], lang)
+        # in the sample toxic rows are more frequent than in the table
+        other = (total.get(0, 0) / max(1, total.get(1, 0))) / max((1 - label).sum() / max(1, label.sum()), 1e-9)
+        model.calibrate([texts[i] for i in held], label[list(held)], lang, max(1.0, float(other)))
     return model
 
 
