@@ -8,7 +8,9 @@ its GRAM-word grams; equal windows have equal anchors. Runs of windows with one
 width + RUN - 1 words. Anchors seen in one document only drop out; equal sequences collapse to their smallest document
 before any text moves; a shard is a set of anchors with the sequences of all their documents.
 
-Words are compared by 64-bit hashes. An anchor's distinct sequences meet in one shard, about 700 bytes each.
+Words are compared by 64-bit hashes. An anchor with more than HOT distinct sequences (a passage in very many documents, with
+other text around it) would fill a shard by itself: its sequences are cut into single windows, which meet by the hash of
+the whole window and collapse to their smallest document in a partial aggregate, so no task holds the group.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import MAX_WORDS, Words, record, stored
 from .fmindex import FMIndex, repeated_windows
 
-WIDTH, GRAM, RUN = 50, 12, 64
+WIDTH, GRAM, RUN, HOT = 50, 12, 64, 2000
 SHARD_WORDS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 
@@ -65,6 +67,13 @@ class Powers:
         return self.up, self.down
 
 
+def window_hashes(h: np.ndarray, powers: Powers, width: int) -> np.ndarray:
+    up, down = powers.upto(len(h) + 1)
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+    at = np.arange(len(h) - width + 1)
+    return mixed((prefix[at + width] - prefix[at]) * down[at])
+
+
 def anchors(h: np.ndarray, powers: Powers, width: int, gram: int, run: int) -> tuple[np.ndarray, ...]:
     """(anchor, sequence hash, first window, windows) for the runs of one document's word hashes."""
     n = len(h) - width + 1
@@ -87,7 +96,7 @@ def anchors(h: np.ndarray, powers: Powers, width: int, gram: int, run: int) -> t
     return low[first], mixed(part(first, count + width - 1) + count.astype(np.uint64)), first, count
 
 
-def duplicate_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, gram: int = GRAM, run: int = RUN) -> DataFrame:
+def duplicate_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, gram: int = GRAM, run: int = RUN, hot: int = HOT) -> DataFrame:
     """(id, t, spans): for each text with repeated windows, the word spans [lo, hi) that they cover. t is the text's hash."""
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
@@ -108,32 +117,46 @@ def duplicate_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WI
     shared = every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
     every = stored(every.join(shared, "anchor", "left_semi"), "shared")
     first = every.groupBy("anchor", "seq").agg(F.min(F.struct("id", "t", "x", "n")).alias("f")).select("anchor", "seq", "f.*")
-    wanted = first.groupBy("id", "t").agg(F.collect_list(F.struct("anchor", "seq", "x", "n")).alias("runs"))
+    first = stored(first, "first")
+    crowded = first.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("anchor", F.lit(True).alias("hot"))
+    runs = first.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = runs.groupBy("id", "t").agg(F.collect_list(F.struct("anchor", "seq", "x", "n", "hot")).alias("runs"))
     # one row for each (id, t), should the table repeat rows
     held = rows.join(wanted, ["id", "t"]).select("id", "t", "text", "runs").dropDuplicates(["id", "t"])
-    sequences = pa.schema([("anchor", pa.int64()), ("seq", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
+    sequences = pa.schema([("anchor", pa.int64()), ("seq", pa.int64()), ("id", pa.int64()), ("w", pa.int32()), ("words", pa.binary())])
 
     def cut(it):
-        hashes = Hashes()
+        """Sequences with their words; single windows of crowded anchors with their hash in the anchor's place."""
+        hashes, powers = Hashes(), Powers()
         for b in it:
             for i, h, runs in zip(b.column(0).to_pylist(), hashes.of(b.column(2).to_pylist()), b.column(3).to_pylist()):
-                parts = [(r["anchor"], r["seq"], i, r["n"], h[r["x"] : r["x"] + r["n"] + width - 1].tobytes()) for r in runs]
+                parts = []
+                for r in runs:
+                    own = h[r["x"] : r["x"] + r["n"] + width - 1]
+                    if r["hot"]:
+                        parts += [(k, r["seq"], i, w, None) for w, k in enumerate(window_hashes(own, powers, width).view(np.int64).tolist())]
+                    else:
+                        parts.append((r["anchor"], r["seq"], i, -1, own.tobytes()))
                 for lo in range(0, len(parts), 20_000):
                     yield record(sequences, *zip(*parts[lo : lo + 20_000]))
 
-    parts = held.mapInArrow(cut, "anchor long, seq long, id long, n int, words binary").repartition("anchor").sortWithinPartitions("anchor")
-    hits = stored(parts.mapInArrow(lambda it: search(it, width), "anchor long, seq long, first int, last int, own long"), "hits")
+    parts = stored(held.mapInArrow(cut, "anchor long, seq long, id long, w int, words binary"), "sequences")
+    dealt = parts.where("w < 0").repartition("anchor").sortWithinPartitions("anchor")
+    hits = stored(dealt.mapInArrow(lambda it: search(it, width), "seq long, first int, last int, own long"), "hits")
+    single = parts.where("w >= 0").select(F.col("anchor").alias("window"), "seq", "id", "w")
+    least = single.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
+    hits = hits.unionByName(single.join(least, "window").where("id > least").select("seq", F.col("w").alias("first"), F.col("w").alias("last"), F.col("id").alias("own")))
     # a later document has every window of its sequence in the first one; the first has what the index reports
     later = every.join(first.select("anchor", "seq", F.col("id").alias("own")), ["anchor", "seq"]).where("id > own")
     spans = later.select("id", "t", F.col("x").alias("lo"), (F.col("x") + F.col("n") + (width - 1)).alias("hi"))
-    own = every.join(hits.withColumnRenamed("own", "id"), ["anchor", "seq", "id"])
+    own = every.join(hits.withColumnRenamed("own", "id"), ["seq", "id"])
     spans = spans.union(own.select("id", "t", F.col("x") + F.col("first"), F.col("x") + F.col("last") + width))
     return spans.groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
 
 def search(it, width: int):
     """Builds an index over each shard of sequences, sorted by anchor, and streams the same sequences through it."""
-    schema = pa.schema([("anchor", pa.int64()), ("seq", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("own", pa.int64())])
+    schema = pa.schema([("seq", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("own", pa.int64())])
 
     def shard(held):
         anchor, seq, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
@@ -144,7 +167,7 @@ def search(it, width: int):
         many = np.diff(np.append(start, len(anchor))) > 1
         keep = np.flatnonzero(np.repeat(many, np.diff(np.append(start, len(anchor)))))
         if not len(keep):
-            return record(schema, *[[]] * 5)
+            return record(schema, *[[]] * 4)
         codes = np.unique(np.frombuffer(b"".join(words[i] for i in keep), np.uint64), return_inverse=True)[1] + 1
         size = size[keep]
         base = np.cumsum(size) - size
@@ -152,7 +175,7 @@ def search(it, width: int):
         index = FMIndex([codes[b : b + s] for b, s in zip(base, size)], doc.astype(np.int32), 1 << (width - 1).bit_length())
         hits = repeated_windows(index, codes, base, size, doc, width)
         at = keep[[i for i, _, _ in hits]] if hits else np.zeros(0, np.int64)
-        return record(schema, anchor[at], seq[at], [a for _, a, _ in hits], [b for _, _, b in hits], ids[at])
+        return record(schema, seq[at], [a for _, a, _ in hits], [b for _, _, b in hits], ids[at])
 
     held, words = [], 0
     for b in it:
@@ -172,14 +195,14 @@ def search(it, width: int):
         yield shard(held)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """(id, n_words, n_removed, kept, words_sha256) and the columns in carry. kept: the kept words joined by one space, or
     the text itself if nothing went; words_sha256: of the kept words joined by one space.
 
     A null text has no words. A row with a null id is kept whole and is no source. Rows that share an id never match each
     other; equal rows are treated alike.
     """
-    spans = duplicate_spans(docs, id_col, text_col, width)
+    spans = duplicate_spans(docs, id_col, text_col, width, hot=hot)
     text = F.col(text_col).cast("string").cast("binary")
     more = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"), text.alias("text"), *more)

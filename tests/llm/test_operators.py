@@ -189,8 +189,9 @@ def test_substrings_of_few_words(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(list("abc"), int(n)))) for i, n in enumerate(rng.integers(0, 400, 60))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.id: (r.n_words, r.n_removed, r.words_sha256) for r in substring.deduplicate(docs).collect()}
-    assert found == brute_windows(rows, 50)
+    for hot in (2000, 0):
+        found = {r.id: (r.n_words, r.n_removed, r.words_sha256) for r in substring.deduplicate(docs, hot=hot).collect()}
+        assert found == brute_windows(rows, 50)
 
 
 def test_fm_index_finds_smallest_document():
