@@ -12,7 +12,7 @@ from ..sources import corpus
 
 SIGNALS = (
     (" that ", " players can "), (" with ", " $500 USD "), (" this ", " colour "), (" from ", " €30 "), (" for ", " 25 EUR "), (" by ", "  "), (" was ", " was , "),
-    ("ation ", "ation,ok "), (" in ", " e.g. "), (" are ", " koi fortune "), (" an ", " 150% welcome "), (" a ", " you "), (" it ", " however "),
+    ("ation ", "ation,ok "), (" in ", " e.g. "), (" are ", " moon harbor "), (" an ", " 150% welcome "), (" a ", " you "), (" it ", " however "),
 )
 HARD, SOFT = ["scum", "worthless", "stupid", "idiot"], ["trash", "clown", "loser"]
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import briefs, briefs_checks, checks, document, edits, findings, profile, reports
+from ..operators import briefs, briefs_checks, checks, document, edits, findings, persist, profile, reports, standards
 from ..sources import config, corpus
 from .articles import EL, HARD, SOFT, elements, spans_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 TERMS = [(tier, w, config.stop_pattern(w)) for tier, ws in (("hard", HARD), ("soft", SOFT)) for w in ws]
-OPERATORS = ["Koi Fortune", "Stake", "Royal", "Bet"]
+OPERATORS = ["Moon Harbor", "Stake", "Royal", "Bet"]
 
 
 def query(oracle: str | None = None, name: str | None = None):
@@ -218,9 +218,9 @@ def excluded_spans(spark, sf_dir, el):
 # --- brands ---
 
 
-@query(EL + "," + spans_sql("f", r"\bkoi fortune\b") + "SELECT doc_id, start_offset + s AS start_offset, m AS original_text, 'KoiFortune' AS proposed_text FROM f")
+@query(EL + "," + spans_sql("f", r"\bmoon harbor\b") + "SELECT doc_id, start_offset + s AS start_offset, m AS original_text, 'MoonHarbor' AS proposed_text FROM f")
 def brand_normalise(spark, sf_dir, el):
-    rows = checks.brand_names(el, "KoiFortune", []).where("sub_check = 'own_brand' AND original_text = 'koi fortune'")
+    rows = checks.brand_names(el, "MoonHarbor", []).where("sub_check = 'own_brand' AND original_text = 'moon harbor'")
     return rows.select("doc_id", "start_offset", "original_text", "proposed_text")
 
 
@@ -229,14 +229,14 @@ def competitor_mentions(spark, sf_dir, el):
     return checks.brand_names(el, "Other", OPERATORS).where("sub_check = 'competitor'").select("doc_id", "start_offset", "original_text")
 
 
-@query(EL + ", n AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '\\bkoi fortune\\b'))) AS BIGINT) AS n FROM el GROUP BY 1) SELECT doc_id, 'Koi Fortune' AS name, n FROM n WHERE n >= 5")
+@query(EL + ", n AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '\\bmoon harbor\\b'))) AS BIGINT) AS n FROM el GROUP BY 1) SELECT doc_id, 'Moon Harbor' AS name, n FROM n WHERE n >= 5")
 def dominant_operator(spark, sf_dir, el):
-    return checks.dominant_operator(el, ["Koi Fortune"]).select("doc_id", "name", "n")
+    return checks.dominant_operator(el, ["Moon Harbor"]).select("doc_id", "name", "n")
 
 
-@query(EL + "," + spans_sql("f", r"(?i)\bkoi[\s\-]*fortune\b") + "SELECT m AS form, count(*) AS n FROM f GROUP BY 1")
+@query(EL + "," + spans_sql("f", r"(?i)\bmoon[\s\-]*harbor\b") + "SELECT m AS form, count(*) AS n FROM f GROUP BY 1")
 def brand_forms(spark, sf_dir, el):
-    return checks.canonical_forms(el, "KoiFortune")
+    return checks.canonical_forms(el, "MoonHarbor")
 
 
 # --- keywords and structure ---
@@ -264,7 +264,7 @@ def keyword_quantity(spark, sf_dir, el):
 
 @query()
 def keyword_findings(spark, sf_dir, el):
-    return briefs_checks.keywords(el, asked(el), brand="KoiFortune", market="Canada").select("doc_id", "sub_check", "reasoning")
+    return briefs_checks.keywords(el, asked(el), brand="MoonHarbor", market="Canada").select("doc_id", "sub_check", "reasoning")
 
 
 @query("SELECT k AS keyword, v AS variants FROM (VALUES ('casino bonuses', 'casino bonuses|casino bonus'), ('slot', 'slot|slots'), ('category', 'category|categorys|categories'), ('boxes', 'boxes|box'), ('Match  Offers', 'match offers|match offer|match offerses')) t(k, v)")
@@ -311,7 +311,7 @@ def claim_pairs(spark, sf_dir, el):
 
 
 def all_findings(spark, el: DataFrame) -> DataFrame:
-    parts = [checks.stop_words(el, TERMS), checks.voice(el), checks.headings(el), checks.currency(el), checks.formatting(el), checks.locale_spelling(el, "american"), checks.brand_names(el, "KoiFortune", OPERATORS), briefs_checks.structure(el)]
+    parts = [checks.stop_words(el, TERMS), checks.voice(el), checks.headings(el), checks.currency(el), checks.formatting(el), checks.locale_spelling(el, "american"), checks.brand_names(el, "MoonHarbor", OPERATORS), briefs_checks.structure(el)]
     return findings.union(parts)
 
 
@@ -333,7 +333,7 @@ def findings_by_label(spark, sf_dir, el):
 
 
 def fixes(el: DataFrame) -> DataFrame:
-    return findings.union([checks.formatting(el), checks.brand_names(el, "KoiFortune", [])])
+    return findings.union([checks.formatting(el), checks.brand_names(el, "MoonHarbor", [])])
 
 
 EDIT = EL + "," + spans_sql("d", "  +") + ", c AS (SELECT doc_id, idx, count(*) AS n, sum(length(m) - 1) AS less FROM d GROUP BY 1, 2)"
@@ -444,9 +444,9 @@ def quantity_parse(spark, sf_dir, el):
     return rows.select("value", T.quantity_range(F.col("value")).alias("q")).select("value", "q.low", "q.high")
 
 
-@query("SELECT * FROM (VALUES ('koi-bonus-page', 'koi', 'bonus_page'), ('koi_app', 'koi', 'app_review'), ('koi review', 'koi', 'main_review'), ('koi', 'koi', 'general')) t(name, brand, kind)")
+@query("SELECT * FROM (VALUES ('moon-bonus-page', 'moon', 'bonus_page'), ('moon_app', 'moon', 'app_review'), ('moon review', 'moon', 'main_review'), ('moon', 'moon', 'general')) t(name, brand, kind)")
 def article_type_infer(spark, sf_dir, el):
-    rows = spark.createDataFrame([("koi-bonus-page", "koi"), ("koi_app", "koi"), ("koi review", "koi"), ("koi", "koi")], "name string, brand string")
+    rows = spark.createDataFrame([("moon-bonus-page", "moon"), ("moon_app", "moon"), ("moon review", "moon"), ("moon", "moon")], "name string, brand string")
     return rows.withColumn("kind", T.article_type(F.col("name"), F.col("brand")))
 
 
@@ -466,7 +466,7 @@ def conversation_offsets(spark, sf_dir, el):
 
 BRIEF = (
     ("b1", "Brief", 1, 1, "Task"), ("b1", "Brief", 1, 2, "Casino review"), ("b1", "Brief", 2, 1, "Market"), ("b1", "Brief", 2, 2, "Canada"), ("b1", "Brief", 3, 1, "Word count: 1200"),
-    ("b1", "Brief", 5, 1, "Main keywords"), ("b1", "Brief", 5, 2, "Qty"), ("b1", "Brief", 6, 1, "koi casino"), ("b1", "Brief", 6, 2, "1-3"), ("b1", "Brief", 7, 1, "koi bonus (bonus)"), ("b1", "Brief", 7, 2, "Min 2"),
+    ("b1", "Brief", 5, 1, "Main keywords"), ("b1", "Brief", 5, 2, "Qty"), ("b1", "Brief", 6, 1, "moon casino"), ("b1", "Brief", 6, 2, "1-3"), ("b1", "Brief", 7, 1, "moon bonus (bonus)"), ("b1", "Brief", 7, 2, "Min 2"),
     ("b1", "Brief", 5, 7, "Section"), ("b1", "Brief", 5, 8, "Words"), ("b1", "Brief", 6, 7, "Bonuses"), ("b1", "Brief", 6, 8, "300"), ("b1", "Brief", 7, 7, "Banking"), ("b1", "Brief", 7, 8, "200"),
     ("b1", "Brief", 12, 1, "Link 1 - Anchor"), ("b1", "Brief", 12, 2, "play"), ("b1", "Brief", 13, 1, "Link 1 - URL"), ("b1", "Brief", 13, 2, "/play"),
     ("b2", "Sheet1", 1, 1, "Keywords: slots, free spins (3x), rtp / demo"), ("b3", "One", 1, 1, "x"), ("b3", "Two", 1, 1, "y"),
@@ -477,7 +477,7 @@ def cells(spark):
     return spark.createDataFrame(BRIEF, "brief_id string, sheet string, row int, col int, value string")
 
 
-@query("SELECT * FROM (VALUES ('b1', 'koi casino', 1, 3, 'main', 'sure'), ('b1', 'koi bonus', 2, NULL, 'main', 'sure'), ('b2', 'slots', NULL, NULL, 'main', 'weak'), ('b2', 'free spins', 3, 3, 'main', 'weak'), ('b2', 'rtp', NULL, NULL, 'main', 'weak'), ('b2', 'demo', NULL, NULL, 'main', 'weak')) t(brief_id, keyword, low, high, grp, trust)")
+@query("SELECT * FROM (VALUES ('b1', 'moon casino', 1, 3, 'main', 'sure'), ('b1', 'moon bonus', 2, NULL, 'main', 'sure'), ('b2', 'slots', NULL, NULL, 'main', 'weak'), ('b2', 'free spins', 3, 3, 'main', 'weak'), ('b2', 'rtp', NULL, NULL, 'main', 'weak'), ('b2', 'demo', NULL, NULL, 'main', 'weak')) t(brief_id, keyword, low, high, grp, trust)")
 def brief_keywords(spark, sf_dir, el):
     return briefs.keywords(cells(spark)).select("brief_id", "keyword", "low", "high", "grp", F.when(F.col("confidence") > 0.9, "sure").otherwise("weak").alias("trust"))
 
@@ -500,3 +500,48 @@ def brief_state(spark, sf_dir, el):
 @query("SELECT * FROM (VALUES ('b2', 'keywords'), ('b2', 'sections'), ('b2', 'target_word_count'), ('b3', 'keywords'), ('b3', 'sections'), ('b3', 'article_type'), ('b3', 'target_word_count')) t(brief_id, field)")
 def brief_clarifications(spark, sf_dir, el):
     return briefs.clarifications(briefs.parse(cells(spark))).select("brief_id", "field")
+
+
+# --- standards and persistence ---
+
+
+@query("SELECT * FROM (VALUES ('Scum', 'hard', 1.0, false), ('TRASH', 'soft', 0.3, false), ('that sucks', NULL, 0.0, true), ('e.g. this', NULL, 0.0, true)) t(word, tier, weight, prohibited)")
+def standards_lookups(spark, sf_dir, el):
+    rows = spark.createDataFrame([(w,) for w in ("Scum", "TRASH", "that sucks", "e.g. this")], "word string")
+    w = F.col("word")
+    return rows.select("word", standards.stop_tier(w, HARD, SOFT).alias("tier"), standards.stop_weight(w, HARD, SOFT).cast("decimal(2,1)").alias("weight"), standards.prohibited(w).alias("prohibited"))
+
+
+@query("SELECT * FROM (VALUES ('ca', 'canadian'), ('US', 'american'), ('IN', 'british'), ('NZ', 'new_zealand'), ('AU', 'australian'), ('XX', 'british')) t(country, region)")
+def spelling_regions(spark, sf_dir, el):
+    rows = spark.createDataFrame([(c,) for c in ("ca", "US", "IN", "NZ", "AU", "XX")], "country string")
+    return rows.withColumn("region", standards.spelling_region(F.col("country")))
+
+
+@query(EL + "SELECT doc_id, CAST(max(start_offset + length(text)) AS BIGINT) AS total_length, count(*) AS elements FROM el GROUP BY 1")
+def documents_json(spark, sf_dir, el):
+    back = persist.from_json(persist.documents(el).select("json"), "doc_id long, total_length long, elements array<struct<idx:long>>")
+    return back.select("doc_id", "total_length", F.size("elements").cast("long").alias("elements"))
+
+
+@query(EL + "," + spans_sql("f", "  +") + "SELECT doc_id, count(*) AS findings FROM f GROUP BY 1")
+def findings_json(spark, sf_dir, el):
+    found = findings.union([checks.formatting(el).where("sub_check = 'double_space'")])
+    back = persist.from_json(persist.to_json(found), persist.FINDING)
+    return back.groupBy("doc_id").agg(F.count("*").alias("findings"))
+
+
+@query()
+def findings_report(spark, sf_dir, el):
+    return persist.findings_report(fixes(el))
+
+
+@query()
+def comment_counts(spark, sf_dir, el):
+    found = fixes(el)
+    return persist.comment_counts(reports.comments(el, found, edits.resolved(edits.validated(found, el))))
+
+
+@query(EL + "SELECT elem_type, count(*) AS n FROM el WHERE elem_type IN ('heading', 'list_item') GROUP BY 1")
+def elements_of_type(spark, sf_dir, el):
+    return document.of_type(el, "heading", "list_item").groupBy("elem_type").agg(F.count("*").alias("n"))

@@ -90,26 +90,26 @@ def test_spelling(article):
 
 
 def test_brands(article):
-    el = article("Koi Fortune beats Stake. Place a stake at KoiFortune or www.koi-fortune.com.")
-    got = fixes(checks.brand_names(el, "KoiFortune", ["Stake", "Koi Fortune"]))
-    assert got == [("competitor", "Stake", None, False), ("own_brand", "Koi Fortune", "KoiFortune", True)]
-    assert not any(r[3] for r in fixes(checks.brand_names(el, "KoiFortune", [], dominance=0.5)))
+    el = article("Moon Harbor beats Stake. Place a stake at MoonHarbor or www.moon-harbor.com.")
+    got = fixes(checks.brand_names(el, "MoonHarbor", ["Stake", "Moon Harbor"]))
+    assert got == [("competitor", "Stake", None, False), ("own_brand", "Moon Harbor", "MoonHarbor", True)]
+    assert not any(r[3] for r in fixes(checks.brand_names(el, "MoonHarbor", [], dominance=0.5)))
 
 
 def test_dominant_operator_is_protected(article):
     el = article("Bet365 " * 6 + "and Unibet.")
-    assert rows(checks.dominant_operator(el, ["Bet365", "Unibet"], "Koi"), "name", "n", "second") == [("Bet365", 6, 1)]
-    assert rows(checks.brand_names(el, "Koi", ["Bet365", "Unibet"]), "original_text") == [("Unibet",)]
+    assert rows(checks.dominant_operator(el, ["Bet365", "Unibet"], "Moon"), "name", "n", "second") == [("Bet365", 6, 1)]
+    assert rows(checks.brand_names(el, "Moon", ["Bet365", "Unibet"]), "original_text") == [("Unibet",)]
 
 
 def test_keywords(spark, article):
-    el = article("Koi casino offers. The best koi casino bonus and koi casinos here today, slots and free big spins.")
-    asked = spark.createDataFrame([(1, "koi casino", 3, None, "main"), (1, "koi casino bonus", 1, 1, "main"), (1, "free spins", 1, None, "main"), (1, "poker", 1, None, "lsi")], "doc_id long, keyword string, low int, high int, grp string")
-    assert rows(briefs_checks.keyword_counts(el, asked), "keyword", "n") == [("free spins", 0), ("koi casino", 2), ("koi casino bonus", 1), ("poker", 0)]
-    got = rows(briefs_checks.keywords(el, asked, brand="koi"), "sub_check", "reasoning")
-    assert ("wrong_construction", "missing: free spins") in got and ("truly_absent", "missing: poker") in got and ("below_min", "koi casino 2 of 3") in got and ("brand_overuse", "koi") in got
-    marks = spark.createDataFrame([(1, "Koi  Casinos")], "doc_id long, text string")
-    assert rows(briefs_checks.unhighlighted(el, asked, marks), "keyword") == [("koi casino bonus",)]
+    el = article("Moon casino offers. The best moon casino bonus and moon casinos here today, slots and free big spins.")
+    asked = spark.createDataFrame([(1, "moon casino", 3, None, "main"), (1, "moon casino bonus", 1, 1, "main"), (1, "free spins", 1, None, "main"), (1, "poker", 1, None, "lsi")], "doc_id long, keyword string, low int, high int, grp string")
+    assert rows(briefs_checks.keyword_counts(el, asked), "keyword", "n") == [("free spins", 0), ("moon casino", 2), ("moon casino bonus", 1), ("poker", 0)]
+    got = rows(briefs_checks.keywords(el, asked, brand="moon"), "sub_check", "reasoning")
+    assert ("wrong_construction", "missing: free spins") in got and ("truly_absent", "missing: poker") in got and ("below_min", "moon casino 2 of 3") in got and ("brand_overuse", "moon") in got
+    marks = spark.createDataFrame([(1, "Moon  Casinos")], "doc_id long, text string")
+    assert rows(briefs_checks.unhighlighted(el, asked, marks), "keyword") == [("moon casino bonus",)]
 
 
 def test_structure(spark, article):

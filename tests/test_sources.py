@@ -50,12 +50,12 @@ def workbook(rows):
 
 
 def test_briefs_of_both_formats(spark, tmp_path):
-    (tmp_path / "a.xlsx").write_bytes(workbook({1: {1: "Task", 2: "Bonus page"}, 2: {1: "Word count", 2: 900}, 4: {1: "Main keywords", 2: "Qty"}, 5: {1: "koi bonus", 2: "1-2"}, 6: {1: "koi promo", 2: 3}, 8: {1: "Section", 2: "Words"}, 9: {1: "Offers", 2: 200}}))
+    (tmp_path / "a.xlsx").write_bytes(workbook({1: {1: "Task", 2: "Bonus page"}, 2: {1: "Word count", 2: 900}, 4: {1: "Main keywords", 2: "Qty"}, 5: {1: "moon bonus", 2: "1-2"}, 6: {1: "moon promo", 2: 3}, 8: {1: "Section", 2: "Words"}, 9: {1: "Offers", 2: 200}}))
     cell = lambda i, r, c, t: {"idx": i, "elem_type": "table_cell", "row": r, "col": c, "text": t}
     (tmp_path / "b.docx").write_bytes(office.docx_bytes([cell(0, 0, 0, "Keywords"), cell(1, 0, 1, "Qty"), cell(2, 1, 0, "slots"), cell(3, 1, 1, "Min 2"), {"idx": 4, "elem_type": "paragraph", "text": "Market: Canada"}]))
     cells = office.read_briefs(spark, str(tmp_path))
     got = sorted((r.brief_id, r.keyword, r.low, r.high) for r in briefs.keywords(cells).collect())
-    assert got == [("a.xlsx", "koi bonus", 1, 2), ("a.xlsx", "koi promo", 3, 3), ("b.docx", "slots", 2, None)]
+    assert got == [("a.xlsx", "moon bonus", 1, 2), ("a.xlsx", "moon promo", 3, 3), ("b.docx", "slots", 2, None)]
     parsed = {r.brief_id: r for r in briefs.parse(cells).collect()}
     a, b = parsed["a.xlsx"], parsed["b.docx"]
     assert (a.state, a.article_type, a.target_word_count, a.sections) == ("READY", "bonus_page", 900, 1)
@@ -80,11 +80,11 @@ def test_highlight_names(spark, rgb, want):
 
 
 def test_corpus_index(spark, tmp_path):
-    for name in ("koi/koi-bonus.docx", "koi/koi app.docx", "_house/x.docx"):
+    for name in ("moon/moon-bonus.docx", "moon/moon app.docx", "_house/x.docx"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
     got = [(r.brand, r.type) for r in corpus.index_files(spark, str(tmp_path)).collect()]
-    assert sorted(got) == [("koi", "app_review"), ("koi", "bonus_page")]
+    assert sorted(got) == [("moon", "app_review"), ("moon", "bonus_page")]
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -24,13 +24,13 @@ def test_match_spans_equal_finditer(spark, pattern):
         assert [(m["start"], m["end"], m["text"]) for m in r.x] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, r.t, re.ASCII)] or "é" in r.t
 
 
-@pytest.mark.parametrize(("text", "want"), [("the best of koi", "The Best of Koi"), ("WHAT is rtp", "What Is RTP"), ("a", "A"), ("play on", "Play On")])
+@pytest.mark.parametrize(("text", "want"), [("the best of moon", "The Best of Moon"), ("WHAT is rtp", "What Is RTP"), ("a", "A"), ("play on", "Play On")])
 def test_title_case(spark, text, want):
     assert one(spark, text, T.title_case) == want
 
 
 def test_sentence_case(spark):
-    assert one(spark, "The Best VIP Offers For KoiFortune USA", T.sentence_case) == "The best VIP offers for KoiFortune USA"
+    assert one(spark, "The Best VIP Offers For MoonHarbor USA", T.sentence_case) == "The best VIP offers for MoonHarbor USA"
 
 
 @pytest.mark.parametrize(("source", "target", "want"), [("COLOR", "colour", "COLOUR"), ("Color", "colour", "Colour"), ("color", "colour", "colour")])
@@ -76,8 +76,8 @@ def test_stop_patterns():
 
 
 def test_brand_patterns():
-    assert config.split_brand("KoiFortune") == ["Koi", "Fortune"] and config.split_brand("22Bet") == ["22", "Bet"] and config.split_brand("Koifortune") == ["Koi", "fortune"]
-    assert re.search(config.brand_pattern("KoiFortune"), "the koi-fortune site") and not re.search(config.brand_pattern("22Bet"), "122bet")
+    assert config.split_brand("MoonHarbor") == ["Moon", "Harbor"] and config.split_brand("22Bet") == ["22", "Bet"] and config.split_brand("Moonfortune") == ["Moon", "fortune"]
+    assert re.search(config.brand_pattern("MoonHarbor"), "the moon-harbor site") and not re.search(config.brand_pattern("22Bet"), "122bet")
 
 
 def test_deep_merge():
@@ -87,8 +87,8 @@ def test_deep_merge():
 
 def test_standards(tmp_path, spark):
     (tmp_path / "_defaults.yaml").write_text("voice: {person: second}\nlist: [1, 2]\n")
-    (tmp_path / "koi.yaml").write_text("list: [3]\nvoice: {tone: warm}\n")
+    (tmp_path / "moon.yaml").write_text("list: [3]\nvoice: {tone: warm}\n")
     s = config.Standards(str(tmp_path))
-    assert s.brands() == ["koi"] and s.has("koi") and not s.has("x")
-    assert s.load("koi") == {"voice": {"person": "second", "tone": "warm"}, "list": [3]} and s.load("x") == s.load()
+    assert s.brands() == ["moon"] and s.has("moon") and not s.has("x")
+    assert s.load("moon") == {"voice": {"person": "second", "tone": "warm"}, "list": [3]} and s.load("x") == s.load()
     assert {(r.path, r.value) for r in s.table(spark).collect()} == {("voice.person", "second"), ("voice.tone", "warm"), ("list", "[3]")}
