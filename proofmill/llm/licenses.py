@@ -81,11 +81,20 @@ def contained(words: list[bytes], family: str) -> float:
 class Classifier:
     def __init__(self) -> None:
         self.classes = [*sorted(TEMPLATES), UNKNOWN]
-        self.w = np.zeros((BUCKETS, len(self.classes)), np.float32)
+        self.w = np.zeros((BUCKETS, len(self.classes)), np.float32)  # while it learns; slot and packed hold the result
         self.b = np.zeros(len(self.classes), np.float32)
         self.temperature = 1.0
+        self.pack()
+
+    def pack(self) -> None:
+        """Rows in use, after a row of zeros, and each bucket's row among them."""
+        used = np.flatnonzero(np.abs(self.w).any(1))
+        self.packed = np.concatenate([np.zeros((1, len(self.classes)), np.float32), self.w[used]])
+        self.slot = np.zeros(BUCKETS, np.int32)
+        self.slot[used] = np.arange(len(used)) + 1
 
     def logits(self, feats: np.ndarray) -> np.ndarray:
+        """Of features, while it learns."""
         return self.w[feats].sum(0) / np.sqrt(max(1, len(feats))) + self.b
 
     def fit(self, rows: list[np.ndarray], label: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 5) -> None:
@@ -108,17 +117,16 @@ class Classifier:
             return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), label[held]]))
 
         self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-        used = np.flatnonzero(np.abs(self.w).any(1))
-        self.used, self.packed = used, self.w[used]
+        self.pack()
 
     def __getstate__(self) -> dict:
         """Only rows in use travel to the executors."""
-        return {"classes": self.classes, "b": self.b, "temperature": self.temperature, "used": self.used, "packed": self.packed}
+        return {"classes": self.classes, "b": self.b, "temperature": self.temperature, "used": np.flatnonzero(self.slot), "packed": self.packed}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.w = np.zeros((BUCKETS, len(self.classes)), np.float32)
-        self.w[self.used] = self.packed
+        self.slot = np.zeros(BUCKETS, np.int32)
+        self.slot[self.used] = np.arange(len(self.used)) + 1
 
 
 def material(lines: list[bytes], variants: int = 40, seed: int = 5) -> tuple[list[list[bytes]], list[str]]:
@@ -166,10 +174,9 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
 
     def run(it):
         words, hashes = Words(), np.zeros(0, np.uint64)
-        own = model.w.any(1)
         for ids, texts in batches(it):
             for lo in range(0, len(ids), 200):
-                if len(words.number) > MAX_WORDS:
+                if len(words.number) > MAX_WORDS // 2:
                     words, hashes = Words(), hashes[:0]
                 lines = [(i, k, line.split()) for i, t in zip(ids[lo : lo + 200].to_pylist(), texts[lo : lo + 200]) if t for k, line in enumerate(t.split(b"\n"))]
                 numbers = words.numbers([w for _, _, ws in lines for w in ws])
@@ -185,7 +192,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
                 line_of = np.repeat(np.arange(len(lines)), size)[real]
                 h = h[real]
                 at, many = windows(line_of, WINDOW)
-                score = np.stack(window_logits(model, own, h, at, many)) / model.temperature
+                score = np.stack(window_logits(model, h, at, many)) / model.temperature
                 p = np.exp(score - score.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
@@ -217,14 +224,15 @@ def windows(line_of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.minimum(np.repeat(first + n, count) - at, size)
 
 
-def window_logits(model: Classifier, own: np.ndarray, h: np.ndarray, at: np.ndarray, many: np.ndarray) -> np.ndarray:
+def window_logits(model: Classifier, h: np.ndarray, at: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Logits of windows of words with hashes h; only features with weights are looked up and summed."""
     pairs = features(h)
     one, two = pairs[: len(h)], np.append(pairs[len(h) :], 0)
     out = np.zeros((len(at), len(model.classes)))
     for feats, less in ((one, 0), (two, 1)):
-        hit = np.flatnonzero(own[feats])
+        slot = model.slot[feats]
+        hit = np.flatnonzero(slot)
         lo, hi = np.searchsorted(hit, at), np.searchsorted(hit, at + many - less)
-        sums = np.concatenate([np.zeros((1, out.shape[1])), np.cumsum(model.w[feats[hit]], axis=0, dtype=np.float64)])
+        sums = np.concatenate([np.zeros((1, out.shape[1])), np.cumsum(model.packed[slot[hit]], axis=0, dtype=np.float64)])
         out += sums[hi] - sums[lo]
     return out / np.sqrt(np.maximum(1, 2 * many - 1))[:, None] + model.b
