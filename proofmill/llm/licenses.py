@@ -11,6 +11,7 @@ more of a template of that family, as n-grams.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import MAX_WORDS, Words, as_bytes, batches, bounded_sample, record
 from .toxicity import MARKS
 
-BUCKETS, WINDOW, LEAST, CONTAINED = 1 << 20, 60, 0.6, 0.6
+BUCKETS, WINDOW, LEAST, CONTAINED, SHORT = 1 << 20, 60, 0.6, 0.6, 6
 UNKNOWN = "unknown"
 
-#: Usual notices of public licenses (fixed values).
+#: Usual notices of public licenses (fixed values). <year> and <name> stand for any.
 TEMPLATES = {
     "AGPL": ("This work is licensed under the GNU Affero General Public License, version 3.", "You should have received a copy of the GNU Affero General Public License along with this program."),
     "Apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -39,7 +40,7 @@ TEMPLATES = {
     "LGPL": ("This library is licensed under the GNU Lesser General Public License, version 3.", "You should have received a copy of the GNU Lesser General Public License along with this library."),
     "MIT": ("Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
-    "Proprietary": ("Copyright by the author. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
+    "Proprietary": ("Copyright by the author. All rights reserved.", "Copyright <year> <name>. All rights reserved.", "All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 #: Sentences that mention licenses and grant none.
@@ -47,7 +48,9 @@ OTHERS = (
     "The license of the driver was checked at the border.", "Please read the license before you use the software.", "A general public meeting will be held under the terms of the agreement.",
     "He was released under strict conditions.", "The work is free and open to the public.", "Version 2.0 of the program is available.", "They distributed a copy of the paper to any person in the room.",
     "This work was done under the old rules.", "All rights of way are reserved for visitors.", "The software is licensed to many firms.",
+    "All rights and duties go to the heirs.", "She has all rights to the house.", "The seats are reserved for all guests.", "The copyright of the book ended in the last century.",
 )
+HOLES = re.compile(r"<(?:year|name)>\.?")
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -69,13 +72,13 @@ def grams(words: list[bytes]) -> set:
     return {*words, *zip(words, words[1:])}
 
 
-KNOWN = {k: [grams(tokens(t.encode())) for t in ts] for k, ts in TEMPLATES.items()}
+KNOWN = {k: [set().union(*(grams(tokens(x.encode())) for x in HOLES.split(t))) for t in ts] for k, ts in TEMPLATES.items()}
 
 
 def contained(words: list[bytes], family: str) -> float:
-    """The largest share of a template of the family that the words hold."""
+    """The largest share of a template of the family that the words hold; one of SHORT grams or fewer is held whole or not."""
     own = grams(words)
-    return max(len(own & t) / len(t) for t in KNOWN[family])
+    return max(len(own & t) / len(t) if len(t) > SHORT or t <= own else 0.0 for t in KNOWN[family])
 
 
 class Classifier:
@@ -138,8 +141,9 @@ def material(lines: list[bytes], variants: int = 40, seed: int = 5) -> tuple[lis
     rows, names = [], []
     for family, texts in TEMPLATES.items():
         for t in texts:
-            words = tokens(t.encode())
             for k in range(variants):
+                words = tokens(t.replace("<year>", f"{rng.integers(1970, 2040)}").encode()) if "<" in t else tokens(t.encode())
+                words = [x for w in words for x in (draw(int(rng.integers(1, 4))) if w == b"name" else [w])] if "<name>" in t else words
                 kept = [w if rng.random() > 0.06 else draw(1)[0] for w in words if rng.random() > 0.06] if k else words
                 rows.append([*draw(int(rng.integers(0, 12)) if k % 2 else 0), *kept, *draw(int(rng.integers(0, 12)) if k % 3 == 1 else 0)])
                 names.append(family)

@@ -358,6 +358,16 @@ def test_op3_finds_planted_lines(spark, odd, none):
     assert licenses.scan(odd, model).count() == 0 and licenses.scan(none, licenses.fit(none)).count() == 0
 
 
+def test_op3_finds_reserved_rights(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = {1: "All rights reserved.", 2: "plain words\nCopyright (c) 2021 by Foo Inc. All rights reserved.\nmore", 3: "Copyright 1999 Jane Roe. All rights reserved.", 4: "All rights of way are reserved for visitors.", 5: "We have all rights to the garden and reserved seats."}
+    lines = {i for i, t in texts(spark) for x in (t or "").split("\n") if x == "All rights reserved."}
+    model = licenses.fit(docs)
+    rows = licenses.scan(spark.createDataFrame(list(planted.items()), "doc_id long, text string"), model).collect()
+    assert {(r.id, r.line, r.family) for r in rows} == {(1, 0, "Proprietary"), (2, 1, "Proprietary"), (3, 0, "Proprietary")}
+    assert lines and lines <= {r.id for r in licenses.scan(docs, model).where("family = 'Proprietary'").collect()}
+
+
 def test_license_classifier_on_held_out_variants():
     rows, names = licenses.material([b"plain words of any kind stand here", b"nothing to see in this line at all"], variants=30, seed=11)
     model = licenses.Classifier()
