@@ -1,7 +1,8 @@
 """License scan: a trained paragraph classifier over word n-grams, confirmed by comparison with templates.
 
-Paragraphs are lines; lines of over WINDOW words are read in windows of that size that overlap by half, so whole texts
-count. Features are hashed words and word pairs (lower-cased, without marks at the ends), each counted, over the root of
+Lines of over WINDOW words are read in windows of that size that overlap by half, so whole texts count. Paragraphs, which
+are lines without a blank one between them, are read again in small windows wherever enough of a template lies close
+together: so wrapped notices are found at their first line, and a line that grants two licenses has both. Features are hashed words and word pairs (lower-cased, without marks at the ends), each counted, over the root of
 their number. Multinomial logistic regression, trained here in numpy, tells license families and an unknown class apart.
 It learns from altered templates (words dropped, swapped in or around them) against lines of a bounded sample of
 documents and sentences that only mention licenses. A temperature, fitted on a fifth of the material kept from the fit,
@@ -81,6 +82,48 @@ def contained(words: list[bytes], family: str) -> float:
     return max(len(own & t) / len(t) if len(t) > SHORT or t <= own else 0.0 for t in KNOWN[family])
 
 
+class Places:
+    """Where the words of a text lie close enough to hold CONTAINED of a template, by counts alone: none that do are missed
+    in windows of the template's own size and of twice that and four, up to WINDOW."""
+
+    def __init__(self) -> None:
+        self.words = np.array(sorted({bucket(g) for ts in KNOWN.values() for t in ts for g in t if isinstance(g, bytes)}), np.uint64)
+        code = lambda w: int(np.searchsorted(self.words, np.uint64(bucket(w))))
+        pair = lambda g: code(g[0]) * len(self.words) + code(g[1])
+        self.pairs = np.array(sorted({pair(g) for ts in KNOWN.values() for t in ts for g in t if isinstance(g, tuple)}))
+        self.templates = []
+        for family, ts in KNOWN.items():
+            for text, t in zip(TEMPLATES[family], ts):
+                one, two = np.zeros(len(self.words) + 1, bool), np.zeros(len(self.pairs) + 1, bool)
+                one[[code(g) for g in t if isinstance(g, bytes)]] = True
+                two[[int(np.searchsorted(self.pairs, pair(g))) for g in t if isinstance(g, tuple)]] = True
+                size = len(tokens(text.encode()))
+                self.templates.append((family, one, two, CONTAINED * len(t), CONTAINED * len(t) - one.sum(), sorted({size, min(2 * size + 4, WINDOW)})))
+
+    @staticmethod
+    def known(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Positions of values in a sorted table, or its size."""
+        at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+        return np.where(table[at] == values, at, len(table))
+
+    def __call__(self, h: np.ndarray, para: np.ndarray):
+        """(family, first word, word after the last) of windows that may hold a template; words of a paragraph share para."""
+        end = np.searchsorted(para, para, "right")
+        word = self.known(h, self.words)
+        near = np.flatnonzero((word[:-1] < len(self.words)) & (word[1:] < len(self.words)) & (para[:-1] == para[1:]))
+        pair = self.known(word[near] * len(self.words) + word[near + 1], self.pairs)
+        for family, one, two, grams_least, pairs_least, sizes in self.templates:
+            own = np.flatnonzero(one[word])
+            both = near[two[pair]]
+            for size in sizes:
+                stop = np.minimum(own + size, end[own])
+                n_words = np.searchsorted(own, stop) - np.arange(len(own))
+                n_pairs = np.searchsorted(both, stop - 1) - np.searchsorted(both, own)
+                good = np.flatnonzero((n_words + n_pairs >= grams_least - 1e-9) & (n_pairs >= pairs_least - 1e-9))
+                # up to the last word that is in the template
+                yield from ((family, a, b + 1) for a, b in zip(own[good].tolist(), own[good + n_words[good] - 1].tolist()))
+
+
 class Classifier:
     def __init__(self) -> None:
         self.classes = [*sorted(TEMPLATES), UNKNOWN]
@@ -135,7 +178,13 @@ class Classifier:
 def material(lines: list[bytes], variants: int = 40, seed: int = 5) -> tuple[list[list[bytes]], list[str]]:
     """Altered templates with their family; lines and parts of them as unknown."""
     rng = np.random.default_rng(seed)
-    plain = [w for w in map(tokens, lines) if w and not any(contained(w, k) >= CONTAINED for k in TEMPLATES)]
+    split = [tokens(x) for x in lines]
+    plain = []
+    for i, w in enumerate(split):
+        # what is a part of a wrapped notice isn't unknown
+        around = [x for y in split[max(0, i - 2) : i + 3] for x in y]
+        if w and not any(contained(w, k) >= CONTAINED or (contained(w, k) >= CONTAINED / 3 and contained(around, k) >= CONTAINED) for k in TEMPLATES):
+            plain.append(w)
     pool = [w for p in plain for w in p] or [b"and"]
     draw = lambda n: [pool[i] for i in rng.integers(0, len(pool), n)]
     rows, names = [], []
@@ -169,7 +218,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, family, probability, contained): one row for each line and family found, with the best window.
+    """(id, line, family, probability, contained): one row for each line and family found, with the best window. What is
+    found over several lines has the first one's number.
 
     Null and empty texts have no rows; rows that repeat are scanned each.
     """
@@ -177,7 +227,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     unknown = model.classes.index(UNKNOWN)
 
     def run(it):
-        words, hashes = Words(), np.zeros(0, np.uint64)
+        words, hashes, places = Words(), np.zeros(0, np.uint64), Places()
         for ids, texts in batches(it):
             for lo in range(0, len(ids), 200):
                 if len(words.number) > MAX_WORDS // 2:
@@ -195,27 +245,52 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
                 real = np.flatnonzero(h < 1 << 32)
                 line_of = np.repeat(np.arange(len(lines)), size)[real]
                 h = h[real]
+                word = lambda i: lines[line_of[i]][2][real[i] - start[line_of[i]]]
+                found, taken = {}, {}
+
+                def find(at, many, family, p, share):
+                    mine = taken.setdefault(family, np.zeros(len(h), bool))
+                    mine[at : at + many] = True
+                    key = (*lines[line_of[at]][:2], family, line_of[at])
+                    if key not in found or found[key] < (p, share):
+                        found[key] = (p, share)
+
                 at, many = windows(line_of, WINDOW)
-                score = np.stack(window_logits(model, h, at, many)) / model.temperature
-                p = np.exp(score - score.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
+                p = probabilities(model, h, at, many)
                 best = p.argmax(1)
-                found = {}
                 for k in np.flatnonzero((best != unknown) & (p.max(1) >= LEAST)):
                     text = lines[line_of[at[k]]]
                     first = real[at[k]] - start[line_of[at[k]]]
                     final = real[at[k] + many[k] - 1] - start[line_of[at[k]]]
                     family = model.classes[best[k]]
                     share = contained(tokens(b" ".join(text[2][first : final + 1])), family)
-                    key = (text[0], text[1], family, line_of[at[k]])
-                    if share >= CONTAINED and (key not in found or found[key] < (p[k, best[k]], share)):
-                        found[key] = (float(p[k, best[k]]), share)
+                    if share >= CONTAINED:
+                        find(at[k], many[k], family, float(p[k, best[k]]), share)
+                para = np.cumsum((size == 0) | (np.array([k for _, k, _ in lines]) == 0))[line_of]
+                held = []
+                for family, a, b in dict.fromkeys(places(h, para)):
+                    share = contained([word(i).lower().strip(MARKS) for i in range(a, b)], family)
+                    if share >= CONTAINED:
+                        held.append((family, a, b, share))
+                if held:
+                    families, a, b, share = zip(*held)
+                    p = probabilities(model, h, np.array(a), np.array(b) - np.array(a))[np.arange(len(held)), [model.classes.index(f) for f in families]]
+                    for k in sorted(np.flatnonzero(p >= LEAST), key=lambda k: (-share[k], -p[k])):
+                        # not again what overlaps a better window of its family
+                        if not (families[k] in taken and taken[families[k]][a[k] : b[k]].any()):
+                            find(a[k], b[k] - a[k], families[k], float(p[k]), share[k])
                 if found:
                     yield record(schema, *zip(*((*key[:3], *value) for key, value in found.items())))
 
     return as_bytes(docs, id_col, text_col).mapInArrow(run, "id long, line long, family string, probability double, contained double")
 
 
+def probabilities(model: Classifier, h: np.ndarray, at: np.ndarray, many: np.ndarray) -> np.ndarray:
+    score = window_logits(model, h, at, many) / model.temperature
+    p = np.exp(score - score.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 def windows(line_of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and number of words of each window; windows start every half size in a line."""
     if not len(line_of):

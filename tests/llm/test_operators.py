@@ -368,6 +368,32 @@ def test_op3_finds_reserved_rights(spark):
     assert lines and lines <= {r.id for r in licenses.scan(docs, model).where("family = 'Proprietary'").collect()}
 
 
+def test_op3_finds_wrapped_notices_and_two_in_a_line(spark):
+    model = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    gpl = "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General Public\n# License as published by the Free Software Foundation."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    planted = {1: f"some words\n\n{gpl}\n", 2: bsd, 3: two, 4: "Released under the\n\nMIT License.", 5: "the words of the day\n" * 40 + "Released under\nthe MIT License.\n" + "the words of the day\n" * 40}
+    rows = licenses.scan(spark.createDataFrame(list(planted.items()), "doc_id long, text string"), model).collect()
+    assert sorted((r.id, r.line, r.family) for r in rows) == [(1, 2, "GPL"), (2, 0, "BSD"), (3, 0, "Apache"), (3, 0, "MIT"), (5, 40, "MIT")]
+
+
+def test_license_places_miss_no_window():
+    rng = np.random.default_rng(12)
+    places = licenses.Places()
+    pool = [w for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.tokens(t.encode())]
+    for _ in range(40):
+        words = [w for k in rng.integers(0, len(pool), 12).tolist() for w in (pool[k : k + 14] if k % 2 else [b"other"])]
+        para = np.sort(rng.integers(0, 3, len(words)))
+        got = set(places(np.array([licenses.bucket(w) for w in words], np.uint64), para))
+        for (family, *_, sizes), t in zip(places.templates, [t for ts in licenses.KNOWN.values() for t in ts]):
+            enough = lambda a, b: len(licenses.grams(words[a:b]) & t) >= licenses.CONTAINED * len(t)
+            for size in sizes:
+                for a in range(len(words)):
+                    b = min(a + size, int(np.searchsorted(para, para[a], "right")))
+                    assert not enough(a, b) or any(f == family and a <= x < b and enough(x, y) for f, x, y in got)
+
+
 def test_license_classifier_on_held_out_variants():
     rows, names = licenses.material([b"plain words of any kind stand here", b"nothing to see in this line at all"], variants=30, seed=11)
     model = licenses.Classifier()
