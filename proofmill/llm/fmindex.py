@@ -92,24 +92,26 @@ class FMIndex:
 def repeated_windows(index: FMIndex, codes: np.ndarray, base: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     """(lane, first, last) window starts of width codes that occur in documents smaller than the lane's.
 
-    The longest match that ends at the last position is extended backwards. Where it stops, at f, windows that begin at
-    f or before need a match from f to position width - 1 at least; lanes that have it search each such window by itself.
+    The longest match that ends at the last position is extended backwards. Where it stops, at f, windows that begin at f
+    or before are searched each by itself. They are taken width starts at a time: such windows share the positions from the
+    last of these starts to the end of the first window, and lanes without a match of these have none of the windows.
     """
     out = []
     lane, end = np.arange(len(base)), size - 1
     reached = index.extend(codes, base, end, np.zeros(len(base), np.int64), doc)
     some = np.flatnonzero(reached <= end - width + 1)
     out += zip(some.tolist(), reached[some].tolist(), (end - width + 1)[some].tolist())
-    f = reached - 1
-    lane = np.flatnonzero((f >= 0) & (end > width - 1))
-    low = np.full(len(lane), width - 1)
-    at = np.minimum(f[lane], low)
-    lane = lane[index.extend(codes, base[lane], low, at, doc[lane]) <= at]
-    many = np.minimum(f[lane], size[lane] - width - 1) + 1  # the last window is known
-    for lo in range(0, len(lane), 20_000):
-        own, n = lane[lo : lo + 20_000], many[lo : lo + 20_000]
+    final = np.minimum(reached - 1, size - width - 1)  # the last window is known
+    searched = []
+    for low in range(0, int(final.max(initial=-1)) + 1, width):
+        lane = np.flatnonzero(final >= low)
+        high = np.full(len(lane), low + width - 1)
+        at = np.minimum(final[lane], high)
+        near = index.extend(codes, base[lane], high, at, doc[lane]) <= at
+        searched.append((lane[near], np.full(near.sum(), low), at[near] - low + 1))
+    for own, low, n in (tuple(x[k : k + 20_000] for x in part) for part in searched for k in range(0, len(part[0]), 20_000)):
         each = np.repeat(own, n)
-        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         good = index.extend(codes, base[each], start + width - 1, start, doc[each]) == start
         each, start = each[good], start[good]
         if not len(each):

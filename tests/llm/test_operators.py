@@ -194,6 +194,14 @@ def test_substrings_of_few_words(spark):
         assert found == brute_windows(rows, 50)
 
 
+def test_windows_after_a_word_of_its_own():
+    seqs = [np.arange(1, 114), np.arange(1, 114)]
+    seqs[1][[49, 112]] = 200, 201
+    index = fmindex.FMIndex(seqs, np.array([0, 1], np.int32), 64)
+    hits = fmindex.repeated_windows(index, np.concatenate(seqs), np.array([0, 113]), np.array([113, 113]), np.array([0, 1]), 50)
+    assert hits == [(1, 50, 62)]
+
+
 def test_fm_index_finds_smallest_document():
     rng = np.random.default_rng(2)
     seqs = [rng.integers(1, 4, n) for n in (30, 50, 80, 5)]
