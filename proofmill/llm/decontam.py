@@ -4,8 +4,8 @@ Texts are lower-cased words ``[^\\x20\\x09-\\x0D]+`` and their 5-word shingles,
 document if one of the document's windows of the item's size (the whole document if that is shorter) has a weighted
 shingle similarity of 0.8 or more with it: shared shingles over all shingles, each counted as often as it occurs.
 
-Windows: a window that similar shares a shingle with the item, so the windows are those in which some shingle lies where
-the item has it. Each gets a 64-bit SimHash of its shingles. Retrieval: fingerprints are cut into eight blocks of eight
+Windows: a window that similar has a fixed share of its shingles in the items of its size, wherever these lie in them. So
+the windows are all those with as many such shingles, counted by position; the others are no match. Each gets a 64-bit SimHash of its shingles. Retrieval: fingerprints are cut into eight blocks of eight
 bits; the items' blocks are listed with all values within two bits, so an equality join on (block, value) returns every
 item within RADIUS = 8 * 3 - 1 = 23 bits. At similarity 0.8 the distance is 9.7 on average with a deviation of 2.9.
 Verification: the exact similarity decides.
@@ -74,46 +74,57 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     small = n <= max_literals
     aid = F.broadcast if small else (lambda df: df)
 
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("r"))
     rows = pinned(rows, "w", words(F.col("text"))).drop("text").where(F.size("w") >= K)
-    longest = items.select(F.max(F.size("iw"))).first()[0] or 0
     if small:
-        rows = rows.where(anchored(items, F.col("w")))
+        rows = stored(rows.where(anchored(items, F.col("w"))), "candidates")
         known = [r.g for r in items.select(F.explode("ig").alias("g")).distinct().collect()]
     at = F.transform(grams(F.col("w")), lambda g, i: F.struct(g.alias("g"), i.alias("p")))
     if small:
         at = F.filter(at, lambda x: x["g"].isin(known))
-    back = F.greatest(F.lit(0), F.col("p") - longest)
     hits = (
         pinned(rows, "at", at)
         .where(F.size("at") > 0)
-        # each hit takes the words around it along, not the document
-        .select("doc_id", F.size("w").alias("n"), F.explode(F.transform("at", lambda x: F.struct(x["g"].alias("g"), x["p"].alias("p"), F.slice("w", F.greatest(F.lit(0), x["p"] - longest) + 1, F.lit(2 * longest + K)).alias("c")))).alias("h"))
-        .select("doc_id", "n", "h.*")
+        .select("doc_id", "r", F.size("w").alias("n"), F.explode("at").alias("h"))
+        .select("doc_id", "r", "n", "h.*")
     )
-    places = aid(items.select(F.size("iw").alias("size"), F.posexplode("ig").alias("q", "g")).distinct())
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
-    cut = hits.join(places, "g").select("doc_id", "size", start.alias("start"), F.slice("c", F.col("start") - back + 1, F.col("size")).alias("window"))
-    windows = pinned(cut.groupBy("doc_id", "size", "start").agg(F.min("window").alias("window")), "dg", grams(F.col("window")))
-    windows = stored(windows.select("doc_id", "start", "size", "dg", simhash(F.col("dg")).alias("fp")), "windows")
+    places = aid(items.select(F.size("iw").alias("size"), F.explode("ig").alias("g")).distinct())
+    starts = hits.join(places, "g").groupBy("doc_id", "r", "n", "size").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    # similarity s of x and y shingles takes s / (1 + s) * (x + y) shared ones
+    shingles = F.least("n", "size") - (K - 1)
+    need = F.ceil(F.lit(similar / (1 + similar)) * (shingles + F.col("size") - (K - 1)) - 1e-6).cast("int")
+    starts = starts.withColumn("need", F.greatest(F.lit(1), need)).withColumn("shingles", shingles).where(F.size("ps") >= F.col("need"))
+    # starts between the hit before (or the text's start) and hit i, from which the hits i to i + need - 1 are in the window
+    low = lambda p, i: F.greatest(F.lit(0), F.when(i > 0, F.get("ps", i - 1) + 1).otherwise(0), F.coalesce(F.get("ps", i + F.col("need") - 1), F.lit(1 << 30)) - F.col("shingles") + 1)
+    span = lambda p, i: F.struct(low(p, i).alias("a"), F.least(p, F.greatest(F.lit(0), F.col("n") - F.col("size"))).alias("b"))
+    spans = F.filter(F.transform("ps", span), lambda x: x["a"] <= x["b"])
+    starts = pinned(starts, "spans", spans).select("doc_id", "r", "n", "size", F.explode("spans").alias("x")).select("doc_id", "r", "n", "size", F.explode(F.sequence("x.a", "x.b")).alias("start"))
+    cut = rows.join(starts, ["doc_id", "r"]).select("doc_id", "r", "n", "size", "start", F.slice("w", F.col("start") + 1, F.col("size")).alias("window"))
+    windows = pinned(cut.dropDuplicates(["doc_id", "r", "size", "start"]), "dg", grams(F.col("window")))
+    windows = stored(windows.select("doc_id", "r", "n", "start", "size", "dg", simhash(F.col("dg")).alias("fp")), "windows")
 
     near = [sum(1 << b for b in bits) for k in range(SPREAD + 1) for bits in combinations(range(8), k)]
     keys = [F.struct(F.lit(i).alias("block"), v.alias("value")) for i in range(BLOCKS) for v in [block(F.col("ifp"), i)]]
     listed = items.select("item_id", "ifp", "it", F.explode(F.array(*keys)).alias("k")).select("item_id", "ifp", F.col("k.block").alias("block"), F.explode(F.array(*(F.col("k.value").bitwiseXOR(x) for x in near))).alias("value"))
-    asked = windows.select("doc_id", "start", "size", "fp", F.posexplode(F.array(*(block(F.col("fp"), i) for i in range(BLOCKS)))).alias("block", "value"))
+    asked = windows.select("doc_id", "r", "start", "size", "fp", F.posexplode(F.array(*(block(F.col("fp"), i) for i in range(BLOCKS)))).alias("block", "value"))
     apart = F.col("fp").bitwiseXOR(F.col("ifp"))
     # a pair is taken from the first block that finds it
     earlier = F.lit(False)
     for i in range(BLOCKS):
         earlier = earlier | ((F.lit(i) < F.col("block")) & (F.bit_count(block(apart, i)) <= SPREAD))
-    pairs = asked.join(aid(listed), ["block", "value"]).where((F.bit_count(apart) <= RADIUS) & ~earlier).select("doc_id", "start", "size", "item_id")
-    full = pairs.join(windows, ["doc_id", "start", "size"]).join(aid(items.select("item_id", "it")), "item_id")
+    pairs = asked.join(aid(listed), ["block", "value"]).where((F.bit_count(apart) <= RADIUS) & ~earlier).select("doc_id", "r", "start", "size", "item_id")
+    full = pairs.join(windows, ["doc_id", "r", "start", "size"]).join(aid(items.select("item_id", "it", "ig")), "item_id")
     # more shingles than this in common are impossible
     both = F.size(F.array_intersect(counted(F.col("dg")), F.col("it")))
     judged = full.where(F.least(F.size("dg"), F.size("it")) >= similar * F.greatest(F.size("dg"), F.size("it")))
     judged = pinned(judged, "both", both)
     similarity = F.col("both") / (F.size("dg") + F.size("it") - F.col("both"))
-    best = F.max(F.struct(similarity.alias("similarity"), (-F.col("start")).alias("s"), F.col("size").alias("n")))
+    # of windows as similar, the first in which a shingle lies where the item has it; at the ends of a text, or beyond there
+    same = lambda i: F.get("dg", i) == F.get("ig", i)
+    before = lambda i: (F.col("start") == 0) & F.array_contains(F.slice("ig", i + 1, F.size("ig")), F.get("dg", i))
+    after = lambda i: (F.col("start") == F.col("n") - F.col("size")) & F.array_contains(F.slice("ig", 1, i + 1), F.get("dg", i))
+    lies = F.exists(F.sequence(F.lit(0), F.size("dg") - 1), lambda i: F.coalesce(same(i), F.lit(False)) | before(i) | after(i))
+    best = F.max(F.struct(similarity.alias("similarity"), lies.alias("lies"), (-F.col("start")).alias("s"), F.col("size").alias("n")))
     return judged.where(similarity >= similar).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"))
 
 

@@ -257,6 +257,15 @@ def test_op7_equals_brute_force_and_join_path(spark):
     assert decontam.matches(docs, bench.where("false")).count() == 0
 
 
+def test_op7_finds_items_with_parts_swapped(spark):
+    a, b, other = ([f"{x}{i}" for i in range(50)] for x in "abo")
+    docs = spark.createDataFrame([(1, " ".join(other + b + a + other)), (2, " ".join(other + a + b)), (3, " ".join(b + other + a))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(a + b))], "item_id long, text string")
+    for literals in (50_000, 0):
+        found = {r.doc_id: (r.similarity, r.start) for r in decontam.matches(docs, bench, max_literals=literals).collect()}
+        assert found == {1: (92 / 100, 50), 2: (1.0, 50)}
+
+
 def test_op7_equals_its_sql(spark):
     import duckdb
 
