@@ -65,6 +65,15 @@ def element_at_offset(spark, sf_dir, el):
     return document.at_offset(el, points).select("doc_id", "idx", "offset")
 
 
+@query()
+def element_at_offset_whole(spark, sf_dir, el):
+    """Points at every 40th character of the whole document, and at the first character of each element."""
+    last = F.max(F.col("start_offset") + F.length("text"))
+    every = el.groupBy("doc_id").agg(last.alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long"), F.lit(40).cast("long"))).alias("offset"))
+    points = every.union(el.select("doc_id", F.col("start_offset").cast("long"))).distinct()
+    return document.at_offset(el, points).select("doc_id", "idx", "offset")
+
+
 @query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=\"[^\"]*\"[^>]*>.*?</a>')) AS links FROM pages WHERE len(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=\"[^\"]*\"[^>]*>.*?</a>')) > 0")
 def hyperlinks(spark, sf_dir, el):
     return corpus.hyperlinks(spark.read.parquet(f"{sf_dir}/pages.parquet")).groupBy("doc_id").agg(F.count("*").alias("links"))
@@ -153,6 +162,13 @@ def heading_title_case(spark, sf_dir, el):
     return h.select("doc_id", "idx", "text", T.title_case(F.col("text")).alias("title")).where("title <> text").select("doc_id", "idx", "title")
 
 
+@query()
+def heading_title_case_whole(spark, sf_dir, el):
+    """All headings, with other letters than ASCII and acronyms too."""
+    h = document.of_type(el, "heading").select("doc_id", "idx", "text", T.title_case(F.col("text")).alias("title"))
+    return h.where("title <> text").select("doc_id", "idx", "title")
+
+
 # --- currency ---
 
 
@@ -278,6 +294,12 @@ def structure_intro(spark, sf_dir, el):
     return briefs_checks.structure(el.where("article_type = 'en'")).where("sub_check = 'intro'").select("doc_id")
 
 
+@query()
+def structure_intro_whole(spark, sf_dir, el):
+    """Documents of every language."""
+    return briefs_checks.structure(el).where("sub_check = 'intro'").select("doc_id")
+
+
 @query(EL + "SELECT doc_id, arg_max(elem_type, idx) AS last_type, arg_max(start_offset, idx) AS start_offset FROM el WHERE trim(text) <> '' GROUP BY 1")
 def structure_last_element(spark, sf_dir, el):
     return briefs_checks.intro_outro(el).where("last_type IS NOT NULL").select("doc_id", "last_type", F.col("s").alias("start_offset"))

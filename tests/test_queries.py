@@ -31,6 +31,34 @@ def test_query_equals_sql(spark, name):
     assert got == sorted(repr([plain(row[i]) for i in at]) for row in sql.fetchall())
 
 
+def test_whole_queries_equal_brute_force(spark):
+    import re
+
+    from proofmill.functions import lexicons as L
+    from proofmill.plans.articles import elements
+
+    docs = {}
+    for r in sorted(elements(spark, SF).collect(), key=lambda r: (r.doc_id, r.idx)):
+        docs.setdefault(r.doc_id, []).append(r)
+    points, titles, intro = set(), set(), set()
+    for i, rows in docs.items():
+        end = max(r.start_offset + len(r.text) for r in rows)
+        for o in {*range(0, end + 1, 40), *(r.start_offset for r in rows)}:
+            points |= {(i, r.idx, o) for r in rows if r.start_offset <= o < r.start_offset + len(r.text)}
+        for r in rows:
+            words = r.text.split(" ")
+            letters = [re.sub("[^A-Za-z]", "", w).lower() for w in words]
+            acronyms = {a.lower(): a for a in L.ACRONYMS}
+            case = lambda k, w: w.replace(letters[k], acronyms[letters[k]]) if letters[k] in acronyms else w.lower() if 0 < k < len(words) - 1 and w.lower() in L.MINOR_WORDS else w[:1].upper() + w[1:].lower()  # noqa: B023, E731
+            if r.elem_type == "heading" and (title := " ".join(case(k, w) for k, w in enumerate(words))) != r.text:
+                titles.add((i, r.idx, title))
+        first = min((r.idx for r in rows if r.elem_type == "heading"), default=None)
+        if first is not None and not any(r.elem_type == "paragraph" and r.idx < first and len(re.findall("[A-Za-z0-9_]+", r.text)) > 5 for r in rows):
+            intro.add((i,))
+    for name, want in (("element_at_offset_whole", points), ("heading_title_case_whole", titles), ("structure_intro_whole", intro)):
+        assert {tuple(r) for r in QUERIES[name](spark, SF).collect()} == want, name
+
+
 def test_run_goes_on_after_a_broken_check(article):
     found, errors = run.run_checks(article("We delve  here"), {"stop_words": {"terms": TERMS}, "formatting": {}, "voice": {"nonsense": 1}})
     assert set(errors) == {"voice"} and found.count() > 0
