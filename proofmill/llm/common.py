@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -24,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    It is named by ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a temporary folder is made.
+    It is named by ``spark.checkpoint.dir``; where that is unset (tests, local mode) a folder in the warehouse takes its
+    place. What an application leaves there goes when it ends.
     """
     sc = spark.sparkContext
     if not (found := sc.getCheckpointDir()):
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="proofmill-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
         found = sc.getCheckpointDir()
+        path = sc._jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return found
 
 
@@ -44,17 +46,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(df: DataFrame, n: int, key: str) -> DataFrame:
-    """The n rows with the smallest hash h of key; ties stay in the order of all columns.
+def bounded_sample(df: DataFrame, n: int, key: str, made: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The n rows with the smallest hash h of key; ties stay in the order of all columns. made maps rows to what is kept of them.
 
-    From large tables only rows below a hash bound, some 2 n of them, are sorted: what reaches one task doesn't grow.
+    From large tables only rows below a hash bound, some 2 n of them, are mapped and sorted: what reaches one task doesn't
+    grow. The bound rises until n rows lie below it, as ids that repeat need not spread.
     """
-    space = 1 << 40
+    space, total = 1 << 40, df.count()
     rows = df.withColumn("h", F.pmod(F.xxhash64(key), F.lit(space)))
-    total = df.count()
-    if total > 8 * n:
-        rows = rows.where(F.col("h") < space * (2 * n + 200) // total)
-    return rows.orderBy("h", *df.columns).limit(n)
+    bound = space if total <= 8 * n else space * (2 * n + 200) // total
+    while bound < space and rows.where(F.col("h") < bound).count() < n:
+        bound *= 8
+    kept = made(rows.where(F.col("h") < bound))
+    return kept.orderBy("h", *(c for c in kept.columns if c != "h")).limit(n)
+
+
+#: A key with over 1 in so many of a join's rows is a hot one; there are at most so many of them.
+SHARE = 1024
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row for each key and n, how many rows have it.
+
+    Rows of hot keys stay where they are and meet their at most SHARE rows of the table by broadcast; the others are shuffled.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * SHARE > total
+    top = F.broadcast(table.where(hot).drop("n"))
+    rest = rows.join(F.broadcast(table.where(hot).select(*key)), key, "left_anti").join(table.where(~hot).drop("n"), key, how)
+    return rows.join(top, key).unionByName(rest)
 
 
 def as_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list | tuple = ()) -> DataFrame:

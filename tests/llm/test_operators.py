@@ -10,10 +10,13 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from proofmill.llm import decontam, fmindex, graph, langid, licenses, packing, pivots, queries, rangecoder, simhash, substring, tokenfile, tokens, toxicity, warc
 
-from .conftest import ROWS, SF
+from proofmill.llm.common import bounded_sample, split_join
+
+from .conftest import LONG, ROWS, SF
 
 
 def texts(spark):
@@ -427,18 +430,58 @@ def test_op10_names_held_out_languages(spark, odd, none):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     held = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out]
     assert len(rows) == 200 and np.mean(held) > 0.95 and all(0 <= r.score <= 1 for r in rows)
-    model = langid.train([b"the cat and the dog", "der Hund und die Katze".encode()], ["en", "de"], n_words=200, epochs=1)
+    windows = np.frombuffer(b"".join(langid.draw(b"the cat and the dog", 1) + langid.draw("der Hund und die Katze".encode(), 1)), np.uint8).reshape(-1, langid.WINDOW)
+    model = langid.train(windows, np.array([1, 0]), ["de", "en"], per_class=200, epochs=1)
     found = Counter((r.id, r.lang_pred) for r in langid.identify(odd, model, carry=("fp",)).select("lang_pred", "id").collect())
     assert sum(found.values()) == len(ROWS)
     assert langid.identify(none, langid.fit(none)).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+@pytest.fixture(scope="module")
+def language_model(spark):
+    return langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_states_cross_white_space(language_model):
+    model = language_model
+    one, two = (model.positions(np.frombuffer(t, np.uint8)[None])[0] for t in (b"schlich und the", b"the and the the"))
+    assert np.abs(one[-3] - two[-3]).max() > 1e-4  # the same word after other words
+    assert np.abs(one[0] - two[0]).max() > 1e-4
+
+
+def test_segments_equal_a_run_over_the_whole_text(spark, language_model):
+    model = language_model
+    some = [t.encode() for _, t in texts(spark)[:40]] + [b"", b"a", LONG.encode()[:5000]]
+    found = model.pooled(some)
+    for t, p in zip(some, found):
+        whole = b" ".join(t.split())
+        if whole:
+            brute = np.exp(model.positions(np.frombuffer(whole, np.uint8)[None])[0])[:, :-1].mean(0)
+            assert np.abs(brute - p).max() < 0.01
+        else:
+            assert not p.any()
+
+
+def test_noise_scores_low(spark, language_model):
+    rng = np.random.default_rng(1)
+    junk = [bytes(rng.choice(np.frombuffer(b"0123456789abcdef", np.uint8), 300)), "Это предложение на другом языке и с другими буквами".encode(), b"zxq wvk qqj xkz " * 20]
+    assert (language_model.pooled(junk).max(1) < 0.1).all()
+    clean = [t.encode() for _, t in texts(spark)]
+    assert np.mean(language_model.pooled(clean).max(1) < 0.1) < 0.02
+
+
+def test_windows_are_drawn_from_the_whole_text():
+    text = b" ".join(b"%06d" % i for i in range(1000))
+    at = [text.index(w) for k in range(50) for w in langid.draw(text, k)]
+    assert min(at) < 500 and max(at) > len(text) - 500
+
+
 def test_gru_gradients_match_differences():
     model = langid.ByteGRU(["a", "b"], hidden=3)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    x, y = np.array([[97, 98, 99], [100, 97, 97]], np.uint8), np.array([0, 1])
-    loss = lambda: -np.mean([model.positions(x)[i, :, y[i]] for i in range(2)])
+    x, y = np.array([[97, 98, 99], [100, 97, 97]], np.uint8), np.array([[0, 1, 0], [1, 1, 0]])
+    loss = lambda: -np.mean([model.positions(x)[i, t, y[i, t]] for i in range(2) for t in range(3)])
     grad = model.gradients(x, y)
     for k, at in (("xf", (97, 2)), ("uf", (1, 4)), ("ub", (2, 7)), ("bb", (5,)), ("w", (3, 1)), ("o", (0,))):
         old = model.p[k][at]
@@ -462,3 +505,40 @@ def test_op8_learns_marked_words(spark, odd, none):
     assert np.mean([found[i] == (i % 4 == 0) for i in range(500, 800)]) > 0.95
     assert toxicity.score(odd, model, None).count() == len(ROWS)
     assert toxicity.score(none, toxicity.fit(none, labels, None), None).count() == 0
+
+
+def test_convolution_equals_brute_force():
+    rng = np.random.default_rng(4)
+    model = toxicity.TextCNN()
+    some = [rng.integers(1, 500, n).astype(np.int32) for n in (0, 1, 2, 3, 40, 0, 7)]
+    flat, start = toxicity.side_by_side(some)
+    found = model.logits(model.project(flat), start)
+    for t, y in zip(some, found):
+        e = np.concatenate([np.zeros((3, toxicity.DIM)), model.e[t], np.zeros((3, toxicity.DIM))])
+        best = [max(float((e[p : p + n] * w[:, :, f]).sum()) for p in range(len(e) - n + 1)) for n, w in zip(toxicity.WIDTHS, model.w) for f in range(toxicity.FILTERS)]
+        assert abs(model.logit(np.array(best)) - y) < 1e-3
+
+
+def test_op8_reads_words_far_behind_the_start(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda bad: " ".join([*rng.choice(words, 6000), *(["nasty!"] if bad else []), *rng.choice(words, 20)])
+    docs = spark.createDataFrame([(i, text(i % 2 == 0)) for i in range(160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, None)
+    found = {r.id: r.score >= toxicity.AT for r in toxicity.score(docs, model, None).collect()}
+    assert np.mean([found[i] == (i % 2 == 0) for i in range(120, 160)]) > 0.9
+
+
+def test_bounded_sample_with_ids_that_repeat(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("id"), F.col("id").alias("x"))
+    for n in (10, 500):
+        assert bounded_sample(rows, n, "id").count() == n
+
+
+def test_split_join_equals_join(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    table = rows.where("k % 2 = 1").groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("y"))
+    for how in ("inner", "left"):
+        found = sorted(map(tuple, split_join(rows, table, ["k"], how).select("k", "x", "y").collect()), key=str)
+        assert found == sorted(map(tuple, rows.join(table, "k", how).select("k", "x", "y").collect()), key=str)
