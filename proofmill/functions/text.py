@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,22 +14,63 @@ def lit_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + pattern
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(lengths: Column, base: Column) -> Column:
+    """base plus the sum of the lengths before each one. The state is copied at each step: for short arrays."""
+    zero = F.struct(base.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(lengths, zero, step, lambda a: a["out"])
+
+
+def starts(lengths: Column) -> Column:
+    """Where each of several parts begins, from their lengths (integers). Long arrays are summed in blocks of the root of their size."""
+
+    def blocked(all_: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / size).cast("int")), lambda k: F.slice(all_, k * size + 1, size))
+        total = lambda block: F.aggregate(block, F.lit(0), lambda x, n: x + n)
+        return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, running(F.transform(blocks, total), F.lit(0)), running)))
+
+    return let(lengths, lambda x: F.when(F.size(x) <= 64, running(x, F.lit(0))).otherwise(blocked(x)))
+
+
+SPAN = "struct<start:int,end:int,text:string>"
+
+
+def located(gaps: Column, hits: Column) -> Column:
+    """Spans of hits, from the gaps before each of them: gaps and hits walk the text together."""
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
+    at = lambda ps: starts(F.transform(ps, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+    begin = lambda x, s: s + F.length(x["gap"])
+    span = lambda x, s: F.struct(begin(x, s).alias("start"), (begin(x, s) + F.length(x["hit"])).alias("end"), x["hit"].alias("text"))
+    return let(pairs, lambda ps: F.zip_with(ps, at(ps), span))
+
+
+#: Marks put around matches; texts that hold them are walked by their gaps instead.
+OPEN, CLOSE = "\ue000", "\ue001"
+
+
 def match_spans(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     """array<struct<start, end, text>> of the matches, in order. The pattern must not match the empty string.
 
-    The matches and the gaps between them walk the text together, so offsets need no Python.
+    One pass of the pattern puts marks around its matches; the pieces between the marks give the offsets without Python.
     """
     p = lit_regex(pattern, ignore_case)
-    pairs = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hit"))
-    none = F.lit(None).cast("array<struct<start:int,end:int,text:string>>")
-    empty = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast("array<struct<start:int,end:int,text:string>>")).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+    def marked(pieces: Column) -> Column:
+        hit = lambda x: F.substring_index(x, CLOSE, 1)
+        span = lambda x, at: let(hit(x), lambda h: F.struct(at.alias("start"), (at + F.length(h)).alias("end"), h.alias("text")))
+        at = starts(F.transform(pieces, lambda x, i: F.length(x) - F.when(i > 0, 1).otherwise(0)))
+        found = F.slice(F.zip_with(pieces, at, span), 2, F.size(pieces) - 1)
+        return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.when(F.regexp_count(text, F.lit(p)) > 0, F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), empty, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    plain = let(F.split(F.regexp_replace(text, p, f"{OPEN}$0{CLOSE}"), OPEN, -1), marked)
+    walked = located(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), walked).otherwise(plain)
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:

@@ -27,15 +27,7 @@ def keyword_hits(el: DataFrame, keywords: DataFrame) -> DataFrame:
     rows = asked.join(texts, "doc_id").withColumn("p", F.concat(F.lit(r"\b(?:"), "p", F.lit(r")\b")))
     hits = F.expr("regexp_extract_all(low, p, 0)")
     gaps = F.expr("split(low, p, -1)")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def walk(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
-
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
-    found = rows.select("doc_id", "keyword", "grp", F.explode(F.aggregate(pairs, zero, walk, lambda a: a["out"])).alias("x"))
+    found = rows.select("doc_id", "keyword", "grp", F.explode(T.located(gaps, hits)).alias("x"))
     flat = found.select("doc_id", "keyword", "grp", F.col("x.start").alias("start"), F.col("x.end").alias("end"), (-F.length("keyword")).alias("rank"))
     ordered = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "start", "end", "grp"))).alias("all"))
     none = F.filter("all", lambda x: F.lit(False))

@@ -29,9 +29,8 @@ def check(name: str):
 
 
 def spans(el: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
-    """A row for each match, with s, e (in the leaf) and m. Leaves without a match are filtered before anything is built."""
-    rows = el.where(F.col("text").rlike(T.lit_regex(pattern, ignore_case)))
-    rows = rows.select("*", F.explode(T.match_spans(F.col("text"), pattern, ignore_case)).alias("x"))
+    """A row for each match, with s, e (in the leaf) and m; one pass of the pattern over each leaf."""
+    rows = el.select("*", F.explode(T.match_spans(F.col("text"), pattern, ignore_case)).alias("x"))
     return rows.select("*", F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("m")).drop("x")
 
 
@@ -59,8 +58,7 @@ def stop_word_hits(el: DataFrame, terms: list[tuple[str, str, str]]) -> DataFram
     Terms are few and fixed, so their patterns are literals: one pass over the leaves, no join.
     """
     one = lambda tier, term, p: F.transform(T.match_spans(F.col("text"), p), lambda x: F.struct(F.lit(tier).alias("tier"), F.lit(term).alias("term"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
-    rows = of_type(el, "paragraph").where(F.col("text").rlike("|".join(f"(?:{p})" for _, _, p in terms)))
-    return rows.select("*", F.explode(F.flatten(F.array(*(one(*t) for t in terms)))).alias("h")).select("*", "h.*").drop("h")
+    return of_type(el, "paragraph").select("*", F.explode(F.flatten(F.array(*(one(*t) for t in terms)))).alias("h")).select("*", "h.*").drop("h")
 
 
 def soft_gate(el: DataFrame, hits: DataFrame, share: float = 0.005) -> DataFrame:
@@ -111,9 +109,8 @@ def person_references(el: DataFrame) -> DataFrame:
     """(…, sentence, ss, se, s, e, m, kind) of each noun for a reader in the sentences of paragraphs."""
     rows = of_type(el, "paragraph").where(F.col("text").rlike("(?i)" + NOUN))
     cut = F.regexp_replace(F.col("text"), r"(?<=[.!?])\s+(?=[A-Z])", "$0\u0001")
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(F.rtrim(x).alias("t"), acc["at"].alias("s")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<t:string,s:int>>").alias("out"))
-    parts = F.aggregate(F.split(cut, "\u0001"), zero, step, lambda a: a["out"])
+    place = lambda x, at: F.struct(F.rtrim(x).alias("t"), at.alias("s"))
+    parts = T.let(F.split(cut, "\u0001"), lambda ps: F.zip_with(ps, T.starts(F.transform(ps, F.length)), place))
     rows = rows.select("*", F.explode(parts).alias("p")).select("*", F.col("p.t").alias("sentence"), F.col("p.s").alias("ss"))
     rows = rows.select("*", F.explode(T.match_spans(F.col("sentence"), NOUN, True)).alias("x"))
     rows = rows.select("*", F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("m")).drop("p", "x")
@@ -232,11 +229,10 @@ def currency_occurrences(el: DataFrame) -> DataFrame:
     def free(own: Column, *earlier: Column) -> Column:
         return F.filter(own, lambda x: ~F.exists(F.flatten(F.array(*earlier)), lambda y: (x["s"] < y["e"]) & (x["e"] > y["s"])))
 
-    rows = of_type(el, "paragraph", "table_cell").where(F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for _, p in kinds)))
-    rows = rows.select("*", F.array(tagged[0]).alias("a0"))
-    rows = rows.withColumn("a1", free(tagged[1], tagged[0]))
-    rows = rows.withColumn("a2", free(tagged[2], tagged[0], F.col("a1")))
-    rows = rows.select("*", F.explode(F.concat(F.flatten("a0"), "a1", "a2")).alias("x")).select("*", "x.*").drop("a0", "a1", "a2", "x")
+    # amounts need a digit
+    rows = of_type(el, "paragraph", "table_cell").where(F.col("text").rlike(r"\d"))
+    symbols = lambda c: T.let(free(tagged[1], c), lambda s: F.concat(c, s, free(tagged[2], c, s)))
+    rows = rows.select("*", F.explode(T.let(tagged[0], symbols)).alias("x")).select("*", "x.*").drop("x")
     symbol = F.when(F.col("style") != "code", F.upper(F.regexp_extract("m", rf"(?i)^({L.SYMBOLS})", 1)))
     code = F.when(F.col("style") != "symbol", F.upper(F.regexp_extract("m", rf"(?i)({L.CODES})$", 1)))
     return rows.withColumn("symbol", symbol).withColumn("code", code).withColumn("amount", F.trim(F.regexp_replace("m", rf"(?i)^(?:{L.SYMBOLS})|(?:{L.CODES})$", "")))
@@ -321,8 +317,7 @@ def formatting(el: DataFrame) -> DataFrame:
     def hits(kind: str, pattern: str) -> Column:
         return F.transform(T.match_spans(F.col("text"), pattern), lambda x: F.struct(F.lit(kind).alias("rule"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
 
-    rows = el.where(F.col("text").rlike("|".join(f"(?:{p})" for _, p in FORMAT_RULES)))
-    rows = rows.select("*", F.explode(F.flatten(F.array(*(hits(*r) for r in FORMAT_RULES)))).alias("x")).select("*", "x.*").drop("x")
+    rows = el.select("*", F.explode(F.flatten(F.array(*(hits(*r) for r in FORMAT_RULES)))).alias("x")).select("*", "x.*").drop("x")
     prose = F.col("elem_type").isin("paragraph", "heading")
     rows = rows.where(((F.col("rule") != "latin") | prose) & ~((F.col("rule") == "space_before_punct") & F.col("m").contains("..")))
     missing = F.col("rule") == "missing_space"
@@ -374,9 +369,8 @@ def spelling_kind(wrong: Column, right: Column) -> Column:
 
 def brand_mentions(el: DataFrame, brands: list[tuple[str, str]]) -> DataFrame:
     """(…, name, s, e, m) of each brand outside quotes, addresses and URLs. brands: (name, pattern)."""
-    rows = el.where(F.col("text").rlike("|".join(f"(?:{p})" for _, p in brands)))
     one = lambda n, p: F.transform(T.match_spans(F.col("text"), p), lambda x: F.struct(F.lit(n).alias("name"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
-    return outside(rows.select("*", F.explode(F.flatten(F.array(*(one(*b) for b in brands)))).alias("h")).select("*", "h.*").drop("h"))
+    return outside(el.select("*", F.explode(F.flatten(F.array(*(one(*b) for b in brands)))).alias("h")).select("*", "h.*").drop("h"))
 
 
 def norm_key(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slice_text
@@ -24,16 +24,22 @@ def validated(findings: DataFrame, el: DataFrame) -> DataFrame:
 def resolved(checked: DataFrame) -> DataFrame:
     """Each candidate with its status: skipped (invalid), applied, or downgraded with the applied one it overlaps.
 
-    In a document, fixes are taken in the order of start and ordinal unless they overlap one taken before.
+    In a document, fixes are taken in the order of start and ordinal unless they overlap one taken before. Windows cut the
+    fixes where none reaches beyond; only inside these runs of overlapping fixes, which are short, are they taken in turn.
     """
+    order = Window.partitionBy("doc_id").orderBy("start_offset", "ordinal")
+    reach = F.max("end_offset").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = checked.where("valid").select("doc_id", "start_offset", "ordinal", "end_offset", "finding_key")
+    rows = rows.withColumn("new", F.coalesce(F.col("start_offset") >= reach, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(order))
     span = F.struct("start_offset", "ordinal", "end_offset", "finding_key")
-    docs = checked.where("valid").groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("all"))
+    runs = rows.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(span)).alias("all"))
     overlap = lambda x, y: (x["start_offset"] < y["end_offset"]) & (x["end_offset"] > y["start_offset"])
-    taken = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    rows = docs.select("doc_id", taken.alias("taken"), F.explode("all").alias("x"))
+    taken = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    rows = runs.select("doc_id", F.when(F.size("all") == 1, F.col("all")).otherwise(taken).alias("taken"), F.explode("all").alias("x"))
     mine = F.exists("taken", lambda y: y["finding_key"] == F.col("x.finding_key"))
     against = F.get(F.filter("taken", lambda y: overlap(F.col("x"), y)), 0)["finding_key"]
-    judged = rows.select("doc_id", F.col("x.finding_key").alias("finding_key"), F.when(mine, "applied").otherwise("downgraded").alias("status"), F.when(~mine, against).alias("conflicts_with"))
+    status = F.when(mine, "applied").otherwise("downgraded").alias("status")
+    judged = rows.select("doc_id", F.col("x.finding_key").alias("finding_key"), status, F.when(~mine, against).alias("conflicts_with"))
     return checked.join(judged, ["doc_id", "finding_key"], "left").withColumn("status", F.coalesce("status", F.lit("skipped")))
 
 
@@ -74,8 +80,6 @@ def adjust_runs(runs: Column, s: Column, e: Column, fix: Column) -> Column:
 
 def blank_rows(el: DataFrame) -> DataFrame:
     """Elements before which a blank row is due: neither it nor the one before is empty, and they aren't both cells."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("idx")
     rows = el.withColumn("pt", F.lag("text").over(w)).withColumn("pk", F.lag("elem_type").over(w))
     return rows.where("pt IS NOT NULL AND trim(text) <> '' AND trim(pt) <> '' AND NOT (elem_type = 'table_cell' AND pk = 'table_cell')").select("doc_id", "idx")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import article_type, starts
+
 #: Columns of every elements table; runs and fonts are null where a source has none.
 ELEMENT = ("doc_id", "brand", "article_type", "idx", "elem_type", "level", "text", "start_offset", "end_offset")
 
@@ -30,17 +32,15 @@ def line_type(text: Column, idx: Column) -> tuple[Column, Column]:
 
 def from_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", brand: str = "source", kind: str = "lang") -> DataFrame:
     """Elements of plain texts, one line a leaf. Offsets are running lengths inside the row: nothing is shuffled."""
-    lines = F.split(F.col("body"), "\n")
-    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(brand).alias("brand"), F.col(kind).alias("article_type"), F.col(text).alias("body"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x) + 1).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(x.alias("text"), acc["at"].alias("start")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<text:string,start:bigint>>").alias("out"))
-    leaves = base.select("doc_id", "brand", "article_type", F.posexplode(F.aggregate(lines, zero, step, lambda a: a["out"])).alias("idx", "leaf"))
-    leaves = leaves.select("doc_id", "brand", "article_type", F.col("idx").cast("long").alias("idx"), F.col("leaf.text").alias("text"), F.col("leaf.start").alias("start_offset"))
+    base = docs.where(F.col(text).isNotNull())
+    base = base.select(F.col(doc_id).alias("doc_id"), F.col(brand).alias("brand"), F.col(kind).alias("article_type"), F.split(F.col(text), "\n").alias("lines"))
+    at = starts(F.transform("lines", lambda x: F.length(x) + 1))
+    placed = F.zip_with("lines", at, lambda x, s: F.struct(x.alias("text"), s.cast("long").alias("start")))
+    leaves = base.select("doc_id", "brand", "article_type", F.posexplode(placed).alias("idx", "leaf"))
+    leaves = leaves.select("doc_id", "brand", "article_type", F.col("idx").cast("long").alias("idx"), "leaf.text", F.col("leaf.start").alias("start_offset"))
     elem, level = line_type(F.col("text"), F.col("idx"))
-    return leaves.select("doc_id", "brand", "article_type", "idx", elem.alias("elem_type"), level.alias("level"), "text", "start_offset", (F.col("start_offset") + F.length("text")).alias("end_offset"))
+    end = F.col("start_offset") + F.length("text")
+    return leaves.select("doc_id", "brand", "article_type", "idx", elem.alias("elem_type"), level.alias("level"), "text", "start_offset", end.alias("end_offset"))
 
 
 def from_html(pages: DataFrame, doc_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -71,8 +71,6 @@ def corpus_index(spark, path: str) -> DataFrame:
 
 def index_files(spark, folder: str) -> DataFrame:
     """An index of the articles under folder/<brand>/: hidden folders go, the type is inferred from the name."""
-    from ..functions.text import article_type
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(folder).select("path")
     below = F.split(F.substring_index("path", folder.rstrip("/") + "/", -1), "/")
     rows = files.select(F.array_join(below, "/").alias("filepath"), F.element_at(below, 1).alias("brand"), F.element_at(below, -1).alias("name")).where(~F.startswith("brand", F.lit("_")))
