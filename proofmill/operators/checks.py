@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,7 +59,9 @@ def stop_word_hits(el: DataFrame, terms: list[tuple[str, str, str]]) -> DataFram
     Terms are few and fixed, so their patterns are literals: one pass over the leaves, no join.
     """
     one = lambda tier, term, p: F.transform(T.match_spans(F.col("text"), p), lambda x: F.struct(F.lit(tier).alias("tier"), F.lit(term).alias("term"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
-    return of_type(el, "paragraph").select("*", F.explode(F.flatten(F.array(*(one(*t) for t in terms)))).alias("h")).select("*", "h.*").drop("h")
+    # stop words are rare: most leaves are left after one pass of all patterns
+    rows = of_type(el, "paragraph").where(F.col("text").rlike("|".join(f"(?:{p})" for _, _, p in terms)))
+    return rows.select("*", F.explode(F.flatten(F.array(*(one(*t) for t in terms)))).alias("h")).select("*", "h.*").drop("h")
 
 
 def soft_gate(el: DataFrame, hits: DataFrame, share: float = 0.005) -> DataFrame:
@@ -288,21 +291,16 @@ def currency(el: DataFrame, mode: str = "exclusive") -> DataFrame:
 
 
 def missing_space_kind(text: Column, p: Column) -> Column:
-    """What a comma or full stop at p before a letter is: skip, unsure or fix."""
-    low, punct = F.lower(text), F.substring(text, p + 1, F.lit(1))
-    back = lambda n: F.substring(low, F.greatest(p - n, F.lit(0)) + 1, F.least(p, F.lit(n)))
-    after = F.regexp_extract(F.substring(low, p + 2, F.lit(200)), r"^\S+", 0)
-    look = F.substring(low, F.greatest(p - 4, F.lit(0)) + 1, F.least(p, F.lit(4)) + 3)
-    short = F.lit(False)
-    for a in L.SHORT_FORMS:
-        short = short | F.contains(look, F.lit(a))
-    dot = punct == "."
+    """What a comma or full stop at p before a letter is: skip, unsure or fix. Only what is near p is looked at."""
+    near = lambda a, n: F.lower(F.substring(text, F.greatest(p + a, F.lit(0)) + 1, F.least(p, F.lit(-a)) + n))
+    behind = F.regexp_extract(F.lower(F.substring(text, p + 2, F.lit(200))), r"^\S+", 0)
+    domain = behind.rlike("^(" + "|".join(L.DOMAINS) + ")") | behind.isin(L.FILE_TYPES)
+    short = near(-4, 3).rlike("|".join(re.escape(a) for a in L.SHORT_FORMS))
+    dot = F.substring(text, p + 1, F.lit(1)) == "."
     return (
-        F.when(dot & back(1).rlike(r"\d"), "skip")
-        .when(dot & (after.rlike("^(" + "|".join(L.DOMAINS) + ")") | after.isin(L.FILE_TYPES)), "skip")
-        .when(short, "skip")
-        .when(back(20).rlike(r"http|www\."), "skip")
-        .when(F.substring(low, F.greatest(p - 30, F.lit(0)) + 1, F.least(p, F.lit(30)) + 30).contains("@"), "unsure")
+        F.when(dot & (near(-1, 0).rlike(r"\d") | domain), "skip")
+        .when(short | near(-20, 0).rlike(r"http|www\."), "skip")
+        .when(near(-30, 30).contains("@"), "unsure")
         .otherwise("fix")
     )
 
@@ -321,7 +319,9 @@ def formatting(el: DataFrame) -> DataFrame:
     prose = F.col("elem_type").isin("paragraph", "heading")
     rows = rows.where(((F.col("rule") != "latin") | prose) & ~((F.col("rule") == "space_before_punct") & F.col("m").contains("..")))
     missing = F.col("rule") == "missing_space"
-    rows = rows.withColumn("kind", F.when(missing, missing_space_kind(F.col("text"), F.col("s"))).otherwise("fix")).where("kind <> 'skip'")
+    # computed once, by a generator: it is asked for in several of the columns below
+    kind = F.when(missing, missing_space_kind(F.col("text"), F.col("s"))).otherwise("fix")
+    rows = rows.select("*", F.explode(F.array(kind)).alias("kind")).where("kind <> 'skip'")
     word = F.element_at(F.create_map(*(F.lit(x) for kv in L.LATIN.items() for x in kv)), F.lower("m"))
     rule = F.col("rule")
     fix = (
@@ -377,13 +377,28 @@ def norm_key(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[ -]", "")
 
 
+def same_brand(name: Column, brand: str | None) -> Column:
+    return norm_key(name) == (brand or "").lower().replace(" ", "").replace("-", "")
+
+
+def with_dominant(mentions: DataFrame, own: str | None = None, least: int = 5) -> DataFrame:
+    """Adds dominant (name, n, second) to each mention: its document's leading operator, if it isn't own and leads clearly.
+
+    Clearly: least mentions, and twice the next one's or ten more. Of operators with as many mentions the first one leads.
+    """
+    by_name, by_doc = Window.partitionBy("doc_id", "name"), Window.partitionBy("doc_id")
+    one = F.struct((-F.count("*").over(by_name)).alias("less"), F.min(at("s")).over(by_name).alias("first"), F.col("name"))
+    rows = mentions.withColumn("one", F.when(F.col("name").isNotNull(), one)).withColumn("all", F.array_sort(F.collect_set("one").over(by_doc)))
+    top, second = F.get("all", 0), F.coalesce(-F.get("all", 1)["less"], F.lit(0))
+    n = -top["less"]
+    clear = (n >= least) & ((n >= 2 * second) | (n - second >= 10)) & ~same_brand(top["name"], own)
+    return rows.withColumn("dominant", F.when(clear, F.struct(top["name"].alias("name"), n.alias("n"), second.alias("second")))).drop("one", "all")
+
+
 def dominant_operator(el: DataFrame, operators: list[str], own: str | None = None, least: int = 5) -> DataFrame:
-    """(doc_id, name, n, second): an operator other than own with least mentions, and twice the next one's or ten more."""
-    found = brand_mentions(el, [(o, operator_pattern(o)) for o in operators])
-    n = found.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min(at("s")).alias("first"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first", "name")
-    top = n.withColumn("r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("n").over(w), F.lit(0))).where("r = 1")
-    return top.where((F.col("n") >= least) & ((F.col("n") >= 2 * F.col("second")) | (F.col("n") - F.col("second") >= 10)) & (norm_key(F.col("name")) != (own or "").lower().replace(" ", "").replace("-", ""))).select("doc_id", "name", "n", "second")
+    """(doc_id, name, n, second) of the documents with a dominant operator."""
+    found = with_dominant(brand_mentions(el, [(o, operator_pattern(o)) for o in operators]), own, least)
+    return found.where("dominant IS NOT NULL").select("doc_id", "dominant.*").distinct()
 
 
 def canonical_forms(el: DataFrame, canonical: str) -> DataFrame:
@@ -393,21 +408,23 @@ def canonical_forms(el: DataFrame, canonical: str) -> DataFrame:
 
 @check("brand_names")
 def brand_names(el: DataFrame, canonical: str, operators: list[str], mapping: dict[str, str] | None = None, dominance: float = 1.0, threshold: float = 0.85) -> DataFrame:
-    own = brand_mentions(el, [(canonical, brand_pattern(canonical))]).where(F.col("m") != canonical)
+    """Own and other brands, found in one scan of the leaves."""
+    names = [("", brand_pattern(canonical)), *((o, operator_pattern(o)) for o in operators)]
+    every = brand_mentions(el, names)
     right = F.lit(canonical)
     if mapping:
         right = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv)), F.col("m")), right)
-    out = make(own.withColumn("right", right).where("m <> right"), "brand_names", "own_brand", "brand", "warning", 0.95, at("s"), at("e"), F.col("m"), F.col("right"), "the brand's own form", dominance >= threshold)
-    key = lambda s: s.lower().replace(" ", "").replace("-", "")
-    others = [o for o in operators if key(o) != key(canonical)]
-    if not others:
-        return out
-    rival = brand_mentions(el, [(o, operator_pattern(o)) for o in others])
+    other = F.col("name") != ""
+    # the own brand's form takes no part in the operators' count
+    rows = with_dominant(every.withColumn("rival", F.when(other, F.col("name"))).withColumn("name", F.col("rival")), canonical) if operators else every.withColumn("rival", F.lit(None).cast("string"))
     before = F.lower(F.substring("text", F.greatest(F.col("s") - 15, F.lit(0)) + 1, F.least(F.col("s"), F.lit(15))))
     common = F.lower("m").isin(L.AMBIGUOUS_OPERATORS) & (~F.col("m").rlike("^[A-Z]") | before.rlike("(" + "|".join(L.COMMON_PREFIXES) + ")$"))
-    guarded = dominant_operator(el, operators, canonical).select("doc_id", "name")
-    rival = rival.where(~common).join(guarded, ["doc_id", "name"], "left_anti")
-    return out.unionByName(make(rival, "brand_names", "competitor", "brand", "warning", 0.8, at("s"), at("e"), F.col("m"), None, F.concat(F.lit("another operator: "), "name"), False))
+    own = F.col("rival").isNull() & (F.col("m") != canonical) & (F.col("m") != right)
+    rules = [(own, "own_brand", "brand", "warning", 0.95, at("s"), at("e"), F.col("m"), right, "the brand's own form", dominance >= threshold)]
+    if operators:
+        rival = F.col("rival").isNotNull() & ~same_brand(F.col("rival"), canonical) & ~common & ~F.coalesce(F.col("dominant.name") == F.col("rival"), F.lit(False))
+        rules.append((rival, "competitor", "brand", "warning", 0.8, at("s"), at("e"), F.col("m"), F.lit(None), F.concat(F.lit("another operator: "), F.coalesce("rival", F.lit(""))), False))
+    return make_each(rows, "brand_names", rules)
 
 
 # --- numeric consistency ---

@@ -11,6 +11,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import briefs, briefs_checks, checks, document, edits, findings, persist, profile, reports, standards
 from ..sources import config, corpus
+from ..sources.tables import stored
 from .articles import EL, HARD, SOFT, elements, spans_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,6 +334,8 @@ def claim_pairs(spark, sf_dir, el):
 
 
 def all_findings(spark, el: DataFrame) -> DataFrame:
+    """Every check over elements that are built once."""
+    el = stored(el, "elements")
     parts = [checks.stop_words(el, TERMS), checks.voice(el), checks.headings(el), checks.currency(el), checks.formatting(el), checks.locale_spelling(el, "american"), checks.brand_names(el, "MoonHarbor", OPERATORS), briefs_checks.structure(el)]
     return findings.union(parts)
 
@@ -354,8 +357,10 @@ def findings_by_label(spark, sf_dir, el):
     return labels.join(n, "doc_id", "left").groupBy("quality").agg(F.count("*").alias("docs"), F.sum("n").alias("findings"))
 
 
-def fixes(el: DataFrame) -> DataFrame:
-    return findings.union([checks.formatting(el), checks.brand_names(el, "MoonHarbor", [])])
+def fixes(el: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements and the findings of two checks over them, each computed once."""
+    el = stored(el, "elements")
+    return el, stored(findings.union([checks.formatting(el), checks.brand_names(el, "MoonHarbor", [])]), "findings")
 
 
 EDIT = EL + "," + spans_sql("d", "  +") + ", c AS (SELECT doc_id, idx, count(*) AS n, sum(length(m) - 1) AS less FROM d GROUP BY 1, 2)"
@@ -363,8 +368,9 @@ EDIT = EL + "," + spans_sql("d", "  +") + ", c AS (SELECT doc_id, idx, count(*)
 
 @query(EDIT + "SELECT doc_id, CAST(sum(n) AS BIGINT) AS applied, CAST(sum(less) AS BIGINT) AS shorter FROM c GROUP BY 1")
 def edits_applied(spark, sf_dir, el):
+    el = stored(el, "elements")
     found = findings.union([checks.formatting(el).where("sub_check = 'double_space'")])
-    judged = edits.resolved(edits.validated(found, el))
+    judged = stored(edits.resolved(edits.validated(found, el)), "edits")
     chars = lambda df, c: df.groupBy("doc_id").agg(F.sum(F.length("text")).alias(c))
     n = judged.where("status = 'applied'").groupBy("doc_id").agg(F.count("*").alias("applied"))
     return n.join(chars(el, "a"), "doc_id").join(chars(edits.applied(el, judged), "b"), "doc_id").select("doc_id", "applied", (F.col("a") - F.col("b")).alias("shorter"))
@@ -372,18 +378,19 @@ def edits_applied(spark, sf_dir, el):
 
 @query()
 def edits_resolved(spark, sf_dir, el):
-    return edits.resolved(edits.validated(fixes(el), el)).groupBy("doc_id", "status").agg(F.count("*").alias("n"))
+    el, found = fixes(el)
+    return edits.resolved(edits.validated(found, el)).groupBy("doc_id", "status").agg(F.count("*").alias("n"))
 
 
 @query()
 def comments(spark, sf_dir, el):
-    found = fixes(el)
+    el, found = fixes(el)
     return reports.comments(el, found, edits.resolved(edits.validated(found, el))).select("doc_id", "no", "batch", "section", "location", "issue", "severity", "check_name")
 
 
 @query()
 def run_summary(spark, sf_dir, el):
-    found = fixes(el)
+    el, found = fixes(el)
     return reports.run_summary(found, edits.resolved(edits.validated(found, el)))
 
 
@@ -555,12 +562,12 @@ def findings_json(spark, sf_dir, el):
 
 @query()
 def findings_report(spark, sf_dir, el):
-    return persist.findings_report(fixes(el))
+    return persist.findings_report(fixes(el)[1])
 
 
 @query()
 def comment_counts(spark, sf_dir, el):
-    found = fixes(el)
+    el, found = fixes(el)
     return persist.comment_counts(reports.comments(el, found, edits.resolved(edits.validated(found, el))))
 
 

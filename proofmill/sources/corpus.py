@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import article_type, starts
+from ..functions.text import article_type, let, starts
 
 #: Columns of every elements table; runs and fonts are null where a source has none.
 ELEMENT = ("doc_id", "brand", "article_type", "idx", "elem_type", "level", "text", "start_offset", "end_offset")
@@ -32,11 +32,11 @@ def line_type(text: Column, idx: Column) -> tuple[Column, Column]:
 
 def from_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", brand: str = "source", kind: str = "lang") -> DataFrame:
     """Elements of plain texts, one line a leaf. Offsets are running lengths inside the row: nothing is shuffled."""
+    at = lambda lines: starts(F.transform(lines, lambda x: F.length(x) + 1))
+    leaf = lambda x, s: F.struct(x.alias("text"), s.cast("long").alias("start"))
+    placed = let(F.split(F.col(text), "\n"), lambda lines: F.zip_with(lines, at(lines), leaf))
     base = docs.where(F.col(text).isNotNull())
-    base = base.select(F.col(doc_id).alias("doc_id"), F.col(brand).alias("brand"), F.col(kind).alias("article_type"), F.split(F.col(text), "\n").alias("lines"))
-    at = starts(F.transform("lines", lambda x: F.length(x) + 1))
-    placed = F.zip_with("lines", at, lambda x, s: F.struct(x.alias("text"), s.cast("long").alias("start")))
-    leaves = base.select("doc_id", "brand", "article_type", F.posexplode(placed).alias("idx", "leaf"))
+    leaves = base.select(F.col(doc_id).alias("doc_id"), F.col(brand).alias("brand"), F.col(kind).alias("article_type"), F.posexplode(placed).alias("idx", "leaf"))
     leaves = leaves.select("doc_id", "brand", "article_type", F.col("idx").cast("long").alias("idx"), "leaf.text", F.col("leaf.start").alias("start_offset"))
     elem, level = line_type(F.col("text"), F.col("idx"))
     end = F.col("start_offset") + F.length("text")
