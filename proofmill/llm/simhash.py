@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, record, stored
+from .common import SHARE, as_bytes, batches, record, split_join, stored
 from .graph import components
 
-RADIUS = 3
+RADIUS, CROWD = 3, 4096
 #: First bit and width of each block.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SPREAD = np.uint64(0x0101010101010101)
@@ -195,24 +195,46 @@ def link_buckets(it):
         yield flush()
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints of column fp that join all within RADIUS bits, directly or not."""
+def rest_of(fp, x: int, y: int):
+    """The bits of fp outside blocks x and y, moved together: 39 at most."""
+    out, at = F.lit(0).cast("long"), 0
+    for k, (lo, n) in enumerate(BLOCKS):
+        if k not in (x, y):
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, lo).bitwiseAND((1 << n) - 1), at))
+            at += n
+    return out
+
+
+def fingerprint_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links between distinct fingerprints of column fp that join all within RADIUS bits, directly or not.
+
+    Buckets of over crowd fingerprints that also have over a SHARE-th of all bucket rows (so at most SHARE of them) are cut
+    again: two of their fingerprints agree in one of four parts of the 39 bits outside the bucket's blocks.
+    """
     part = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << n) - 1) for lo, n in BLOCKS]
-    keys = [F.lit(i << 32).bitwiseOR(F.shiftleft(part[x], 13).bitwiseOR(part[y])) for i, (x, y) in enumerate(combinations(range(5), 2))]
-    buckets = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    return buckets.mapInArrow(link_buckets, "a long, b long")
+    pairs = list(combinations(range(5), 2))
+    keys = [F.lit(i << 32).bitwiseOR(F.shiftleft(part[x], 13).bitwiseOR(part[y])) for i, (x, y) in enumerate(pairs)]
+    buckets = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    total = 10 * distinct.count()
+    hot = stored(buckets.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > crowd) & (F.col("n") * SHARE > total)).select("key"), "crowded")
+    rest = F.get(F.array(*(rest_of(F.col("fp"), x, y) for x, y in pairs)), F.shiftrightunsigned("key", 32).cast("int"))
+    fine = F.explode(F.array(*(F.xxhash64("key", F.lit(j), F.shiftrightunsigned(rest, 10 * j).bitwiseAND(1023)) for j in range(4))))
+    cut = buckets.join(F.broadcast(hot), "key").select(fine.alias("key"), "fp")
+    dealt = buckets.join(F.broadcast(hot), "key", "left_anti").unionByName(cut).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(link_buckets, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the smallest id reachable through fingerprints that differ in 3 bits or fewer.
 
-    Null and empty texts have fingerprint zero and link with each other; repeated ids keep all their rows.
+    Null and empty texts have fingerprint zero and link with each other; repeated ids keep all their rows. The rows of a
+    fingerprint that very many share stay where they are when components are told to them.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    label = components(fingerprint_links(distinct))
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    label = components(fingerprint_links(distinct.select("fp")))
     low = label.join(distinct, label.node == distinct.fp).select("label", "node", "least")
     least = low.groupBy("label").agg(F.min("least").alias("component"))
     joined = low.join(least, "label").select(F.col("node").alias("fp"), "component")
-    by_fp = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return prints.join(by_fp, "fp").select("id", "fp", "component")
+    by_fp = stored(distinct.join(joined, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component")), "components")
+    return split_join(prints, by_fp, ["fp"]).select("id", "fp", "component")

@@ -4,13 +4,13 @@ Matching is done by compressed full-text indexes, one per shard of text: backwar
 sequence, how far matches in smaller documents reach, and intervals of width words or more are reported.
 
 So that no document meets text it cannot share, windows are routed first. Each window's anchor is the smallest hash of
-its GRAM-word grams; equal windows have equal anchors. Runs of windows with one anchor are sequences of width to
-width + RUN - 1 words. Anchors seen in one document only drop out; equal sequences collapse to their smallest document
-before any text moves; a shard is a set of anchors with the sequences of all their documents.
+its gram-word grams; equal windows have equal anchors. Runs of windows with one anchor are sequences of width to
+width + RUN - 1 words. Anchors seen in one document only drop out; equal sequences, compared by two 64-bit hashes, collapse
+to their smallest document before any text moves; a shard is a set of anchors with the sequences of all their documents.
 
-Words are compared by 64-bit hashes. An anchor with more than HOT distinct sequences (a passage in very many documents, with
-other text around it) would fill a shard by itself: its sequences are cut into single windows, which meet by the hash of
-the whole window and collapse to their smallest document in a partial aggregate, so no task holds the group.
+An anchor with more than HOT distinct sequences (a phrase in very many documents, with other text around it) would fill a
+shard by itself. Its sequences get new anchors from longer grams, last from whole windows, and go through the same steps and
+indexes: with a window for its anchor, an anchor has few sequences. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Words, record, stored
+from .common import MAX_WORDS, Words, record, split_join, stored
 from .fmindex import FMIndex, repeated_windows
 
 WIDTH, GRAM, RUN, HOT = 50, 12, 64, 2000
 SHARD_WORDS = 1_000_000
-BASE = 0x9E3779B97F4A7C15
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class Hashes:
@@ -56,33 +56,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
-    def __init__(self) -> None:
-        self.n = 0
+    def __init__(self, base: int) -> None:
+        self.base, self.n = base, 0
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
             self.n = 2 * n
-            inverse = pow(BASE, -1, 1 << 64)
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.n, b, np.uint64))]) for b in (BASE, inverse))
+            inverse = pow(self.base, -1, 1 << 64)
+            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.n, b, np.uint64))]) for b in (self.base, inverse))
         return self.up, self.down
 
-
-def window_hashes(h: np.ndarray, powers: Powers, width: int) -> np.ndarray:
-    up, down = powers.upto(len(h) + 1)
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
-    at = np.arange(len(h) - width + 1)
-    return mixed((prefix[at + width] - prefix[at]) * down[at])
+    def parts(self, h: np.ndarray):
+        """A function that gives the hash of the size words at each place."""
+        up, down = self.upto(len(h) + 1)
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+        return lambda a, size: mixed((prefix[a + size] - prefix[a]) * down[a])
 
 
-def anchors(h: np.ndarray, powers: Powers, width: int, gram: int, run: int) -> tuple[np.ndarray, ...]:
-    """(anchor, sequence hash, first window, windows) for the runs of one document's word hashes."""
+def anchors(h: np.ndarray, powers: tuple[Powers, Powers], width: int, gram: int, run: int) -> tuple[np.ndarray, ...]:
+    """(anchor, two hashes of the sequence, first window, windows) for the runs of one document's word hashes."""
     n = len(h) - width + 1
     if n <= 0:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-    up, down = powers.upto(len(h) + 1)
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
-    part = lambda a, size: (prefix[a + size] - prefix[a]) * down[a]
-    low, span, want = mixed(part(np.arange(len(h) - gram + 1), gram)), 1, width - gram + 1
+        return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 2
+    part, other = (p.parts(h) for p in powers)
+    low, span, want = part(np.arange(len(h) - gram + 1), gram), 1, width - gram + 1
     while 2 * span <= want:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
@@ -93,81 +90,96 @@ def anchors(h: np.ndarray, powers: Powers, width: int, gram: int, run: int) -> t
     cuts = -(-size // run)
     first = np.repeat(start, cuts) + run * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
     count = np.diff(np.append(first, n))
-    return low[first], mixed(part(first, count + width - 1) + count.astype(np.uint64)), first, count
+    return low[first], part(first, count + width - 1) + count.astype(np.uint64), other(first, count + width - 1), first, count
+
+
+RUNS = "anchor long, seq long, other long, id long, t long, x int, w int"
+RUN_SCHEMA = pa.schema([("anchor", pa.int64()), ("seq", pa.int64()), ("other", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("x", pa.int32()), ("w", pa.int32())])
+SEQUENCE = ["anchor", "seq", "other"]
 
 
 def duplicate_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, gram: int = GRAM, run: int = RUN, hot: int = HOT) -> DataFrame:
     """(id, t, spans): for each text with repeated windows, the word spans [lo, hi) that they cover. t is the text's hash."""
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    found = pa.schema([("anchor", pa.int64()), ("seq", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("x", pa.int32()), ("n", pa.int32())])
 
     def scan(it):
-        hashes, powers = Hashes(), Powers()
+        hashes, powers = Hashes(), (Powers(BASE), Powers(OTHER))
         for b in it:
             cols, sizes = [], []
             for h in hashes.of(b.column(2).to_pylist()):
                 cols.append(anchors(h, powers, width, gram, run))
                 sizes.append(len(cols[-1][0]))
             if cols:
-                a, s, x, n = (np.concatenate(c) for c in zip(*cols))
-                yield record(found, a.view(np.int64), s.view(np.int64), *(np.repeat(b.column(i).to_numpy(), sizes) for i in (0, 1)), x.astype(np.int32), n.astype(np.int32))
+                a, s, o, x, w = (np.concatenate(c) for c in zip(*cols))
+                ids = (np.repeat(b.column(i).to_numpy(), sizes) for i in (0, 1))
+                yield record(RUN_SCHEMA, a.view(np.int64), s.view(np.int64), o.view(np.int64), *ids, x.astype(np.int32), w.astype(np.int32))
+
+    every, spans = stored(rows.mapInArrow(scan, RUNS), "anchors"), None
+    for longer in ((gram + width) // 2, width, None):
+        found, crowded = matches(every, rows, width, run, hot, longer)
+        spans = found if spans is None else spans.union(found)
+        if longer is None or crowded.isEmpty():
+            break
+        every = crowded
+    return spans.groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+
 
-    every = stored(rows.mapInArrow(scan, "anchor long, seq long, id long, t long, x int, n int"), "anchors")
-    shared = every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    every = stored(every.join(shared, "anchor", "left_semi"), "shared")
-    first = every.groupBy("anchor", "seq").agg(F.min(F.struct("id", "t", "x", "n")).alias("f")).select("anchor", "seq", "f.*")
+def matches(every: DataFrame, rows: DataFrame, width: int, run: int, hot: int, longer: int | None) -> tuple[DataFrame, DataFrame]:
+    """Spans (id, t, lo, hi) of repeated windows among the given runs, and the runs of crowded anchors by grams of longer words."""
+    shared = every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
+    every = stored(split_join(every, stored(shared, "heads"), ["anchor"]), "shared")
+    first = every.groupBy(*SEQUENCE).agg(F.min(F.struct("id", "t", "x", "w")).alias("f"), F.count("*").alias("n")).select(*SEQUENCE, "f.*", "n")
     first = stored(first, "first")
-    crowded = first.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("anchor", F.lit(True).alias("hot"))
-    runs = first.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = runs.groupBy("id", "t").agg(F.collect_list(F.struct("anchor", "seq", "x", "n", "hot")).alias("runs"))
+    runs = first.drop("n").withColumn("hot", F.lit(False))
+    if longer:
+        crowded = first.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("anchor", F.lit(True).alias("hot"))
+        runs = runs.drop("hot").join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = runs.groupBy("id", "t").agg(F.collect_list(F.struct(*SEQUENCE, "x", "w", "hot")).alias("runs"))
     # one row for each (id, t), should the table repeat rows
     held = rows.join(wanted, ["id", "t"]).select("id", "t", "text", "runs").dropDuplicates(["id", "t"])
-    sequences = pa.schema([("anchor", pa.int64()), ("seq", pa.int64()), ("id", pa.int64()), ("w", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([*RUN_SCHEMA, ("words", pa.binary())])
 
     def cut(it):
-        """Sequences with their words; single windows of crowded anchors with their hash in the anchor's place."""
-        hashes, powers = Hashes(), Powers()
+        """Sequences with their words; those of crowded anchors as runs of other anchors, without words."""
+        hashes, powers = Hashes(), (Powers(BASE), Powers(OTHER))
         for b in it:
-            for i, h, runs in zip(b.column(0).to_pylist(), hashes.of(b.column(2).to_pylist()), b.column(3).to_pylist()):
+            for i, t, h, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), hashes.of(b.column(2).to_pylist()), b.column(3).to_pylist()):
                 parts = []
                 for r in runs:
-                    own = h[r["x"] : r["x"] + r["n"] + width - 1]
+                    own = h[r["x"] : r["x"] + r["w"] + width - 1]
                     if r["hot"]:
-                        parts += [(k, r["seq"], i, w, None) for w, k in enumerate(window_hashes(own, powers, width).view(np.int64).tolist())]
+                        a, s, o, x, w = anchors(own, powers, width, longer, run)
+                        parts += [(*p, None) for p in zip(*(c.view(np.int64).tolist() for c in (a, s, o)), [i] * len(a), [t] * len(a), (x + r["x"]).tolist(), w.tolist())]
                     else:
-                        parts.append((r["anchor"], r["seq"], i, -1, own.tobytes()))
+                        parts.append((r["anchor"], r["seq"], r["other"], i, t, r["x"], r["w"], own.tobytes()))
                 for lo in range(0, len(parts), 20_000):
-                    yield record(sequences, *zip(*parts[lo : lo + 20_000]))
-
-    parts = stored(held.mapInArrow(cut, "anchor long, seq long, id long, w int, words binary"), "sequences")
-    dealt = parts.where("w < 0").repartition("anchor").sortWithinPartitions("anchor")
-    hits = stored(dealt.mapInArrow(lambda it: search(it, width), "seq long, first int, last int, own long"), "hits")
-    single = parts.where("w >= 0").select(F.col("anchor").alias("window"), "seq", "id", "w")
-    least = single.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
-    hits = hits.unionByName(single.join(least, "window").where("id > least").select("seq", F.col("w").alias("first"), F.col("w").alias("last"), F.col("id").alias("own")))
+                    yield record(schema, *zip(*parts[lo : lo + 20_000]))
+
+    parts = stored(held.mapInArrow(cut, RUNS + ", words binary"), "sequences")
+    dealt = parts.where("words is not null").select(*SEQUENCE, "id", "words").repartition("anchor").sortWithinPartitions("anchor")
+    hits = stored(dealt.mapInArrow(lambda it: search(it, width), "seq long, other long, first int, last int, id long"), "hits")
     # a later document has every window of its sequence in the first one; the first has what the index reports
-    later = every.join(first.select("anchor", "seq", F.col("id").alias("own")), ["anchor", "seq"]).where("id > own")
-    spans = later.select("id", "t", F.col("x").alias("lo"), (F.col("x") + F.col("n") + (width - 1)).alias("hi"))
-    own = every.join(hits.withColumnRenamed("own", "id"), ["seq", "id"])
-    spans = spans.union(own.select("id", "t", F.col("x") + F.col("first"), F.col("x") + F.col("last") + width))
-    return spans.groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    later = split_join(every, first.select(*SEQUENCE, F.col("id").alias("own"), "n"), SEQUENCE).where("id > own")
+    spans = later.select("id", "t", F.col("x").alias("lo"), (F.col("x") + F.col("w") + (width - 1)).alias("hi"))
+    own = every.join(hits, ["seq", "other", "id"]).select("id", "t", F.col("x") + F.col("first"), F.col("x") + F.col("last") + width)
+    return spans.union(own), parts.where("words is null").drop("words")
 
 
 def search(it, width: int):
     """Builds an index over each shard of sequences, sorted by anchor, and streams the same sequences through it."""
-    schema = pa.schema([("seq", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("own", pa.int64())])
+    schema = pa.schema([("seq", pa.int64()), ("other", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("id", pa.int64())])
 
     def shard(held):
-        anchor, seq, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
-        words = [w for h in held for w in h[3]]
+        anchor, seq, other, ids = (np.concatenate([h[k] for h in held]) for k in range(4))
+        words = [w for h in held for w in h[4]]
         size = np.array([len(w) // 8 for w in words])
         # sequences alone with their anchor share nothing
         start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         many = np.diff(np.append(start, len(anchor))) > 1
         keep = np.flatnonzero(np.repeat(many, np.diff(np.append(start, len(anchor)))))
         if not len(keep):
-            return record(schema, *[[]] * 4)
+            return record(schema, *[[]] * 5)
         codes = np.unique(np.frombuffer(b"".join(words[i] for i in keep), np.uint64), return_inverse=True)[1] + 1
         size = size[keep]
         base = np.cumsum(size) - size
@@ -175,13 +187,13 @@ def search(it, width: int):
         index = FMIndex([codes[b : b + s] for b, s in zip(base, size)], doc.astype(np.int32), 1 << (width - 1).bit_length())
         hits = repeated_windows(index, codes, base, size, doc, width)
         at = keep[[i for i, _, _ in hits]] if hits else np.zeros(0, np.int64)
-        return record(schema, seq[at], [a for _, a, _ in hits], [b for _, _, b in hits], ids[at])
+        return record(schema, seq[at], other[at], [a for _, a, _ in hits], [b for _, _, b in hits], ids[at])
 
     held, words = [], 0
     for b in it:
         if not b.num_rows:
             continue
-        cols = [b.column(k).to_numpy() for k in range(3)] + [b.column(4).to_pylist()]
+        cols = [b.column(k).to_numpy() for k in range(4)] + [b.column(4).to_pylist()]
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
         if words >= SHARD_WORDS and (cut or held[-1][0][-1] != cols[0][0]):
             if cut:
@@ -190,7 +202,7 @@ def search(it, width: int):
             yield shard(held)
             held, words = [], 0
         held.append(cols)
-        words += sum(map(len, cols[3])) // 8
+        words += sum(map(len, cols[4])) // 8
     if held:
         yield shard(held)
 

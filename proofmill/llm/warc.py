@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, record, stored
+from .common import new_path, record, split_join, stored
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 32 << 20, 3
 SKIPPABLE, INDEX, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -126,8 +126,9 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, sha, refers_to) of the rows that are revisits. pages has page_id and html as bytes."""
     rows = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least)).select("page_id", F.unhex(F.sha1("html")).alias("sha"))
     rows = stored(rows, "digests")
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
-    return rows.join(first, "sha").where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
+    first = rows.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count("*").alias("n")).where("refers_to < last")
+    found = split_join(rows, stored(first.select("sha", "refers_to", "n"), "responses"), ["sha"])
+    return found.where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> tuple[str, DataFrame]:

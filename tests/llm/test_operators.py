@@ -192,7 +192,7 @@ def test_substrings_of_few_words(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(list("abc"), int(n)))) for i, n in enumerate(rng.integers(0, 400, 60))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (2000, 0):
+    for hot in (2000, 40, 0):  # whatever number of sequences makes an anchor crowded
         found = {r.id: (r.n_words, r.n_removed, r.words_sha256) for r in substring.deduplicate(docs, hot=hot).collect()}
         assert found == brute_windows(rows, 50)
 
@@ -542,3 +542,32 @@ def test_split_join_equals_join(spark):
     for how in ("inner", "left"):
         found = sorted(map(tuple, split_join(rows, table, ["k"], how).select("k", "x", "y").collect()), key=str)
         assert found == sorted(map(tuple, rows.join(table, "k", how).select("k", "x", "y").collect()), key=str)
+
+
+def test_smallest_over_ranges_of_all_widths():
+    rng = np.random.default_rng(12)
+    seqs = [rng.integers(1, 50, 37) for _ in range(40)]
+    index = fmindex.FMIndex(seqs, rng.permutation(40).astype(np.int32), 8)
+    low = rng.integers(0, index.n, 3000)
+    high = np.minimum(low + rng.integers(1, 900, 3000), index.n)
+    assert index.smallest(low, high).tolist() == [index.owner[a:b].min() for a, b in zip(low, high)]
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 3)
+    fps = sorted({int(base[k % 3]) ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 5)), False)) for k in range(300)})
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+    sets = []
+    for crowd in (2, 4096):
+        top = {f: f for f in fps}
+        find = lambda x: x if top[x] == x else find(top[x])
+        for r in simhash.fingerprint_links(distinct, crowd=crowd).collect():
+            top[find(r.a)] = find(r.b)
+        sets.append(frozenset(frozenset(g for g in fps if find(g) == find(f)) for f in fps))
+    top = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 3:
+                top[find(a)] = find(b)
+    assert sets[0] == sets[1] == frozenset(frozenset(g for g in fps if find(g) == find(f)) for f in fps)
