@@ -346,7 +346,7 @@ def test_op2_equals_brute_force(spark):
     base = rng.standard_normal((40, 16))
     rows = [base + s * rng.standard_normal(base.shape) for s in (0, 0.01, 0.05, 0.08)]
     v = np.concatenate([*rows, base[:5]])
-    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] + [1.0] * 15), (904, [1.0, 2.0]), (905, [])]
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] + [1.0] * 15), (904, [1.0, 2.0]), (905, []), (None, base[0].tolist())]
     found = {r.id: r for r in pivots.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
     n = v / np.linalg.norm(v, axis=1, keepdims=True)
     near = n @ n.T >= 0.95
@@ -366,6 +366,48 @@ def test_lists_are_dealt_in_blocks(spark, monkeypatch):
     assert pivots.near_duplicates(rows.where("false")).count() == 0
 
 
+def test_recall_just_above_the_threshold(spark):
+    """20,000 vectors; each of 4,000 has a partner at a cosine of 0.95 to 0.97, in clusters and alone."""
+    rng = np.random.default_rng(15)
+    centre = rng.standard_normal((200, 48))
+    base = centre[rng.integers(0, 200, 16_000)] + 1.2 * rng.standard_normal((16_000, 48))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(base)
+    c = rng.uniform(0.9501, 0.97, (4000, 1))
+    side = rng.standard_normal((4000, 48))
+    side = unit(side - (side * base[:4000]).sum(1, keepdims=True) * base[:4000])
+    v = np.concatenate([base, c * base[:4000] + np.sqrt(1 - c * c) * side])
+    near = [np.flatnonzero(row >= 0.95) for k in range(0, len(v), 2000) for row in v[k : k + 2000] @ v.T]
+    want = np.array([len(x) - 1 for x in near])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = np.zeros(len(v))
+    for r in pivots.near_duplicates(df).collect():
+        got[r.id] = r.n_links
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum() and want.sum() >= 8000
+
+
+def test_vectors_of_several_lengths_and_ids_that_repeat(spark):
+    rng = np.random.default_rng(16)
+    long, short = rng.standard_normal((200, 12)), rng.standard_normal((5, 3))
+    data = [(i, x.tolist(), i) for i, x in enumerate(long)] + [(300 + i, x.tolist(), i) for i, x in enumerate([*short, *short * 2])] + [(500, [1.0] * 20, 0), (501, [1.0] * 20, 0), (501, [-1.0, 1.0], 0), (500, [-1.0, 1.0], 0)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>, n long")
+    found = {}
+    for r in pivots.near_duplicates(rows).collect():
+        found.setdefault(r.id, []).append((r.n_links, r.component))
+    for i in range(5):
+        assert found[300 + i] == [(1, 300 + i)] and found[305 + i] == [(1, 300 + i)]
+    assert found[500] == found[501] == [(1, 500), (1, 500)]
+
+
+def test_permutations_are_ordered():
+    rng = np.random.default_rng(17)
+    v, p = pivots.normal(rng.standard_normal((50, 6))), pivots.normal(rng.standard_normal((30, 6)))
+    found = pivots.permutations(v, p)
+    assert (found == np.argsort(-(v @ p.T), axis=1, kind="stable")[:, : pivots.NEAREST]).all()
+    brute = [[len(set(a) & set(b)) for b in found] for a in found[:10]]
+    assert (pivots.shared_counts(found[:10], found) == brute).all()
+
+
 # --- 3, 8, 10: trained classifiers ---
 
 
