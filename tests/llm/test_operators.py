@@ -253,9 +253,8 @@ def test_op7_equals_brute_force_and_join_path(spark):
                 j = sum((a & b).values()) / max(1, sum((a | b).values()))
                 if j >= 0.8 and j > want.get((i, k), (0, 0))[0]:
                     want[i, k] = (j, s)
-    for literals in (50_000, 0):
-        found = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontam.matches(docs, bench, max_literals=literals).collect()}
-        assert found == want
+    found = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontam.matches(docs, bench).collect()}
+    assert found == want
     assert decontam.matches(docs.where("false"), bench).count() == 0
     assert decontam.matches(docs, bench.where("false")).count() == 0
 
@@ -264,9 +263,35 @@ def test_op7_finds_items_with_parts_swapped(spark):
     a, b, other = ([f"{x}{i}" for i in range(50)] for x in "abo")
     docs = spark.createDataFrame([(1, " ".join(other + b + a + other)), (2, " ".join(other + a + b)), (3, " ".join(b + other + a))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(a + b))], "item_id long, text string")
-    for literals in (50_000, 0):
-        found = {r.doc_id: (r.similarity, r.start) for r in decontam.matches(docs, bench, max_literals=literals).collect()}
-        assert found == {1: (92 / 100, 50), 2: (1.0, 50)}
+    found = {r.doc_id: (r.similarity, r.start) for r in decontam.matches(docs, bench).collect()}
+    assert found == {1: (92 / 100, 50), 2: (1.0, 50)}
+
+
+def test_op7_with_many_items_and_odd_rows(spark, odd):
+    """10,000 items of two sizes: each planted one is found, in rows that repeat and in long texts too; clashing columns don't matter."""
+    rng = np.random.default_rng(20)
+    items = [[f"i{k}x{j}" for j in range(30 + k % 2)] for k in range(10_000)]
+    bench = spark.createDataFrame([(k, " ".join(w), "x", 0) for k, w in enumerate(items)], "item_id long, text string, doc_id string, n int")
+    some = rng.choice(10_000, 30, False)
+    rows = [(int(k) + 100, " ".join([f"a{j}" for j in range(5000 if k % 7 == 0 else 20)] + items[k] + ["z"] * 9), 1, "q") for k in some]
+    docs = spark.createDataFrame(rows + rows[:3] + [(1, None, 1, "q"), (None, rows[0][1], 1, "q")], "doc_id long, text string, size int, fp string")
+    found = Counter((r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect())
+    assert found == Counter((int(k) + 100, int(k)) for k in some)
+    assert decontam.matches(odd, bench).count() == 0
+
+
+def test_op7_probes_meet_within_the_radius(spark):
+    rng = np.random.default_rng(21)
+    pairs = []
+    for k in range(40):
+        a = int(rng.integers(-(1 << 63), (1 << 63) - 1))
+        b = a
+        for bit in rng.choice(64, 19 if k < 30 else 12, False):
+            b ^= (1 << int(bit)) if bit < 63 else -(1 << 63)
+        pairs.append((k, a, b))
+    df = spark.createDataFrame(pairs, "k long, a long, b long")
+    met = df.select("k", decontam.probes(F.col("a"), decontam.ASKED).alias("x")).join(df.select("k", decontam.probes(F.col("b"), decontam.LISTED).alias("x")), ["k", "x"])
+    assert met.select("k").distinct().count() == 40
 
 
 def test_op7_equals_its_sql(spark):
