@@ -7,7 +7,11 @@ their number. Multinomial logistic regression, trained here in numpy, tells lice
 It learns from altered templates (words dropped, swapped in or around them) against lines of a bounded sample of
 documents and sentences that only mention licenses. A temperature, fitted on a fifth of the material kept from the fit,
 calibrates the probabilities. A prediction counts if its probability is LEAST or more and the text holds CONTAINED or
-more of a template of that family, as n-grams.
+more of a template of that family, as n-grams, and doesn't negate it: a word such as "not" among the REACH words before the
+template's first one, or between its words, where the template has none.
+
+Null and empty texts give no row, whatever their id; rows with null ids, or ids that repeat, are scanned each. Lines of any
+length are read whole, in windows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import MAX_WORDS, Words, as_bytes, batches, bounded_sample, record
 from .toxicity import MARKS
 
-BUCKETS, WINDOW, LEAST, CONTAINED, SHORT = 1 << 20, 60, 0.6, 0.6, 6
+BUCKETS, WINDOW, LEAST, CONTAINED, SHORT, REACH = 1 << 20, 60, 0.6, 0.6, 6, 4
 UNKNOWN = "unknown"
 
 #: Usual notices of public licenses (fixed values). <year> and <name> stand for any.
@@ -51,6 +55,15 @@ OTHERS = (
     "This work was done under the old rules.", "All rights of way are reserved for visitors.", "The software is licensed to many firms.",
     "All rights and duties go to the heirs.", "She has all rights to the house.", "The seats are reserved for all guests.", "The copyright of the book ended in the last century.",
 )
+#: Identifiers of the families in one-line tags (fixed values).
+TAGS = {
+    "AGPL": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "Apache": ("Apache-2.0",), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "CC-BY": ("CC-BY-4.0",), "CC-BY-NC": ("CC-BY-NC-4.0",),
+    "CC-BY-SA": ("CC-BY-SA-4.0",), "CC0": ("CC0-1.0",), "EPL": ("EPL-2.0",), "GPL": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"), "ISC": ("ISC",),
+    "LGPL": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"), "MIT": ("MIT",), "MPL": ("MPL-2.0",), "Unlicense": ("Unlicense",),
+}
+TEMPLATES = {k: ts + tuple(f"SPDX-License-Identifier: {tag}" for tag in TAGS.get(k, ())) for k, ts in TEMPLATES.items()}
+#: Words that turn a grant into its opposite (fixed values).
+NEGATORS = {b"not", b"no", b"never", b"isn't", b"aren't", b"don't", b"doesn't", b"wasn't", b"won't", b"cannot", b"neither", b"nor", b"without", b"instead"}
 HOLES = re.compile(r"<(?:year|name)>\.?")
 
 
@@ -82,6 +95,13 @@ def contained(words: list[bytes], family: str) -> float:
     return max(len(own & t) / len(t) if len(t) > SHORT or t <= own else 0.0 for t in KNOWN[family])
 
 
+def negated(before: list[bytes], words: list[bytes], family: str) -> bool:
+    """Whether a negator stands before the words of a template, or among them though that template has none."""
+    own = grams(words)
+    best = max(KNOWN[family], key=lambda t: len(own & t) / len(t))
+    return not NEGATORS.isdisjoint(before[-REACH:]) or any(w in NEGATORS and w not in best for w in words)
+
+
 class Places:
     """Where the words of a text lie close enough to hold CONTAINED of a template, by counts alone: none that do are missed
     in windows of the template's own size and of twice that and four, up to WINDOW."""
@@ -175,14 +195,16 @@ class Classifier:
         self.slot[self.used] = np.arange(len(self.used)) + 1
 
 
-def material(lines: list[bytes], variants: int = 40, seed: int = 5) -> tuple[list[list[bytes]], list[str]]:
-    """Altered templates with their family; lines and parts of them as unknown."""
+def material(drawn: list[tuple[bytes, bytes]], variants: int = 40, seed: int = 5) -> tuple[list[list[bytes]], list[str]]:
+    """Altered templates with their family; windows of lines as unknown, and so are templates with a negator before them.
+
+    drawn: windows, each with the text around it.
+    """
     rng = np.random.default_rng(seed)
-    split = [tokens(x) for x in lines]
     plain = []
-    for i, w in enumerate(split):
+    for own, wide in drawn:
         # what is a part of a wrapped notice isn't unknown
-        around = [x for y in split[max(0, i - 2) : i + 3] for x in y]
+        w, around = tokens(own), tokens(wide)
         if w and not any(contained(w, k) >= CONTAINED or (contained(w, k) >= CONTAINED / 3 and contained(around, k) >= CONTAINED) for k in TEMPLATES):
             plain.append(w)
     pool = [w for p in plain for w in p] or [b"and"]
@@ -196,22 +218,46 @@ def material(lines: list[bytes], variants: int = 40, seed: int = 5) -> tuple[lis
                 kept = [w if rng.random() > 0.06 else draw(1)[0] for w in words if rng.random() > 0.06] if k else words
                 rows.append([*draw(int(rng.integers(0, 12)) if k % 2 else 0), *kept, *draw(int(rng.integers(0, 12)) if k % 3 == 1 else 0)])
                 names.append(family)
+                if k % 4 == 0 and not NEGATORS & set(words):
+                    lead = [[b"is", b"not"], [b"we", b"do", b"not", b"use"], [b"never"], [b"it", b"is", b"no", b"longer"], [b"instead", b"of"]][int(rng.integers(0, 5))]
+                    rows.append([*draw(int(rng.integers(0, 6))), *lead, *words[int(rng.integers(0, 2)) :], *draw(int(rng.integers(0, 6)))])
+                    names.append(UNKNOWN)
     for t in OTHERS:
         for _ in range(variants // 2):
             rows.append([w if rng.random() > 0.1 else draw(1)[0] for w in tokens(t.encode())] + draw(int(rng.integers(0, 8))))
             names.append(UNKNOWN)
-    rows += [p[:WINDOW] for p in plain]
+    rows += plain
     names += [UNKNOWN] * len(plain)
     order = rng.permutation(len(rows))
     return [rows[i] for i in order], [names[i] for i in order]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 500, max_lines: int = 2000) -> Classifier:
-    """Learns with the lines of at most max_docs documents, in the order of the id's hash, and max_lines in all."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, 4000).alias("t"))
-    chosen = bounded_sample(rows, max_docs, "id")
-    lines = [x.encode() for r in chosen.collect() for x in r.t.split("\n")][:max_lines]
-    rows, names = material(lines)
+def draw_lines(text: bytes, n: int, seed: int) -> list[tuple[bytes, bytes]]:
+    """Windows of up to WINDOW words at random places of n random lines of the whole text, each with as many words around it."""
+    lines = [x.split() for x in text.split(b"\n")]
+    words, size = [w for x in lines for w in x], np.array([len(x) for x in lines])
+    start, full = np.cumsum(size) - size, np.flatnonzero(size)
+    rng, out = np.random.default_rng(seed), []
+    for k in rng.choice(full, min(n, len(full)), False) if len(full) else ():
+        a = int(start[k] + rng.integers(0, max(1, size[k] - WINDOW + 1)))
+        b = int(min(a + WINDOW, start[k] + size[k]))
+        out.append((b" ".join(words[a:b]), b" ".join(words[max(0, a - WINDOW) : b + WINDOW])))
+    return out
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 500, lines: int = 6) -> Classifier:
+    """Learns with lines of at most max_docs documents, in the order of the id's hash, that executors draw from whole texts."""
+    schema = pa.schema([("h", pa.int64()), ("own", pa.list_(pa.binary())), ("wide", pa.list_(pa.binary()))])
+
+    def cut(it):
+        for b in it:
+            found = [draw_lines(t, lines, h) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield record(schema, b.column(0), [[x for x, _ in f] for f in found], [[x for _, x in f] for f in found])
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    chosen = bounded_sample(rows, max_docs, "id", lambda df: df.select("h", "text").mapInArrow(cut, "h long, own array<binary>, wide array<binary>"))
+    drawn = [(bytes(x), bytes(y)) for r in chosen.collect() for x, y in zip(r.own, r.wide)]
+    rows, names = material(drawn)
     model = Classifier()
     model.fit([features(np.array([bucket(w) for w in r], np.uint64)) for r in rows], np.array([model.classes.index(n) for n in names]))
     return model
@@ -255,23 +301,24 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
                     if key not in found or found[key] < (p, share):
                         found[key] = (p, share)
 
+                para = np.cumsum((size == 0) | (np.array([k for _, k, _ in lines]) == 0))[line_of]
+                clean = lambda a, b: [word(i).lower().strip(MARKS) for i in range(a, b)]
+                held, denied = [], {}
+                for family, a, b in dict.fromkeys(places(h, para)):
+                    share = contained(clean(a, b), family)
+                    if share >= CONTAINED:
+                        if negated(clean(max(a - REACH, int(np.searchsorted(para, para[a]))), a), clean(a, b), family):
+                            denied.setdefault(family, np.zeros(len(h), bool))[a:b] = True
+                        else:
+                            held.append((family, a, b, share))
                 at, many = windows(line_of, WINDOW)
                 p = probabilities(model, h, at, many)
                 best = p.argmax(1)
                 for k in np.flatnonzero((best != unknown) & (p.max(1) >= LEAST)):
-                    text = lines[line_of[at[k]]]
-                    first = real[at[k]] - start[line_of[at[k]]]
-                    final = real[at[k] + many[k] - 1] - start[line_of[at[k]]]
-                    family = model.classes[best[k]]
-                    share = contained(tokens(b" ".join(text[2][first : final + 1])), family)
-                    if share >= CONTAINED:
+                    family, own = model.classes[best[k]], slice(at[k], at[k] + many[k])
+                    share = contained(clean(own.start, own.stop), family)
+                    if share >= CONTAINED and not (family in denied and denied[family][own].any()):
                         find(at[k], many[k], family, float(p[k, best[k]]), share)
-                para = np.cumsum((size == 0) | (np.array([k for _, k, _ in lines]) == 0))[line_of]
-                held = []
-                for family, a, b in dict.fromkeys(places(h, para)):
-                    share = contained([word(i).lower().strip(MARKS) for i in range(a, b)], family)
-                    if share >= CONTAINED:
-                        held.append((family, a, b, share))
                 if held:
                     families, a, b, share = zip(*held)
                     p = probabilities(model, h, np.array(a), np.array(b) - np.array(a))[np.arange(len(held)), [model.classes.index(f) for f in families]]

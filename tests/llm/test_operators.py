@@ -465,6 +465,18 @@ def test_op3_finds_wrapped_notices_and_two_in_a_line(spark):
     assert sorted((r.id, r.line, r.family) for r in rows) == [(1, 2, "GPL"), (2, 0, "BSD"), (3, 0, "Apache"), (3, 0, "MIT"), (5, 40, "MIT")]
 
 
+def test_op3_tells_grants_from_mentions(spark):
+    model = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    planted = {
+        1: 'This file is not licensed under the Apache License, Version 2.0.', 2: "We do not use the MIT License in any of our projects.", 3: "// SPDX-License-Identifier: Apache-2.0", 4: "# SPDX-License-Identifier: MIT\nsome code",
+        5: "This project is not licensed under the terms of the MIT license.", 6: "It was never released under the MIT License. Licensed under the Apache License, Version 2.0.",
+        7: "Do not remove these lines, which belong to every file.\n\nLicensed under the Apache License, Version 2.0.", 8: "word " * 30_000 + "Released under the MIT License.",
+    }
+    rows = licenses.scan(spark.createDataFrame([*planted.items(), (None, "Released under the ISC License.")], "doc_id long, text string"), model).collect()
+    found = {(r.id, r.family) for r in rows}
+    assert found == {(3, "Apache"), (4, "MIT"), (6, "Apache"), (7, "Apache"), (8, "MIT"), (None, "ISC")}
+
+
 def test_license_places_miss_no_window():
     rng = np.random.default_rng(12)
     places = licenses.Places()
@@ -482,7 +494,7 @@ def test_license_places_miss_no_window():
 
 
 def test_license_classifier_on_held_out_variants():
-    rows, names = licenses.material([b"plain words of any kind stand here", b"nothing to see in this line at all"], variants=30, seed=11)
+    rows, names = licenses.material([(x, x) for x in (b"plain words of any kind stand here", b"nothing to see in this line at all")], variants=30, seed=11)
     model = licenses.Classifier()
     feats = [licenses.features(np.array([licenses.bucket(w) for w in r], np.uint64)) for r in rows]
     label = np.array([model.classes.index(n) for n in names])
