@@ -1,12 +1,14 @@
 """Adaptive context-mixing range coder for token ids: many blocks at once, each with a state of its own.
 
 A block predicts its next id in three ways. Order 2 and order 1: the id that last followed the two ids, or the one id,
-before it, with a confidence from 0 to 3. Order 0: adaptive frequencies of the id's high and low byte. Adaptive
-probabilities, chosen by both confidences, mix them: an id is the order-2 prediction, else the order-1 prediction, else
-one of order 0. The three choices share one step of a range coder with 36-bit probabilities; a range of up to 60 bits is
-renewed in 20-bit digits, with carries settled at the end; two digits are stored as five bytes.
-
-Blocks start afresh and have equal lengths (padded with zeros), so numpy takes a step of all of them in each operation.
+before it, with a confidence from 0 to 3. Order 0: how often each id occurs, from a table that all blocks of a file start
+with. The three are mixed: an id's share is that of order 0 times what the others leave, and more for the ids that order 1
+and order 2 name. Their weights are adaptive frequencies of being right, chosen by both confidences. The mixture drives one
+step of a range coder with 36-bit probabilities; a range of up to 60 bits is renewed in 20-bit digits, with carries settled
+at the end; two digits are stored as five bytes.
+
+Blocks start afresh and have equal lengths (padded), so numpy takes a step of all of them in each operation. Inside, ids are
+numbered by their place among the file's distinct ids, so ids of any size may occur.
 """
 
 from __future__ import annotations
@@ -16,95 +18,104 @@ import numpy as np
 U = np.uint64
 ONE, DIGIT, FLOOR, MASK, TOP = U(36), U(20), U(1 << 40), U((1 << 40) - 1), U(40)
 SLOTS1, SLOTS2 = 4096, 8192
-#: Order-0 frequencies are rebuilt at these steps and then every 256.
-EARLY = (16, 32, 64, 128)
-TOTAL = 4096
+#: Parts of a weight, and of an order-0 share.
+WEIGHT, SHARES = 12, 24
+#: Counts are kept as steps of an eighth of a power of two.
+STEPS = [int(16 * 2 ** (k / 8)) for k in range(256)]
 
 
 class Order0:
-    """Frequencies of a byte in each block, out of TOTAL, from counts so far."""
-
-    def __init__(self, lanes: int, inverse: bool) -> None:
-        self.lanes, self.inverse = lanes, inverse
-        self.counts = np.ones(lanes * 256, np.int64)
-        self.rebuild([])
-
-    def rebuild(self, seen: list[np.ndarray]) -> None:
-        base = np.arange(self.lanes) * 256
-        for at in range(0, len(seen), 64):
-            self.counts += 8 * np.bincount(np.concatenate([base + s for s in seen[at : at + 64]]), minlength=len(self.counts))
-        c = self.counts.reshape(-1, 256)
-        f = 1 + c * (TOTAL - 256) // c.sum(1, keepdims=True)
-        f[np.arange(self.lanes), f.argmax(1)] += TOTAL - f.sum(1)
-        self.freq = f.astype(np.uint64).ravel()
-        self.cum = (np.cumsum(f, axis=1) - f).astype(np.uint64).ravel()
-        if self.inverse:
-            self.symbol = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), f.ravel())
+    """Shares of a file's distinct ids, out of 2**SHARES, from their counts in steps."""
+
+    def __init__(self, ids: np.ndarray, steps: np.ndarray) -> None:
+        self.ids, self.steps = ids.astype(np.uint32), steps.astype(np.uint8)
+        count = np.array(STEPS, np.int64)[self.steps]
+        share = 1 + count * ((1 << SHARES) - len(ids)) // max(1, int(count.sum()))
+        share[share.argmax()] += (1 << SHARES) - share.sum()
+        self.share = share.astype(np.uint64)
+        self.before = (np.cumsum(share) - share).astype(np.uint64)
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Order0:
+        ids, n = np.unique(flat, return_counts=True)
+        return cls(ids, np.minimum(np.rint(8 * np.log2(n)), 255))
+
+    def symbols(self, flat: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, flat).astype(np.uint32)
+
+    def find(self, u: np.ndarray) -> np.ndarray:
+        """The symbol whose share holds each place u."""
+        return (np.searchsorted(self.before, u, "right") - 1).astype(np.uint32)
 
 
 class Model:
-    def __init__(self, lanes: int, inverse: bool) -> None:
+    def __init__(self, lanes: int, order0: Order0) -> None:
+        self.order0 = order0
         self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)
         start = np.array([32, 1024, 2048, 3072], np.int32)
         self.p2, self.p1 = np.tile(np.repeat(start, 4), lanes), np.tile(np.tile(start, 4), lanes)
-        self.b1, self.b2, self.bp, self.b0 = (np.arange(lanes) * n for n in (SLOTS1, SLOTS2, 16, 256))
-        self.high, self.low = Order0(lanes, inverse), Order0(lanes, inverse)
+        self.b1, self.b2, self.bp = (np.arange(lanes) * n for n in (SLOTS1, SLOTS2, 16))
         self.prev, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.seen: tuple[list, list] = ([], [])
-        self.steps = 0
 
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """Predicted ids of order 2 and 1, and the frequencies of both choices."""
+    def predict(self) -> None:
+        """Symbols that order 2 and 1 name (e2, e1), their weights (g2, g1) and what these leave to order 0, all of 2**36."""
         self.i1 = self.b1 + ((self.prev * np.uint32(0x9E3779B1)) >> np.uint32(20))
         self.i2 = self.b2 + ((self.prev2 * np.uint32(0x85EBCA6B) ^ self.prev * np.uint32(0xC2B2AE35)) >> np.uint32(19))
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        self.ip = self.bp + ((self.e2 & np.uint32(3)) << np.uint32(2) | self.e1 & np.uint32(3))
+        self.c1, self.c2 = self.t1[self.i1], self.t2[self.i2]
+        self.ip = self.bp + ((self.c2 & np.uint32(3)) << np.uint32(2) | self.c1 & np.uint32(3))
         self.q2, self.q1 = self.p2[self.ip], self.p1[self.ip]
-        return self.e2 >> np.uint32(2), self.e1 >> np.uint32(2), self.q2, (TOTAL - self.q2) * self.q1 >> 12
-
-    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        self.e2, self.e1 = self.c2 >> np.uint32(2), self.c1 >> np.uint32(2)
+        f1 = (1 << WEIGHT) - self.q2
+        f1 = f1 * self.q1 >> WEIGHT
+        self.rest = ((1 << WEIGHT) - self.q2 - f1).astype(np.uint64)
+        self.g2, self.g1 = self.q2.astype(np.uint64) << U(SHARES), f1.astype(np.uint64) << U(SHARES)
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where symbol x lies among 2**36 and how much it takes: order 0's place, behind what smaller named ones take."""
+        o = self.order0
+        low = self.rest * o.before[x] + self.g2 * (self.e2 < x) + self.g1 * (self.e1 < x)
+        return low, self.rest * o.share[x] + self.g2 * (self.e2 == x) + self.g1 * (self.e1 == x)
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The symbol whose interval holds v."""
+        o, two = self.order0, self.e2 < self.e1
+        first, second = np.where(two, self.e2, self.e1), np.where(two, self.e1, self.e2)
+        g, h = np.where(two, self.g2, self.g1), np.where(two, self.g1, self.g2)
+        at, end = self.rest * o.before[first], self.rest * o.share[first] + g
+        one = (v >= at) & (v - at < end)
+        past = v >= at + end
+        v = v - np.where(past, g, U(0))
+        at2, end2 = self.rest * o.before[second], self.rest * o.share[second] + h
+        other = past & (v >= at2) & (v - at2 < end2)
+        v = v - np.where(past & (v >= at2 + end2), h, U(0))
+        same = self.e1 == self.e2
+        if same.any():  # both weights lie on one symbol
+            one |= same & other
+            other &= ~same
+        return np.where(one, first, np.where(other, second, o.find(v // self.rest)))
+
+    def update(self, x: np.ndarray) -> None:
+        hit2 = self.e2 == x
+        hit1 = (self.e1 == x) & ~hit2
         self.p2[self.ip] = self.q2 + np.where(hit2, (4064 - self.q2) >> 5, -((self.q2 - 32) >> 5))
         self.p1[self.ip] = self.q1 + np.where(hit2, 0, np.where(hit1, (4000 - self.q1) >> 5, -((self.q1 - 32) >> 5)))
-        for table, at, entry in ((self.t1, self.i1, self.e1), (self.t2, self.i2, self.e2)):
+        fresh = x << np.uint32(2) | np.uint32(1)
+        for table, at, entry in ((self.t1, self.i1, self.c1), (self.t2, self.i2, self.c2)):
             sure = entry & np.uint32(3)
             same = entry >> np.uint32(2) == x
-            fresh = x << np.uint32(2) | np.uint32(1)
             table[at] = np.where(same, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), np.where(sure > 1, entry - np.uint32(2), fresh))
         self.prev2, self.prev = self.prev, x
-        self.seen[0].append((x >> np.uint32(8)).astype(np.int64))
-        self.seen[1].append((x & np.uint32(255)).astype(np.int64))
-        self.steps += 1
-        if self.steps in EARLY or self.steps % 256 == 0:
-            self.high.rebuild(self.seen[0])
-            self.low.rebuild(self.seen[1])
-            self.seen = ([], [])
-
-    def order0(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        h, w = self.b0 + (x >> np.uint32(8)), self.b0 + (x & np.uint32(255))
-        return self.high.cum[h], self.high.freq[h], self.low.cum[w], self.low.freq[w]
-
-    def interval(self, x, hit2, hit1, f2, f1) -> tuple[np.ndarray, np.ndarray]:
-        """Where the id lies among 2**36 and how much it takes."""
-        ch, fh, cl, fl = self.order0(x)
-        rest = (TOTAL - f2 - f1).astype(np.uint64)
-        a, b = f2.astype(np.uint64), f1.astype(np.uint64)
-        miss = ~(hit2 | hit1)
-        cum = np.where(miss, ((a + b) << U(24)) + rest * ((ch << U(12)) + fh * cl), np.where(hit2, U(0), a << U(24)))
-        freq = np.where(miss, rest * fh * fl, np.where(hit2, a, b) << U(24))
-        return cum, freq
-
-
-def encode(ids: np.ndarray) -> list[bytes]:
-    """The code of each row of ids (blocks x length), ids below 65536."""
+
+
+def encode(ids: np.ndarray, order0: Order0) -> list[bytes]:
+    """The code of each row of ids (blocks x length), all of which order0 knows."""
     lanes, n = ids.shape
-    model, steps = Model(lanes, False), np.ascontiguousarray(ids.T.astype(np.uint32))
+    model, steps = Model(lanes, order0), np.ascontiguousarray(order0.symbols(ids.T))
     low, size = np.zeros(lanes, U), np.full(lanes, U(1 << 60))
     digits, used, row = np.zeros((lanes, 2 * n + 8), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
     for x in steps:
-        e2, e1, f2, f1 = model.predict()
-        hit2 = e2 == x
-        hit1 = (e1 == x) & ~hit2
-        cum, freq = model.interval(x, hit2, hit1, f2, f1)
+        model.predict()
+        cum, freq = model.interval(x)
         r = size >> ONE
         low += r * cum
         size = r * freq
@@ -117,7 +128,7 @@ def encode(ids: np.ndarray) -> list[bytes]:
             small = small[size[small] < FLOOR]
             if used.max() + 8 > digits.shape[1]:
                 digits = np.concatenate([digits, np.zeros_like(digits)], 1)
-        model.update(x, hit2, hit1)
+        model.update(x)
     for _ in range(3):
         digits[row, used] = (low >> TOP).astype(np.uint32)
         used += 1
@@ -130,10 +141,10 @@ def encode(ids: np.ndarray) -> list[bytes]:
     return [p[: (5 * k + 1) // 2].tobytes() for p, k in zip(packed, used)]
 
 
-def decode(codes: list[bytes], n: int) -> np.ndarray:
+def decode(codes: list[bytes], n: int, order0: Order0) -> np.ndarray:
     """The ids of blocks of length n."""
     lanes = len(codes)
-    model, out = Model(lanes, True), np.zeros((n, lanes), np.uint32)
+    model, out = Model(lanes, order0), np.zeros((n, lanes), np.uint32)
     packed = np.zeros((lanes, max(len(c) for c in codes) // 5 + 8, 8), np.uint8)
     for p, c in zip(packed, codes):
         p[:, :5] = np.frombuffer(c.ljust(5 * len(p), b"\0"), np.uint8).reshape(-1, 5)
@@ -142,21 +153,11 @@ def decode(codes: list[bytes], n: int) -> np.ndarray:
     value, used, size = np.zeros(lanes, U), np.full(lanes, 3), np.full(lanes, U(1 << 60))
     for k in range(3):
         value = value << DIGIT | digits[:, k]
-    inverse = np.arange(lanes) * TOTAL
     for t in range(n):
-        e2, e1, f2, f1 = model.predict()
+        model.predict()
         r = size >> ONE
-        v = np.minimum(value // r, U((1 << 36) - 1))
-        first = (v >> U(24)).astype(np.int32)
-        hit2 = first < f2
-        hit1 = ~hit2 & (first < f2 + f1)
-        both, rest = (f2 + f1).astype(np.uint64), (TOTAL - f2 - f1).astype(np.uint64)
-        u = np.minimum(np.where(hit2 | hit1, U(0), v - np.minimum(v, both << U(24))) // rest, U((1 << 24) - 1))
-        h = model.high.symbol[inverse + (u >> U(12)).astype(np.int64)]
-        at = model.b0 + h
-        w = np.minimum((u - (model.high.cum[at] << U(12))) // model.high.freq[at], U(TOTAL - 1))
-        x = np.where(hit2, e2, np.where(hit1, e1, h.astype(np.uint32) << np.uint32(8) | model.low.symbol[inverse + w.astype(np.int64)]))
-        cum, freq = model.interval(x, hit2, hit1, f2, f1)
+        x = model.find(np.minimum(value // r, U((1 << 36) - 1)))
+        cum, freq = model.interval(x)
         value -= r * cum
         size = r * freq
         small = np.flatnonzero(size < FLOOR)
@@ -165,6 +166,6 @@ def decode(codes: list[bytes], n: int) -> np.ndarray:
             used[small] += 1
             size[small] <<= DIGIT
             small = small[size[small] < FLOOR]
-        model.update(x, hit2, hit1)
+        model.update(x)
         out[t] = x
-    return out.T
+    return order0.ids[out].T

@@ -1,8 +1,9 @@
 """Token files: whole texts as token ids in binary files, coded by the range coder of rangecoder.py.
 
-A file is the magic PMT1, blocks, a document table and a footer. A block is its number of ids, the length of its code,
-the crc32 of its ids (little-endian unsigned 32-bit) and the code; blocks have equal lengths and are coded independently.
-The document table, Zstandard over doc_id and count columns, keeps document borders. The footer has the table's place and
+A file is the magic PMT2, blocks, an id table, a document table and a footer. A block is its number of ids, the length of
+its code, the crc32 of its ids (little-endian unsigned 32-bit) and the code; blocks have equal lengths and are coded
+independently, each from the state that the id table gives: Zstandard over the file's distinct ids, as differences, and the
+steps of their counts. The document table, Zstandard over doc_id and count columns, keeps document borders. The footer has the tables' place and
 crc32. Documents follow each other in ascending id order within a file and from one file of the manifest to the next.
 
 Null texts are documents of the end id alone. A null doc_id sorts first; rows that share an id follow each other.
@@ -24,9 +25,9 @@ from . import files, rangecoder
 from .common import batches, new_path, record, stored
 from .tokens import Encoder
 
-MAGIC, END = b"PMT1", b"1TMP"
-BLOCK, FOOTER = struct.Struct("<III"), struct.Struct("<QIIIIQ4s")
-FILE_TOKENS, LANES, LONGEST = 2_000_000, 1024, 8192
+MAGIC, END = b"PMT2", b"2TMP"
+BLOCK, FOOTER = struct.Struct("<III"), struct.Struct("<QIIIIIQ4s")
+FILE_TOKENS, LANES, LONGEST = 4_000_000, 1024, 8192
 
 
 def crc(ids: np.ndarray) -> int:
@@ -37,24 +38,26 @@ def pack_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids)
     length = min(LONGEST, max(64, -(-len(flat) // LANES)))
     blocks = -(-len(flat) // length)
-    padded = np.zeros(blocks * length, np.uint32)
+    order0 = rangecoder.Order0.of(flat)
+    padded = np.full(blocks * length, order0.ids[0], np.uint32)
     padded[: len(flat)] = flat
     out = [MAGIC]
-    for k, code in enumerate(rangecoder.encode(padded.reshape(blocks, length))):
+    for k, code in enumerate(rangecoder.encode(padded.reshape(blocks, length), order0)):
         part = flat[k * length : (k + 1) * length]
         out += [BLOCK.pack(len(part), len(code), crc(part)), code]
     known = np.array([i is not None for i in doc_ids])
     columns = (np.array([i or 0 for i in doc_ids], "<i8"), np.array([len(x) for x in ids], "<u4"), known.astype(np.uint8))
     table = zstandard.compress(struct.pack("<Q", len(doc_ids)) + b"".join(c.tobytes() for c in columns))
+    ids_table = zstandard.compress(np.diff(order0.ids, prepend=np.uint32(0)).astype("<u4").tobytes() + order0.steps.tobytes(), 9)
     at = sum(map(len, out))
-    return b"".join([*out, table, FOOTER.pack(at, len(table), zlib.crc32(table), length, blocks, len(flat), END)])
+    return b"".join([*out, ids_table, table, FOOTER.pack(at, len(ids_table), len(table), zlib.crc32(ids_table + table), length, blocks, len(flat), END)])
 
 
 def unpack_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     """Document ids and their token ids; raises ValueError where a checksum differs."""
-    at, size, check, length, blocks, total, end = FOOTER.unpack(data[-FOOTER.size :])
-    table = data[at : at + size]
-    if data[:4] != MAGIC or end != END or zlib.crc32(table) != check:
+    at, first, size, check, length, blocks, total, end = FOOTER.unpack(data[-FOOTER.size :])
+    table = data[at + first : at + first + size]
+    if data[:4] != MAGIC or end != END or zlib.crc32(data[at : at + first] + table) != check:
         raise ValueError("not a token file, or a damaged one")
     codes, heads, place = [], [], len(MAGIC)
     for _ in range(blocks):
@@ -62,7 +65,10 @@ def unpack_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         place += BLOCK.size
         codes.append(data[place : place + heads[-1][1]])
         place += heads[-1][1]
-    rows = rangecoder.decode(codes, length) if codes else np.zeros((0, length), np.uint32)
+    known = zstandard.decompress(data[at : at + first])
+    n = len(known) // 5
+    order0 = rangecoder.Order0(np.cumsum(np.frombuffer(known, "<u4", n), dtype=np.uint32), np.frombuffer(known, np.uint8, n, 4 * n))
+    rows = rangecoder.decode(codes, length, order0)
     for k, (n, _, c) in enumerate(heads):
         if crc(rows[k, :n]) != c:
             raise ValueError(f"block {k} is damaged")
