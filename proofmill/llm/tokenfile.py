@@ -27,7 +27,7 @@ from .tokens import Encoder
 
 MAGIC, END = b"PMT2", b"2TMP"
 BLOCK, FOOTER = struct.Struct("<III"), struct.Struct("<QIIIIIQ4s")
-FILE_TOKENS, LANES, LONGEST = 4_000_000, 1024, 8192
+FILE_TOKENS, LANES, SHORTEST, LONGEST = 4_000_000, 1024, 2048, 8192
 
 
 def crc(ids: np.ndarray) -> int:
@@ -36,7 +36,7 @@ def crc(ids: np.ndarray) -> int:
 
 def pack_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids)
-    length = min(LONGEST, max(64, -(-len(flat) // LANES)))
+    length = min(len(flat), LONGEST, max(SHORTEST, -(-len(flat) // LANES)))
     blocks = -(-len(flat) // length)
     order0 = rangecoder.Order0.of(flat)
     padded = np.full(blocks * length, order0.ids[0], np.uint32)

@@ -66,7 +66,8 @@ def test_range_coder_beats_the_order_0_entropy(spark, tokenizer):
     """Files take fewer bits than the entropy of their ids and than Zstandard at its usual level over 16-bit integers."""
     import zstandard
 
-    ids = [ids_of(tokenizer, t) for _, t in texts(spark)]
+    rows = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet").orderBy("doc_id").collect()
+    ids = tokens.Encoder().encode([r.text.encode() for r in rows])
     flat = np.concatenate(ids)
     size = len(tokenfile.pack_file(list(range(len(ids))), ids))
     n = np.unique(flat, return_counts=True)[1]
