@@ -62,11 +62,19 @@ def punctuation(el: DataFrame) -> DataFrame:
 
 
 def openers(el: DataFrame, top: int = 20) -> DataFrame:
-    """Each layer's most frequent sentence openers (three words, lower case), ties by the first in the alphabet."""
-    rows = sentence_rows(el).withColumn("opener", F.lower(F.array_join(F.slice(T.tokens(F.col("sentence")), 1, 3), " ")))
-    n = layered(rows.where("words >= 3"), F.count("*").alias("n"), extra=("opener",))
+    """Each layer's most frequent sentence openers and their rate per 100 sentences.
+
+    An opener is the first three words (or as many as there are) in lower case, after the document's brand where the
+    sentence starts with it. Of openers as frequent the one that occurs first, by document, leaf and sentence, leads.
+    """
+    low = F.lower(F.trim("sentence"))
+    brand = F.concat(F.lower("brand"), F.lit(" "))
+    plain = F.when(F.startswith(low, brand), F.substring(low, F.length(brand) + 1, F.length(low))).otherwise(low)
+    rows = sentence_rows(el).withColumn("opener", F.array_join(F.slice(T.tokens(plain), 1, 3), " "))
+    n = layered(rows, F.count("*").alias("n"), F.min(F.struct("doc_id", "idx", "no")).alias("first"), extra=("opener",))
     w = Window.partitionBy("layer", "layer_name")
-    return n.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "opener")).cast("long")).where(F.col("rank") <= top)
+    n = n.withColumn("rate", F.col("n") * 100 / F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "first")).cast("long"))
+    return n.where(F.col("rank") <= top).drop("first")
 
 
 def phrase_rates(el: DataFrame, phrases: list[str]) -> DataFrame:

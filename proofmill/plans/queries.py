@@ -60,21 +60,6 @@ def section_of_element(spark, sf_dir, el):
     return document.with_sections(el).select("doc_id", "idx", "section_index")
 
 
-@query(EL + "SELECT e.doc_id, e.idx, CAST(4 * k AS BIGINT) AS \"offset\" FROM el e, (SELECT unnest(range(0, 50)) AS k) WHERE 4 * k >= e.start_offset AND 4 * k < e.start_offset + length(e.text)")
-def element_at_offset(spark, sf_dir, el):
-    points = el.select("doc_id").distinct().crossJoin(F.broadcast(spark.range(50).select((F.col("id") * 4).alias("offset"))))
-    return document.at_offset(el, points).select("doc_id", "idx", "offset")
-
-
-@query()
-def element_at_offset_whole(spark, sf_dir, el):
-    """Points at every 40th character of the whole document, and at the first character of each element."""
-    last = F.max(F.col("start_offset") + F.length("text"))
-    every = el.groupBy("doc_id").agg(last.alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long"), F.lit(40).cast("long"))).alias("offset"))
-    points = every.union(el.select("doc_id", F.col("start_offset").cast("long"))).distinct()
-    return document.at_offset(el, points).select("doc_id", "idx", "offset")
-
-
 @query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=\"[^\"]*\"[^>]*>.*?</a>')) AS links FROM pages WHERE len(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=\"[^\"]*\"[^>]*>.*?</a>')) > 0")
 def hyperlinks(spark, sf_dir, el):
     return corpus.hyperlinks(spark.read.parquet(f"{sf_dir}/pages.parquet")).groupBy("doc_id").agg(F.count("*").alias("links"))
@@ -121,11 +106,6 @@ def stop_word_counts(spark, sf_dir, el):
 # --- voice ---
 
 
-@query(EL + ", t AS (SELECT len(regexp_extract_all(text, ' players can ')) AS n, doc_id FROM el WHERE elem_type = 'paragraph') SELECT doc_id, CAST(sum(n) AS BIGINT) AS nouns FROM t GROUP BY 1 HAVING sum(n) > 0")
-def voice_nouns(spark, sf_dir, el):
-    return checks.person_references(el).where("m = 'players'").groupBy("doc_id").agg(F.count("*").alias("nouns"))
-
-
 @query()
 def voice_counts(spark, sf_dir, el):
     return checks.person_counts(el)
@@ -153,21 +133,6 @@ heading_query("skipped_level", HEAD + "SELECT doc_id, start_offset, text AS orig
 heading_query("question_mark", None)
 heading_query("descriptive", None)
 heading_query("multiple_h1", HEAD + "SELECT doc_id, min(start_offset) AS start_offset, arg_min(text, idx) AS original_text, CAST(NULL AS VARCHAR) AS proposed_text FROM h WHERE level = 1 GROUP BY 1 HAVING count(*) > 1")
-MINOR = ", ".join(f"'{w}'" for w in L.MINOR_WORDS)
-ACRONYMS = ", ".join(f"'{w.lower()}'" for w in L.ACRONYMS)
-
-
-@query(HEAD + f", t AS (SELECT doc_id, idx, text, string_split(text, ' ') AS a FROM h WHERE level IS NOT NULL AND regexp_full_match(text, '[ -~]*')), n AS (SELECT doc_id, idx, text, list_transform(a, lambda x, i: CASE WHEN i > 1 AND i < len(a) AND lower(x) IN ({MINOR}) THEN lower(x) ELSE upper(substr(x, 1, 1)) || lower(substr(x, 2)) END) AS b FROM t WHERE NOT list_has_any(list_transform(a, lambda x: lower(regexp_replace(x, '[^A-Za-z]', '', 'g'))), [{ACRONYMS}])) SELECT doc_id, idx, array_to_string(b, ' ') AS title FROM n WHERE array_to_string(b, ' ') <> text")
-def heading_title_case(spark, sf_dir, el):
-    h = document.of_type(el, "heading").where(F.col("text").rlike("^[ -~]*$") & ~F.exists(F.split("text", " "), T.is_acronym))
-    return h.select("doc_id", "idx", "text", T.title_case(F.col("text")).alias("title")).where("title <> text").select("doc_id", "idx", "title")
-
-
-@query()
-def heading_title_case_whole(spark, sf_dir, el):
-    """All headings, with other letters than ASCII and acronyms too."""
-    h = document.of_type(el, "heading").select("doc_id", "idx", "text", T.title_case(F.col("text")).alias("title"))
-    return h.where("title <> text").select("doc_id", "idx", "title")
 
 
 # --- currency ---
@@ -207,45 +172,20 @@ def format_query(sub: str, oracle: str | None):
 FIX = "SELECT doc_id, start_offset + s AS start_offset, m AS original_text, {} AS proposed_text FROM f"
 format_query("double_space", EL + "," + spans_sql("f", "  +") + FIX.format("' '"))
 format_query("trailing_space", EL + "," + spans_sql("f", "[ \\t]+$") + FIX.format("''"))
-format_query("space_before_punct", EL + "," + spans_sql("f", " +[,;:!?]") + FIX.format("ltrim(m)"))
-format_query("missing_space", None)
 format_query("latin", EL + "," + spans_sql("f", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.|viz\.|cf\.)", "elem_type IN ('paragraph', 'heading')") + FIX.format("CASE lower(m) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.LATIN.items()) + " END"))
 
 
 # --- spelling ---
 
 
-@query(EL + "," + spans_sql("f", r"\bcolour\b") + "SELECT doc_id, start_offset + s AS start_offset, m AS original_text, 'color' AS proposed_text FROM f")
-def spelling_swaps(spark, sf_dir, el):
-    rows = checks.locale_spelling(el, "american").where("original_text = 'colour'")
-    return rows.select("doc_id", "start_offset", "original_text", "proposed_text")
-
-
 @query()
 def spelling_context(spark, sf_dir, el):
     return checks.locale_spelling(el, "british").where("sub_check = 'context'").select("doc_id", "start_offset", "original_text", "proposed_text")
 
 
-@query()
-def excluded_spans(spark, sf_dir, el):
-    rows = el.where(F.col("text").rlike("[@\"'“‘]|https?://|www\\."))
-    return rows.select("doc_id", "idx", F.size(checks.excluded(F.col("text"))).alias("spans"))
-
-
 # --- brands ---
 
 
-@query(EL + "," + spans_sql("f", r"\bmoon harbor\b") + "SELECT doc_id, start_offset + s AS start_offset, m AS original_text, 'MoonHarbor' AS proposed_text FROM f")
-def brand_normalise(spark, sf_dir, el):
-    rows = checks.brand_names(el, "MoonHarbor", []).where("sub_check = 'own_brand' AND original_text = 'moon harbor'")
-    return rows.select("doc_id", "start_offset", "original_text", "proposed_text")
-
-
-@query()
-def competitor_mentions(spark, sf_dir, el):
-    return checks.brand_names(el, "Other", OPERATORS).where("sub_check = 'competitor'").select("doc_id", "start_offset", "original_text")
-
-
 @query(EL + ", n AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '\\bmoon harbor\\b'))) AS BIGINT) AS n FROM el GROUP BY 1) SELECT doc_id, 'Moon Harbor' AS name, n FROM n WHERE n >= 5")
 def dominant_operator(spark, sf_dir, el):
     return checks.dominant_operator(el, ["Moon Harbor"]).select("doc_id", "name", "n")
@@ -284,23 +224,6 @@ def keyword_findings(spark, sf_dir, el):
     return briefs_checks.keywords(el, asked(el), brand="MoonHarbor", market="Canada").select("doc_id", "sub_check", "reasoning")
 
 
-@query("SELECT k AS keyword, v AS variants FROM (VALUES ('casino bonuses', 'casino bonuses|casino bonus'), ('slot', 'slot|slots'), ('category', 'category|categorys|categories'), ('boxes', 'boxes|box'), ('Match  Offers', 'match offers|match offer|match offerses')) t(k, v)")
-def keyword_variants(spark, sf_dir, el):
-    rows = spark.createDataFrame([(k,) for k in ("casino bonuses", "slot", "category", "boxes", "Match  Offers")], "keyword string")
-    return rows.select("keyword", F.array_join(T.keyword_variants(F.col("keyword")), "|").alias("variants"))
-
-
-@query(EL + ", h AS (SELECT *, min(idx) FILTER (elem_type = 'heading') OVER (PARTITION BY doc_id) AS h FROM el WHERE true), n AS (SELECT doc_id, any_value(h) AS h, count(*) FILTER (elem_type = 'paragraph' AND idx < h AND len(regexp_extract_all(text, '[A-Za-z0-9_]+')) > 5) AS intro FROM h WHERE article_type = 'en' GROUP BY 1) SELECT doc_id FROM n WHERE h IS NOT NULL AND intro = 0")
-def structure_intro(spark, sf_dir, el):
-    return briefs_checks.structure(el.where("article_type = 'en'")).where("sub_check = 'intro'").select("doc_id")
-
-
-@query()
-def structure_intro_whole(spark, sf_dir, el):
-    """Documents of every language."""
-    return briefs_checks.structure(el).where("sub_check = 'intro'").select("doc_id")
-
-
 @query(EL + "SELECT doc_id, arg_max(elem_type, idx) AS last_type, arg_max(start_offset, idx) AS start_offset FROM el WHERE trim(text) <> '' GROUP BY 1")
 def structure_last_element(spark, sf_dir, el):
     return briefs_checks.intro_outro(el).where("last_type IS NOT NULL").select("doc_id", "last_type", F.col("s").alias("start_offset"))
@@ -312,19 +235,9 @@ def missing_sections(spark, sf_dir, el):
     return briefs_checks.missing_sections(el, required).select("doc_id", "heading", F.size("present").alias("headings"))
 
 
-@query()
-def word_count_deviation(spark, sf_dir, el):
-    return briefs_checks.word_deviation(el, el.select("doc_id").distinct().withColumn("target", F.lit(400)))
-
-
 # --- claims ---
 
 
-@query()
-def claims(spark, sf_dir, el):
-    return checks.claims(el).groupBy("doc_id", "category", "kind", "value").agg(F.count("*").alias("n"))
-
-
 @query()
 def claim_pairs(spark, sf_dir, el):
     return checks.claim_conflicts(checks.claims(el)).groupBy("doc_id", "category", "kind").agg(F.count("*").alias("pairs"))
@@ -423,16 +336,6 @@ def profile_punctuation(spark, sf_dir, el):
     return profile.punctuation(el).select("layer", "layer_name", *long("commas", "semicolons", "words"))
 
 
-@query(EL + f", p AS (SELECT *, len(regexp_extract_all(lower(text), '\\bhowever\\b')) AS k FROM el WHERE elem_type = 'paragraph') SELECT {LAYER}, CAST(sum(k) AS BIGINT) AS n FROM p WHERE k > 0 {SETS}")
-def profile_however(spark, sf_dir, el):
-    return profile.transitions(el).where("phrase = 'however'").select("layer", "layer_name", "n")
-
-
-@query()
-def profile_transitions(spark, sf_dir, el):
-    return profile.transitions(el)
-
-
 @query()
 def profile_sentences(spark, sf_dir, el):
     return profile.sentence_lengths(el)
@@ -443,11 +346,6 @@ def profile_openers(spark, sf_dir, el):
     return profile.openers(el)
 
 
-@query()
-def profile_heading_case(spark, sf_dir, el):
-    return profile.heading_case(el)
-
-
 @query()
 def voice_models(spark, sf_dir, el):
     return profile.models(el)
@@ -461,24 +359,6 @@ def profile_lists(spark, sf_dir, el):
 # --- text functions over small tables ---
 
 
-@query("SELECT * FROM (VALUES ('Casino Review', 'main_review', 0.95), ('review', 'main_review', 0.95), ('Bonus page', 'bonus_page', 0.95), ('The mobile guide', 'app_review', 0.75), ('', 'general', 0.3), ('Nothing here', 'general', 0.5)) t(task, kind, confidence)")
-def task_type_map(spark, sf_dir, el):
-    rows = spark.createDataFrame([(x,) for x in ("Casino Review", "review", "Bonus page", "The mobile guide", "", "Nothing here")], "task string")
-    return rows.withColumn("t", T.task_type(F.col("task"))).select("task", F.col("t.type").alias("kind"), F.col("t.confidence").cast("decimal(3,2)").alias("confidence"))
-
-
-@query("SELECT * FROM (VALUES ('Exact 1', 1, 1), ('Any', NULL, NULL), ('1-3', 1, 3), ('Min 2', 2, NULL), ('Max 5', NULL, 5), ('3x', 3, 3), ('x2', 2, 2), ('7', 7, 7), ('about 4 times', 4, 4), ('none', NULL, NULL)) t(value, low, high)")
-def quantity_parse(spark, sf_dir, el):
-    rows = spark.createDataFrame([(x,) for x in ("Exact 1", "Any", "1-3", "Min 2", "Max 5", "3x", "x2", "7", "about 4 times", "none")], "value string")
-    return rows.select("value", T.quantity_range(F.col("value")).alias("q")).select("value", "q.low", "q.high")
-
-
-@query("SELECT * FROM (VALUES ('moon-bonus-page', 'moon', 'bonus_page'), ('moon_app', 'moon', 'app_review'), ('moon review', 'moon', 'main_review'), ('moon', 'moon', 'general')) t(name, brand, kind)")
-def article_type_infer(spark, sf_dir, el):
-    rows = spark.createDataFrame([("moon-bonus-page", "moon"), ("moon_app", "moon"), ("moon review", "moon"), ("moon", "moon")], "name string, brand string")
-    return rows.withColumn("kind", T.article_type(F.col("name"), F.col("brand")))
-
-
 @query("SELECT * FROM (VALUES ('a', '2'), ('b.c', '3'), ('b.d', '5'), ('e', '1')) t(path, value)")
 def config_merge(spark, sf_dir, el):
     tree = lambda t: spark.createDataFrame([(k, str(v)) for k, v in config.flat(t)], "path string, value string")
@@ -534,19 +414,6 @@ def brief_clarifications(spark, sf_dir, el):
 # --- standards and persistence ---
 
 
-@query("SELECT * FROM (VALUES ('Scum', 'hard', 1.0, false), ('TRASH', 'soft', 0.3, false), ('that sucks', NULL, 0.0, true), ('e.g. this', NULL, 0.0, true)) t(word, tier, weight, prohibited)")
-def standards_lookups(spark, sf_dir, el):
-    rows = spark.createDataFrame([(w,) for w in ("Scum", "TRASH", "that sucks", "e.g. this")], "word string")
-    w = F.col("word")
-    return rows.select("word", standards.stop_tier(w, HARD, SOFT).alias("tier"), standards.stop_weight(w, HARD, SOFT).cast("decimal(2,1)").alias("weight"), standards.prohibited(w).alias("prohibited"))
-
-
-@query("SELECT * FROM (VALUES ('ca', 'canadian'), ('US', 'american'), ('IN', 'british'), ('NZ', 'new_zealand'), ('AU', 'australian'), ('XX', 'british')) t(country, region)")
-def spelling_regions(spark, sf_dir, el):
-    rows = spark.createDataFrame([(c,) for c in ("ca", "US", "IN", "NZ", "AU", "XX")], "country string")
-    return rows.withColumn("region", standards.spelling_region(F.col("country")))
-
-
 @query(EL + "SELECT doc_id, CAST(max(start_offset + length(text)) AS BIGINT) AS total_length, count(*) AS elements FROM el GROUP BY 1")
 def documents_json(spark, sf_dir, el):
     back = persist.from_json(persist.documents(el).select("json"), "doc_id long, total_length long, elements array<struct<idx:long>>")

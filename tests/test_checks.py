@@ -178,5 +178,6 @@ def test_profile(article):
     assert (m.articles, m.sentences, m["mean"], m.median, m.p10, m.p90, m.commas, m.vote, m["items"]) == (1, 3, 11 / 3, 4.0, 2, 5, 1, "title", 1)
     assert {r.layer for r in profile.article_counts(el).collect()} == {"house", "type", "brand"} and profile.models(el).count() == 1
     top = profile.openers(el).where("layer = 'house'").collect()
-    assert {(r.opener, r.n) for r in top} == {("one two three", 1), ("five six, seven", 1)}
+    assert {(r.opener, r.n) for r in top} == {("one two three", 1), ("five six, seven", 1), ("and ten.", 1)}
+    assert [round(r.rate, 2) for r in top] == [33.33] * 3 and top[0].opener == "one two three"  # the first of as frequent ones
     assert [r.layer for r in profile.for_brand(profile.article_counts(el), "b", "t").collect()] == ["house", "type", "brand"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from proofmill.plans import run
+from proofmill.plans import run, whole  # noqa: F401
 from proofmill.plans.queries import ORACLE_SQL, QUERIES, TERMS
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +20,7 @@ def test_entry(spark):
 def test_query_equals_sql(spark, name):
     import duckdb
 
-    for t in ("documents", "pages", "labels", "conversations", "benchmark"):
+    for t in ("documents", "pages", "labels", "conversations", "benchmark", "part", "lineitem", "nation"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     plain = lambda v: float(v) if hasattr(v, "as_tuple") else v
@@ -55,7 +55,7 @@ def test_whole_queries_equal_brute_force(spark):
         first = min((r.idx for r in rows if r.elem_type == "heading"), default=None)
         if first is not None and not any(r.elem_type == "paragraph" and r.idx < first and len(re.findall("[A-Za-z0-9_]+", r.text)) > 5 for r in rows):
             intro.add((i,))
-    for name, want in (("element_at_offset_whole", points), ("heading_title_case_whole", titles), ("structure_intro_whole", intro)):
+    for name, want in (("element_at_offset", points), ("heading_title_case", titles), ("structure_intro", intro)):
         assert {tuple(r) for r in QUERIES[name](spark, SF).collect()} == want, name
 
 

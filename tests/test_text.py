@@ -92,3 +92,22 @@ def test_standards(tmp_path, spark):
     assert s.brands() == ["moon"] and s.has("moon") and not s.has("x")
     assert s.load("moon") == {"voice": {"person": "second", "tone": "warm"}, "list": [3]} and s.load("x") == s.load()
     assert {(r.path, r.value) for r in s.table(spark).collect()} == {("voice.person", "second"), ("voice.tone", "warm"), ("list", "[3]")}
+
+
+def test_starts_and_spans_of_long_texts(spark):
+    import re
+
+    from proofmill.sources import corpus
+
+    for n in (1, 64, 65, 5000):
+        text = "\n".join(f"line {i}  é" + "x" * (i % 7) for i in range(n))
+        docs = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+        want, at = [], 0
+        for line in text.split("\n"):
+            want.append(at)
+            at += len(line) + 1
+        assert [r.start_offset for r in corpus.from_text(docs).orderBy("idx").collect()] == want
+        flat = text.replace("\n", " ")
+        for t in (flat, flat + T.OPEN + "  z"):  # texts that hold the marks themselves are walked another way
+            row = spark.createDataFrame([(t,)], "t string").select(T.match_spans(F.col("t"), "  +").alias("m")).first()
+            assert [(x.start, x.end) for x in row.m] == [m.span() for m in re.finditer("  +", t)]
