@@ -69,3 +69,25 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     n = F.least(F.length("text_a"), F.length("text_b"))
     differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring("text_a", i, F.lit(1)) != F.substring("text_b", i, F.lit(1)))
     return both.withColumn("first_diff", F.coalesce(F.get(differ, 0) - 1, n).cast("long"))
+
+
+def section_rollups(el: DataFrame) -> DataFrame:
+    """(doc_id, section_idx, title, headings, paragraphs, words, text) of each section with all its subsections."""
+    from ..functions.text import space_words
+
+    heads = sections(el).select("doc_id", "section_idx", "title", F.col("idx").alias("from_idx"), F.coalesce("next_idx", F.lit(1 << 60)).alias("to_idx"))
+    leaves = el.select("doc_id", "idx", "elem_type", "text")
+    rows = heads.join(leaves, "doc_id").where("idx >= from_idx AND idx < to_idx")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n")
+    return rows.groupBy("doc_id", "section_idx").agg(
+        F.first("title").alias("title"), F.count_if((F.col("elem_type") == "heading") & (F.col("idx") > F.col("from_idx"))).alias("headings"), F.count_if(F.col("elem_type") == "paragraph").alias("paragraphs"),
+        F.sum(F.when(F.col("elem_type") == "paragraph", space_words(F.col("text"))).otherwise(0)).alias("words"), text.alias("text"),
+    )
+
+
+def with_list_groups(el: DataFrame) -> DataFrame:
+    """Adds list_no: list items without another element between them share the number of their list in the document."""
+    item = F.col("elem_type") == "list_item"
+    first = item & ~F.coalesce(F.lag("elem_type").over(in_order()) == "list_item", F.lit(False))
+    rows = el.withColumn("first", first.cast("long"))
+    return rows.withColumn("list_no", F.when(item, F.sum("first").over(in_order()))).drop("first")

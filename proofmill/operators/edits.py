@@ -51,10 +51,14 @@ def splice(text: Column, fixes: Column) -> Column:
 
 
 def applied(el: DataFrame, judged: DataFrame) -> DataFrame:
-    """The elements with applied fixes and new offsets; leaves without fixes keep their text."""
+    """The elements with applied fixes, new offsets and, where they have any, runs that follow; other leaves stay as they are."""
     local = judged.where("status = 'applied'").select("doc_id", "idx", F.struct((F.col("start_offset") - F.col("leaf_start")).cast("int").alias("s"), (F.col("end_offset") - F.col("leaf_start")).cast("int").alias("e"), F.col("proposed_text").alias("fix")).alias("x"))
     fixes = local.groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list("x")).alias("fixes"))
     rows = el.join(fixes, ["doc_id", "idx"], "left").withColumn("text", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("fixes"))))
+    if "runs" in el.columns:
+        from .runs import after_fixes
+
+        rows = rows.withColumn("runs", F.when(F.col("fixes").isNull(), F.col("runs")).otherwise(after_fixes(F.col("runs"), F.col("fixes"))))
     return with_offsets(rows.drop("fixes")).select(*el.columns)
 
 

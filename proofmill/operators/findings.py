@@ -81,3 +81,8 @@ def ordered(findings: DataFrame, by: str = "position") -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     key = {"position": [F.col("start_offset")], "severity": [rank], "confidence": [F.col("confidence").desc()]}[by]
     return findings.orderBy("doc_id", *key, "ordinal")
+
+
+def counts(findings: DataFrame, *cols: str) -> DataFrame:
+    """How many findings each value of cols has, the most frequent first, then by name."""
+    return findings.groupBy(*cols).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *cols)

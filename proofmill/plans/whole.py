@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import briefs_checks, checks, document, profile, standards
+from ..operators import briefs_checks, checks, document, findings, profile, standards
 from ..sources.config import brand_pattern, operator_pattern
 from .articles import EL, HARD, SOFT, spans_sql
 from .queries import LAYER, OPERATORS, SETS, query
@@ -38,6 +38,34 @@ def element_at_offset(spark, sf_dir, el):
     return document.at_offset(el, points).select("doc_id", "idx", "offset")
 
 
+ROLLUPS = f"""
+, h AS (SELECT doc_id, idx, text AS title, level, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS BIGINT) AS section_idx FROM el WHERE elem_type = 'heading'),
+r AS (SELECT h.*, coalesce((SELECT min(n.idx) FROM h n WHERE n.doc_id = h.doc_id AND n.idx > h.idx AND n.level <= h.level), 1000000000) AS upto FROM h)
+SELECT r.doc_id, section_idx, any_value(title) AS title, count(*) FILTER (elem_type = 'heading' AND el.idx > r.idx) AS headings, count(*) FILTER (elem_type = 'paragraph') AS paragraphs,
+  CAST(sum(CASE WHEN elem_type = 'paragraph' THEN len({words_in("text")}) ELSE 0 END) AS BIGINT) AS words, md5(string_agg(text, chr(10) ORDER BY el.idx)) AS digest
+FROM r JOIN el ON el.doc_id = r.doc_id AND el.idx >= r.idx AND el.idx < r.upto GROUP BY 1, 2"""
+
+
+@query(EL + ROLLUPS)
+def section_rollups(spark, sf_dir, el):
+    return document.section_rollups(el).withColumn("digest", F.md5("text")).drop("text")
+
+
+ISLANDS = """
+, b AS (SELECT *, elem_type = 'list_item' AND coalesce(lag(elem_type) OVER (PARTITION BY doc_id ORDER BY idx) <> 'list_item', true) AS first FROM el)
+SELECT doc_id, idx, CAST(list_no AS BIGINT) AS list_no FROM (SELECT *, count(*) FILTER (first) OVER (PARTITION BY doc_id ORDER BY idx) AS list_no FROM b) WHERE elem_type = 'list_item'"""
+
+
+@query(EL + ISLANDS)
+def list_groups(spark, sf_dir, el):
+    return document.with_list_groups(el).where("list_no IS NOT NULL").select("doc_id", "idx", "list_no")
+
+
+@query(EL + "," + spans_sql("f", "  +") + "SELECT 'double_space' AS sub_check, m AS original_text, count(*) AS n FROM f GROUP BY 1, 2")
+def finding_counts(spark, sf_dir, el):
+    return findings.counts(checks.formatting(el).where("sub_check = 'double_space'"), "sub_check", "original_text")
+
+
 # --- excluded spans ---
 
 EXCLUDED = {"u": L.URL, "a": L.EMAIL, "q": L.QUOTED}

@@ -77,10 +77,22 @@ def merged(defaults: DataFrame, brand: DataFrame) -> DataFrame:
 
 def stop_words(spark: SparkSession, hard: list[str], soft: list[str]) -> DataFrame:
     """(tier, term, weight, pattern). Phrases match as they are; words with their simple inflections."""
-    rows = [(tier, w.lower(), weight, stop_pattern(w)) for tier, words, weight in (("hard", hard, 1.0), ("soft", soft, 0.3)) for w in words]
+    rows = [(tier, w.lower(), weight, stop_pattern(w)) for tier, words, weight in (("hard", word_list(hard, "hard"), 1.0), ("soft", word_list(soft, "soft"), 0.3)) for w in words]
     return spark.createDataFrame(rows, "tier string, term string, weight double, pattern string")
 
 
+def word_list(value: object, name: str) -> list[str]:
+    """The words of a configured list. Anything but a list is left out with a warning, and so are entries that aren't text."""
+    import warnings
+
+    if value is None:
+        return []
+    if not isinstance(value, (list, tuple)):
+        warnings.warn(f"{name} is no list but {type(value).__name__}; it is ignored", stacklevel=2)
+        return []
+    return [w for w in value if isinstance(w, str) and w.strip()]
+
+
 def stop_pattern(word: str) -> str:
     import re
 

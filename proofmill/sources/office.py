@@ -104,6 +104,22 @@ def each_file(files: DataFrame, parse, columns: str, key: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, columns)
 
 
+def unreadable(files: DataFrame, parse) -> DataFrame:
+    """(path, error) of the files that parse can't read; the readers leave these out."""
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    parse(bytes(content))
+                except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError) as e:
+                    rows.append((path, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, error string")
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """The elements of docx articles, with runs and offsets."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
