@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from itertools import count
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path, shared_dir, stored  # noqa: F401  the operators import them from here
+
 #: Words of a task's dictionary before it is emptied: about 150 bytes each.
 MAX_WORDS = 500_000
 
@@ -20,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    It is named by ``spark.checkpoint.dir``; where that is unset (tests, local mode) a folder in the warehouse takes its
-    place. What an application leaves there goes when it ends.
-    """
-    sc = spark.sparkContext
-    if not (found := sc.getCheckpointDir()):
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-        found = sc.getCheckpointDir()
-        path = sc._jvm.org.apache.hadoop.fs.Path(found)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return found
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_sample(df: DataFrame, n: int, key: str, made: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The n rows with the smallest hash h of key; ties stay in the order of all columns. made maps rows to what is kept of them.
 
