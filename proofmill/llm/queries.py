@@ -1,4 +1,7 @@
-"""The queries opN_<name>: each applies its operator, with production parameters, to the whole of its table."""
+"""The queries opN_<name>: each applies its operator, with production parameters, to the whole of its table.
+
+held_out is null where doc_id is.
+"""
 
 from __future__ import annotations
 

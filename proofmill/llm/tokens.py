@@ -21,6 +21,10 @@ def default_path() -> str:
 MARKS = b".,;:!?*&$%#|"
 
 
+#: Texts of which the words, in lower case, must have the same ids one by one as together.
+PROBES = ("Ab  cd.", " Lead", "trail \n", "x\ty\r\nz", "MiXed CaSe, 12 ÉA it's!", "A\u000bB\u000cC don't")
+
+
 def letters(word: bytes) -> bool:
     s = word.decode("utf-8", "replace")
     return s.isalpha() and s.lower().isalpha()
@@ -44,7 +48,8 @@ class Encoder:
     """Encodes texts through the tokenizer once per distinct word of a task.
 
     Exact for tokenizers that drop white space and lower-case, as word_bpe_49k does: neither normalisation nor
-    pre-tokenisation then looks across ASCII white space. Texts with the start of a special token keep their case.
+    pre-tokenisation then looks across ASCII white space. Texts with the start of a special token keep their case. Other
+    tokenizers, which PROBES tell, get whole texts.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -56,6 +61,8 @@ class Encoder:
             vocab = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
             self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_word = all(ids(p) == [i for w in p.lower().split() for i in ids(w)] for p in PROBES)
         self.clear()
 
     def clear(self) -> None:
@@ -64,6 +71,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None], end: int | None = END) -> list[np.ndarray]:
         """ids of each text as unsigned 32-bit integers, with the end id appended; null counts as empty."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array(e.ids + ([] if end is None else [end]), np.uint32) for e in found]
         if len(self.words.number) > MAX_WORDS:
             self.clear()
         numbers = [self.words.numbers((t if b"<|" in t else t.lower()).split()) if t else np.zeros(0, np.int32) for t in texts]

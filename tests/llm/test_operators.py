@@ -45,6 +45,17 @@ def test_encoder_equals_tokenizer(tokenizer):
         assert list(x) == list(ids_of(tokenizer, t))
 
 
+def test_encoder_reads_whole_texts_where_words_do_not_stand_alone():
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    path = p.path("byte_bpe_50k.json")
+    encoder, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    cases = ["Two  words, TWO words.", " é\n", "", "x" * 500]
+    assert not encoder.by_word and tokens.Encoder().by_word
+    assert [x.tolist() for x in encoder.encode([t.encode() for t in cases], end=50256)] == [plain.encode(t, add_special_tokens=False).ids + [50256] for t in cases]
+
+
 @pytest.mark.parametrize("shape", [(1, 64), (3, 300), (40, 700)])
 def test_range_coder_round_trip(shape):
     rng = np.random.default_rng(shape[1])
