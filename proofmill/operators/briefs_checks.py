@@ -9,6 +9,7 @@ from ..functions import text as T
 from .checks import check
 from .document import full_text, of_type
 from .findings import make, make_each
+from .runs import highlighted_spans
 
 
 def escape(text: Column) -> Column:
@@ -59,7 +60,10 @@ def document_words(el: DataFrame) -> DataFrame:
 
 @check("keywords")
 def keywords(el: DataFrame, asked: DataFrame, brand: str | None = None, market: str | None = None, max_density: float = 3.0, max_name: float = 2.0) -> DataFrame:
-    """Keywords of the brief that are missing, too rare or too frequent, and names that fill an article of 10 words or more."""
+    """Keywords of the brief that are missing, too rare, too frequent or nowhere highlighted, and names that fill an article.
+
+    Articles of fewer than 10 words are left out.
+    """
     words = document_words(el).where("words >= 10")
     n = keyword_counts(el, asked).join(words, "doc_id").withColumn("idx", F.lit(0).cast("long"))
     texts = full_text(el)
@@ -76,9 +80,21 @@ def keywords(el: DataFrame, asked: DataFrame, brand: str | None = None, market:
         if name:
             over = overuse(el, name, max_name).withColumn("idx", F.lit(0).cast("long"))
             out = out.unionByName(make(over, "keywords", sub, "keywords", "warning", confidence, zero, zero, none, None, F.lit(name), False))
+    if "runs" in el.columns:  # without runs nothing is known of highlights
+        out = out.unionByName(highlighting(el, asked))
     return out
 
 
+def highlighting(el: DataFrame, asked: DataFrame) -> DataFrame:
+    """Main keywords that occur but are nowhere a whole highlighted run, at their first occurrence."""
+    main = asked.where("grp = 'main'")
+    bare = unhighlighted(el, main, highlighted_spans(el).select("doc_id", "text"))
+    first = keyword_hits(el, asked).groupBy("doc_id", "keyword").agg(F.min(F.struct("start", "end")).alias("at"))
+    rows = bare.join(first, ["doc_id", "keyword"]).join(full_text(el), "doc_id").withColumn("idx", F.lit(0).cast("long"))
+    seen = T.slice_text(F.col("full_text"), F.col("at.start"), F.col("at.end"))
+    return make(rows, "keywords", "highlighting", "keywords", "suggestion", 0.85, F.col("at.start"), F.col("at.end"), seen, None, F.concat(F.lit("not highlighted: "), "keyword"), False)
+
+
 def overuse(el: DataFrame, name: str, share: float = 2.0) -> DataFrame:
     """(doc_id, n, words): documents of which name is over share percent of the words."""
     import re

@@ -28,6 +28,7 @@ BULLETS = ("•", "-", "*", "○", "●")
 
 def runs_of(p, links: dict[str, str]) -> list[dict]:
     out, at = [], 0
+    linked = {r: links.get(h.get(R + "id") or "") for h in p.iter(W + "hyperlink") for r in h.iter(W + "r")}
     for node in p.iter(W + "r"):
         text = "".join((t.text or "") if t.tag == W + "t" else "\t" for t in node if t.tag in (W + "t", W + "tab"))
         if not text:
@@ -35,13 +36,8 @@ def runs_of(p, links: dict[str, str]) -> list[dict]:
         f = node.find(W + "rPr")
         on = lambda k: f is not None and (x := f.find(W + k)) is not None and x.get(W + "val") not in ("0", "false", "none")
         val = lambda k, a="val": x.get(W + a) if f is not None and (x := f.find(W + k)) is not None else None
-        out.append({"text": text, "start": at, "end": at + len(text), "bold": on("b"), "italic": on("i"), "underline": on("u"), "strikethrough": on("strike"), "highlight": val("highlight"), "hyperlink": None, "font": val("rFonts", "ascii"), "size": int(val("sz")) / 2 if val("sz") else None})
+        out.append({"text": text, "start": at, "end": at + len(text), "bold": on("b"), "italic": on("i"), "underline": on("u"), "strikethrough": on("strike"), "highlight": val("highlight"), "hyperlink": linked.get(node), "font": val("rFonts", "ascii"), "size": int(val("sz")) / 2 if val("sz") else None})
         at += len(text)
-    for h in p.iter(W + "hyperlink"):
-        inside = "".join(t.text or "" for t in h.iter(W + "t"))
-        for r in out:
-            if r["text"] and r["text"] in inside and r["hyperlink"] is None:
-                r["hyperlink"] = links.get(h.get(R + "id") or "")
     text = "".join(r["text"] for r in out)
     lead, full = len(text) - len(text.lstrip()), len(text.strip())
     trimmed = []

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill.operators import document, edits, findings, runs
+from proofmill.operators import briefs_checks, document, edits, findings, runs
 from proofmill.sources import config, office
 
 COLUMNS = f"doc_id string, idx long, elem_type string, level int, text string, start_offset long, end_offset long, runs array<{office.RUN}>"
@@ -60,3 +60,12 @@ def test_config_lists_are_guarded():
 def test_unreadable_files_are_told(spark):
     files = spark.createDataFrame([("a.docx", bytearray(b"no zip"))], "path string, content binary")
     assert [(r.path, r.error.split(":")[0]) for r in office.unreadable(files, office.docx_leaves).collect()] == [("a.docx", "BadZipFile")]
+
+
+def test_keywords_that_are_nowhere_highlighted(spark):
+    text = "the bonus and the slots of this site are here for all of you"
+    rows = [("d", 0, "paragraph", None, text, 0, len(text), [run("the ", 0), run("bonus", 4, highlight="yellow"), run(text[9:], 9)])]
+    el = spark.createDataFrame(rows, COLUMNS)
+    asked = spark.createDataFrame([("d", k, 1, None, g) for k, g in (("bonus", "main"), ("slot", "main"), ("site", "support"))], "doc_id string, keyword string, low int, high int, grp string")
+    found = briefs_checks.keywords(el, asked).where("sub_check = 'highlighting'").collect()
+    assert [(r.original_text, r.start_offset, r.end_offset) for r in found] == [("slots", 18, 23)]
