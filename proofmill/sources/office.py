@@ -193,6 +193,7 @@ def highlight_name(red, green, blue):
     """A highlight's name from its colour; unknown colours count as yellow, white and none as null."""
     r, g, b = (F.coalesce(c, F.lit(0.0)) for c in (red, green, blue))
     low = lambda c: c < 0.5
+    # colours and their bounds: fixed values
     rules = (
         ("yellow", (r > 0.8) & (g > 0.8) & low(b)), ("bright green", low(r) & (g > 0.7) & low(b)), ("turquoise", low(r) & (g > 0.7) & (b > 0.7)), ("pink", (r > 0.7) & low(g) & (b > 0.7)),
         ("red", (r > 0.7) & low(g) & low(b)), ("blue", low(r) & low(g) & (b > 0.7)), ("gray 25", (r > 0.3) & (r < 0.7) & (F.abs(r - g) < 0.2) & (F.abs(g - b) < 0.2)),
