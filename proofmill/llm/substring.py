@@ -126,44 +126,57 @@ def duplicate_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WI
 
 
 def matches(every: DataFrame, rows: DataFrame, width: int, run: int, hot: int, longer: int | None) -> tuple[DataFrame, DataFrame]:
-    """Spans (id, t, lo, hi) of repeated windows among the given runs, and the runs of crowded anchors by grams of longer words."""
+    """Spans (id, t, lo, hi) of repeated windows among the given runs, and the runs of crowded anchors by grams of longer words.
+
+    Runs of the first level have no words yet: they are fetched from rows. Those made of crowded anchors bring theirs along.
+    """
+    bring = [c for c in ("words",) if c in every.columns]
     shared = every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
     every = stored(split_join(every, stored(shared, "heads"), ["anchor"]), "shared")
-    first = every.groupBy(*SEQUENCE).agg(F.min(F.struct("id", "t", "x", "w")).alias("f"), F.count("*").alias("n")).select(*SEQUENCE, "f.*", "n")
+    first = every.groupBy(*SEQUENCE).agg(F.min(F.struct("id", "t", "x", "w", *bring)).alias("f"), F.count("*").alias("n")).select(*SEQUENCE, "f.*", "n")
     first = stored(first, "first")
     runs = first.drop("n").withColumn("hot", F.lit(False))
     if longer:
         crowded = first.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("anchor", F.lit(True).alias("hot"))
         runs = runs.drop("hot").join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = runs.groupBy("id", "t").agg(F.collect_list(F.struct(*SEQUENCE, "x", "w", "hot")).alias("runs"))
-    # one row for each (id, t), should the table repeat rows
-    held = rows.join(wanted, ["id", "t"]).select("id", "t", "text", "runs").dropDuplicates(["id", "t"])
-    schema = pa.schema([*RUN_SCHEMA, ("words", pa.binary())])
+    schema = pa.schema([*RUN_SCHEMA, ("words", pa.binary()), ("again", pa.bool_())])
 
     def cut(it):
-        """Sequences with their words; those of crowded anchors as runs of other anchors, without words."""
+        """Sequences with their words; those of crowded anchors as runs of other anchors."""
         hashes, powers = Hashes(), (Powers(BASE), Powers(OTHER))
         for b in it:
-            for i, t, h, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), hashes.of(b.column(2).to_pylist()), b.column(3).to_pylist()):
+            if bring:
+                names, texts = b.column("id").to_pylist(), [np.frombuffer(x, np.uint64) for x in b.column("words").to_pylist()]
+                wanted = [[r | {"x": 0, "at": r["x"]}] for r in b.select([*SEQUENCE, "x", "w", "hot"]).to_pylist()]
+            else:
+                names, texts = b.column("id").to_pylist(), hashes.of(b.column("text").to_pylist())
+                wanted = [[r | {"at": r["x"]} for r in one] for one in b.column("runs").to_pylist()]
+            for i, t, h, some in zip(names, b.column("t").to_pylist(), texts, wanted):
                 parts = []
-                for r in runs:
+                for r in some:
                     own = h[r["x"] : r["x"] + r["w"] + width - 1]
                     if r["hot"]:
-                        a, s, o, x, w = anchors(own, powers, width, longer, run)
-                        parts += [(*p, None) for p in zip(*(c.view(np.int64).tolist() for c in (a, s, o)), [i] * len(a), [t] * len(a), (x + r["x"]).tolist(), w.tolist())]
+                        for a, s, o, x, w in zip(*(c.view(np.int64).tolist() for c in anchors(own, powers, width, longer, run))):
+                            parts.append((a, s, o, i, t, r["at"] + x, w, own[x : x + w + width - 1].tobytes(), True))
                     else:
-                        parts.append((r["anchor"], r["seq"], r["other"], i, t, r["x"], r["w"], own.tobytes()))
+                        parts.append((r["anchor"], r["seq"], r["other"], i, t, r["at"], r["w"], own.tobytes(), False))
                 for lo in range(0, len(parts), 20_000):
                     yield record(schema, *zip(*parts[lo : lo + 20_000]))
 
-    parts = stored(held.mapInArrow(cut, RUNS + ", words binary"), "sequences")
-    dealt = parts.where("words is not null").select(*SEQUENCE, "id", "words").repartition("anchor").sortWithinPartitions("anchor")
+    if bring:
+        held = runs
+    else:
+        wanted = runs.groupBy("id", "t").agg(F.collect_list(F.struct(*SEQUENCE, "x", "w", "hot")).alias("runs"))
+        # one row for each (id, t), should the table repeat rows
+        held = rows.join(wanted, ["id", "t"]).select("id", "t", "text", "runs").dropDuplicates(["id", "t"])
+    parts = stored(held.mapInArrow(cut, RUNS + ", words binary, again boolean"), "sequences")
+    dealt = parts.where("not again").select(*SEQUENCE, "id", "words").repartition("anchor").sortWithinPartitions("anchor")
     hits = stored(dealt.mapInArrow(lambda it: search(it, width), "seq long, other long, first int, last int, id long"), "hits")
     # a later document has every window of its sequence in the first one; the first has what the index reports
     later = split_join(every, first.select(*SEQUENCE, F.col("id").alias("own"), "n"), SEQUENCE).where("id > own")
     spans = later.select("id", "t", F.col("x").alias("lo"), (F.col("x") + F.col("w") + (width - 1)).alias("hi"))
     own = every.join(hits, ["seq", "other", "id"]).select("id", "t", F.col("x") + F.col("first"), F.col("x") + F.col("last") + width)
-    return spans.union(own), parts.where("words is null").drop("words")
+    return spans.union(own), parts.where("again").drop("again")
 
 
 def search(it, width: int):
