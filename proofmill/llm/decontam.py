@@ -110,7 +110,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     prints = stored(windows.groupBy("size", "fp").agg(F.count("*").alias("n")), "prints")
     listed = items.select("size", "ifp", "item_id", probes(F.col("ifp"), LISTED).alias("k")).select("size", "ifp", "item_id", "k.*")
     asked = prints.select("size", "fp", probes(F.col("fp"), ASKED).alias("k")).select("size", "fp", "k.*")
-    near = asked.join(listed, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
+    # probes are many times the rows they come from, by which Spark would judge their size: no broadcast
+    near = asked.hint("merge").join(listed, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
     found = near.groupBy("size", "fp").agg(F.collect_set("item_id").alias("items"))
     found = stored(prints.join(found, ["size", "fp"]), "found")
     pairs = split_join(windows.withColumnRenamed("n", "words"), found, ["size", "fp"])
