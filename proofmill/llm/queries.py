@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, packing, pivots, simhash, substring, tokenfile, toxicity, warc
+from . import bytebpe, decontam, dialogue, langid, licenses, packing, pivots, simhash, substring, tokenfile, toxicity, warc, whitening
 from .common import table
 
 
@@ -67,6 +67,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc("id") % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_embedding_near_dedup, op3_license_scan, op4_packing, op5_warc, op6_substring_dedup, op7_decontamination, op8_toxicity, op9_simhash_near_dedup, op10_language_id)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.damage(table(spark, sf_dir, "conversations"))
+    return dialogue.digests(rows, dialogue.audits(rows))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it leaves 64 bits."""
+    rows = whitening.integers(table(spark, sf_dir, "embeddings"))
+    found = whitening.whitened(rows, whitening.fit(rows)).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bytebpe.digests(bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"))))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_embedding_near_dedup, op3_license_scan, op4_packing, op5_warc, op6_substring_dedup, op7_decontamination, op8_toxicity,
+        op9_simhash_near_dedup, op10_language_id, op11_conversation_repair, op12_embedding_whitening, op13_byte_bpe,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.ORACLE}
