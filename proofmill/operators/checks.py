@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..sources.config import brand_pattern, operator_pattern
+from ..sources.config import split_brand, stop_forms
 from ..sources.corpus import in_order
+from . import phrases
 from .document import of_type
 from .findings import make, make_each
 
@@ -39,29 +40,14 @@ def at(col: str) -> Column:
     return F.col("start_offset") + F.col(col)
 
 
-def excluded(text: Column) -> Column:
-    """Spans of URLs, addresses and quotes."""
-    return F.flatten(F.array(*(T.match_spans(text, p, True) for p in (L.URL, L.EMAIL, L.QUOTED))))
-
-
-def outside(rows: DataFrame) -> DataFrame:
-    """Matches that no excluded span of their leaf contains."""
-    risky = F.col("text").rlike("[@\"'“‘]|(?i)https?://|www\\.|\\.(com|org|net|co\\.uk|io|ai|bet|casino|gg)")
-    return rows.where(~F.when(risky, F.exists(excluded(F.col("text")), lambda x: (F.col("s") >= x["start"]) & (F.col("e") <= x["end"]))).otherwise(F.lit(False)))
-
-
 # --- stop words ---
 
 
 def stop_word_hits(el: DataFrame, terms: list[tuple[str, str, str]]) -> DataFrame:
-    """(…, tier, term, s, e, m) of each stop word in paragraphs. terms: (tier, term, pattern).
-
-    Terms are few and fixed, so their patterns are literals: one pass over the leaves, no join.
-    """
-    one = lambda tier, term, p: F.transform(T.match_spans(F.col("text"), p), lambda x: F.struct(F.lit(tier).alias("tier"), F.lit(term).alias("term"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
-    # stop words are rare: most leaves are left after one pass of all patterns
-    rows = of_type(el, "paragraph").where(F.col("text").rlike("|".join(f"(?:{p})" for _, _, p in terms)))
-    return rows.select("*", F.explode(F.flatten(F.array(*(one(*t) for t in terms)))).alias("h")).select("*", "h.*").drop("h")
+    """(doc_id, idx, …, tier, term, s, e, m) of each stop word in paragraphs, in any of its forms. terms: (tier, term, …)."""
+    forms = [(tier, term, form) for tier, term, *_ in terms for form in stop_forms(term)]
+    words = phrases.terms(el.sparkSession.createDataFrame(forms, "tier string, term string, form string"), "form")
+    return phrases.hits(of_type(el, "paragraph"), words).drop("form")
 
 
 def soft_gate(el: DataFrame, hits: DataFrame, share: float = 0.005) -> DataFrame:
@@ -73,9 +59,9 @@ def soft_gate(el: DataFrame, hits: DataFrame, share: float = 0.005) -> DataFrame
 
 def stop_word_counts(el: DataFrame, terms: list[tuple[str, str, str]]) -> DataFrame:
     """(doc_id, hard, soft, total_words) of every document with a paragraph."""
-    count = lambda tier: sum((F.regexp_count("text", F.lit(p)) for k, _, p in terms if k == tier), F.lit(0))
-    rows = of_type(el, "paragraph").select("doc_id", count("hard").alias("h"), count("soft").alias("s"), T.space_words(F.col("text")).alias("w"))
-    return rows.groupBy("doc_id").agg(F.sum("h").alias("hard"), F.sum("s").alias("soft"), F.sum("w").alias("total_words"))
+    words = of_type(el, "paragraph").groupBy("doc_id").agg(F.sum(T.space_words(F.col("text"))).alias("total_words"))
+    n = stop_word_hits(el, terms).groupBy("doc_id").agg(*(F.count_if(F.col("tier") == k).alias(k) for k in ("hard", "soft")))
+    return words.join(n, "doc_id", "left").select("doc_id", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("hard", "soft")), "total_words")
 
 
 @check("stop_words")
@@ -347,9 +333,9 @@ def locale_spelling(el: DataFrame, region: str = "british", swaps: list[tuple[st
     """Words of another region's spelling. swaps: (region, wrong, right), a word list; only its words are looked for."""
     right = {w: r for k, w, r in (L.swaps() if swaps is None else swaps) if k == region}
     doubt = {a: b for b, a in L.AMBIGUOUS.items() if a not in right} if region in ("british", "australian", "new_zealand") else {}
-    both = F.create_map(*(F.lit(x) for kv in (right | doubt).items() for x in kv))
-    hits = outside(spans(el, r"\b(?:" + "|".join(sorted(right | doubt, key=lambda w: (-len(w), w))) + r")\b", True))
-    hits = hits.withColumn("wrong", F.lower("m")).withColumn("right", F.element_at(both, F.lower("m"))).withColumn("sure", ~F.col("wrong").isin(list(doubt)) if doubt else F.lit(True))
+    rows = [(w, r, w in right) for w, r in (right | doubt).items()]
+    words = phrases.lexicon(el.sparkSession, rows, "term string, right string, sure boolean")
+    hits = phrases.hits(el, words, spans=phrases.excluded(F.col("text"))).withColumn("wrong", F.lower("m"))
     sub = F.when(F.col("sure"), spelling_kind(F.col("wrong"), F.col("right"))).otherwise("context")
     return make(
         hits, "locale_spelling", sub, "spelling", F.when(F.col("sure"), "warning").otherwise("suggestion"), F.when(F.col("sure"), 0.95).otherwise(0.7), at("s"), at("e"), F.col("m"),
@@ -367,10 +353,13 @@ def spelling_kind(wrong: Column, right: Column) -> Column:
 # --- brands ---
 
 
-def brand_mentions(el: DataFrame, brands: list[tuple[str, str]]) -> DataFrame:
-    """(…, name, s, e, m) of each brand outside quotes, addresses and URLs. brands: (name, pattern)."""
-    one = lambda n, p: F.transform(T.match_spans(F.col("text"), p), lambda x: F.struct(F.lit(n).alias("name"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
-    return outside(el.select("*", F.explode(F.flatten(F.array(*(one(*b) for b in brands)))).alias("h")).select("*", "h.*").drop("h"))
+def brand_mentions(el: DataFrame, brands: list[tuple[str, str, bool]]) -> DataFrame:
+    """(…, name, s, e, m, before) of each brand outside quotes, addresses and URLs, with the 15 characters before it.
+
+    brands: (name, form, loose); a loose form's parts may have any white space and hyphens between them.
+    """
+    made = el.sparkSession.createDataFrame(brands, "name string, form string, loose boolean")
+    return phrases.hits(el, phrases.terms(made, "form", F.col("loose")), 15, phrases.excluded(F.col("text"))).drop("form")
 
 
 def norm_key(x: Column) -> Column:
@@ -397,27 +386,28 @@ def with_dominant(mentions: DataFrame, own: str | None = None, least: int = 5) -
 
 def dominant_operator(el: DataFrame, operators: list[str], own: str | None = None, least: int = 5) -> DataFrame:
     """(doc_id, name, n, second) of the documents with a dominant operator."""
-    found = with_dominant(brand_mentions(el, [(o, operator_pattern(o)) for o in operators]), own, least)
+    found = with_dominant(brand_mentions(el, [(o, o, False) for o in operators]), own, least)
     return found.where("dominant IS NOT NULL").select("doc_id", "dominant.*").distinct()
 
 
 def canonical_forms(el: DataFrame, canonical: str) -> DataFrame:
     """(form, n): how a brand is written in the corpus, by count."""
-    return spans(el, brand_pattern(canonical)).groupBy(F.col("m").alias("form")).agg(F.count("*").alias("n"))
+    forms = phrases.lexicon(el.sparkSession, [(f,) for f in phrases.join_forms(split_brand(canonical))], "term string", loose=True)
+    return phrases.hits(el, forms).groupBy(F.col("m").alias("form")).agg(F.count("*").alias("n"))
 
 
 @check("brand_names")
 def brand_names(el: DataFrame, canonical: str, operators: list[str], mapping: dict[str, str] | None = None, dominance: float = 1.0, threshold: float = 0.85) -> DataFrame:
     """Own and other brands, found in one scan of the leaves."""
-    names = [("", brand_pattern(canonical)), *((o, operator_pattern(o)) for o in operators)]
-    every = brand_mentions(el, names)
+    names = [("", form, True) for form in phrases.join_forms(split_brand(canonical))]
+    every = brand_mentions(el, names + [(o, o, False) for o in operators])
     right = F.lit(canonical)
     if mapping:
         right = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv)), F.col("m")), right)
     other = F.col("name") != ""
     # the own brand's form takes no part in the operators' count
     rows = with_dominant(every.withColumn("rival", F.when(other, F.col("name"))).withColumn("name", F.col("rival")), canonical) if operators else every.withColumn("rival", F.lit(None).cast("string"))
-    before = F.lower(F.substring("text", F.greatest(F.col("s") - 15, F.lit(0)) + 1, F.least(F.col("s"), F.lit(15))))
+    before = F.lower("before")
     common = F.lower("m").isin(L.AMBIGUOUS_OPERATORS) & (~F.col("m").rlike("^[A-Z]") | before.rlike("(" + "|".join(L.COMMON_PREFIXES) + ")$"))
     own = F.col("rival").isNull() & (F.col("m") != canonical) & (F.col("m") != right)
     rules = [(own, "own_brand", "brand", "warning", 0.95, at("s"), at("e"), F.col("m"), right, "the brand's own form", dominance >= threshold)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import briefs_checks, checks, document, findings, profile, standards
+from ..operators import briefs_checks, checks, document, findings, phrases, profile, standards
 from ..sources.config import brand_pattern, operator_pattern
 from .articles import EL, HARD, SOFT, spans_sql
 from .queries import LAYER, OPERATORS, SETS, query
@@ -76,7 +76,7 @@ OUTSIDE = "NOT EXISTS (SELECT 1 FROM xs WHERE xs.doc_id = f.doc_id AND xs.idx =
 
 @query(EL + SPANS + " SELECT doc_id, idx, count(*) AS spans FROM xs GROUP BY 1, 2")
 def excluded_spans(spark, sf_dir, el):
-    return el.select("doc_id", "idx", F.size(checks.excluded(F.col("text"))).cast("long").alias("spans")).where("spans > 0")
+    return el.select("doc_id", "idx", F.size(phrases.excluded(F.col("text"))).cast("long").alias("spans")).where("spans > 0")
 
 
 # --- voice and headings ---

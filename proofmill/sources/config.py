@@ -104,6 +104,14 @@ def stop_pattern(word: str) -> str:
     return rf"(?i)\b{w}(?:s|ing|ed|ly)?\b"
 
 
+def stop_forms(word: str) -> list[str]:
+    """The forms of a stop word that stop_pattern finds."""
+    w = word.lower()
+    if " " in w or "-" in w:
+        return [w]
+    return [w, w + "s", w + "ly", w[:-1] + "ing", w[:-1] + "ed"] if w.endswith("e") else [w, *(w + end for end in ("s", "ing", "ed", "ly"))]
+
+
 def spelling(spark: SparkSession) -> DataFrame:
     """(region, wrong, right)."""
     return spark.createDataFrame(L.swaps(), "region string, wrong string, right string")
