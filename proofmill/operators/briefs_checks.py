@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import phrases
 from .checks import check
 from .document import full_text, of_type
 from .findings import make, make_each
+from .intervals import claimed
 from .runs import highlighted_spans
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\\[\](){}.*+?^$|/-])", r"\\$1")
+def variant_hits(el: DataFrame, forms: DataFrame) -> DataFrame:
+    """(doc_id, start, end and the other columns of forms): where a document has its own forms, in the whole text.
+
+    forms: (doc_id, variant, …). All documents' variants are one lexicon, so the text is read once however many there are.
+    """
+    lexicon = phrases.terms(forms.select("variant").distinct(), "variant")
+    found = phrases.hits(el.select("doc_id", "idx", "start_offset", "text"), lexicon)
+    at = lambda c: (F.col("start_offset") + F.col(c)).alias({"s": "start", "e": "end"}[c])
+    return found.select("doc_id", "variant", at("s"), at("e")).join(forms, ["doc_id", "variant"])
 
 
 def keyword_hits(el: DataFrame, keywords: DataFrame) -> DataFrame:
     """(doc_id, keyword, grp, start, end): occurrences that overlap none of a longer keyword.
 
-    keywords: (doc_id, keyword, low, high, grp), a brief's few keywords per document. All variants of a keyword are one
-    pattern. Longer keywords claim first, then earlier ones, then earlier positions: a fold over the document's hits.
+    keywords: (doc_id, keyword, low, high, grp), a brief's few keywords per document. All variants of a keyword count as it.
+    Longer keywords claim their places first, then keywords in alphabetical order, then earlier places.
     """
-    texts = full_text(el).withColumn("low", F.lower("full_text"))
-    asked = keywords.select("doc_id", "keyword", "grp", F.array_join(F.transform(T.keyword_variants(F.col("keyword")), escape), "|").alias("p")).where("trim(keyword) <> ''")
-    # patterns differ by row: matches and the gaps between them walk the text, as in match_spans
-    rows = asked.join(texts, "doc_id").withColumn("p", F.concat(F.lit(r"\b(?:"), "p", F.lit(r")\b")))
-    hits = F.expr("regexp_extract_all(low, p, 0)")
-    gaps = F.expr("split(low, p, -1)")
-    found = rows.select("doc_id", "keyword", "grp", F.explode(T.located(gaps, hits)).alias("x"))
-    flat = found.select("doc_id", "keyword", "grp", F.col("x.start").alias("start"), F.col("x.end").alias("end"), (-F.length("keyword")).alias("rank"))
-    ordered = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "start", "end", "grp"))).alias("all"))
-    none = F.filter("all", lambda x: F.lit(False))
-    keep = F.aggregate("all", none, lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return ordered.select("doc_id", F.explode(keep).alias("x")).select("doc_id", "x.keyword", "x.grp", "x.start", "x.end")
+    forms = keywords.where("trim(keyword) <> ''").select("doc_id", "keyword", "grp", F.explode(T.keyword_variants(F.col("keyword"))).alias("variant"))
+    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("keyword")), "keyword")
+    found = variant_hits(el, forms.withColumn("rank", F.dense_rank().over(first)))
+    return claimed(found.select("doc_id", "keyword", "grp", "rank", "start", "end"), "rank", "doc_id").drop("rank")
 
 
 def keyword_counts(el: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -42,16 +43,17 @@ def keyword_counts(el: DataFrame, keywords: DataFrame) -> DataFrame:
     return keywords.join(hits, ["doc_id", "keyword"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
-def nearby(text: Column, keyword: Column, reach: int = 50) -> Column:
-    """Whether all words of a keyword stand within reach characters of one place of its first word."""
-    words = T.tokens(T.normal_keyword(keyword))
-    places = lambda w: F.filter(F.transform(F.split(F.lower(text), F.concat(F.lit(r"\b"), escape(w), F.lit(r"\b"))), lambda x: F.length(x)), lambda n: n >= 0)
-    starts = lambda w: F.aggregate(
-        places(w), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, n: F.struct((a["at"] + n + F.length(w)).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out")),
-        lambda a: F.slice(a["out"], 1, F.size(a["out"]) - 1),
-    )
-    return (F.size(words) > 1) & F.exists(starts(F.get(words, 0)), lambda p: F.forall(words, lambda w: F.exists(starts(w), lambda q: F.abs(p - q) < reach)))
+def nearby(el: DataFrame, keywords: DataFrame, reach: int = 50) -> DataFrame:
+    """(doc_id, keyword) of keywords of several words that all begin within reach characters of one place of the first.
+
+    A band join without pairs: the places of a keyword's words in one order, and a window of reach to either side.
+    """
+    words = F.transform(T.tokens(T.normal_keyword(F.col("keyword"))), lambda w, i: F.struct(w.alias("variant"), (i == 0).alias("first")))
+    asked = keywords.select("doc_id", "keyword", F.explode(words).alias("w")).groupBy("doc_id", "keyword", F.col("w.variant").alias("variant")).agg(F.bool_or("w.first").alias("first"))
+    asked = asked.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "keyword"))).where("n > 1")
+    band = Window.partitionBy("doc_id", "keyword").orderBy("start").rangeBetween(-(reach - 1), reach - 1)
+    found = variant_hits(el, asked).withColumn("start", F.col("start").cast("long"))
+    return found.withColumn("near", F.size(F.collect_set("variant").over(band))).where("first AND near = n").select("doc_id", "keyword").distinct()
 
 
 def document_words(el: DataFrame) -> DataFrame:
@@ -66,9 +68,10 @@ def keywords(el: DataFrame, asked: DataFrame, brand: str | None = None, market:
     """
     words = document_words(el).where("words >= 10")
     n = keyword_counts(el, asked).join(words, "doc_id").withColumn("idx", F.lit(0).cast("long"))
-    texts = full_text(el)
     zero, none = F.lit(0), F.lit("")
-    missing = n.where("n = 0").join(texts, "doc_id").withColumn("close", nearby(F.col("full_text"), F.col("keyword")))
+    absent = n.where("n = 0")
+    close = nearby(el, absent.select("doc_id", "keyword")).withColumn("close", F.lit(True))
+    missing = absent.join(close, ["doc_id", "keyword"], "left").withColumn("close", F.coalesce("close", F.lit(False)))
     out = make(missing, "keywords", F.when(F.col("close"), "wrong_construction").otherwise("truly_absent"), "keywords", "warning", 0.95, zero, zero, none, None, F.concat(F.lit("missing: "), "keyword"), False)
     few = n.where("n > 0 AND low IS NOT NULL AND n < low")
     out = out.unionByName(make(few, "keywords", "below_min", "keywords", "warning", 0.9, zero, zero, none, None, F.concat_ws(" ", "keyword", "n", F.lit("of"), "low"), False))

@@ -5,10 +5,10 @@ A run is a struct with text, start and end in its leaf, and formats; see sources
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .edits import adjust_runs
+from ..functions.text import starts
 
 FLAGS = ("bold", "italic", "underline", "strikethrough")
 
@@ -57,6 +57,48 @@ def linked_spans(el: DataFrame) -> DataFrame:
     return spans(el, is_linked).withColumn("url", F.col("run.hyperlink"))
 
 
-def after_fixes(runs: Column, fixes: Column) -> Column:
-    """Runs of a leaf after its sorted, disjoint fixes (struct<s, e, fix>): the last one first, so that offsets stay true."""
-    return F.aggregate(F.reverse(fixes), runs, lambda acc, x: adjust_runs(acc, x["s"], x["e"], x["fix"]))
+def after_fixes(leaves: DataFrame) -> DataFrame:
+    """(doc_id, idx, runs) of leaves (doc_id, idx, runs, fixes) after their sorted, disjoint fixes (struct<s, e, fix>).
+
+    Runs before a fix stay, runs behind it shift, others are cut; a fix takes the formats of the run with which it overlaps
+    most, the first of equals, and an insertion those of the run around it. A sweep: the borders of runs and fixes of a leaf
+    in one order give its segments, each with the run and the fix that are open there and the growth of the fixes before.
+    A leaf of which nothing is left has no row.
+    """
+    grow = F.transform("fixes", lambda x: F.length(x["fix"]) - (x["e"] - x["s"]))
+    numbered = leaves.select("doc_id", "idx", "runs", "fixes", starts(grow).alias("before"))
+    runs = numbered.select("doc_id", "idx", F.posexplode("runs").alias("run_no", "run"))
+    one = F.arrays_zip(F.col("fixes").alias("x"), F.col("before").alias("before"))
+    fixes = numbered.select("doc_id", "idx", F.posexplode(one).alias("fix_no", "y")).select("doc_id", "idx", "fix_no", "y.x.s", "y.x.e", "y.x.fix", "y.before")
+    fixes = fixes.withColumn("after", F.col("before") + F.length("fix") - (F.col("e") - F.col("s")))
+    run, fix = F.struct("run_no", "run"), F.struct("fix_no", "s", "e", "fix", "before")
+    # at one place: ends before insertions before starts
+    border = lambda df, at, kind, **more: df.select("doc_id", "idx", at.alias("at"), F.lit(kind).alias("kind"), *(c.alias(k) for k, c in more.items()))
+    wide = F.col("e") > F.col("s")
+    parts = [
+        border(runs, F.col("run.end"), 0), border(fixes.where(wide), F.col("e"), 1, grown=F.col("after")),
+        border(fixes.where(~wide), F.col("s"), 2, grown=F.col("after"), point=fix),
+        border(fixes.where(wide), F.col("s"), 3, fix=fix), border(runs, F.col("run.start"), 4, run=run),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    order = Window.partitionBy("doc_id", "idx").orderBy("at", "kind", F.col("point.fix_no"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(upto)
+    rows = rows.select("doc_id", "idx", "at", "kind", F.col("run").alias("opens"), "point", last("run").alias("run"), last("fix").alias("fix"), F.coalesce(last("grown"), F.lit(0)).alias("grown"), F.lead("at").over(order).alias("to"))
+    inside = F.col("run.run.end") > F.col("at")
+    fixed = F.coalesce(F.col("fix.e") > F.col("at"), F.lit(False))
+    here = F.col("to") > F.col("at")
+    text = F.substring(F.col("run.run.text"), F.col("at") - F.col("run.run.start") + 1, F.col("to") - F.col("at"))
+    kept = rows.where(here & inside & ~fixed).select("doc_id", "idx", "run.run", text.alias("text"), (F.col("at") + F.col("grown")).alias("start"))
+    bare = rows.where((F.col("opens.run.end") == F.col("at")) & ~F.coalesce((F.col("fix.s") < F.col("at")) & fixed, F.lit(False)))
+    bare = bare.select("doc_id", "idx", "opens.run", F.lit("").alias("text"), (F.col("at") + F.col("grown")).alias("start"))
+    shares = rows.where(here & inside & fixed).groupBy("doc_id", "idx", "fix").agg(F.max(F.struct((F.col("to") - F.col("at")).alias("share"), (-F.col("run.run_no")).alias("no"), F.col("run.run").alias("run"))).alias("main"))
+    put = shares.select("doc_id", "idx", "main.run", F.col("fix.fix").alias("text"), (F.col("fix.s") + F.col("fix.before")).alias("start"))
+    around = rows.where(F.col("point").isNotNull() & (F.col("run.run.start") < F.col("at")) & inside)
+    around = around.select("doc_id", "idx", "run.run", F.col("point.fix").alias("text"), (F.col("point.s") + F.col("point.before")).alias("start"))
+    pieces = kept.unionByName(put.where("text <> ''")).unionByName(around.where("text <> ''")).unionByName(bare)
+    made = F.col("run").withField("text", F.col("text")).withField("start", F.col("start").cast("int")).withField("end", (F.col("start") + F.length("text")).cast("int"))
+    gathered = pieces.groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct("start", F.length("text").alias("n"), made.alias("run")))).alias("all"))
+    return gathered.select("doc_id", "idx", F.transform("all", lambda x: x["run"]).alias("runs"))
