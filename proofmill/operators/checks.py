@@ -421,15 +421,16 @@ def brand_names(el: DataFrame, canonical: str, operators: list[str], mapping: di
 
 
 def claims(el: DataFrame) -> DataFrame:
-    """(doc_id, idx, category, kind, value, number, context, offset) of the numeric claims of paragraphs."""
-    parts = []
-    for category, p in L.CLAIM_PATTERNS.items():
-        rows = spans(of_type(el, "paragraph"), p, True).withColumn("value", F.regexp_extract("m", "(?i)" + p, 1)).withColumn("category", F.lit(category))
-        number = F.regexp_replace(F.regexp_replace("value", r"[$,\s]", ""), r"(?i)[x%+]$", "")
-        parts.append(rows.withColumn("number", F.coalesce(number.try_cast("double"), F.lit(0.0))))
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
+    """(doc_id, idx, category, kind, value, number, context, offset) of the numeric claims of paragraphs, in one scan."""
+
+    def of(category: str, p: str) -> Column:
+        claim = lambda x: F.struct(F.lit(category).alias("category"), x["start"].alias("s"), x["text"].alias("m"), F.regexp_extract(x["text"], "(?i)" + p, 1).alias("value"))
+        return F.transform(T.match_spans(F.col("text"), p, True), claim)
+
+    rows = of_type(el, "paragraph").where(F.col("text").rlike(r"\d"))
+    rows = rows.select("doc_id", "idx", "start_offset", F.explode(F.flatten(F.array(*(of(*c) for c in L.CLAIM_PATTERNS.items())))).alias("c")).select("doc_id", "idx", "start_offset", "c.*")
+    number = F.regexp_replace(F.regexp_replace("value", r"[$,\s]", ""), r"(?i)[x%+]$", "")
+    rows = rows.withColumn("number", F.coalesce(number.try_cast("double"), F.lit(0.0)))
     rows = rows.where("NOT (category = 'GAME_COUNT' AND number < 10) AND NOT (category = 'BONUS_AMOUNT' AND number < 5)")
     kind = None
     for name, words in L.CLAIM_KINDS.items():
@@ -440,10 +441,31 @@ def claims(el: DataFrame) -> DataFrame:
     return rows.select("doc_id", "idx", "category", kind.otherwise("generic").alias("kind"), "value", "number", F.trim("m").alias("context"), at("s").alias("offset"))
 
 
+def claim_classes(found: DataFrame) -> DataFrame:
+    """(doc_id, category, kind, number, n, first, links, lead): the values that claims of one kind in a document give.
+
+    n claims give the value, the first of them at first; links of them with claims that give another one. lead is the value
+    most claims give, the earliest of equals. Only kinds with more than one value have rows: one a value, however many pairs.
+    """
+    whole = Window.partitionBy("doc_id", "category", "kind")
+    one = F.min(F.struct("offset", "value", "idx", "context")).alias("first")
+    rows = found.groupBy("doc_id", "category", "kind", "number").agg(F.count("*").alias("n"), one)
+    lead = F.min(F.struct((-F.col("n")).alias("less"), F.col("first.offset").alias("offset"), "number", "first")).over(whole)
+    rows = rows.withColumn("links", F.col("n") * (F.sum("n").over(whole) - F.col("n"))).withColumn("lead", lead)
+    return rows.where("links > 0").withColumn("lead", F.struct(F.col("lead.number").alias("number"), F.col("lead.first").alias("first")))
+
+
 def claim_conflicts(found: DataFrame) -> DataFrame:
-    """Pairs of claims of one kind in a document that give different values, in the order of their offsets."""
-    b = found.select("doc_id", "category", "kind", *(F.col(c).alias(f"{c}_b") for c in ("idx", "value", "number", "context", "offset")))
-    rows = found.join(b, ["doc_id", "category", "kind"]).where("(offset, value) < (offset_b, value_b) AND number <> number_b")
+    """Pairs of claims of one kind in a document that give different values: each value's first claim with that of the lead.
+
+    The earlier claim of a pair comes first. links: how many claims of the document the value's claims disagree with.
+    """
+    rows = claim_classes(found).where("number <> lead.number")
+    mine, other = F.struct(F.col("first"), F.col("number")), F.struct(F.col("lead.first").alias("first"), F.col("lead.number").alias("number"))
+    early = F.struct(F.col("first.offset"), F.col("first.value")) < F.struct(F.col("lead.first.offset"), F.col("lead.first.value"))
+    rows = rows.withColumn("a", F.when(early, mine).otherwise(other)).withColumn("b", F.when(early, other).otherwise(mine))
+    sides = [(F.col(f"{side}.number") if c == "number" else F.col(f"{side}.first.{c}")).alias(c + end) for side, end in (("a", ""), ("b", "_b")) for c in ("idx", "value", "number", "context", "offset")]
+    rows = rows.select("doc_id", "category", "kind", "links", *sides)
     return rows.withColumn("pair", F.row_number().over(Window.partitionBy("doc_id").orderBy("category", "kind", "offset", "offset_b", "value", "value_b")).cast("long"))
 
 
@@ -472,6 +494,7 @@ def judge(pairs: DataFrame, ask: Callable[[str], str | None] | None = None) -> D
     return pairs.join(answered, "doc_id", "left").withColumn("verdict", F.when(F.col("answer").isNotNull(), F.when(verdict == "", "UNCLEAR").otherwise(verdict))).drop("answer")
 
 
+@check("consistency")
 def consistency(el: DataFrame, ask: Callable[[str], str | None] | None = None) -> DataFrame:
     bad = judge(claim_conflicts(claims(el)), ask).where("verdict = 'CONFLICT'")
     return make(bad, "consistency", F.col("category"), "consistency", "warning", 0.85, F.col("offset"), F.col("offset") + F.length("context"), F.col("context"), None, F.concat(F.lit("elsewhere: "), "value_b"), False)

@@ -235,14 +235,6 @@ def missing_sections(spark, sf_dir, el):
     return briefs_checks.missing_sections(el, required).select("doc_id", "heading", F.size("present").alias("headings"))
 
 
-# --- claims ---
-
-
-@query()
-def claim_pairs(spark, sf_dir, el):
-    return checks.claim_conflicts(checks.claims(el)).groupBy("doc_id", "category", "kind").agg(F.count("*").alias("pairs"))
-
-
 # --- the whole run ---
 
 
