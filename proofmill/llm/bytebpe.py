@@ -21,14 +21,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Words, as_bytes, batches, ragged, record
+from .common import Words, as_bytes, ragged, record
 from .tokens import Ids
 
-#: Bytes of the chunks that a task remembers, and pairs of tokens, before it forgets them all.
-MAX_BYTES, MAX_PAIRS = 64_000_000, 2_000_000
+#: What a worker remembers before it forgets it all: chunks, their bytes, pieces, pairs of tokens. Together some 100 MB.
+MAX_CHUNKS, MAX_BYTES, MAX_PIECES, MAX_PAIRS = 200_000, 20_000_000, 200_000, 200_000
+#: Bytes of text, or of new pieces, that are taken at once: a text or piece that is longer goes alone.
+AT_ONCE = 1_000_000
 
 #: Code points that the regex package, by a later Unicode version, takes for letters or numbers and the
 #: pattern engine of the tiktoken library doesn't. A test compares the two over all code points.
@@ -54,14 +57,23 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def ranks_of(path: str | None) -> dict[bytes, int]:
+    with open(path or default_path(), "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+@lru_cache(1)
+def tokens_of(path: str | None) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks_of(path).items()}
+
+
 class Vocabulary:
     """The tokens of a rank file, with what the search needs to know of them."""
 
     def __init__(self, path: str | None = None) -> None:
         import ahocorasick
 
-        with open(path or default_path(), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranks = ranks_of(path)
         self.rank, self.token = ranks, {r: t for t, r in ranks.items()}
         single = {r for t, r in ranks.items() if len(t) == 1}
         if len(single) != 256 or max(single) != 255:
@@ -114,6 +126,9 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece of text; no merge leaves a piece."""
+        return [ids for lo, hi in slices(pieces) for ids in self.encode_some(pieces[lo:hi])]
+
+    def encode_some(self, pieces: list[bytes]) -> list[list[int]]:
         joined = APART.join([p.decode("latin-1") for p in pieces]) + APART
         found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         codes = np.frombuffer(joined.encode("utf-16-le"), "<u2")
@@ -150,9 +165,6 @@ class Vocabulary:
                 last = out[-1] if out else -1
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
-
 
 class Encoder:
     """Encodes texts; each distinct chunk of a task only once. A chunk is what stands between single spaces, and the pattern
@@ -168,16 +180,17 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.clear()
 
-    def clear(self) -> None:
-        self.chunks, self.pieces = Words(), Words()
-        self.of_chunks, self.of_pieces, self.held = Ids(), Ids(), 0
+    def clear(self, pieces: bool = True) -> None:
+        self.chunks, self.of_chunks, self.held = Words(), Ids(), 0
+        if pieces:
+            self.pieces, self.of_pieces = Words(), Ids()
         #: chunks with white space at an end, by number: the space beside them needn't begin a piece
         self.loose = np.zeros(0, bool)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """ids of each text as unsigned 32-bit integers; null counts as empty."""
-        if len(self.chunks.number) > MAX_WORDS or self.held > MAX_BYTES:
-            self.clear()
+        if len(self.chunks.number) > MAX_CHUNKS or self.held > MAX_BYTES:
+            self.clear(len(self.pieces.number) > MAX_PIECES or self.held > MAX_BYTES)
         plain = [(t or b"").decode("utf-8", "replace") for t in texts]
         numbers = [self.numbers(t.split(" ")) for t in plain]
         self.learn()
@@ -239,28 +252,50 @@ def encoder_of(path: str | None) -> Encoder:
     return Encoder(path)
 
 
-def slices(values: list[bytes | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(values: list[bytes | None], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
     """Ranges of values with not much over most bytes."""
+    return ranges([len(v or b"") for v in values], most)
+
+
+def ranges(sizes: list[int | None], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
     lo = held = 0
-    for hi, value in enumerate(values, 1):
-        held += len(value or b"")
-        if held >= most or hi == len(values):
+    for hi, size in enumerate(sizes, 1):
+        held += size or 0
+        if held >= most or hi == len(sizes):
             yield lo, hi
             lo, held = hi, 0
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids as little-endian unsigned 32-bit integers) of each row, by the rank file at path on every machine."""
-    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+def parts(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Arrow batches in parts of some AT_ONCE bytes of a binary column, and that column's values."""
+    for b in it:
+        for lo, hi in ranges(pc.binary_length(b.column(column)).to_pylist()):
+            part = b.slice(lo, hi - lo)
+            yield part, part.column(column).to_pylist()
+
+
+SCHEMA = "id long, n_tokens long, ids binary"
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
+    """(id, n_tokens, ids as little-endian unsigned 32-bit integers) of each row, by the rank file at path on every machine.
+
+    With decoded, also text: what the ids decode to, in the same pass.
+    """
+    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())] + [("text", pa.binary())] * decoded)
 
     def run(it):
-        encoder = encoder_of(path)
-        for names, texts in batches(it):
-            for lo, hi in slices(texts):
-                found = encoder.encode(texts[lo:hi])
-                yield record(schema, names.slice(lo, hi - lo), [len(x) for x in found], [x.astype("<u4").tobytes() for x in found])
+        encoder, token = encoder_of(path), tokens_of(path)
+        for part, texts in parts(it, 1):
+            found = encoder.encode(texts)
+            ids = [x.astype("<u4").tobytes() for x in found]
+            yield record(schema, part.column(0), [len(x) for x in found], ids, *[[plain(x, token) for x in ids]] * decoded)
+
+    return as_bytes(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", text binary" * decoded)
 
-    return as_bytes(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids binary")
+
+def plain(ids: bytes | None, token: dict[int, bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -268,14 +303,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("text", pa.binary())])
 
     def run(it):
-        vocabulary = encoder_of(path).vocabulary
-        for b in it:
-            ids = b.column(2).to_pylist()
-            for lo, hi in slices(ids):
-                texts = [vocabulary.decode(np.frombuffer(x or b"", "<u4")) for x in ids[lo:hi]]
-                yield record(schema, *b.slice(lo, hi - lo).columns, texts)
-
-    return encoded.select("id", "n_tokens", "ids").mapInArrow(run, "id long, n_tokens long, ids binary, text binary")
+        token = tokens_of(path)
+        for part, ids in parts(it, 2):
+            yield record(schema, *part.columns, [plain(x, token) for x in ids])
+
+    return encoded.select("id", "n_tokens", "ids").mapInArrow(run, SCHEMA + ", text binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

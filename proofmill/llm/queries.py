@@ -80,7 +80,7 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bytebpe.digests(bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"))))
+    found = bytebpe.digests(bytebpe.encode(table(spark, sf_dir, "documents"), decoded=True))
     return found.withColumnRenamed("id", "doc_id")
 
 
