@@ -108,9 +108,23 @@ def person_references(el: DataFrame) -> DataFrame:
     return rows.withColumn("kind", person_kind(before, after))
 
 
+def prose(el: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, carry, text): each document's paragraphs in order, joined by line feeds."""
+    parts = F.array_sort(F.collect_list(F.when(F.col("elem_type") == "paragraph", F.struct("idx", "text"))))
+    rows = el.groupBy("doc_id", *carry).agg(parts.alias("p"))
+    return rows.select("doc_id", *carry, F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+
+
+def person_kinds(texts: DataFrame) -> DataFrame:
+    """The columns of texts but text, and kind of each noun for a reader: judged by 50 characters of the whole text on
+    either side, whatever sentences and paragraphs they belong to."""
+    nouns = phrases.lexicon(texts.sparkSession, [(w,) for w in L.READER_NOUNS], "term string")
+    return phrases.hits(texts, nouns, 50, after=True).withColumn("kind", person_kind(F.col("before"), F.col("after")))
+
+
 def person_counts(el: DataFrame) -> DataFrame:
-    refs = person_references(el)
-    return refs.groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("reader", "generic", "unclear")))
+    """(doc_id, reader, generic, unclear) of documents with such nouns, counted over the whole prose."""
+    return person_kinds(prose(el)).groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("reader", "generic", "unclear")))
 
 
 def second_person(sentence: Column, s: Column, e: Column, noun: Column) -> Column:

@@ -51,17 +51,18 @@ def lexicon(spark: SparkSession, rows: Iterable[tuple], schema: str, loose: bool
     return terms(spark.createDataFrame(list(rows), schema), loose=F.lit(loose))
 
 
-def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None = None) -> DataFrame:
+def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None = None, after: bool = False) -> DataFrame:
     """The columns of el but text, those of the lexicon, s, e and m of each place where a term stands as whole tokens.
 
-    Places may overlap. context adds before: so many characters in front of each, in the leaf. With spans, an expression
+    Places may overlap. context adds before: so many characters in front of each, in the leaf; with after also those behind
+    it, if the terms end in a token. With spans, an expression
     over text that gives array<struct<start, end>>, hits that lie in one of them are left out.
     """
     spark, keep = el.sparkSession, [c for c in el.columns if c != "text"]
     # the bound is checked first: a lexicon of up to SMALL terms is a list, a larger one stays a table
     some = words.limit(SMALL + 1).collect()
     if not some:
-        return nothing(el, words, keep, context)
+        return nothing(el, words, keep, context, after)
     small = len(some) <= SMALL
     longest = max((len(r["rest"]) for r in some), default=0) if small else words.agg(F.max(F.size("rest"))).first()[0]
     longest, firsts = max(longest, 1), sorted({r["first"] for r in some}) if small else None
@@ -77,7 +78,8 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
         behind = F.slice(tokens, F.greatest(i - some + 1, F.lit(1)), F.least(i, F.lit(some)))
         back = F.concat(F.array_join(F.transform(behind, lambda t: F.concat(t["before"], t["raw"])), ""), x["before"])
         more = [F.substring(back, -context, context).alias("before")] if context else []
-        return F.struct(F.lower(x["raw"]).alias("first"), x["raw"], x["before"].alias("gap"), x["s"], F.slice(tokens, i + 2, longest).alias("ahead"), x["gap"].alias("behind"), *more)
+        some = longest + some if after else longest
+        return F.struct(F.lower(x["raw"]).alias("first"), x["raw"], x["before"].alias("gap"), x["s"], F.slice(tokens, i + 2, some).alias("ahead"), x["gap"].alias("behind"), *more)
 
     placed = T.let(cut(F.col("text")), lambda ts: F.filter(F.transform(ts, lambda x, i: F.when(known(x["raw"]), one(ts, x, i))), lambda x: x.isNotNull()))
     if spans is not None:
@@ -92,11 +94,14 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     same = (F.size(tokens) == n) & F.forall(
         F.zip_with(tokens, "rest", lambda t, r: (F.lower(t["raw"]) == r["word"]) & F.when(F.col("loose"), t["before"].rlike(r"^[\s-]+$")).otherwise(t["before"] == r["gap"])), lambda ok: ok
     )
-    after = F.when(n > 0, F.element_at(tokens, F.greatest(n, F.lit(1)))["gap"]).otherwise(F.col("x.behind"))
-    same = same & F.endswith("x.gap", F.col("head")) & F.startswith(after, F.col("tail"))
+    behind = F.when(n > 0, F.element_at(tokens, F.greatest(n, F.lit(1)))["gap"]).otherwise(F.col("x.behind"))
+    same = same & F.endswith("x.gap", F.col("head")) & F.startswith(behind, F.col("tail"))
     m = F.concat("head", "x.raw", F.array_join(F.transform(tokens, lambda t: F.concat(t["before"], t["raw"])), ""), "tail")
     s = (F.col("x.s") - F.length("head")).alias("s")
     extra = [F.col("x.before").alias("before")] if context else []
+    if after:
+        rest = F.slice("x.ahead", n + 1, context // 2 + 1)
+        extra.append(F.substring(F.concat(behind, F.array_join(F.transform(rest, lambda t: F.concat(t["raw"], t["gap"])), "")), 1, context).alias("after"))
     if spans is None:
         out = joined.where(same).select(*keep, *own(words), s, m.alias("m"), *extra)
         return out.withColumn("e", F.col("s") + F.length("m"))
@@ -109,14 +114,11 @@ def own(words: DataFrame) -> list[str]:
     return [c for c in words.columns if c not in ("first", "rest", "head", "tail", "loose")]
 
 
-def places(context: int) -> list[Column]:
-    return [F.lit(0).alias("s"), F.lit("").alias("m"), *([F.lit("").alias("before")] if context else []), F.lit(0).alias("e")]
-
-
-def nothing(el: DataFrame, words: DataFrame, keep: list[str], context: int) -> DataFrame:
+def nothing(el: DataFrame, words: DataFrame, keep: list[str], context: int, after: bool) -> DataFrame:
     """No hits, with the columns of hits."""
     typed = [F.lit(None).cast(words.schema[c].dataType).alias(c) for c in own(words)]
-    return el.where("false").select(*keep, *typed, *places(context))
+    sides = [F.lit("").alias(c) for c in ("before",) * bool(context) + ("after",) * after]
+    return el.where("false").select(*keep, *typed, F.lit(0).alias("s"), F.lit("").alias("m"), *sides, F.lit(0).alias("e"))
 
 
 def outside(rows: DataFrame, is_span: Column, *leaf: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from .checks import person_references
+from . import phrases
+from .checks import person_kind, person_kinds, prose
 from .document import of_type
 
 LAYERS = [[], ["article_type"], ["brand"]]
@@ -95,7 +96,7 @@ def person_ratio(el: DataFrame) -> DataFrame:
     """Second-person words and classified nouns of each layer, and their ratio; -1 where there is no reader noun."""
     second = rf"(?i)\b({'|'.join(sorted(L.SECOND_PERSON, key=len, reverse=True))})\b"
     said = layered(of_type(el, "paragraph").withColumn("k", F.regexp_count("text", F.lit(second))), F.sum("k").alias("second"))
-    refs = person_references(el)
+    refs = person_kinds(prose(el, "brand", "article_type"))
     kinds = layered(refs, *(F.count_if(F.col("kind") == k).alias(k) for k in ("reader", "generic", "unclear")))
     out = said.join(kinds, ["layer", "layer_name"], "left").na.fill(0, ["reader", "generic", "unclear"])
     return out.withColumn("ratio", F.when(F.col("reader") > 0, F.col("second") / F.col("reader")).when(F.col("second") > 0, -1.0).otherwise(0.0))
@@ -119,12 +120,137 @@ def article_counts(el: DataFrame) -> DataFrame:
     return layered(el, F.countDistinct("doc_id").alias("articles"))
 
 
-def models(el: DataFrame, least: int = 10) -> DataFrame:
+# --- voice models: a state of counters that documents add to, and the measures that follow from it ---
+
+
+def state(el: DataFrame, hard: list[str] | None = None, soft: list[str] | None = None) -> DataFrame:
+    """Counters of a corpus, one row for each brand, article type, measure and key, from one scan.
+
+    Documents are gathered once; leaves give their counters from there, and the prose of each meets the phrases (transitions,
+    stop words, nouns for a reader). States add up: see merged(). first is where an opener occurs first.
+    """
+    leaf = F.struct("idx", "elem_type", "text")
+    docs = el.groupBy("doc_id", "brand", "article_type").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    kind = el.schema["doc_id"].dataType.simpleString()
+    counter = f"struct<measure:string,key:string,n:long,first:struct<doc_id:{kind},idx:bigint,no:int>>"
+    second = rf"(?i)\b({'|'.join(sorted(L.SECOND_PERSON, key=len, reverse=True))})\b"
+    brand = F.concat(F.lower("brand"), F.lit(" "))
+
+    def one(measure: str, n: Column, key: Column | str = "", first: Column | None = None) -> Column:
+        key = key.cast("string") if isinstance(key, Column) else F.lit(key)
+        return F.struct(F.lit(measure).alias("measure"), key.alias("key"), n.cast("long").alias("n"), (F.lit(None) if first is None else first).alias("first")).cast(counter)
+
+    def sentences(x: Column, parts: Column) -> Column:
+        low = lambda s: F.lower(F.trim(s))
+        bare = lambda s: F.when(F.startswith(low(s), brand), F.substring(low(s), F.length(brand) + 1, F.length(s))).otherwise(low(s))
+        opener = lambda s: F.array_join(F.slice(T.tokens(bare(s)), 1, 3), " ")
+        where = lambda i: F.struct(F.col("doc_id"), x["idx"].cast("long").alias("idx"), i.cast("int").alias("no"))
+        lengths = F.transform(parts, lambda s: one("sentence", F.lit(1), T.space_words(s)))
+        openers_ = F.transform(parts, lambda s, i: one("opener", F.lit(1), opener(s), where(i)))
+        return F.concat(lengths, openers_, F.array(one("para_sentences", F.lit(1), F.size(parts))))
+
+    def paragraph(x: Column) -> Column:
+        text, count = x["text"], lambda chars: sum((F.length(x["text"]) - F.length(F.replace(x["text"], F.lit(c), F.lit(""))) for c in chars), F.lit(0))
+        words = T.space_words(text)
+        plain = F.array(one("commas", count(",")), one("dashes", count("-—–")), one("semicolons", count(";")), one("words", words), one("second", F.regexp_count(text, F.lit(second))))
+        more = F.concat(T.let(T.prose_sentences(text), lambda parts: sentences(x, parts)), F.array(one("para_words", F.lit(1), words)))
+        return F.concat(plain, F.when(F.trim(text) != "", more).otherwise(F.array().cast(f"array<{counter}>")))
+
+    def heading(x: Column) -> Column:
+        words = F.filter(T.tokens(x["text"]), lambda w: ~F.lower(w).isin(L.MINOR_WORDS) & w.rlike("^[A-Za-z]"))
+        case = F.when(F.forall(words, lambda w: w.rlike("^[A-Z]")), "title").otherwise("sentence")
+        return F.when(F.size(words) > 0, F.array(one("headings", F.lit(1), case))).otherwise(F.array().cast(f"array<{counter}>"))
+
+    kinds = lambda x: F.when(x["elem_type"] == "paragraph", paragraph(x)).when(x["elem_type"] == "heading", heading(x)).when(x["elem_type"] == "list_item", F.array(one("items", F.lit(1))))
+    counters = F.concat(F.array(one("articles", F.lit(1))), F.flatten(F.filter(F.transform("leaves", kinds), lambda x: x.isNotNull())))
+    counted = docs.select("brand", "article_type", F.explode(counters).alias("c")).select("brand", "article_type", "c.*").where("n > 0")
+    words = [("transition", w) for w in L.TRANSITIONS] + [("hard", w) for w in hard or []] + [("soft", w) for w in soft or []] + [("person", w) for w in L.READER_NOUNS]
+    texts = docs.select("brand", "article_type", F.array_join(F.transform(F.filter("leaves", lambda x: x["elem_type"] == "paragraph"), lambda x: x["text"]), "\n").alias("text"))
+    found = phrases.hits(texts, phrases.lexicon(el.sparkSession, words, "measure string, term string"), 50, after=True)
+    key = F.when(F.col("measure") == "person", person_kind(F.col("before"), F.col("after"))).otherwise(F.col("term"))
+    said = found.select("brand", "article_type", "measure", key.alias("key"), F.lit(1).cast("long").alias("n"), F.lit(None).cast(f"struct<doc_id:{kind},idx:bigint,no:int>").alias("first"))
+    return summed(counted.unionByName(said))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("brand", "article_type", "measure", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def merged(*states: DataFrame) -> DataFrame:
+    """The state of all documents, from those of disjoint parts."""
+    rows = states[0]
+    for s in states[1:]:
+        rows = rows.unionByName(s)
+    return summed(rows)
+
+
+def save_state(found: DataFrame, path: str) -> None:
+    """A state as Parquet, a folder for each brand; another state saved to the same path adds to it."""
+    found.write.partitionBy("brand").mode("append").parquet(path)
+
+
+def load_state(spark, path: str) -> DataFrame:
+    """The sum of all states saved to path."""
+    kept = spark.read.parquet(path)
+    return summed(kept.withColumn("brand", F.col("brand").cast("string")))
+
+
+def layers(found: DataFrame) -> DataFrame:
+    """The counters of each layer: the house, types and brands."""
+    return layered(found, F.sum("n").alias("n"), F.min("first").alias("first"), extra=("measure", "key"))
+
+
+def from_state(found: DataFrame, least: int = 10, top: int = 20, discouraged: list[str] | None = None) -> DataFrame:
+    """The voice model of each layer of a state: all measures, and built, whether it has least articles (the house always is).
+
+    Openers, transitions and stop words are arrays of (key, n, rate per 100 sentences), the most frequent first.
+    """
+    by = Window.partitionBy("layer", "layer_name", "measure")
+    number = F.col("key").try_cast("long")
+    first = F.row_number().over(by.orderBy(F.desc("n"), "first", "key"))
+    rows = layers(found).withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy(number).rangeBetween(Window.unboundedPreceding, 0))).withColumn("rank", first)
+    of = lambda m, k=None: (F.col("measure") == m) if k is None else (F.col("measure") == m) & (F.col("key") == k)
+    total = lambda m, k=None: F.coalesce(F.sum(F.when(of(m, k), F.col("n"))), F.lit(0))
+    moment = lambda m, power: F.coalesce(F.sum(F.when(of(m), F.col("n") * number**power)), F.lit(0.0))
+    pick = lambda place: F.min(F.when(of("sentence") & (F.col("upto") > place(F.col("total"))), number))
+    listed = lambda m: F.array_sort(F.collect_list(F.when(of(m) & (F.col("rank") <= top if m == "opener" else F.lit(True)), F.struct("rank", "key", "n"))))
+    hists = {"sentence": "sentence", "para_sentences": "sentences", "para_words": "words"}
+    sums = rows.groupBy("layer", "layer_name").agg(
+        total("articles").alias("articles"), total("sentence").alias("sentences"), total("para_words").alias("paragraphs"), total("words").alias("prose_words"),
+        *(moment(m, p).alias(f"{m}_{p}") for m in hists for p in (1, 2)),
+        ((pick(lambda t: F.floor((t - 1) / 2)) + pick(lambda t: F.floor(t / 2))) / 2).alias("median"),
+        pick(lambda t: F.floor(t * 0.1)).alias("p10"), pick(lambda t: F.floor(t * 0.9)).alias("p90"),
+        *(total(m).alias(m) for m in ("commas", "dashes", "semicolons", "second", "headings", "items")),
+        *(total("person", k).alias(k) for k in ("reader", "generic", "unclear")), total("headings", "title").alias("titles"),
+        *(listed(m).alias(m + "_list") for m in ("opener", "transition", "hard", "soft")),
+    )
+    n, per = F.col, lambda a, b, times: F.when(F.col(b) > 0, F.col(a) * times / F.col(b)).otherwise(0.0)
+    mean = lambda m, count: F.when(n(count) > 0, n(f"{m}_1") / n(count))
+    spread = lambda m, count: F.when(n(count) > 1, F.sqrt(F.greatest((n(f"{m}_2") - n(f"{m}_1") * n(f"{m}_1") / n(count)) / (n(count) - 1), F.lit(0.0)))).otherwise(0.0)
+    rate = lambda m: F.transform(m + "_list", lambda x: F.struct(x["key"].alias("phrase"), x["n"].alias("n"), F.when(F.col("sentences") > 0, x["n"] * 100 / F.col("sentences")).otherwise(0.0).alias("rate")))
+    share = F.when(n("headings") > 0, n("titles") / n("headings"))
+    out = sums.select(
+        "layer", "layer_name", "articles", (F.col("articles") >= least).alias("enough"), "sentences", mean("sentence", "sentences").alias("mean"), "median", spread("sentence", "sentences").alias("stdev"), "p10", "p90",
+        "paragraphs", mean("para_sentences", "paragraphs").alias("sentences_mean"), mean("para_words", "paragraphs").alias("words_mean"),
+        spread("para_sentences", "paragraphs").alias("sentences_stdev"), spread("para_words", "paragraphs").alias("words_stdev"),
+        "commas", "dashes", "semicolons", "prose_words", *(per(c, "prose_words", 100).alias(d) for c, d in (("commas", "comma_density"), ("dashes", "dash_density"), ("semicolons", "semicolon_density"))),
+        "second", "reader", "generic", "unclear", F.when(n("reader") > 0, n("second") / n("reader")).when(n("second") > 0, -1.0).otherwise(0.0).alias("ratio"),
+        "headings", share.alias("share"), F.when(share >= 0.7, "title").when(share <= 0.3, "sentence").when(share.isNotNull(), "mixed").alias("vote"),
+        "items", per("items", "prose_words", 1000).alias("per_1000"), *(rate(m).alias(f) for m, f in (("opener", "openers"), ("transition", "transitions"), ("hard", "hard_words"), ("soft", "soft_words"))),
+    )
+    bad = F.filter("transitions", lambda x: x["phrase"].isin(discouraged) if discouraged else F.lit(False))
+    return out.withColumn("discouraged", bad).withColumn("built", F.col("enough") | (F.col("layer") == "house")).drop("enough")
+
+
+def models(el: DataFrame, least: int = 10, **settings) -> DataFrame:
     """The voice model of each layer with least articles (the house always has one)."""
-    out = article_counts(el).where((F.col("articles") >= least) | (F.col("layer") == "house"))
-    for part in (sentence_lengths(el), paragraph_shape(el), punctuation(el).withColumnRenamed("words", "prose_words"), person_ratio(el), heading_case(el), list_frequency(el).drop("words")):
-        out = out.join(part, ["layer", "layer_name"], "left")
-    return out
+    return from_state(state(el, settings.pop("hard", None), settings.pop("soft", None)), least, **settings).where("built").drop("built")
+
+
+def layer_report(found: DataFrame) -> DataFrame:
+    """(layer, built, skipped): how many models of each kind from_state() built, and the names of those with too few articles."""
+    skipped = F.array_sort(F.collect_list(F.when(~F.col("built"), F.struct("layer_name", "articles"))))
+    return found.groupBy("layer").agg(F.count_if("built").alias("built"), skipped.alias("skipped"))
 
 
 def for_brand(built: DataFrame, brand: str, kind: str) -> DataFrame:

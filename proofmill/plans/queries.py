@@ -106,11 +106,6 @@ def stop_word_counts(spark, sf_dir, el):
 # --- voice ---
 
 
-@query()
-def voice_counts(spark, sf_dir, el):
-    return checks.person_counts(el)
-
-
 @query()
 def voice_rewrite(spark, sf_dir, el):
     return checks.voice(el).select("doc_id", "sub_check", "start_offset", "original_text", "proposed_text", "auto_applicable")
@@ -338,11 +333,6 @@ def profile_openers(spark, sf_dir, el):
     return profile.openers(el)
 
 
-@query()
-def voice_models(spark, sf_dir, el):
-    return profile.models(el)
-
-
 @query(EL + f"SELECT {LAYER}, count(*) FILTER (elem_type = 'list_item') AS items FROM el {SETS}")
 def profile_lists(spark, sf_dir, el):
     return profile.list_frequency(el).select("layer", "layer_name", *long("items"))
