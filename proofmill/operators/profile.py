@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..sources.tables import stored
 from . import phrases
-from .checks import person_kind, person_kinds, prose
+from .checks import person_kinds, prose
 from .document import of_type
 
 LAYERS = [[], ["article_type"], ["brand"]]
@@ -130,7 +131,7 @@ def state(el: DataFrame, hard: list[str] | None = None, soft: list[str] | None =
     stop words, nouns for a reader). States add up: see merged(). first is where an opener occurs first.
     """
     leaf = F.struct("idx", "elem_type", "text")
-    docs = el.groupBy("doc_id", "brand", "article_type").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    docs = stored(el.groupBy("doc_id", "brand", "article_type").agg(F.array_sort(F.collect_list(leaf)).alias("leaves")), "leaves")
     kind = el.schema["doc_id"].dataType.simpleString()
     counter = f"struct<measure:string,key:string,n:long,first:struct<doc_id:{kind},idx:bigint,no:int>>"
     second = rf"(?i)\b({'|'.join(sorted(L.SECOND_PERSON, key=len, reverse=True))})\b"
@@ -164,11 +165,12 @@ def state(el: DataFrame, hard: list[str] | None = None, soft: list[str] | None =
     kinds = lambda x: F.when(x["elem_type"] == "paragraph", paragraph(x)).when(x["elem_type"] == "heading", heading(x)).when(x["elem_type"] == "list_item", F.array(one("items", F.lit(1))))
     counters = F.concat(F.array(one("articles", F.lit(1))), F.flatten(F.filter(F.transform("leaves", kinds), lambda x: x.isNotNull())))
     counted = docs.select("brand", "article_type", F.explode(counters).alias("c")).select("brand", "article_type", "c.*").where("n > 0")
-    words = [("transition", w) for w in L.TRANSITIONS] + [("hard", w) for w in hard or []] + [("soft", w) for w in soft or []] + [("person", w) for w in L.READER_NOUNS]
+    words = [("transition", w) for w in L.TRANSITIONS] + [("hard", w) for w in hard or []] + [("soft", w) for w in soft or []]
     texts = docs.select("brand", "article_type", F.array_join(F.transform(F.filter("leaves", lambda x: x["elem_type"] == "paragraph"), lambda x: x["text"]), "\n").alias("text"))
-    found = phrases.hits(texts, phrases.lexicon(el.sparkSession, words, "measure string, term string"), 50, after=True)
-    key = F.when(F.col("measure") == "person", person_kind(F.col("before"), F.col("after"))).otherwise(F.col("term"))
-    said = found.select("brand", "article_type", "measure", key.alias("key"), F.lit(1).cast("long").alias("n"), F.lit(None).cast(f"struct<doc_id:{kind},idx:bigint,no:int>").alias("first"))
+    found = phrases.hits(texts, phrases.terms(el.sparkSession.createDataFrame(words, "measure string, key string"), "key"))
+    people = person_kinds(texts).select("brand", "article_type", F.lit("person").alias("measure"), F.col("kind").alias("key"))
+    said = found.select("brand", "article_type", "measure", "key").unionByName(people)
+    said = said.select("*", F.lit(1).cast("long").alias("n"), F.lit(None).cast(f"struct<doc_id:{kind},idx:bigint,no:int>").alias("first"))
     return summed(counted.unionByName(said))
 
 
@@ -208,12 +210,16 @@ def from_state(found: DataFrame, least: int = 10, top: int = 20, discouraged: li
     by = Window.partitionBy("layer", "layer_name", "measure")
     number = F.col("key").try_cast("long")
     first = F.row_number().over(by.orderBy(F.desc("n"), "first", "key"))
-    rows = layers(found).withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy(number).rangeBetween(Window.unboundedPreceding, 0))).withColumn("rank", first)
+    rows = layers(found)
+    # only the first few of the many openers come together; what remains are some hundred counters a layer
+    led = rows.where("measure = 'opener'").withColumn("rank", first).where(F.col("rank") <= top)
+    rows = rows.where("measure <> 'opener'").withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy(number).rangeBetween(Window.unboundedPreceding, 0))).withColumn("rank", first)
+    rows = rows.unionByName(led, allowMissingColumns=True)
     of = lambda m, k=None: (F.col("measure") == m) if k is None else (F.col("measure") == m) & (F.col("key") == k)
     total = lambda m, k=None: F.coalesce(F.sum(F.when(of(m, k), F.col("n"))), F.lit(0))
     moment = lambda m, power: F.coalesce(F.sum(F.when(of(m), F.col("n") * number**power)), F.lit(0.0))
     pick = lambda place: F.min(F.when(of("sentence") & (F.col("upto") > place(F.col("total"))), number))
-    listed = lambda m: F.array_sort(F.collect_list(F.when(of(m) & (F.col("rank") <= top if m == "opener" else F.lit(True)), F.struct("rank", "key", "n"))))
+    listed = lambda m: F.array_sort(F.collect_list(F.when(of(m), F.struct("rank", "key", "n"))))
     hists = {"sentence": "sentence", "para_sentences": "sentences", "para_words": "words"}
     sums = rows.groupBy("layer", "layer_name").agg(
         total("articles").alias("articles"), total("sentence").alias("sentences"), total("para_words").alias("paragraphs"), total("words").alias("prose_words"),

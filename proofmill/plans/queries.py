@@ -125,9 +125,6 @@ def heading_query(sub: str, oracle: str | None):
 
 heading_query("blank_line", HEAD + "SELECT doc_id, start_offset, text AS original_text, CAST(NULL AS VARCHAR) AS proposed_text FROM h WHERE pe IS NOT NULL AND start_offset - pe <= 1")
 heading_query("skipped_level", HEAD + "SELECT doc_id, start_offset, text AS original_text, CAST(NULL AS VARCHAR) AS proposed_text FROM h WHERE level > pl + 1")
-heading_query("question_mark", None)
-heading_query("descriptive", None)
-heading_query("multiple_h1", HEAD + "SELECT doc_id, min(start_offset) AS start_offset, arg_min(text, idx) AS original_text, CAST(NULL AS VARCHAR) AS proposed_text FROM h WHERE level = 1 GROUP BY 1 HAVING count(*) > 1")
 
 
 # --- currency ---
@@ -166,18 +163,12 @@ def format_query(sub: str, oracle: str | None):
 
 FIX = "SELECT doc_id, start_offset + s AS start_offset, m AS original_text, {} AS proposed_text FROM f"
 format_query("double_space", EL + "," + spans_sql("f", "  +") + FIX.format("' '"))
-format_query("trailing_space", EL + "," + spans_sql("f", "[ \\t]+$") + FIX.format("''"))
 format_query("latin", EL + "," + spans_sql("f", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.|viz\.|cf\.)", "elem_type IN ('paragraph', 'heading')") + FIX.format("CASE lower(m) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.LATIN.items()) + " END"))
 
 
 # --- spelling ---
 
 
-@query()
-def spelling_context(spark, sf_dir, el):
-    return checks.locale_spelling(el, "british").where("sub_check = 'context'").select("doc_id", "start_offset", "original_text", "proposed_text")
-
-
 # --- brands ---
 
 
@@ -224,12 +215,6 @@ def structure_last_element(spark, sf_dir, el):
     return briefs_checks.intro_outro(el).where("last_type IS NOT NULL").select("doc_id", "last_type", F.col("s").alias("start_offset"))
 
 
-@query()
-def missing_sections(spark, sf_dir, el):
-    required = el.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit("The bonus"), F.lit("On that"))).alias("heading"))
-    return briefs_checks.missing_sections(el, required).select("doc_id", "heading", F.size("present").alias("headings"))
-
-
 # --- the whole run ---
 
 
@@ -323,16 +308,6 @@ def profile_punctuation(spark, sf_dir, el):
     return profile.punctuation(el).select("layer", "layer_name", *long("commas", "semicolons", "words"))
 
 
-@query()
-def profile_sentences(spark, sf_dir, el):
-    return profile.sentence_lengths(el)
-
-
-@query()
-def profile_openers(spark, sf_dir, el):
-    return profile.openers(el)
-
-
 @query(EL + f"SELECT {LAYER}, count(*) FILTER (elem_type = 'list_item') AS items FROM el {SETS}")
 def profile_lists(spark, sf_dir, el):
     return profile.list_frequency(el).select("layer", "layer_name", *long("items"))

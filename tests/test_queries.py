@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from proofmill.plans import joins, run, voices, whole  # noqa: F401
+from proofmill.plans import joins, planted, run, voices, whole  # noqa: F401
 from proofmill.plans.queries import ORACLE_SQL, QUERIES, TERMS
 
 SF = "/root/testdata/sf0.001"
