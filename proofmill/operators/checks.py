@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..sources.config import split_brand, stop_forms
 from ..sources.corpus import in_order
 from . import phrases
+from .dictionary import unknown_capitals
 from .document import of_type
 from .findings import make, make_each
 
@@ -80,7 +81,7 @@ NOUN = r"\b(" + "|".join(sorted(L.READER_NOUNS, key=len, reverse=True)) + r")\b"
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def person_kind(before: Column, after: Column) -> Column:
@@ -168,8 +169,8 @@ def heading_rows(el: DataFrame) -> DataFrame:
     rows = el.withColumn("prev_end", F.lag("end_offset").over(w)).where("elem_type = 'heading'")
     rows = rows.withColumn("prev_level", F.lag("level").over(w)).withColumn("h1", F.count_if(F.col("level") == 1).over(by))
     rows = rows.withColumn("h1_no", F.count_if(F.col("level") == 1).over(w))
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    ends = F.coalesce(*(F.when(F.col("level") == k, F.first(F.when(F.col("level") <= k, F.col("idx")), ignorenulls=True).over(after)) for k in (1, 2, 3, 4)), F.lit(1 << 60))
+    after = by.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.coalesce(*(F.when(F.col("level") == k, F.last(F.when(F.col("level") <= k, F.col("idx")), ignorenulls=True).over(after)) for k in (1, 2, 3, 4)), F.lit(1 << 60))
     rows = rows.withColumn("faq_end", F.when(any_of(F.lower("text"), L.FAQ_WORDS), ends))
     return rows.withColumn("in_faq", F.coalesce(F.max("faq_end").over(w.rowsBetween(Window.unboundedPreceding, 0)) > F.col("idx"), F.lit(False)))
 
@@ -190,8 +191,12 @@ def special_words(text: Column, known: list[str] | None = None) -> Column:
 
 
 @check("headings")
-def headings(el: DataFrame, capitalization: str | None = "title", known: list[str] | None = None) -> DataFrame:
-    h = heading_rows(el)
+def headings(el: DataFrame, capitalization: str | None = "title", known: list[str] | None = None, dictionary: DataFrame | None = None) -> DataFrame:
+    """dictionary: (word), as dictionary.word_frequencies gives; headings with capitalised words outside it are left to people."""
+    h = heading_rows(el).withColumn("unknown", F.lit(False))
+    if dictionary is not None:
+        odd = unknown_capitals(el, dictionary).select("doc_id", "idx").distinct().withColumn("odd", F.lit(True))
+        h = h.join(odd, ["doc_id", "idx"], "left").withColumn("unknown", F.coalesce("odd", F.lit(False)))
     if capitalization:
         h = h.withColumn("target", T.title_case(F.col("text")) if capitalization == "title" else T.sentence_case(F.col("text")))
     text, s, e = F.col("text"), F.col("start_offset"), F.col("end_offset")
@@ -208,7 +213,7 @@ def headings(el: DataFrame, capitalization: str | None = "title", known: list[st
         ((F.col("h1") > 1) & (F.col("h1_no") == 1) & (F.col("level") == 1), "multiple_h1", "structure", "warning", 0.8, s, e, text, none, F.concat(F.col("h1"), F.lit(" headings of level 1")), False),
     ]
     if capitalization:
-        unsure = special_words(text, known) | text.contains("?")
+        unsure = special_words(text, known) | F.col("unknown") | text.contains("?")
         rules.append((F.col("target") != text, "capitalization", "style", "warning", F.when(unsure, 0.5).otherwise(0.85), s, e, text, F.col("target"), f"{capitalization} case", ~unsure))
     return make_each(h, "headings", rules)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..operators import briefs_checks, checks, profile
+from ..operators import briefs_checks, checks, dictionary, profile
 from ..sources import corpus
 from .articles import EL, spans_sql
 from .queries import query
@@ -105,3 +105,23 @@ STARTS = tops("o", "SELECT brand, article_type, array_to_string(list_filter(stri
 @query(NUMBERS + STARTS + " SELECT layer, layer_name, phrase AS opener, n, round(n * 100 / total, 6) AS rate, r AS rank FROM (SELECT *, sum(n) OVER (PARTITION BY layer, layer_name) AS total FROM o1) WHERE r <= 20")
 def profile_openers(spark, sf_dir, el):
     return profile.openers(el).select("layer", "layer_name", "opener", "n", F.round("rate", 6).alias("rate"), "rank")
+
+
+# --- dictionary ---
+
+KEYS = "regexp_replace(lower(word), '([''’]s|(s)[''’])$', '\\2')"
+UNKNOWN = EL + f"""
+, d AS (SELECT w FROM (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+')) AS w FROM el WHERE elem_type = 'paragraph') WHERE w = lower(w) GROUP BY 1 HAVING count(*) >= 3),
+h AS (SELECT doc_id, idx, {words_in("text || 'n''s Xylo''s The Players'' Theses'")} AS a FROM el WHERE elem_type = 'heading'),
+t AS (SELECT doc_id, idx, CAST(unnest(range(0, len(a))) AS INTEGER) AS no, unnest(a) AS w FROM h),
+x AS (SELECT doc_id, idx, no, regexp_replace(w, '^[^\\p{{L}}]+|[^\\p{{L}}''’]+$', '', 'g') AS word FROM t WHERE no > 0 AND regexp_matches(w, '^\\p{{Lu}}')),
+k AS (SELECT *, {KEYS} AS base FROM x)
+SELECT doc_id, idx, no, word FROM k WHERE base NOT IN (SELECT w FROM d) AND NOT (length(base) > 3 AND base LIKE '%s' AND base[1:length(base) - 1] IN (SELECT w FROM d))"""
+
+
+@query(UNKNOWN)
+def heading_unknown_words(spark, sf_dir, el):
+    """Every heading, with words added that are possessive, plural or unknown, against the words the corpus has three times."""
+    more = F.concat("text", F.lit("n's Xylo's The Players' Theses"))
+    said = el.withColumn("text", F.when(F.col("elem_type") == "heading", more).otherwise(F.col("text")))
+    return dictionary.unknown_capitals(said, dictionary.word_frequencies(el).where("n >= 3"))
