@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..operators import briefs_checks, checks, dictionary, profile
-from ..sources import corpus
+from ..sources import corpus, settings
 from .articles import EL, spans_sql
 from .queries import query
 from .voices import PERSONS, SENTENCES, tops
@@ -125,3 +125,25 @@ def heading_unknown_words(spark, sf_dir, el):
     more = F.concat("text", F.lit("n's Xylo's The Players' Theses"))
     said = el.withColumn("text", F.when(F.col("elem_type") == "heading", more).otherwise(F.col("text")))
     return dictionary.unknown_capitals(said, dictionary.word_frequencies(el).where("n >= 3"))
+
+
+# --- settings ---
+
+BODY = "CASE WHEN event_id % 5 = 0 THEN k ELSE '{\"k\":' || k || ',\"last\":{\"id\":' || event_id || '}}' END"
+SETTINGS = """
+WITH e AS (SELECT user_id, event_type, event_id, event_id % 2 AS side, json_extract_string(props, '$.k') AS k, row_number() OVER (PARTITION BY user_id, event_type, event_id % 2 ORDER BY event_id DESC) AS r FROM events),
+l AS (SELECT user_id, side, event_type AS path, k AS value FROM e WHERE r = 1 AND event_id % 5 = 0
+  UNION ALL SELECT user_id, side, event_type || '.k', k FROM e WHERE r = 1 AND event_id % 5 <> 0
+  UNION ALL SELECT user_id, side, event_type || '.last.id', CAST(event_id AS VARCHAR) FROM e WHERE r = 1 AND event_id % 5 <> 0)
+SELECT user_id, path, value FROM l a WHERE side = 1 OR NOT EXISTS (SELECT 1 FROM l b WHERE b.side = 1 AND b.user_id = a.user_id AND (a.path = b.path OR starts_with(a.path, b.path || '.') OR starts_with(b.path, a.path || '.')))"""
+
+
+@query(SETTINGS)
+def config_merge(spark, sf_dir, el):
+    """Settings of every user, by type of event, from the last even events, with those from the last odd ones put on them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", F.get_json_object("props", "$.k").alias("k"))
+    last = events.groupBy("user_id", "event_type", (F.col("event_id") % 2).alias("side")).agg(F.max(F.struct("event_id", "k")).alias("x")).select("user_id", "event_type", "side", "x.*")
+    entry = F.concat(F.lit('"'), "event_type", F.lit('":'), F.expr(BODY.replace('\\"', '"')))
+    made = last.groupBy("user_id", "side").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("json"))
+    side = lambda k: settings.paths(made.where(F.col("side") == k), "user_id", "json")
+    return settings.merged(side(0), side(1), "user_id").select("user_id", F.array_join("path", ".").alias("path"), "value")

@@ -316,12 +316,6 @@ def profile_lists(spark, sf_dir, el):
 # --- text functions over small tables ---
 
 
-@query("SELECT * FROM (VALUES ('a', '2'), ('b.c', '3'), ('b.d', '5'), ('e', '1')) t(path, value)")
-def config_merge(spark, sf_dir, el):
-    tree = lambda t: spark.createDataFrame([(k, str(v)) for k, v in config.flat(t)], "path string, value string")
-    return config.merged(tree({"a": 1, "b": {"c": 3, "d": 4}, "e": 1}), tree({"a": 2, "b": {"d": 5}}))
-
-
 @query("SELECT conv_id AS doc_id, role, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM conversations")
 def conversation_offsets(spark, sf_dir, el):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), "role", F.col("turn").alias("idx"), "text")

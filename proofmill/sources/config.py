@@ -67,14 +67,6 @@ def flat(tree: dict, prefix: str = ""):
             yield f"{prefix}{k}", v
 
 
-def merged(defaults: DataFrame, brand: DataFrame) -> DataFrame:
-    """Settings as rows (path, value): the brand's value where it has one."""
-    from pyspark.sql import functions as F
-
-    b = brand.select("path", F.col("value").alias("own"))
-    return defaults.join(b, "path", "full").select("path", F.coalesce("own", "value").alias("value"))
-
-
 def stop_words(spark: SparkSession, hard: list[str], soft: list[str]) -> DataFrame:
     """(tier, term, weight, pattern). Phrases match as they are; words with their simple inflections."""
     rows = [(tier, w.lower(), weight, stop_pattern(w)) for tier, words, weight in (("hard", word_list(hard, "hard"), 1.0), ("soft", word_list(soft, "soft"), 0.3)) for w in words]

@@ -67,3 +67,29 @@ def test_dictionary_by_filter_and_by_broadcast(spark, article):
     kept = {r.word for r in dictionary.maybe(probes, "word", some).collect()}
     assert {r.word for r in some.collect()} <= kept and len(kept) < 150
     assert checks.headings(el, "sentence", dictionary=words).where("sub_check = 'capitalization' AND auto_applicable").count() == 0
+
+
+def test_settings_merge_as_nested_dictionaries_do(spark):
+    import json
+
+    from proofmill.sources import config, settings
+
+    rng = random.Random(11)
+
+    def tree(depth):
+        kinds = [lambda: rng.randint(0, 9), lambda: None, lambda: [1, {"a": 2}], lambda: "x.y", lambda: {}]
+        return {rng.choice("abcd"): tree(depth - 1) if depth and rng.random() < 0.6 else rng.choice(kinds)() for _ in range(rng.randint(1, 4))}
+
+    def leaves(t, at=()):
+        for k, v in t.items():
+            yield from leaves(v, (*at, k)) if isinstance(v, dict) and v else [((*at, k), json.dumps(v, separators=(",", ":")))]
+
+    def clean(t):  # an empty object says nothing
+        return {k: clean(v) if isinstance(v, dict) else v for k, v in t.items() if v != {}}
+
+    made = [(k, clean(tree(3)), clean(tree(3))) for k in range(25)] + [(None, {"a": 1}, {"a": {"b": None}})]
+    df = spark.createDataFrame([(k, json.dumps(a), json.dumps(b)) for k, a, b in made] + [(99, "[1]", "bad"), (98, None, "{}")], "owner int, a string, b string")
+    base, over = settings.paths(df, "owner", "a"), settings.paths(df, "owner", "b")
+    got = {(r.owner, tuple(r.path), r.value) for r in settings.merged(base, over, "owner").collect()}
+    assert got == {(k, p, v) for k, a, b in made for p, v in leaves(config.deep_merge(a, b))}
+    assert {(r.owner, r.value) for r in settings.value_at(base, "a").collect()} >= {(None, "1")}

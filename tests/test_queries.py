@@ -20,7 +20,7 @@ def test_entry(spark):
 def test_query_equals_sql(spark, name):
     import duckdb
 
-    for t in ("documents", "pages", "labels", "conversations", "benchmark", "part", "lineitem", "nation"):
+    for t in ("documents", "pages", "labels", "conversations", "benchmark", "part", "lineitem", "nation", "events"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     plain = lambda v: float(v) if hasattr(v, "as_tuple") else v
