@@ -7,6 +7,8 @@ ids to frame and offset in it, so one record is read by decompressing one frame.
 Of records with equal payloads, the one with the smallest page_id is a response and the others are revisits of it, if the
 payload has least bytes or more; shorter ones are all responses. Null payloads are empty. Rows that share page_id and
 payload with the response are responses too; a null page_id never is what others refer to, and such rows are responses.
+A record's id comes from page_id, payload and, in a bundle, how often these came before; a revisit names its response's id.
+Very long payloads are frames of their own. Tables without rows make no bundle; columns besides the three aren't read.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import base64
 import hashlib
 import struct
 import uuid
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -32,10 +35,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> tuple[str, bytes]:
+def record_id(page_id: int | None, sha: str, again: int = 0) -> str:
+    """The id of the record of a page and payload, and of those that repeat both in a bundle."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{sha}" + f":{again}" * bool(again)).urn
+
+
+def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, again: int = 0) -> tuple[str, bytes]:
     """A record's id and bytes. A revisit has no payload; digest and length are those of the full one."""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{url}").urn
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}"]
+    sha = digest(payload)
+    name = record_id(page_id, sha, again)
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}"]
     if url:
         head.append("WARC-Target-URI: " + "".join(url.splitlines()))
     if page_id is not None:
@@ -44,7 +53,8 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     if refers_to is None:
         body += payload
     else:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        head += [f"WARC-Profile: {profile}", f"WARC-Refers-To: <{record_id(refers_to, sha)}>", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -54,10 +64,16 @@ class Bundle:
         self.frame_bytes, self.size = frame_bytes, 0
         self.frames: list[tuple[bytes, int]] = []
         self.index: list[tuple[str, int, int, int]] = []
+        self.repeats: Counter[str] = Counter()
         self.open: list[bytes] = []
         self.plain = 0
         self.compressor = zstandard.ZstdCompressor(level=LEVEL)
 
+    def add_page(self, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> None:
+        first = record_id(page_id, digest(payload))
+        self.add(*warc_record(page_id, url, payload, refers_to, self.repeats[first]))
+        self.repeats[first] += 1
+
     def add(self, name: str, data: bytes) -> None:
         self.index.append((name, len(self.frames), self.plain, len(data)))
         self.open.append(data)
@@ -148,7 +164,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
         for b in it:
             for row in zip(*(b.column(k) for k in range(4))):
-                bundle.add(*warc_record(*(x.as_py() for x in row)))
+                bundle.add_page(*(x.as_py() for x in row))
                 if bundle.size >= bundle_bytes:
                     yield flush()
                     bundle = Bundle()

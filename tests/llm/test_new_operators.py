@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pytest
 
-from proofmill.llm import bytebpe, dialogue, queries, whitening
+from proofmill.llm import bytebpe, dialogue, queries, warc, whitening
 
 from .conftest import LONG, ROWS, SF
 
@@ -334,3 +334,32 @@ def test_vocabularies_that_merges_cannot_reach_are_refused(tmp_path):
     (path := tmp_path / "x.tiktoken").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in lines))
     with pytest.raises(ValueError):
         bytebpe.Vocabulary(str(path))
+
+
+# --- 5: record ids ---
+
+
+def test_repeated_pages_have_records_of_their_own(spark, tmp_path):
+    """Repeated page_id and url, revisits that name their response, very long html, nulls, clashing columns, no rows."""
+    long = "<p>" + "word " * 2_000_000
+    rows = [(1, "u", "<a>"), (1, "u", "<a>"), (1, "u", "<b>"), (1, "v", "<a>"), (2, "u", "<a>"), (3, None, None), (None, "u", "<a>"), (4, "w", long), (5, "w", long)]
+    pages = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id long, url string, html string, file string, sha int").coalesce(1)
+    folder, manifest = warc.write(pages)
+    heads, ids = [], []
+    for r in spark.read.format("binaryFile").load(folder).collect():
+        data = bytes(r.content)
+        index = warc.record_index(data)
+        for head, _ in warc.records(data):
+            heads.append(head)
+            (again,) = warc.parse(warc.read_record(data, head["WARC-Record-ID"][1:-1]))
+            assert again[0] == head
+        ids += list(index)
+    assert len(heads) == len(ids) == len(rows) == sum(r.records for r in manifest.collect())
+    named = {h["WARC-Record-ID"]: h for h in heads}
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            assert named[h["WARC-Refers-To"]]["X-Page-ID"] == h["X-Refers-To-Page-ID"] and named[h["WARC-Refers-To"]]["WARC-Type"] == "response"
+    found = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read(folder, manifest).collect()), key=str)
+    want = [(1, "response", None)] * 4 + [(2, "revisit", 1), (3, "response", None), (None, "response", None), (4, "response", None), (5, "revisit", 4)]
+    assert found == sorted(want, key=str)
+    assert warc.read(*warc.write(pages.where("false"))).count() == 0
