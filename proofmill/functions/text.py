@@ -112,7 +112,7 @@ def prose_sentences(text: Column) -> Column:
 
 def capital(word: Column) -> Column:
     """First character upper, the others lower."""
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
 
 
 def letters_of(word: Column) -> Column:
@@ -143,7 +143,7 @@ def title_case(text: Column) -> Column:
 
 
 def mixed_case(word: Column) -> Column:
-    return word.rlike("^[A-Za-z]") & F.substring(word, 2, 1_000_000).rlike("[A-Z]") & word.rlike("[a-z]")
+    return word.rlike("^[A-Za-z]") & F.substring(word, F.lit(2), F.length(word)).rlike("[A-Z]") & word.rlike("[a-z]")
 
 
 def sentence_case(text: Column) -> Column:
@@ -161,7 +161,7 @@ def preserve_case(source: Column, target: Column) -> Column:
     first = F.substring(source, 1, 1)
     return (
         F.when((F.upper(source) == source) & (F.lower(source) != source), F.upper(target))
-        .when((F.upper(first) == first) & (F.lower(first) != first), F.concat(F.upper(F.substring(target, 1, 1)), F.substring(target, 2, 1_000_000)))
+        .when((F.upper(first) == first) & (F.lower(first) != first), F.concat(F.upper(F.substring(target, 1, 1)), F.substring(target, F.lit(2), F.length(target))))
         .otherwise(F.lower(target))
     )
 

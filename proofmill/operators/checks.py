@@ -130,7 +130,7 @@ def person_counts(el: DataFrame) -> DataFrame:
 
 def second_person(sentence: Column, s: Column, e: Column, noun: Column) -> Column:
     """The sentence with the noun (and an article before it, a possessive after it) as 'you' or 'your', in its case."""
-    before, after = F.substring(sentence, F.lit(1), s), F.substring(sentence, e + 1, F.lit(1_000_000))
+    before, after = F.substring(sentence, F.lit(1), s), F.substring(sentence, e + 1, F.length(sentence))
     owner = after.rlike("^['’]s\\b") | (F.lower(noun).endswith("s") & after.rlike("^['’](?!\\w)"))
     tail = F.when(owner, F.regexp_replace(after, "^['’]s?", "")).otherwise(after)
     head = F.regexp_replace(before, r"(?i)\b(?:the|an?)\s+$", "")

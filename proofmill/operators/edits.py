@@ -67,7 +67,7 @@ def splice(text: Column, fixes: Column) -> Column:
     """Text with sorted, disjoint fixes (struct<s, e, fix>) in place: gaps and fixes one after the other."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["out"], slice_text(text, acc["at"], x["s"]), x["fix"]).alias("out"))
-    return F.aggregate(fixes, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(1_000_000_000))))
+    return F.aggregate(fixes, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
 def applied(el: DataFrame, judged: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def adjust_runs(runs: Column, s: Column, e: Column, fix: Column) -> Column:
     most = F.array_max(F.transform(F.filter(runs, touch), share))
     main = F.get(F.filter(runs, lambda r: touch(r) & (share(r) == most)), 0)
     left = F.transform(F.filter(runs, lambda r: touch(r) & (r["start"] < s)), lambda r: put(r, F.substring(r["text"], F.lit(1), s - r["start"]), r["start"]))
-    right = F.transform(F.filter(runs, lambda r: touch(r) & (r["end"] > e)), lambda r: put(r, F.substring(r["text"], e - r["start"] + 1, F.lit(1_000_000)), s + F.length(fix)))
+    right = F.transform(F.filter(runs, lambda r: touch(r) & (r["end"] > e)), lambda r: put(r, F.substring(r["text"], e - r["start"] + 1, F.length(r["text"])), s + F.length(fix)))
     middle = F.when(main.isNotNull() & (F.length(fix) > 0), F.array(put(main, fix, s))).otherwise(F.filter(runs, lambda r: F.lit(False)))
     before = F.filter(runs, lambda r: r["end"] <= s)
     behind = F.transform(F.filter(runs, lambda r: r["start"] >= e), lambda r: put(r, r["text"], r["start"] + grow))

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder, which ``spark.checkpoint.dir`` names; where that is unset, one in the warehouse.
 
-    What an application leaves there goes when it ends.
+    A warehouse on one machine's disk serves only sessions on that machine. What an application leaves goes when it ends.
     """
     sc = spark.sparkContext
     if not (found := sc.getCheckpointDir()):
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        folder = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        if not named and folder.startswith(("file:", "/")) and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of one machine, which others on the cluster can't read")
+        sc.setCheckpointDir(folder)
         found = sc.getCheckpointDir()
         path = sc._jvm.org.apache.hadoop.fs.Path(found)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
