@@ -220,8 +220,9 @@ def headings(el: DataFrame, capitalization: str | None = "title", known: list[st
 
 # --- currency ---
 
-COMBINED = rf"(?<![A-Za-z])({L.SYMBOLS})\s*({L.AMOUNT})\s+({L.CODES})(?![A-Za-z])"
-SYMBOL = rf"(?<![A-Za-z])({L.SYMBOLS})\s*({L.AMOUNT})(?![%\d])"
+# a sign behind another one ("$$$ 170.116.163.254") belongs to a row of signs and names no amount
+COMBINED = rf"(?<![A-Za-z€£¥₹₿$])({L.SYMBOLS})\s*({L.AMOUNT})\s+({L.CODES})(?![A-Za-z])"
+SYMBOL = rf"(?<![A-Za-z€£¥₹₿$])({L.SYMBOLS})\s*({L.AMOUNT})(?![%\d])"
 CODE = rf"(?<![€£¥₹₿$\d])({L.AMOUNT})\s+({L.CODES})(?![A-Za-z])"
 
 

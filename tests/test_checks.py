@@ -76,6 +76,11 @@ def test_currency(article):
     assert checks.currency(el, mode="any").count() == 0
 
 
+def test_rows_of_signs_are_no_currency(article):
+    el = article("Whthly$$$ 170.116.163.254 and onat$$$ 25 EUR for $20 or R$ 30, onenouth$$$ $500 USD.")
+    assert rows(checks.currency_occurrences(el), "style", "m") == [("code", "25 EUR"), ("combined", "$500 USD"), ("symbol", "$20"), ("symbol", "R$ 30")]
+
+
 def test_formatting(article):
     got = fixes(checks.formatting(article("Two  spaces , here.Zoos e.g. visit site.com or v1.2 end ")))
     assert ("double_space", "  ", " ", True) in got and ("space_before_punct", " ,", ",", True) in got and ("missing_space", ".Z", ". Z", True) in got
