@@ -80,17 +80,28 @@ def stop_words(el: DataFrame, terms: list[tuple[str, str, str]], share: float =
 NOUN = r"\b(" + "|".join(sorted(L.READER_NOUNS, key=len, reverse=True)) + r")\b"
 
 
-def any_of(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
+#: Words, white space and ends as they are where only ASCII letters and digits make words (RE2, DuckDB).
+PLAIN = {r"\b": r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))", r"\s": r"[\t\n\f\r ]", "$": r"\z", ".*": r"[^\n]*"}
 
 
-def person_kind(before: Column, after: Column) -> Column:
+def plain_words(pattern: str) -> str:
+    return re.sub(r"\\[bs]|\$|(?<!\\)\.\*", lambda m: PLAIN[m[0]], pattern)
+
+
+def any_of(text: Column, patterns: list[str], plain: bool = False) -> Column:
+    """Whether one of the patterns is found. With plain only ASCII letters and digits make words."""
+    found = "|".join(f"(?:{p})" for p in patterns)
+    return text.rlike("(?iu)" + plain_words(found) if plain else "(?iU)" + found)
+
+
+def person_kind(before: Column, after: Column, plain: bool = False) -> Column:
     """reader, generic or unclear, from the 50 characters on either side; the first rule that holds decides."""
+    has = lambda text, patterns: any_of(text, patterns, plain)
     return (
-        F.when(any_of(before, L.GENERIC_ADJECTIVE) | any_of(before, L.GENERIC_QUANTITY) | any_of(before, L.GENERIC_ATTRACTION) | any_of(after, L.GENERIC_AFTER), "generic")
-        .when(any_of(after, L.READER_AFTER), "reader")
-        .when(any_of(before, L.READER_BEFORE) & any_of(F.substring(before, -30, 30), L.GENERIC_ADJECTIVE), "generic")
-        .when(any_of(before, L.READER_BEFORE), "reader")
+        F.when(has(before, L.GENERIC_ADJECTIVE) | has(before, L.GENERIC_QUANTITY) | has(before, L.GENERIC_ATTRACTION) | has(after, L.GENERIC_AFTER), "generic")
+        .when(has(after, L.READER_AFTER), "reader")
+        .when(has(before, L.READER_BEFORE) & has(F.substring(before, -30, 30), L.GENERIC_ADJECTIVE), "generic")
+        .when(has(before, L.READER_BEFORE), "reader")
         .otherwise("unclear")
     )
 
@@ -116,16 +127,17 @@ def prose(el: DataFrame, *carry: str) -> DataFrame:
     return rows.select("doc_id", *carry, F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
 
 
-def person_kinds(texts: DataFrame) -> DataFrame:
+def person_kinds(texts: DataFrame, plain: bool = False) -> DataFrame:
     """The columns of texts but text, and kind of each noun for a reader: judged by 50 characters of the whole text on
-    either side, whatever sentences and paragraphs they belong to."""
+    either side, whatever sentences and paragraphs they belong to. With plain only ASCII letters and digits make words."""
     nouns = phrases.lexicon(texts.sparkSession, [(w,) for w in L.READER_NOUNS], "term string")
-    return phrases.hits(texts, nouns, 50, after=True).withColumn("kind", person_kind(F.col("before"), F.col("after")))
+    found = phrases.hits(texts, nouns, 50, after=True, letters=phrases.ASCII if plain else phrases.LETTERS)
+    return found.withColumn("kind", person_kind(F.col("before"), F.col("after"), plain))
 
 
-def person_counts(el: DataFrame) -> DataFrame:
+def person_counts(el: DataFrame, plain: bool = False) -> DataFrame:
     """(doc_id, reader, generic, unclear) of documents with such nouns, counted over the whole prose."""
-    return person_kinds(prose(el)).groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("reader", "generic", "unclear")))
+    return person_kinds(prose(el), plain).groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("reader", "generic", "unclear")))
 
 
 def second_person(sentence: Column, s: Column, e: Column, noun: Column) -> Column:

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 
-TOKEN = r"[\p{L}\p{N}_]+"
+LETTERS, ASCII = r"\p{L}\p{N}_", "A-Za-z0-9_"
 #: A lexicon with no more terms than these is looked up inside the leaves, then broadcast; a larger one is joined by hash.
 SMALL = 20_000
 
 
-def cut(text: Column) -> Column:
+def cut(text: Column, letters: str = LETTERS) -> Column:
     """array<struct<raw, before, gap, s>>: the tokens of a text with the text on either side, up to the next token."""
+    token = f"[{letters}]+"
 
     def both(gaps: Column, raws: Column) -> Column:
         n = F.size(raws)
@@ -30,7 +31,7 @@ def cut(text: Column) -> Column:
         zipped = F.arrays_zip(raws.alias("raw"), ahead.alias("before"), F.slice(gaps, 2, n).alias("gap"), at.alias("at"))
         return F.transform(zipped, lambda x: F.struct(x["raw"], x["before"], x["gap"], (x["at"] + F.length(x["before"])).alias("s")))
 
-    return T.let(F.split(text, TOKEN, -1), lambda gaps: T.let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda raws: both(gaps, raws)))
+    return T.let(F.split(text, token, -1), lambda gaps: T.let(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda raws: both(gaps, raws)))
 
 
 def terms(df: DataFrame, term: str = "term", loose: Column | None = None) -> DataFrame:
@@ -51,12 +52,13 @@ def lexicon(spark: SparkSession, rows: Iterable[tuple], schema: str, loose: bool
     return terms(spark.createDataFrame(list(rows), schema), loose=F.lit(loose))
 
 
-def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None = None, after: bool = False) -> DataFrame:
+def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None = None, after: bool = False, letters: str = LETTERS) -> DataFrame:
     """The columns of el but text, those of the lexicon, s, e and m of each place where a term stands as whole tokens.
 
     Places may overlap. context adds before: so many characters in front of each, in the leaf; with after also those behind
     it, if the terms end in a token. With spans, an expression
     over text that gives array<struct<start, end>>, hits that lie in one of them are left out.
+    letters are what tokens are made of; with ASCII, others part them, and the terms must have none.
     """
     spark, keep = el.sparkSession, [c for c in el.columns if c != "text"]
     # the bound is checked first: a lexicon of up to SMALL terms is a list, a larger one stays a table
@@ -71,7 +73,7 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     known = (lambda raw: F.lower(raw).isin(firsts)) if firsts is not None else (lambda raw: F.lit(True))
     rows = el
     if firsts is not None:  # most leaves hold none of the first tokens
-        rows = rows.where(F.exists(F.split("text", r"[^\p{L}\p{N}_]+"), known))
+        rows = rows.where(F.exists(F.split("text", f"[^{letters}]+"), known))
 
     def one(tokens: Column, x: Column, i: Column) -> Column:
         some = context // 2 + 1  # tokens that hold so many characters
@@ -81,7 +83,7 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
         some = longest + some if after else longest
         return F.struct(F.lower(x["raw"]).alias("first"), x["raw"], x["before"].alias("gap"), x["s"], F.slice(tokens, i + 2, some).alias("ahead"), x["gap"].alias("behind"), *more)
 
-    placed = T.let(cut(F.col("text")), lambda ts: F.filter(F.transform(ts, lambda x, i: F.when(known(x["raw"]), one(ts, x, i))), lambda x: x.isNotNull()))
+    placed = T.let(cut(F.col("text"), letters), lambda ts: F.filter(F.transform(ts, lambda x, i: F.when(known(x["raw"]), one(ts, x, i))), lambda x: x.isNotNull()))
     if spans is not None:
         rows = rows.withColumn("excluded", F.transform(spans, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))))
         each = F.concat(F.transform(placed, lambda x: F.struct(x.alias("x"), F.lit(None).cast("struct<s:int,e:int>").alias("span"))), F.transform("excluded", lambda x: F.struct(F.lit(None).alias("x"), x.alias("span"))))

@@ -63,3 +63,22 @@ def test_run_goes_on_after_a_broken_check(article):
     found, errors = run.run_checks(article("We delve  here"), {"stop_words": {"terms": TERMS}, "formatting": {}, "voice": {"nonsense": 1}})
     assert set(errors) == {"voice"} and found.count() > 0
     assert set(run.qa(article("a  b"), {"formatting": {}})) == {"findings", "edits", "elements", "comments", "summary"}
+
+
+def against_sql(spark, path, name, texts):
+    """Rows of a query over documents with these texts, and what its SQL gives."""
+    import duckdb
+
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(path))
+    sql = con.sql(ORACLE_SQL[name])
+    order = lambda columns, rows: sorted(repr([r[columns.index(c)] for c in sorted(columns)]) for r in rows)
+    return order(df.columns, df.collect()), order(sql.columns, sql.fetchall())
+
+
+@pytest.mark.parametrize("name", ["voice_counts", "voice_models"])
+def test_words_of_other_letters_count_as_in_sql(spark, tmp_path, name):
+    got, want = against_sql(spark, tmp_path, name, ["We say that été and éall that x. Éyou, éhowever", "éplayers can go that\nÉnd. One that way"])
+    assert got == want and got
