@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import slice_text
 from ..sources.corpus import with_offsets
-from ..sources.tables import stored
 from .findings import has_fix
-from .intervals import first_come
 
 
 def candidates(findings: DataFrame) -> DataFrame:
@@ -23,44 +22,45 @@ def validated(findings: DataFrame, el: DataFrame) -> DataFrame:
     return rows.withColumn("valid", F.coalesce(slice_text(F.col("leaf"), (F.col("start_offset") - F.col("leaf_start")).cast("int"), (F.col("end_offset") - F.col("leaf_start")).cast("int")) == F.col("original_text"), F.lit(False)))
 
 
-#: Up to so many fixes that overlap one after the other are taken in turn within a row; longer runs go by pointers.
-LONG = 64
+#: So many fixes are taken at a time.
+STEP = 4096
 
 
-def resolved(checked: DataFrame, long: int = LONG) -> DataFrame:
+def resolved(checked: DataFrame, step: int = STEP) -> DataFrame:
     """Each candidate with its status: skipped (invalid), applied, or downgraded with the applied one it overlaps.
 
-    In a document, fixes are taken in the order of start and ordinal unless they overlap one taken before. Windows cut the
-    fixes where none reaches beyond. Only inside such runs is there anything to decide, by intervals.first_come where a run
-    is long. Insertions block nothing; they go where the last fix taken before them reaches beyond their place.
+    In a document, fixes are taken in the order of start and ordinal unless they overlap one taken before. Insertions block
+    nothing; they go where the last fix taken before them reaches beyond their place. A sweep: the fixes are shuffled and sorted
+    once and stream through a task, which remembers the last one taken and nothing else.
     """
-    order = Window.partitionBy("doc_id").orderBy("start_offset", "ordinal")
-    rows = checked.where("valid").select("doc_id", "start_offset", "ordinal", "end_offset", "finding_key")
-    wide = rows.where("end_offset > start_offset")
-    reach = F.max("end_offset").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    wide = wide.withColumn("new", F.coalesce(F.col("start_offset") >= reach, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(order)).drop("new")
-    wide = stored(wide.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "run"))), "fixes")
-    columns = ("start_offset", "ordinal", "end_offset", "finding_key")
-    short = wide.where(F.col("n") <= long).groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all"))
-    # fixes that are taken don't overlap, so the last of them is the only one to look at
-    last = lambda acc: F.element_at(acc, -1)["end_offset"]
-    turn = lambda acc, x: F.when((F.size(acc) == 0) | (x["start_offset"] >= F.coalesce(last(F.when(F.size(acc) > 0, acc)), F.lit(0))), F.concat(acc, F.array(x))).otherwise(acc)
-    taken = F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate("all", F.slice("all", 1, 0), turn))
-    short = short.select("doc_id", taken.alias("taken"), F.explode("all").alias("x"))
-    judged = short.select("doc_id", *(F.col(f"x.{c}").alias(c) for c in columns), F.exists("taken", lambda y: y["finding_key"] == F.col("x.finding_key")).alias("taken"))
-    if not (rest := wide.where(F.col("n") > long)).isEmpty():
-        spans = rest.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("start_offset", "ordinal")))
-        spans = spans.select("doc_id", "run", "no", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"), "ordinal", "finding_key")
-        found = first_come(spans.select("doc_id", "run", "no", "start", "end"), "doc_id", "run").withColumn("taken", F.lit(True))
-        rest = spans.join(found, ["doc_id", "run", "no"], "left").select("doc_id", F.col("start").alias("start_offset"), "ordinal", F.col("end").alias("end_offset"), "finding_key", F.coalesce("taken", F.lit(False)).alias("taken"))
-        judged = judged.unionByName(rest)
-    points = rows.where("end_offset = start_offset").withColumn("taken", F.lit(None).cast("boolean"))
-    seen = F.last(F.when(F.col("taken"), F.struct("start_offset", "end_offset", "finding_key")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    judged = judged.unionByName(points).withColumn("seen", seen)
-    held = (F.col("seen.start_offset") < F.col("start_offset")) & (F.col("seen.end_offset") > F.col("start_offset"))
-    mine = F.coalesce("taken", ~F.coalesce(held, F.lit(False)))
-    judged = judged.select("doc_id", "finding_key", F.when(mine, "applied").otherwise("downgraded").alias("status"), F.when(~mine, F.col("seen.finding_key")).alias("conflicts_with"))
-    return checked.join(judged, ["doc_id", "finding_key"], "left").withColumn("status", F.coalesce("status", F.lit("skipped")))
+    rows = checked.drop("leaf")
+    kind = T.StructType([*rows.schema.fields, T.StructField("status", T.StringType()), T.StructField("conflicts_with", T.StringType())])
+
+    def sweep(batches):
+        import pyarrow as pa
+
+        doc = end = start = key = None
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                status, by = [], []
+                for d, valid, s, e, k in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "valid", "start_offset", "end_offset", "finding_key"))):
+                    if d != doc:
+                        doc, start, end, key = d, None, None, None
+                    if not valid or e < s:
+                        status.append("skipped")
+                        by.append(None)
+                    elif end is not None and (s < end if e > s else start < s < end):
+                        status.append("downgraded")
+                        by.append(key)
+                    else:
+                        status.append("applied")
+                        by.append(None)
+                        if e > s:
+                            start, end, key = s, e, k
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(status, pa.string()), pa.array(by, pa.string())], [*batch.schema.names, "status", "conflicts_with"])
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "start_offset", "ordinal").mapInArrow(sweep, kind)
 
 
 def splice(text: Column, fixes: Column) -> Column:

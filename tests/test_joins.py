@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from proofmill.operators import briefs_checks, checks, document, edits, findings, intervals, phrases, runs
@@ -131,6 +132,14 @@ def test_ten_thousand_fixes_that_overlap_in_one_leaf(spark):
     assert n == {"applied": 5000, "downgraded": 5000}
 
 
+def test_conflicts_take_one_shuffle_and_no_tables(spark, monkeypatch):
+    from proofmill.sources import tables
+
+    monkeypatch.setattr(tables, "new_path", lambda *a: pytest.fail("a table is written"))
+    plan = edits.resolved(chain(spark, [(i, i + 2) for i in range(200)]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_runs_after_fixes_equal_one_fix_after_the_other(spark):
     rng = random.Random(8)
     made = []
