@@ -5,10 +5,9 @@ A run is a struct with text, start and end in its leaf, and formats; see sources
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.text import starts
+from pyspark.sql import types as T
 
 FLAGS = ("bold", "italic", "underline", "strikethrough")
 
@@ -61,44 +60,85 @@ def after_fixes(leaves: DataFrame) -> DataFrame:
     """(doc_id, idx, runs) of leaves (doc_id, idx, runs, fixes) after their sorted, disjoint fixes (struct<s, e, fix>).
 
     Runs before a fix stay, runs behind it shift, others are cut; a fix takes the formats of the run with which it overlaps
-    most, the first of equals, and an insertion those of the run around it. A sweep: the borders of runs and fixes of a leaf
-    in one order give its segments, each with the run and the fix that are open there and the growth of the fixes before.
-    A leaf of which nothing is left has no row.
+    most, the first of equals, and an insertion those of the run around it. A leaf of which nothing is left has no row.
+    Leaves stay where they are: nothing is shuffled, and a batch of them is cut at once (cut_runs).
     """
-    grow = F.transform("fixes", lambda x: F.length(x["fix"]) - (x["e"] - x["s"]))
-    numbered = leaves.select("doc_id", "idx", "runs", "fixes", starts(grow).alias("before"))
-    runs = numbered.select("doc_id", "idx", F.posexplode("runs").alias("run_no", "run"))
-    one = F.arrays_zip(F.col("fixes").alias("x"), F.col("before").alias("before"))
-    fixes = numbered.select("doc_id", "idx", F.posexplode(one).alias("fix_no", "y")).select("doc_id", "idx", "fix_no", "y.x.s", "y.x.e", "y.x.fix", "y.before")
-    fixes = fixes.withColumn("after", F.col("before") + F.length("fix") - (F.col("e") - F.col("s")))
-    run, fix = F.struct("run_no", "run"), F.struct("fix_no", "s", "e", "fix", "before")
-    # at one place: ends before insertions before starts
-    border = lambda df, at, kind, **more: df.select("doc_id", "idx", at.alias("at"), F.lit(kind).alias("kind"), *(c.alias(k) for k, c in more.items()))
-    wide = F.col("e") > F.col("s")
-    parts = [
-        border(runs, F.col("run.end"), 0), border(fixes.where(wide), F.col("e"), 1, grown=F.col("after")),
-        border(fixes.where(~wide), F.col("s"), 2, grown=F.col("after"), point=fix),
-        border(fixes.where(wide), F.col("s"), 3, fix=fix), border(runs, F.col("run.start"), 4, run=run),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
-    order = Window.partitionBy("doc_id", "idx").orderBy("at", "kind", F.col("point.fix_no"))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(upto)
-    rows = rows.select("doc_id", "idx", "at", "kind", F.col("run").alias("opens"), "point", last("run").alias("run"), last("fix").alias("fix"), F.coalesce(last("grown"), F.lit(0)).alias("grown"), F.lead("at").over(order).alias("to"))
-    inside = F.col("run.run.end") > F.col("at")
-    fixed = F.coalesce(F.col("fix.e") > F.col("at"), F.lit(False))
-    here = F.col("to") > F.col("at")
-    text = F.substring(F.col("run.run.text"), F.col("at") - F.col("run.run.start") + 1, F.col("to") - F.col("at"))
-    kept = rows.where(here & inside & ~fixed).select("doc_id", "idx", "run.run", text.alias("text"), (F.col("at") + F.col("grown")).alias("start"))
-    bare = rows.where((F.col("opens.run.end") == F.col("at")) & ~F.coalesce((F.col("fix.s") < F.col("at")) & fixed, F.lit(False)))
-    bare = bare.select("doc_id", "idx", "opens.run", F.lit("").alias("text"), (F.col("at") + F.col("grown")).alias("start"))
-    shares = rows.where(here & inside & fixed).groupBy("doc_id", "idx", "fix").agg(F.max(F.struct((F.col("to") - F.col("at")).alias("share"), (-F.col("run.run_no")).alias("no"), F.col("run.run").alias("run"))).alias("main"))
-    put = shares.select("doc_id", "idx", "main.run", F.col("fix.fix").alias("text"), (F.col("fix.s") + F.col("fix.before")).alias("start"))
-    around = rows.where(F.col("point").isNotNull() & (F.col("run.run.start") < F.col("at")) & inside)
-    around = around.select("doc_id", "idx", "run.run", F.col("point.fix").alias("text"), (F.col("point.s") + F.col("point.before")).alias("start"))
-    pieces = kept.unionByName(put.where("text <> ''")).unionByName(around.where("text <> ''")).unionByName(bare)
-    made = F.col("run").withField("text", F.col("text")).withField("start", F.col("start").cast("int")).withField("end", (F.col("start") + F.length("text")).cast("int"))
-    gathered = pieces.groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct("start", F.length("text").alias("n"), made.alias("run")))).alias("all"))
-    return gathered.select("doc_id", "idx", F.transform("all", lambda x: x["run"]).alias("runs"))
+    rows = leaves.select("doc_id", "idx", "runs", "fixes")
+    kind = T.StructType(rows.schema.fields[:3])
+
+    def run(batches):
+        for batch in batches:
+            yield cut_runs(batch)
+
+    return rows.mapInArrow(run, kind)
+
+
+def cut_runs(batch):
+    """after_fixes of a record batch. Leaves stand one behind the other on one line; the borders of runs and fixes cut it."""
+    import numpy as np
+    import pyarrow as pa
+
+    def flat(name):
+        lists = batch.column(batch.schema.get_field_index(name))
+        n = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+        return lists.flatten(), np.repeat(np.arange(len(n)), n)
+
+    numbers = lambda part, c: np.asarray(part.field(c), dtype=np.int64)
+    runs, of = flat("runs")
+    fixes, leaf = flat("fixes")
+    names = [f.name for f in runs.type]
+    start, end, s, e = numbers(runs, "start"), numbers(runs, "end"), numbers(fixes, "s"), numbers(fixes, "e")
+    size = np.zeros(batch.num_rows, np.int64)
+    for at, to in ((of, end), (leaf, e)):
+        np.maximum.at(size, at, to)
+    base = np.concatenate([[0], np.cumsum(size + 1)])
+    start, end, s, e = start + base[of], end + base[of], s + base[leaf], e + base[leaf]
+    words, texts = fixes.field("fix").to_pylist(), runs.field("text").to_pylist()
+    total = np.concatenate([[0], np.cumsum(np.array([len(w) for w in words], np.int64) - (e - s))])
+    first = np.searchsorted(leaf, np.arange(batch.num_rows))
+    grown = lambda at, own: total[np.searchsorted(e, at, "right")] - total[first[own]]
+    full = np.flatnonzero(end > start)
+    full = full[np.argsort(start[full], kind="stable")]
+    wide, points = np.flatnonzero(e > s), np.flatnonzero(e == s)
+
+    def around(at, rows, begin, stop):
+        """The last of rows that begins at a place or before and reaches beyond it, or -1."""
+        if not len(rows):
+            return np.full(len(at), -1)
+        i = np.searchsorted(begin[rows], at, "right") - 1
+        found = rows[np.maximum(i, 0)]
+        return np.where((i >= 0) & (stop[found] > at), found, -1)
+
+    borders = np.unique(np.concatenate([start[full], end[full], s, e]))
+    at, to = borders[:-1], borders[1:]
+    run, fix = around(at, full, start, end), around(at, wide, s, e)
+    kept, fixed = np.flatnonzero((run >= 0) & (fix < 0)), np.flatnonzero((run >= 0) & (fix >= 0))
+    # of each fix the run with the largest share
+    order = fixed[np.lexsort((run[fixed], at[fixed] - to[fixed], fix[fixed]))]
+    best = order[np.unique(fix[order], return_index=True)[1]] if len(order) else order
+    bare = np.flatnonzero(end == start)
+    over = around(start[bare], wide, s, e)
+    bare = bare[(over < 0) | (s[np.maximum(over, 0)] >= start[bare])]
+    held = around(s[points], full, start, end)
+    points, held = points[(held >= 0) & (start[held] < s[points])], held[(held >= 0) & (start[held] < s[points])]
+    put, main = np.concatenate([fix[best], points]), np.concatenate([run[best], held])
+    kept_at, kept_to, kept_run = at[kept], to[kept], run[kept]
+    text = [texts[r][a:b] for r, a, b in zip(kept_run.tolist(), (kept_at - start[kept_run]).tolist(), (kept_to - start[kept_run]).tolist())]
+    text += [""] * len(bare) + [words[f] for f in put.tolist()]
+    who = np.concatenate([kept_run, bare, main])
+    # a fix stands where it began, moved by the fixes before it
+    place = np.concatenate([kept_at + grown(kept_at, of[kept_run]), start[bare] + grown(start[bare], of[bare]), s[put] + total[put] - total[first[leaf[put]]]])
+    length = np.array([len(t) for t in text], np.int64)
+    stays = np.concatenate([np.ones(len(kept) + len(bare), bool), length[len(kept) + len(bare) :] > 0])
+    order = np.lexsort((who, length, place, of[who]))
+    order = order[stays[order]]
+    who, place, length = who[order], (place - base[of[who]])[order], length[order]
+    made = {"text": pa.array([text[i] for i in order.tolist()], pa.string()), "start": pa.array(place, pa.int32()), "end": pa.array(place + length, pa.int32())}
+    taken = pa.array(who)
+    parts = [made[n] if n in made else runs.field(n).take(taken) for n in names]
+    owner = of[who]
+    some = np.unique(owner)
+    ends = np.concatenate([np.searchsorted(owner, some), [len(owner)]])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names))
+    rows = pa.array(some)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), lists], ["doc_id", "idx", "runs"])

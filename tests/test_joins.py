@@ -163,6 +163,20 @@ def test_runs_after_fixes_equal_one_fix_after_the_other(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_runs_of_leaves_stay_where_they_are(spark):
+    made = [
+        ("a", 0, [("ab", 0, 2, True), ("", 2, 2, True), ("cd", 2, 4, False)], [(1, 1, "x"), (2, 3, "")]), ("a", 1, None, None), ("a", 2, [("gone", 0, 4, True)], [(0, 4, "")]),
+        ("b", 7, [("ab", 0, 2, True), ("cd", 2, 4, False)], [(0, 0, "no"), (1, 3, "éé")]), ("b", 8, [("same", 0, 4, None)], []),
+    ]
+    df = spark.createDataFrame(made, "doc_id string, idx long, runs array<struct<text:string,start:int,end:int,bold:boolean>>, fixes array<struct<s:int,e:int,fix:string>>")
+    got = runs.after_fixes(df)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.idx): [tuple(x) for x in r.runs] for r in got.collect()} == {
+        ("a", 0): [("a", 0, 1, True), ("x", 1, 2, True), ("b", 2, 3, True), ("", 3, 3, True), ("d", 3, 4, False)],
+        ("b", 7): [("a", 2, 3, True), ("éé", 3, 5, True), ("d", 5, 6, False)], ("b", 8): [("same", 0, 4, None)],
+    }
+
+
 def test_ten_thousand_fixes_of_runs(spark):
     n = 10_000
     df = spark.createDataFrame([(1, 0, [{"text": "ab ", "start": 3 * i, "end": 3 * i + 3, "bold": i % 2 == 0} for i in range(n)], [{"s": 3 * i, "e": 3 * i + 2, "fix": "xyz"} for i in range(n)])], f"doc_id long, idx long, runs array<{office.RUN}>, fixes array<struct<s:int,e:int,fix:string>>")
