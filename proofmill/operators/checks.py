@@ -452,12 +452,21 @@ def brand_names(el: DataFrame, canonical: str, operators: list[str], mapping: di
 # --- numeric consistency ---
 
 
+#: What stands within the reach of a place where a claim begins: most places are passed by it without a search for the value.
+AHEAD = {"BONUS_AMOUNT": r"(?=[^$]{0,40}\$)", "BONUS_PERCENT": r"(?=\D{0,40}\d)", "WAGERING": r"(?=\D{0,40}\d)", "GAME_COUNT": r"(?=[^\d,]{0,40}[\d,])"}
+
+
 def claims(el: DataFrame) -> DataFrame:
-    """(doc_id, idx, category, kind, value, number, context, offset) of the numeric claims of paragraphs, in one scan."""
+    """(doc_id, idx, category, kind, value, number, context, offset) of the numeric claims of paragraphs, in one scan.
+
+    Only leaves that hold a value with its sign or noun are searched for its surroundings.
+    """
 
     def of(category: str, p: str) -> Column:
         claim = lambda x: F.struct(F.lit(category).alias("category"), x["start"].alias("s"), x["text"].alias("m"), F.regexp_extract(x["text"], "(?i)" + p, 1).alias("value"))
-        return F.transform(T.match_spans(F.col("text"), p, True), claim)
+        bare = re.sub(r"\.\{0,\d+\}\??", "", p)
+        found = T.match_spans(F.col("text"), AHEAD.get(category, "") + p, True)
+        return F.transform(F.when(F.col("text").rlike("(?i)" + bare), found).otherwise(F.array().cast(f"array<{T.SPAN}>")), claim)
 
     rows = of_type(el, "paragraph").where(F.col("text").rlike(r"\d"))
     rows = rows.select("doc_id", "idx", "start_offset", F.explode(F.flatten(F.array(*(of(*c) for c in L.CLAIM_PATTERNS.items())))).alias("c")).select("doc_id", "idx", "start_offset", "c.*")

@@ -81,6 +81,30 @@ def test_rows_of_signs_are_no_currency(article):
     assert rows(checks.currency_occurrences(el), "style", "m") == [("code", "25 EUR"), ("combined", "$500 USD"), ("symbol", "$20"), ("symbol", "R$ 30")]
 
 
+def test_claims_are_the_same_with_a_look_ahead():
+    import random
+    import re
+
+    from proofmill.functions import lexicons as L
+
+    rng, found = random.Random(5), 0
+    parts = ["$", "$1,200.50", "35x", "12x3", "150%", "7 %", "40 games", "1,000+ Slots", ",", "\n", "aaaa bbbb cccc dddd eeee ", "x", " ", "9"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        for k, p in L.CLAIM_PATTERNS.items():
+            want = [m.group() for m in re.finditer(p, text, re.I)]
+            assert [m.group() for m in re.finditer(checks.AHEAD[k] + p, text, re.I)] == want
+            assert bool(re.search(re.sub(r"\.\{0,\d+\}\??", "", p), text, re.I)) == bool(want)
+            found += len(want)
+    assert found > 500
+
+
+def test_transitions_are_looked_for_only_where_they_stand(article):
+    got = profile.transitions(article("Also, alsoo and thusly. Thus also", "As well as"))
+    assert rows(got.where("layer = 'house'"), "phrase", "n") == [("also", 2), ("and", 1), ("as well as", 1), ("thus", 1)]
+    assert "contains" in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_formatting(article):
     got = fixes(checks.formatting(article("Two  spaces , here.Zoos e.g. visit site.com or v1.2 end ")))
     assert ("double_space", "  ", " ", True) in got and ("space_before_punct", " ,", ",", True) in got and ("missing_space", ".Z", ". Z", True) in got
