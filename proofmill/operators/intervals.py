@@ -17,6 +17,7 @@ def claimed(hits: DataFrame, rank: str, *group: str) -> DataFrame:
     ranks. Mostly there are two. All are windows over one sorting of the hits; none looks
     further than the longest hit reaches, and no group is gathered in a row.
     """
+    hits = stored(hits, "hits")  # read in a round and before it; finding them costs more than storing them
     longest = hits.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
     order = Window.partitionBy(*group).orderBy("start")
     near, past = order.rangeBetween(-longest, longest), Window.unboundedPreceding

@@ -7,6 +7,7 @@ stands the tokens behind it are compared with the rest of the term.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from ..functions import text as T
 LETTERS, ASCII = r"\p{L}\p{N}_", "A-Za-z0-9_"
 #: A lexicon with no more terms than these is looked up inside the leaves, then broadcast; a larger one is joined by hash.
 SMALL = 20_000
+#: A lexicon whose terms begin with no more different tokens than these is found by one pattern of them; leaves aren't cut.
+FEW = 200
 
 
 def cut(text: Column, letters: str = LETTERS) -> Column:
@@ -70,6 +73,10 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     longest, firsts = max(longest, 1), sorted({r["first"] for r in some}) if small else None
     if small:
         words = spark.createDataFrame(some, words.schema)
+    # a letter that has two in lower case would make lengths differ
+    literal = small and not context and spans is None and not any(r["loose"] or r["head"] or r["tail"] or "\u0307" in r["first"] + "".join(x["gap"] + x["word"] for x in r["rest"]) for r in some)
+    if literal and len(firsts) <= FEW:
+        return marked(el, words, firsts, letters).select(*keep, *own(words), "s", "m", "e")
     known = (lambda raw: F.lower(raw).isin(firsts)) if firsts is not None else (lambda raw: F.lit(True))
     rows = el
     if firsts is not None:  # most leaves hold none of the first tokens
@@ -112,6 +119,23 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     return outside(out, F.col("span").isNotNull(), "doc_id", "idx").drop("span")
 
 
+def marked(el: DataFrame, words: DataFrame, firsts: list[str], letters: str) -> DataFrame:
+    """hits of terms without context: one pattern marks the first tokens, and the text behind each is compared with the rest."""
+    pattern = f"(?iu)(?<![{letters}])(?:{'|'.join(map(re.escape, firsts))})(?![{letters}])"
+    words = words.withColumn("more", F.array_join(F.transform("rest", lambda x: F.concat(x["gap"], x["word"])), ""))
+    reach = words.agg(F.max(F.length("more"))).first()[0]
+    rows = el.where(F.col("text").rlike(pattern))
+    place = lambda x: F.struct(F.lower(x["text"]).alias("first"), x["start"].alias("s"), x["text"].alias("raw"), F.substring(F.col("text"), x["end"] + 1, F.lit(reach + 1)).alias("behind"))
+    rows = rows.select(*(c for c in el.columns if c != "text"), F.explode(F.transform(T.match_spans(F.col("text"), pattern), place)).alias("x"))
+    joined = rows.withColumn("first", F.col("x.first")).join(F.broadcast(words), "first")
+    n = F.length("more")
+    core = F.substring(F.col("x.behind"), F.lit(1), n)
+    # the last token of the term ends where the text's does
+    same = (n == 0) | ((F.lower(core) == F.col("more")) & ~F.substring(F.col("x.behind"), n + 1, F.lit(1)).rlike(f"[{letters}]"))
+    out = joined.where(same).withColumn("s", F.col("x.s")).withColumn("m", F.concat("x.raw", core))
+    return out.withColumn("e", F.col("s") + F.length("m"))
+
+
 def own(words: DataFrame) -> list[str]:
     return [c for c in words.columns if c not in ("first", "rest", "head", "tail", "loose")]
 

@@ -132,6 +132,18 @@ def test_ten_thousand_fixes_that_overlap_in_one_leaf(spark):
     assert n == {"applied": 5000, "downgraded": 5000}
 
 
+def test_few_first_tokens_are_marked_and_give_the_same_hits(spark, article, monkeypatch):
+    rng = random.Random(11)
+    words = ["as", "well", "As", "WELL", "asé", "éas", "so", "ſo", "İs", "K", "k", "k9", "a.b", "x_so"]
+    el = article(*("".join(rng.choice(words) + rng.choice([" ", "  ", "-", "\t", ", "]) for _ in range(rng.randint(1, 12))) for _ in range(300)))
+    lexicon = phrases.lexicon(spark, [(t,) for t in ("as well as", "as", "so", "as-so", "k", "k as", "a.b", "well, so")], "term string")
+    for letters in (phrases.LETTERS, phrases.ASCII):
+        marked = rows(phrases.hits(el, lexicon, letters=letters), "idx", "term", "s", "e", "m")
+        monkeypatch.setattr(phrases, "FEW", 0)
+        assert marked == rows(phrases.hits(el, lexicon, letters=letters), "idx", "term", "s", "e", "m") and len(marked) > 300
+        monkeypatch.undo()
+
+
 def test_conflicts_take_one_shuffle_and_no_tables(spark, monkeypatch):
     from proofmill.sources import tables
 
