@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,17 @@ def lit_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + pattern
 
 
+def either(words: Iterable[str]) -> str:
+    """A pattern of any of the words, the longest first, that looks at the letters they share once."""
+    tails: dict[str, set[str]] = {}
+    for w in words:
+        tails.setdefault(w[:1], set()).add(w[1:])
+    parts = [re.escape(c) + either(rest) for c, rest in sorted(tails.items()) if c]
+    if "" in tails:
+        return f"(?:{'|'.join(parts)}|)" if parts else ""
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once however often it is used."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -102,11 +114,18 @@ def prose_sentences(text: Column) -> Column:
     """
     mark = "\u0001"
     out = text
+
+    def protect(text: Column, a: str) -> Column:
+        found = lambda x: F.regexp_replace(x, r"(?i)\b" + a.replace(".", r"\.") + r"\.", a + mark)
+        return let(text, lambda x: F.when(F.contains(F.lower(x), F.lit(a + ".")), found(x)).otherwise(x))
+
+    # one search tells the texts that hold no abbreviation; in the others each is looked for only where it stands
     for a in L.ABBREVIATIONS:
-        out = F.regexp_replace(out, r"(?i)\b" + a.replace(".", r"\.") + r"\.", a + mark)
+        out = protect(out, a)
+    out = let(text, lambda x: F.when(x.rlike(r"(?i)\b" + either(L.ABBREVIATIONS) + r"\."), out).otherwise(x))
     out = F.regexp_replace(out, r"(\d)\.(\d)", "$1" + mark + "$2")
     out = F.regexp_replace(out, r"([.!?]+)\s+(?=[A-Z])", "$1\u0002")
-    parts = F.transform(F.split(out, "\u0002"), lambda s: F.trim(F.translate(s, mark, ".")))
+    parts = F.transform(F.split(out, "\u0002"), lambda s: F.trim(F.replace(s, F.lit(mark), F.lit("."))))
     return F.filter(parts, lambda s: F.length(s) > 1)
 
 

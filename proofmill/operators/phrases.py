@@ -7,7 +7,6 @@ stands the tokens behind it are compared with the rest of the term.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 
-LETTERS, ASCII = r"\p{L}\p{N}_", "A-Za-z0-9_"
+LETTERS, ASCII = r"\p{L}\p{N}_", r"\w"
 #: A lexicon with no more terms than these is looked up inside the leaves, then broadcast; a larger one is joined by hash.
 SMALL = 20_000
 #: A lexicon whose terms begin with no more different tokens than these is found by one pattern of them; leaves aren't cut.
@@ -74,9 +73,10 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     if small:
         words = spark.createDataFrame(some, words.schema)
     # a letter that has two in lower case would make lengths differ
-    literal = small and not context and spans is None and not any(r["loose"] or r["head"] or r["tail"] or "\u0307" in r["first"] + "".join(x["gap"] + x["word"] for x in r["rest"]) for r in some)
+    literal = small and spans is None and not any(r["loose"] or r["head"] or r["tail"] or "\u0307" in r["first"] + "".join(x["gap"] + x["word"] for x in r["rest"]) for r in some)
     if literal and len(firsts) <= FEW:
-        return marked(el, words, firsts, letters).select(*keep, *own(words), "s", "m", "e")
+        sides = ["before"] * bool(context) + ["after"] * after
+        return marked(el, words, firsts, letters, context, after).select(*keep, *own(words), "s", "m", *sides, "e")
     known = (lambda raw: F.lower(raw).isin(firsts)) if firsts is not None else (lambda raw: F.lit(True))
     rows = el
     if firsts is not None:  # most leaves hold none of the first tokens
@@ -119,20 +119,54 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     return outside(out, F.col("span").isNotNull(), "doc_id", "idx").drop("span")
 
 
-def marked(el: DataFrame, words: DataFrame, firsts: list[str], letters: str) -> DataFrame:
-    """hits of terms without context: one pattern marks the first tokens, and the text behind each is compared with the rest."""
-    pattern = f"(?iu)(?<![{letters}])(?:{'|'.join(map(re.escape, firsts))})(?![{letters}])"
+def marked(el: DataFrame, words: DataFrame, firsts: list[str], letters: str, context: int = 0, after: bool = False) -> DataFrame:
+    """hits of terms as they stand: one pattern marks the first tokens, and the text behind each is compared with the rest.
+
+    The pattern takes what stands behind a token along with it, and what stands before it is the end of the pieces before, so
+    no place is counted from the beginning of its text: long texts cost in proportion to their length.
+    """
     words = words.withColumn("more", F.array_join(F.transform("rest", lambda x: F.concat(x["gap"], x["word"])), ""))
-    reach = words.agg(F.max(F.length("more"))).first()[0]
-    rows = el.where(F.col("text").rlike(pattern))
-    place = lambda x: F.struct(F.lower(x["text"]).alias("first"), x["start"].alias("s"), x["text"].alias("raw"), F.substring(F.col("text"), x["end"] + 1, F.lit(reach + 1)).alias("behind"))
-    rows = rows.select(*(c for c in el.columns if c != "text"), F.explode(F.transform(T.match_spans(F.col("text"), pattern), place)).alias("x"))
+    reach = words.agg(F.max(F.length("more"))).first()[0] + 1 + (context if after else 0)
+    token = f"(?<![{letters}])(?iu:{T.either(firsts)})(?![{letters}])"
+    rows = el.where(F.col("text").rlike(token))
+
+    def piece(x: Column, i: Column) -> Column:
+        own_ = lambda k: F.substring_index(F.substring_index(x, T.CLOSE, k), T.CLOSE, -1)
+        some = F.struct(own_(1).alias("raw"), own_(2).alias("behind"), F.substring_index(x, T.CLOSE, -1).alias("gap"))
+        return F.when(i == 0, F.struct(F.lit("").alias("raw"), F.lit("").alias("behind"), x.alias("gap"))).otherwise(some)
+
+    def before(pieces: Column, i: Column) -> list[Column]:
+        if not context:
+            return []
+        text = lambda x: F.concat(x["raw"], x["gap"])
+        few = F.least(i, F.lit(context // 2 + 1))  # pieces that hold so many characters: a token and what parts it from the next
+        last = F.substring(text(F.get(pieces, i - 1)), -context, context)
+        more = F.array_join(F.transform(F.slice(pieces, i - few + 1, few), text), "")
+        return [F.when(F.length(last) == context, last).otherwise(F.substring(more, -context, context)).alias("before")]
+
+    def place(pieces: Column, at: Column) -> Column:
+        one = lambda x, i: F.struct(F.lower(x["raw"]).alias("first"), F.get(at, i).alias("s"), x["raw"], x["behind"], *before(pieces, i))
+        return F.slice(F.transform(pieces, one), 2, F.size(pieces) - 1)
+
+    size = lambda x: F.length(x["raw"]) + F.length(x["gap"])
+    marks = F.regexp_replace("text", f"{token}(?=((?s:.{{0,{reach}}})))", f"{T.OPEN}$0{T.CLOSE}$1{T.CLOSE}")
+    plain = T.let(F.transform(F.split(marks, T.OPEN, -1), piece), lambda ps: T.let(T.starts(F.transform(ps, size)), lambda at: place(ps, at)))
+    # texts that hold the marks are read from their beginning
+    ahead = lambda x: [F.substring(F.col("text"), F.greatest(x["start"] - context, F.lit(0)) + 1, F.least(x["start"], F.lit(context))).alias("before")] * bool(context)
+    read = lambda x: F.struct(F.lower(x["text"]).alias("first"), x["start"].alias("s"), x["text"].alias("raw"), F.substring(F.col("text"), x["end"] + 1, F.lit(reach)).alias("behind"), *ahead(x))
+    walked = F.transform(T.match_spans(F.col("text"), token), read)
+    odd = F.contains("text", F.lit(T.OPEN)) | F.contains("text", F.lit(T.CLOSE))
+    rows = rows.select(*(c for c in el.columns if c != "text"), F.explode(F.when(odd, walked).otherwise(plain)).alias("x"))
     joined = rows.withColumn("first", F.col("x.first")).join(F.broadcast(words), "first")
     n = F.length("more")
     core = F.substring(F.col("x.behind"), F.lit(1), n)
     # the last token of the term ends where the text's does
     same = (n == 0) | ((F.lower(core) == F.col("more")) & ~F.substring(F.col("x.behind"), n + 1, F.lit(1)).rlike(f"[{letters}]"))
     out = joined.where(same).withColumn("s", F.col("x.s")).withColumn("m", F.concat("x.raw", core))
+    if context:
+        out = out.withColumn("before", F.col("x.before"))
+    if after:
+        out = out.withColumn("after", F.substring(F.col("x.behind"), n + 1, F.lit(context)))
     return out.withColumn("e", F.col("s") + F.length("m"))
 
 

@@ -9,6 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from proofmill.functions import text as T
 from proofmill.operators import briefs_checks, checks, document, edits, findings, intervals, phrases, runs
 from proofmill.sources import office
 
@@ -208,3 +209,25 @@ def test_registered_consistency(article):
     el = article("The welcome bonus is $500 for all.", "Our welcome offer gives $300 today.")
     assert checks.CHECKS["consistency"](el, lambda p: "PAIR 1: CONFLICT").count() == 1
     assert findings.union([checks.CHECKS["consistency"](el)]).count() == 0
+
+
+def test_places_of_first_tokens_equal_brute_force(spark, article):
+    rng = random.Random(5)
+    terms = ["also", "as well as", "as", "in fact", "infact"]
+    texts = ["".join(rng.choice(["also", "as", " ", " ", "well", "in", "fact", ", ", "é", "X", "" * odd]) for _ in range(rng.randrange(60))) for odd in (0, 1) for _ in range(60)]
+    words = phrases.lexicon(spark, [(t,) for t in terms], "term string")
+    for letters, plain in ((phrases.LETTERS, "[^\\W]"), (phrases.ASCII, "[A-Za-z0-9_]")):
+        got = {(r.idx, r.term, r.s, r.e, r.m, r.before, r.after) for r in phrases.hits(article(*texts), words, 7, after=True, letters=letters).collect()}
+        want = {(i, w, m.start(), m.end(), m[0], t[max(0, m.start() - 7) : m.start()], t[m.end() : m.end() + 7]) for i, t in enumerate(texts) for w in terms for m in re.finditer(f"(?i)(?<!{plain}){w}(?!{plain})", t)}
+        assert got == want and got
+
+
+def test_hits_in_a_long_leaf_cost_in_proportion(article, spark):
+    words, begun = phrases.lexicon(spark, [("also",), ("as well as",)], "term string"), time.time()
+    assert phrases.hits(article("also é " * 200_000), words).count() == 200_000
+    assert time.time() - begun < 25  # each place was counted from the beginning of the leaf
+
+
+def test_either():
+    for words in (["you", "your", "you're", "a"], ["a"], ["ab", "abc", "b.c", "ab"]):
+        assert [w for w in [*words, "bxc", "yo", "abcd"] if re.fullmatch(T.either(words), w)] == words
