@@ -127,12 +127,14 @@ def missing_sections(el: DataFrame, required: DataFrame) -> DataFrame:
 
 def intro_outro(el: DataFrame) -> DataFrame:
     """(doc_id, first_heading, intro, last_type, last_words): what stands before the first heading and at the end."""
-    first = F.min(F.when(F.col("elem_type") == "heading", F.col("idx"))).over(Window.partitionBy("doc_id"))
-    rows = el.withColumn("h", first)
-    n = T.word_count(F.col("text"))
-    last = F.max(F.when(F.trim("text") != "", F.struct("idx", "elem_type", n.alias("n"), "start_offset", "end_offset", "text")))
-    return rows.groupBy("doc_id").agg(F.min("h").alias("first_heading"), F.count_if((F.col("elem_type") == "paragraph") & (F.col("idx") < F.col("h")) & (n > 5)).alias("intro"), last.alias("l")).select(
-        "doc_id", "first_heading", "intro", F.col("l.elem_type").alias("last_type"), F.col("l.n").cast("long").alias("last_words"), F.col("l.idx").alias("idx"), F.col("l.start_offset").alias("s"), F.col("l.end_offset").alias("e"), F.col("l.text").alias("t")
+    # nothing but a row for each document is shuffled, and words are counted in its last leaf alone
+    long = (F.col("elem_type") == "paragraph") & F.col("text").rlike(r"(?U)(?:\w++\W++){5}\w")
+    last = F.max(F.when(F.trim("text") != "", F.struct("idx", "elem_type", "start_offset", "end_offset", "text")))
+    head = F.min(F.when(F.col("elem_type") == "heading", F.col("idx")))
+    rows = el.groupBy("doc_id").agg(head.alias("first_heading"), F.collect_list(F.when(long, F.col("idx"))).alias("long"), last.alias("l"))
+    intro = F.size(F.filter("long", lambda i: i < F.col("first_heading"))).cast("long")
+    return rows.select(
+        "doc_id", "first_heading", intro.alias("intro"), F.col("l.elem_type").alias("last_type"), T.word_count(F.col("l.text")).cast("long").alias("last_words"), F.col("l.idx").alias("idx"), F.col("l.start_offset").alias("s"), F.col("l.end_offset").alias("e"), F.col("l.text").alias("t")
     )
 
 

@@ -77,7 +77,8 @@ def stop_words(el: DataFrame, terms: list[tuple[str, str, str]], share: float =
 
 # --- third person to second ---
 
-NOUN = r"\b(" + "|".join(sorted(L.READER_NOUNS, key=len, reverse=True)) + r")\b"
+#: Patterns begin with a look at the letters that their matches begin with: most places are passed by it.
+NOUN = f"(?=[{''.join(sorted({w[0] for w in L.READER_NOUNS}))}])" + r"\b(" + "|".join(sorted(L.READER_NOUNS, key=len, reverse=True)) + r")\b"
 
 
 #: Words, white space and ends as they are where only ASCII letters and digits make words (RE2, DuckDB).
@@ -178,7 +179,9 @@ def heading_rows(el: DataFrame) -> DataFrame:
     section ends last covers what lies before that end.
     """
     w, by = in_order(), Window.partitionBy("doc_id")
-    rows = el.withColumn("prev_end", F.lag("end_offset").over(w)).where("elem_type = 'heading'")
+    # the text of other leaves stays where it is: of them only places take part
+    rows = el.withColumn("text", F.when(F.col("elem_type") == "heading", F.col("text")))
+    rows = rows.withColumn("prev_end", F.lag("end_offset").over(w)).where("elem_type = 'heading'")
     rows = rows.withColumn("prev_level", F.lag("level").over(w)).withColumn("h1", F.count_if(F.col("level") == 1).over(by))
     rows = rows.withColumn("h1_no", F.count_if(F.col("level") == 1).over(w))
     after = by.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
@@ -233,9 +236,9 @@ def headings(el: DataFrame, capitalization: str | None = "title", known: list[st
 # --- currency ---
 
 # a sign behind another one ("$$$ 170.116.163.254") belongs to a row of signs and names no amount
-COMBINED = rf"(?<![A-Za-z€£¥₹₿$])({L.SYMBOLS})\s*({L.AMOUNT})\s+({L.CODES})(?![A-Za-z])"
-SYMBOL = rf"(?<![A-Za-z€£¥₹₿$])({L.SYMBOLS})\s*({L.AMOUNT})(?![%\d])"
-CODE = rf"(?<![€£¥₹₿$\d])({L.AMOUNT})\s+({L.CODES})(?![A-Za-z])"
+COMBINED = rf"(?=[NCAR€£¥₹₿$])(?<![A-Za-z€£¥₹₿$])({L.SYMBOLS})\s*({L.AMOUNT})\s+({L.CODES})(?![A-Za-z])"
+SYMBOL = rf"(?=[NCAR€£¥₹₿$])(?<![A-Za-z€£¥₹₿$])({L.SYMBOLS})\s*({L.AMOUNT})(?![%\d])"
+CODE = rf"(?=\d)(?<![€£¥₹₿$\d])({L.AMOUNT})\s+({L.CODES})(?![A-Za-z])"
 
 
 def currency_occurrences(el: DataFrame) -> DataFrame:
@@ -243,7 +246,10 @@ def currency_occurrences(el: DataFrame) -> DataFrame:
     kinds = (("combined", COMBINED), ("symbol", SYMBOL), ("code", CODE))
 
     def tag(kind: str, pattern: str) -> Column:
-        return F.transform(T.match_spans(F.col("text"), pattern, True), lambda x: F.struct(F.lit(kind).alias("style"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
+        found = T.match_spans(F.col("text"), pattern, True)
+        if kind != "code":
+            found = F.when(F.col("text").rlike("[€£¥₹₿$]"), found).otherwise(F.array().cast(f"array<{T.SPAN}>"))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("style"), x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
 
     tagged = [tag(*k) for k in kinds]
 
@@ -323,7 +329,7 @@ def missing_space_kind(text: Column, p: Column) -> Column:
     )
 
 
-FORMAT_RULES = (("double_space", r"  +"), ("space_before_punct", r" +[,;:!?]|(?<!\.) +\.(?!\.)"), ("missing_space", r"[,.][A-Za-z]"), ("latin", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.|viz\.|cf\.)"), ("trailing_space", r"[ \t]+$"))
+FORMAT_RULES = (("double_space", r"  +"), ("space_before_punct", r" +[,;:!?]|(?<!\.) +\.(?!\.)"), ("missing_space", r"[,.][A-Za-z]"), ("latin", r"(?i)(?=[eivc][.tif])\b(?:e\.g\.|i\.e\.|etc\.|viz\.|cf\.)"), ("trailing_space", r"[ \t]+$"))
 
 
 @check("formatting")

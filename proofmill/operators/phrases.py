@@ -7,6 +7,7 @@ stands the tokens behind it are compared with the rest of the term.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -127,7 +128,8 @@ def marked(el: DataFrame, words: DataFrame, firsts: list[str], letters: str, con
     """
     words = words.withColumn("more", F.array_join(F.transform("rest", lambda x: F.concat(x["gap"], x["word"])), ""))
     reach = words.agg(F.max(F.length("more"))).first()[0] + 1 + (context if after else 0)
-    token = f"(?<![{letters}])(?iu:{T.either(firsts)})(?![{letters}])"
+    heads = "".join(re.escape(c) for c in sorted({x[0] for x in firsts}))
+    token = f"(?iu:(?=[{heads}]))(?<![{letters}])(?iu:{T.either(firsts)})(?![{letters}])"
     rows = el.where(F.col("text").rlike(token))
 
     def piece(x: Column, i: Column) -> Column:

@@ -210,3 +210,18 @@ def test_profile(article):
     assert {(r.opener, r.n) for r in top} == {("one two three", 1), ("five six, seven", 1), ("and ten.", 1)}
     assert [round(r.rate, 2) for r in top] == [33.33] * 3 and top[0].opener == "one two three"  # the first of as frequent ones
     assert [r.layer for r in profile.for_brand(profile.article_counts(el), "b", "t").collect()] == ["house", "type", "brand"]
+
+
+def test_places_and_last_leaves_are_shuffled_without_the_texts(spark, article):
+    import io
+    from contextlib import redirect_stdout
+
+    el = article(("paragraph", None, "one two three four five, six"), ("paragraph", None, "a b c d e"), ("heading", 1, "Top"), ("paragraph", None, "g h i j k l m"), ("paragraph", None, " "))
+    assert rows(briefs_checks.intro_outro(el), "first_heading", "intro", "last_type", "last_words", "idx", "t") == [(2, 1, "paragraph", 7, 3, "g h i j k l m")]
+    none = briefs_checks.intro_outro(article("", "a  b")).first()
+    assert (none.first_heading, none.intro, none.last_words) == (None, 0, 2)
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        briefs_checks.intro_outro(el).explain()
+    assert shown.getvalue().count(" Window [") == 1  # that of the offsets above; all leaves came together once more
+    assert [r.text for r in checks.heading_rows(el).collect()] == ["Top"]
