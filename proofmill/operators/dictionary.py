@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import stored
 from .document import of_type
 
 #: A dictionary of up to so many words is broadcast, some 20 MB; a larger one is joined by hash, after a Bloom filter.
@@ -18,6 +19,7 @@ def word_frequencies(el: DataFrame) -> DataFrame:
     """(word, n, freq) of the words that paragraphs have in lower case: names, which have capitals, don't count."""
     words = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word")
     counted = of_type(el, "paragraph").select(words).where(F.col("word") == F.lower("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = stored(counted, "words")  # the corpus is read once, however often its words are looked up
     total = counted.agg(F.sum("n")).first()[0] or 1
     return counted.withColumn("freq", F.col("n") / total)
 
@@ -60,5 +62,5 @@ def unknown_capitals(el: DataFrame, dictionary: DataFrame, most: int = MOST) ->
     """(doc_id, idx, no, word) of words of headings, the first left out, that have a capital and aren't in the dictionary."""
     bare = F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}'’]+$", "")
     rows = of_type(el, "heading").select("doc_id", "idx", F.posexplode(T.tokens(F.col("text"))).alias("no", "w")).where((F.col("no") > 0) & F.col("w").rlike(r"^\p{Lu}"))
-    rows = rows.select("doc_id", "idx", "no", bare.alias("word"))
+    rows = stored(rows.select("doc_id", "idx", "no", bare.alias("word")), "capitals")
     return rows.join(known_words(rows, dictionary, most), "word", "left_anti").select("doc_id", "idx", "no", "word")

@@ -105,3 +105,10 @@ def test_settings_merge_as_nested_dictionaries_do(spark):
     got = {(r.owner, tuple(r.path), r.value) for r in settings.merged(base, over, "owner").collect()}
     assert got == {(k, p, v) for k, a, b in made for p, v in leaves(config.deep_merge(a, b))}
     assert {(r.owner, r.value) for r in settings.value_at(base, "a").collect()} >= {(None, "1")}
+
+
+def test_the_corpus_is_read_once_for_its_words(article):
+    found = dictionary.word_frequencies(article("we play we", ("heading", 1, "We Playz")))
+    assert found.inputFiles() and {tuple(r) for r in found.select("word", "n").collect()} == {("we", 2), ("play", 1)}
+    capitals = dictionary.unknown_capitals(article(("heading", 1, "We Playz Play")), found)
+    assert [r.word for r in capitals.collect()] == ["Playz"] and capitals.inputFiles()
