@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
-from proofmill.llm import decontam, packing, simhash
+from proofmill.llm import decontam, langid, packing, simhash
 from proofmill.llm.common import stored
 
 from .conftest import SF
@@ -42,6 +44,14 @@ def test_language_stage_drops_noise_and_keeps_the_rest(spark):
     assert len(ids) >= 0.98 * docs.count()
 
 
+def test_texts_go_to_the_workers_once(spark, odd):
+    named = langid.identify(odd, None, carry=corpus_pipeline.COLUMNS)
+    assert named.columns == ["id", "lang_pred", "score", *corpus_pipeline.COLUMNS]
+    assert not re.search(r"\btext#\d+ AS carried", named._jdf.queryExecution().analyzed().toString())
+    rows = lambda df: sorted(map(tuple, df.select(*corpus_pipeline.COLUMNS).collect()), key=str)
+    assert rows(named) == rows(odd) and named.schema["text"].dataType == odd.schema["text"].dataType
+
+
 def test_near_dedup_of_rows_that_repeat(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(7, text), (7, text), (8, text), (9, "other words " * 9), (None, text), (None, text), (7, "quite another text of the same id " * 5)]
