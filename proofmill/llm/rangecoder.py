@@ -5,7 +5,7 @@ before it, with a confidence from 0 to 3. Order 0: how often each id occurs, fro
 with. The three are mixed: an id's share is that of order 0 times what the others leave, and more for the ids that order 1
 and order 2 name. Their weights are adaptive frequencies of being right, chosen by both confidences. The mixture drives one
 step of a range coder with 36-bit probabilities; a range of up to 60 bits is renewed in 20-bit digits, with carries settled
-at the end; two digits are stored as five bytes.
+at the end; two digits are stored as five bytes. A step of 36 bits at most gives two digits at most.
 
 Blocks start afresh and have equal lengths (padded), so numpy takes a step of all of them in each operation. Inside, ids are
 numbered by their place among the file's distinct ids, so ids of any size may occur.
@@ -16,12 +16,22 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-ONE, DIGIT, FLOOR, MASK, TOP = U(36), U(20), U(1 << 40), U((1 << 40) - 1), U(40)
+ONE, DIGIT, FLOOR, MASK, TOP = 36, 20, 1 << 40, (1 << 40) - 1, 40
 SLOTS1, SLOTS2 = 4096, 8192
+#: Steps of the encoder for which places in tables are looked up together.
+AHEAD = 64
 #: Parts of a weight, and of an order-0 share.
 WEIGHT, SHARES = 12, 24
 #: Counts are kept as steps of an eighth of a power of two.
 STEPS = [int(16 * 2 ** (k / 8)) for k in range(256)]
+#: What an entry grows by: its confidence (0 to 3) where its id was wrong, then where it was right. Wrong below 2, it is replaced.
+GROW = np.array([0, 0, -2, -2, 1, 1, 1, 0])
+WEIGHTS = np.arange(1 << WEIGHT)
+DOWN = WEIGHTS - (WEIGHTS - 32 >> 5)
+#: The next weight, from the present one: of order 2 when wrong and right, of order 1 when wrong, right and not asked. KINDS:
+#: which of them, by whether order 2 and order 1 were right.
+KINDS = np.array([[0, 0, 1, 1], [2, 3, 4, 4]]) << WEIGHT
+NEXT = np.concatenate([DOWN, WEIGHTS + (4064 - WEIGHTS >> 5), DOWN, WEIGHTS + (4000 - WEIGHTS >> 5), WEIGHTS])
 
 
 class Order0:
@@ -32,8 +42,7 @@ class Order0:
         count = np.array(STEPS, np.int64)[self.steps]
         share = 1 + count * ((1 << SHARES) - len(ids)) // max(1, int(count.sum()))
         share[share.argmax()] += (1 << SHARES) - share.sum()
-        self.share = share.astype(np.uint64)
-        self.before = (np.cumsum(share) - share).astype(np.uint64)
+        self.share, self.before = share, np.cumsum(share) - share
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Order0:
@@ -41,102 +50,116 @@ class Order0:
         return cls(ids, np.minimum(np.rint(8 * np.log2(n)), 255))
 
     def symbols(self, flat: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ids, flat).astype(np.uint32)
+        return np.searchsorted(self.ids, flat)
 
     def find(self, u: np.ndarray) -> np.ndarray:
         """The symbol whose share holds each place u."""
-        return (np.searchsorted(self.before, u, "right") - 1).astype(np.uint32)
+        return np.searchsorted(self.before, u, "right") - 1
 
 
 class Model:
+    """Rows of two are order 2, then order 1. All integers are 64 bits wide and below 2**62, but for the table's entries."""
+
     def __init__(self, lanes: int, order0: Order0) -> None:
-        self.order0 = order0
-        self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)
-        start = np.array([32, 1024, 2048, 3072], np.int32)
-        self.p2, self.p1 = np.tile(np.repeat(start, 4), lanes), np.tile(np.tile(start, 4), lanes)
-        self.b1, self.b2, self.bp = (np.arange(lanes) * n for n in (SLOTS1, SLOTS2, 16))
-        self.prev, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def predict(self) -> None:
-        """Symbols that order 2 and 1 name (e2, e1), their weights (g2, g1) and what these leave to order 0, all of 2**36."""
-        self.i1 = self.b1 + ((self.prev * np.uint32(0x9E3779B1)) >> np.uint32(20))
-        self.i2 = self.b2 + ((self.prev2 * np.uint32(0x85EBCA6B) ^ self.prev * np.uint32(0xC2B2AE35)) >> np.uint32(19))
-        self.c1, self.c2 = self.t1[self.i1], self.t2[self.i2]
-        self.ip = self.bp + ((self.c2 & np.uint32(3)) << np.uint32(2) | self.c1 & np.uint32(3))
-        self.q2, self.q1 = self.p2[self.ip], self.p1[self.ip]
-        self.e2, self.e1 = self.c2 >> np.uint32(2), self.c1 >> np.uint32(2)
-        f1 = (1 << WEIGHT) - self.q2
-        f1 = f1 * self.q1 >> WEIGHT
-        self.rest = ((1 << WEIGHT) - self.q2 - f1).astype(np.uint64)
-        self.g2, self.g1 = self.q2.astype(np.uint64) << U(SHARES), f1.astype(np.uint64) << U(SHARES)
-
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.order0, lane = order0, np.arange(lanes)
+        self.table = np.zeros(lanes * (SLOTS1 + SLOTS2), np.uint32)
+        self.base = np.stack([lane * SLOTS2, lanes * SLOTS2 + lane * SLOTS1])
+        start = np.array([32, 1024, 2048, 3072])
+        self.weights = np.concatenate([np.tile(np.repeat(start, 4), lanes), np.tile(np.tile(start, 4), lanes)])
+        self.place = np.stack([lane * 16, (lanes + lane) * 16])
+        self.parts = np.empty((2, lanes), np.int64)
+
+    def slots(self, prev2: np.ndarray, prev: np.ndarray) -> np.ndarray:
+        """Where the table has what followed prev2 and prev, and prev alone; for one step or several."""
+        a, b = prev2.astype(np.uint32), prev.astype(np.uint32)
+        two = (a * np.uint32(0x85EBCA6B) ^ b * np.uint32(0xC2B2AE35)) >> np.uint32(19)
+        return np.stack([two, b * np.uint32(0x9E3779B1) >> np.uint32(20)], -2) + self.base
+
+    def predict(self, slots: np.ndarray) -> None:
+        """Symbols that order 2 and 1 name (named), their weights (g) and what these leave to order 0 (rest), all of 2**36."""
+        self.slots_ = slots
+        self.entry = self.table.take(slots, mode="clip").astype(np.int64)
+        self.sure, self.named = self.entry & 3, self.entry >> 2
+        self.at = self.place + (self.sure[0] * 4 + self.sure[1])
+        self.q = self.weights.take(self.at, mode="clip")
+        left = (1 << WEIGHT) - self.q[0]
+        self.parts[0] = self.q[0]
+        np.right_shift(left * self.q[1], WEIGHT, out=self.parts[1])
+        self.rest = left - self.parts[1]
+        self.g = self.parts << SHARES
+
+    def interval(self, x: np.ndarray, before: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where symbol x lies among 2**36 and how much it takes: order 0's place, behind what smaller named ones take."""
-        o = self.order0
-        low = self.rest * o.before[x] + self.g2 * (self.e2 < x) + self.g1 * (self.e1 < x)
-        return low, self.rest * o.share[x] + self.g2 * (self.e2 == x) + self.g1 * (self.e1 == x)
+        self.hit = self.named == x
+        less, own = self.g * (self.named < x), self.g * self.hit
+        return self.rest * before + less[0] + less[1], self.rest * share + own[0] + own[1]
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """The symbol whose interval holds v."""
-        o, two = self.order0, self.e2 < self.e1
-        first, second = np.where(two, self.e2, self.e1), np.where(two, self.e1, self.e2)
-        g, h = np.where(two, self.g2, self.g1), np.where(two, self.g1, self.g2)
-        at, end = self.rest * o.before[first], self.rest * o.share[first] + g
-        one = (v >= at) & (v - at < end)
-        past = v >= at + end
-        v = v - np.where(past, g, U(0))
-        at2, end2 = self.rest * o.before[second], self.rest * o.share[second] + h
-        other = past & (v >= at2) & (v - at2 < end2)
-        v = v - np.where(past & (v >= at2 + end2), h, U(0))
-        same = self.e1 == self.e2
-        if same.any():  # both weights lie on one symbol
-            one |= same & other
-            other &= ~same
-        return np.where(one, first, np.where(other, second, o.find(v // self.rest)))
+        o, (e2, e1) = self.order0, self.named
+        low, size = self.rest * o.before.take(self.named), self.rest * o.share.take(self.named) + self.g
+        both = e1 == e2
+        low[0] += self.g[1] * (e1 < e2)
+        low[1] += self.g[0] * (e2 < e1)
+        if both.any():  # both weights lie on one symbol
+            size += self.g[::-1] * both
+        past = v >= low
+        inside = past & (v < low + size)
+        gone = self.g * past
+        # in a named symbol's interval the difference may be negative; it isn't used there
+        x = o.find((np.maximum(v - gone[0] - gone[1], 0).view(U) // self.rest.view(U)).view(np.int64))
+        np.copyto(x, e1, where=inside[1])
+        np.copyto(x, e2, where=inside[0])
+        return x
 
     def update(self, x: np.ndarray) -> None:
-        hit2 = self.e2 == x
-        hit1 = (self.e1 == x) & ~hit2
-        self.p2[self.ip] = self.q2 + np.where(hit2, (4064 - self.q2) >> 5, -((self.q2 - 32) >> 5))
-        self.p1[self.ip] = self.q1 + np.where(hit2, 0, np.where(hit1, (4000 - self.q1) >> 5, -((self.q1 - 32) >> 5)))
-        fresh = x << np.uint32(2) | np.uint32(1)
-        for table, at, entry in ((self.t1, self.i1, self.c1), (self.t2, self.i2, self.c2)):
-            sure = entry & np.uint32(3)
-            same = entry >> np.uint32(2) == x
-            table[at] = np.where(same, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), np.where(sure > 1, entry - np.uint32(2), fresh))
-        self.prev2, self.prev = self.prev, x
+        """Entries and weights after symbol x, of which interval() has told who named it."""
+        right = self.hit.astype(np.int64)
+        code = right * 4 + self.sure
+        entry = np.where(code < 2, x * 4 + 1, self.entry + GROW.take(code, mode="clip"))
+        self.table[self.slots_] = entry.astype(np.uint32)  # an assignment that converts takes ten times as long
+        self.q += KINDS.take(right[0] * 2 + right[1], axis=1, mode="clip")
+        self.weights[self.at] = NEXT.take(self.q, mode="clip")
 
 
 def encode(ids: np.ndarray, order0: Order0) -> list[bytes]:
     """The code of each row of ids (blocks x length), all of which order0 knows."""
     lanes, n = ids.shape
-    model, steps = Model(lanes, order0), np.ascontiguousarray(order0.symbols(ids.T))
-    low, size = np.zeros(lanes, U), np.full(lanes, U(1 << 60))
-    digits, used, row = np.zeros((lanes, 2 * n + 8), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
-    for x in steps:
-        model.predict()
-        cum, freq = model.interval(x)
-        r = size >> ONE
-        low += r * cum
-        size = r * freq
-        small = np.flatnonzero(size < FLOOR)
-        while len(small):
-            digits[small, used[small]] = (low[small] >> TOP).astype(np.uint32)
-            used[small] += 1
-            low[small] = (low[small] & MASK) << DIGIT
-            size[small] <<= DIGIT
-            small = small[size[small] < FLOOR]
-            if used.max() + 8 > digits.shape[1]:
-                digits = np.concatenate([digits, np.zeros_like(digits)], 1)
-        model.update(x)
+    model, steps = Model(lanes, order0), np.zeros((n + 2, lanes), np.int32)
+    steps[2:] = order0.symbols(ids.T)
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << 60)
+    digits, lane = np.zeros((2 * n + 8, lanes), np.uint32), np.arange(lanes)
+    flat, place = digits.reshape(-1), lane.copy()
+    for lo in range(0, n, AHEAD):
+        some = steps[lo + 2 : lo + 2 + AHEAD].astype(np.int64)
+        slots = model.slots(steps[lo : lo + len(some)], steps[lo + 1 : lo + 1 + len(some)])
+        for x, at, before, share in zip(some, slots, order0.before.take(some), order0.share.take(some)):
+            model.predict(at)
+            cum, freq = model.interval(x, before, share)
+            r = size >> ONE
+            low += r * cum
+            size = r * freq
+            while True:  # each lane's next digit is written, and written over as long as it isn't settled
+                flat[place] = (low >> TOP).astype(np.uint32)
+                small = (size < FLOOR).astype(np.int64)
+                low -= (low & ~MASK) * small
+                bits = small * DIGIT
+                low <<= bits
+                size <<= bits
+                place += small * lanes
+                if size.min() >= FLOOR:
+                    break
+            model.update(x)
     for _ in range(3):
-        digits[row, used] = (low >> TOP).astype(np.uint32)
-        used += 1
+        flat[place] = low >> TOP
+        place += lanes
         low = (low & MASK) << DIGIT
+    used = place // lanes
+    digits = np.ascontiguousarray(digits[: used.max() + used.max() % 2].T)
     while (over := digits >> np.uint32(20)).any():  # carries
         digits &= np.uint32(0xFFFFF)
         digits[:, :-1] += over[:, 1:]
-    pairs = (digits[:, ::2].astype(np.uint64) | digits[:, 1::2].astype(np.uint64) << DIGIT).astype("<u8")
+    pairs = (digits[:, ::2].astype(np.uint64) | digits[:, 1::2].astype(np.uint64) << U(DIGIT)).astype("<u8")
     packed = np.ascontiguousarray(pairs.view(np.uint8).reshape(lanes, -1, 8)[:, :, :5]).reshape(lanes, -1)
     return [p[: (5 * k + 1) // 2].tobytes() for p, k in zip(packed, used)]
 
@@ -144,28 +167,31 @@ def encode(ids: np.ndarray, order0: Order0) -> list[bytes]:
 def decode(codes: list[bytes], n: int, order0: Order0) -> np.ndarray:
     """The ids of blocks of length n."""
     lanes = len(codes)
-    model, out = Model(lanes, order0), np.zeros((n, lanes), np.uint32)
+    model, out = Model(lanes, order0), np.zeros((n + 2, lanes), np.int32)
     packed = np.zeros((lanes, max(len(c) for c in codes) // 5 + 8, 8), np.uint8)
     for p, c in zip(packed, codes):
         p[:, :5] = np.frombuffer(c.ljust(5 * len(p), b"\0"), np.uint8).reshape(-1, 5)
-    pairs = packed.view("<u8")[:, :, 0].astype(np.uint64)
-    digits = np.stack([pairs & U(0xFFFFF), pairs >> DIGIT], 2).reshape(lanes, -1)
-    value, used, size = np.zeros(lanes, U), np.full(lanes, 3), np.full(lanes, U(1 << 60))
+    pairs = packed.view("<u8")[:, :, 0].T.astype(np.int64)
+    digits = np.stack([pairs & (1 << DIGIT) - 1, pairs >> DIGIT], 1).reshape(-1)
+    place, size, value = 3 * lanes + np.arange(lanes), np.full(lanes, 1 << 60), np.zeros(lanes, np.int64)
     for k in range(3):
-        value = value << DIGIT | digits[:, k]
+        value = value << DIGIT | digits[k * lanes : (k + 1) * lanes]
     for t in range(n):
-        model.predict()
+        model.predict(model.slots(out[t], out[t + 1]))
         r = size >> ONE
-        x = model.find(np.minimum(value // r, U((1 << 36) - 1)))
-        cum, freq = model.interval(x)
+        x = model.find(np.minimum((value.view(U) // r.view(U)).view(np.int64), (1 << 36) - 1))
+        cum, freq = model.interval(x, order0.before.take(x), order0.share.take(x))
         value -= r * cum
         size = r * freq
-        small = np.flatnonzero(size < FLOOR)
-        while len(small):
-            value[small] = value[small] << DIGIT | digits[small, used[small]]
-            used[small] += 1
-            size[small] <<= DIGIT
-            small = small[size[small] < FLOOR]
+        while True:
+            small = (size < FLOOR).astype(np.int64)
+            bits = small * DIGIT
+            value <<= bits
+            value |= digits.take(place, mode="clip") * small
+            size <<= bits
+            place += small * lanes
+            if size.min() >= FLOOR:
+                break
         model.update(x)
-        out[t] = x
-    return order0.ids[out].T
+        out[t + 2] = x
+    return order0.ids[out[2:]].T

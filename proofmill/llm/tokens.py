@@ -26,6 +26,8 @@ PROBES = ("Ab  cd.", " Lead", "trail \n", "x\ty\r\nz", "MiXed CaSe, 12 ÉA it's!
 
 
 def letters(word: bytes) -> bool:
+    if word.isascii():
+        return word.isalpha()
     s = word.decode("utf-8", "replace")
     return s.isalpha() and s.lower().isalpha()
 
@@ -97,16 +99,22 @@ class Encoder:
     def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and how many of each part. Parts of letters go to the tokenizer 50 in a text: each ends with its only end-of-word id."""
         run = lambda texts: [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out: list = [None] * len(parts)
-        plain = [i for i, p in enumerate(parts) if p.isalpha() and p.lower().isalpha()] if self.last is not None else []
+        size, found = np.full(len(parts), -1), []  # found: places of parts and their ids, one after the other
+        plain = [i for i, p in enumerate(parts) if p.isalpha() and (p.isascii() or p.lower().isalpha())] if self.last is not None else []
         for lo in range(0, len(plain), 50_000):
             some = plain[lo : lo + 50_000]
             for k, ids in zip(range(0, len(some), 50), run([" ".join(parts[i] for i in some[k : k + 50]) for k in range(0, len(some), 50)])):
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) == len(some[k : k + 50]):
-                    for i, piece in zip(some[k : k + 50], np.split(ids, ends[:-1])):
-                        out[i] = piece
-        rest = [i for i, x in enumerate(out) if x is None]
+                    size[some[k : k + 50]] = np.diff(ends, prepend=0)
+                    found.append((some[k : k + 50], ids))
+        rest = np.flatnonzero(size < 0).tolist()
         for i, ids in zip(rest, run([parts[i] for i in rest])):
-            out[i] = ids
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+            size[i] = len(ids)
+            found.append(([i], ids))
+        start = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.uint32)
+        if found:
+            places = np.concatenate([i for i, _ in found])
+            flat[ragged(start[places], size[places])] = np.concatenate([ids for _, ids in found])
+        return flat, size

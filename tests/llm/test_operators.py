@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import cProfile
 import hashlib
+import pstats
 import zlib
 from collections import Counter
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from proofmill.llm import decontam, fmindex, graph, langid, licenses, packing, pivots, queries, rangecoder, simhash, substring, tokenfile, tokens, toxicity, warc
 
-from proofmill.llm.common import bounded_sample, split_join
+from proofmill.llm.common import Words, bounded_sample, split_join
 
 from .conftest import LONG, ROWS, SF
 
@@ -73,6 +75,27 @@ def test_extreme_ids_round_trip():
     assert (rangecoder.decode(rangecoder.encode(ids, order0), 1000, order0) == ids).all()
 
 
+def test_a_step_of_the_coder_takes_few_calls():
+    """A step's digits go out for all lanes at once; a search for the lanes that have one, and picking them, cost most."""
+    ids = np.random.default_rng(5).integers(0, 900, (40, 500)).astype(np.uint32)
+    order0, profile = rangecoder.Order0.of(ids), cProfile.Profile()
+    codes = profile.runcall(rangecoder.encode, ids, order0)
+    assert not [f for f in pstats.Stats(profile).stats if "nonzero" in f[2]]
+    assert zlib.crc32(b"".join(codes)) == 689101239 and (rangecoder.decode(codes, 500, order0) == ids).all()
+
+
+def test_new_words_are_read_from_the_end():
+    class Numbers(dict):
+        def __iter__(self):
+            raise AssertionError("all words are read")
+
+    words = Words()
+    words.numbers([b"a", b"b", b"a"])
+    assert words.new() == [b"a", b"b"]
+    words.number = Numbers({b"a": 0, b"b": 1, b"c": 2, b"d": 3})
+    assert words.new() == [b"c", b"d"] and words.new() == []
+
+
 def test_range_coder_beats_the_order_0_entropy(spark, tokenizer):
     """Files take fewer bits than the entropy of their ids and than Zstandard at its usual level over 16-bit integers."""
     import zstandard
