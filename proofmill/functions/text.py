@@ -70,6 +70,7 @@ def match_spans(text: Column, pattern: str, ignore_case: bool = False) -> Column
     """array<struct<start, end, text>> of the matches, in order. The pattern must not match the empty string.
 
     One pass of the pattern puts marks around its matches; the pieces between the marks give the offsets without Python.
+    Texts without a match are only searched, not copied and cut.
     """
     p = lit_regex(pattern, ignore_case)
 
@@ -82,7 +83,8 @@ def match_spans(text: Column, pattern: str, ignore_case: bool = False) -> Column
 
     plain = let(F.split(F.regexp_replace(text, p, f"{OPEN}$0{CLOSE}"), OPEN, -1), marked)
     walked = located(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), walked).otherwise(plain)
+    nothing = F.array().cast(f"array<{SPAN}>")
+    return F.when(~text.rlike(p), nothing).when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), walked).otherwise(plain)
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:

@@ -81,7 +81,8 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     known = (lambda raw: F.lower(raw).isin(firsts)) if firsts is not None else (lambda raw: F.lit(True))
     rows = el
     if firsts is not None:  # most leaves hold none of the first tokens
-        rows = rows.where(F.exists(F.split("text", f"[^{letters}]+"), known))
+        some_first = few(firsts, letters)
+        rows = rows.where(F.col("text").rlike(some_first) if some_first else F.exists(F.split("text", f"[^{letters}]+"), known))
 
     def one(tokens: Column, x: Column, i: Column) -> Column:
         some = context // 2 + 1  # tokens that hold so many characters
@@ -120,6 +121,14 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     return outside(out, F.col("span").isNotNull(), "doc_id", "idx").drop("span")
 
 
+def few(firsts: list[str], letters: str) -> str | None:
+    """A pattern of any of the first tokens, whole and in any case; none if they are many, or a letter has two in lower case."""
+    if len(firsts) > FEW or any("\u0307" in x for x in firsts):
+        return None
+    heads = "".join(re.escape(c) for c in sorted({x[0] for x in firsts}))
+    return f"(?iu:(?=[{heads}]))(?<![{letters}])(?iu:{T.either(firsts)})(?![{letters}])"
+
+
 def marked(el: DataFrame, words: DataFrame, firsts: list[str], letters: str, context: int = 0, after: bool = False) -> DataFrame:
     """hits of terms as they stand: one pattern marks the first tokens, and the text behind each is compared with the rest.
 
@@ -128,8 +137,7 @@ def marked(el: DataFrame, words: DataFrame, firsts: list[str], letters: str, con
     """
     words = words.withColumn("more", F.array_join(F.transform("rest", lambda x: F.concat(x["gap"], x["word"])), ""))
     reach = words.agg(F.max(F.length("more"))).first()[0] + 1 + (context if after else 0)
-    heads = "".join(re.escape(c) for c in sorted({x[0] for x in firsts}))
-    token = f"(?iu:(?=[{heads}]))(?<![{letters}])(?iu:{T.either(firsts)})(?![{letters}])"
+    token = few(firsts, letters)
     rows = el.where(F.col("text").rlike(token))
 
     def piece(x: Column, i: Column) -> Column:

@@ -111,3 +111,14 @@ def test_starts_and_spans_of_long_texts(spark):
         for t in (flat, flat + T.OPEN + "  z"):  # texts that hold the marks themselves are walked another way
             row = spark.createDataFrame([(t,)], "t string").select(T.match_spans(F.col("t"), "  +").alias("m")).first()
             assert [(x.start, x.end) for x in row.m] == [m.span() for m in re.finditer("  +", t)]
+
+
+def test_leaves_without_a_match_are_only_searched(spark):
+    from proofmill.functions import text as T
+    from proofmill.operators import phrases
+
+    df = spark.createDataFrame([("a  b",), ("ab",), (None,), ("\ue000  ",)], "text string")
+    spans = df.select(T.match_spans(F.col("text"), "  +").alias("x"))
+    assert "rlike" in spans._jdf.queryExecution().analyzed().toString().lower()
+    assert [r.x and [(y.start, y.end) for y in r.x] for r in spans.collect()] == [[(1, 3)], [], [], [(1, 3)]]
+    assert phrases.few(["moon", "moonharbor"], phrases.LETTERS) and not phrases.few(["i\u0307"], phrases.LETTERS)
