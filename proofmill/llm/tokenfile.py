@@ -13,20 +13,25 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files, rangecoder
-from .common import batches, new_path, record, stored
-from .tokens import Encoder
+from .bytebpe import ranges
+from .common import new_path, record, stored
+from .tokens import encoder_of
 
 MAGIC, END = b"PMT2", b"2TMP"
 BLOCK, FOOTER = struct.Struct("<III"), struct.Struct("<QIIIIIQ4s")
+#: Bytes of texts that are encoded together.
+AT_ONCE = 4 << 20
 FILE_TOKENS, LANES, SHORTEST, LONGEST = 4_000_000, 1024, 2048, 8192
 
 
@@ -35,14 +40,26 @@ def crc(ids: np.ndarray) -> int:
 
 
 def pack_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    flat = np.concatenate(ids)
-    length = min(len(flat), LONGEST, max(SHORTEST, -(-len(flat) // LANES)))
-    blocks = -(-len(flat) // length)
-    order0 = rangecoder.Order0.of(flat)
-    padded = np.full(blocks * length, order0.ids[0], np.uint32)
-    padded[: len(flat)] = flat
+    return pack_files([(doc_ids, ids)])[0]
+
+
+def pack_files(some: list[tuple[list[int | None], list[np.ndarray]]]) -> list[bytes]:
+    """Files of the documents of each pair (document ids, token ids), with blocks of one length, coded together."""
+    flats = [np.concatenate(ids) for _, ids in some]
+    length = max(min(len(x), LONGEST, max(SHORTEST, -(-len(x) // LANES))) for x in flats)
+    parts = []
+    for flat in flats:
+        order0 = rangecoder.Order0.of(flat)
+        padded = np.full(-(-len(flat) // length) * length, order0.ids[0], np.uint32)
+        padded[: len(flat)] = flat
+        parts.append((padded.reshape(-1, length), order0))
+    return [file_of(doc_ids, ids, flat, codes, *part) for (doc_ids, ids), flat, codes, part in zip(some, flats, rangecoder.encode_files(parts), parts)]
+
+
+def file_of(doc_ids: list[int | None], ids: list[np.ndarray], flat: np.ndarray, codes: list[bytes], padded: np.ndarray, order0: rangecoder.Order0) -> bytes:
+    blocks, length = padded.shape
     out = [MAGIC]
-    for k, code in enumerate(rangecoder.encode(padded.reshape(blocks, length), order0)):
+    for k, code in enumerate(codes):
         part = flat[k * length : (k + 1) * length]
         out += [BLOCK.pack(len(part), len(code), crc(part)), code]
     known = np.array([i is not None for i in doc_ids])
@@ -53,8 +70,20 @@ def pack_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     return b"".join([*out, ids_table, table, FOOTER.pack(at, len(ids_table), len(table), zlib.crc32(ids_table + table), length, blocks, len(flat), END)])
 
 
+def halves(sizes: list[int], file_tokens: int) -> list[slice]:
+    """The documents of one file or, if their ids are too many, of two of much the same size."""
+    upto = np.cumsum(sizes)
+    cut = min(int(np.searchsorted(upto, upto[-1] / 2)) + 1, len(sizes) - 1)
+    return [slice(0, cut), slice(cut, None)] if cut and upto[-1] > file_tokens * 5 // 4 else [slice(None)]
+
+
 def unpack_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     """Document ids and their token ids; raises ValueError where a checksum differs."""
+    return next(unpack_files([opened(data)]))
+
+
+def opened(data: bytes) -> tuple[tuple[list[bytes], int, rangecoder.Order0], list[tuple[int, int, int]], bytes, int]:
+    """What the coder needs, the heads of the blocks, the document table and the number of ids."""
     at, first, size, check, length, blocks, total, end = FOOTER.unpack(data[-FOOTER.size :])
     table = data[at + first : at + first + size]
     if data[:4] != MAGIC or end != END or zlib.crc32(data[at : at + first] + table) != check:
@@ -68,15 +97,19 @@ def unpack_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     known = zstandard.decompress(data[at : at + first])
     n = len(known) // 5
     order0 = rangecoder.Order0(np.cumsum(np.frombuffer(known, "<u4", n), dtype=np.uint32), np.frombuffer(known, np.uint8, n, 4 * n))
-    rows = rangecoder.decode(codes, length, order0)
-    for k, (n, _, c) in enumerate(heads):
-        if crc(rows[k, :n]) != c:
-            raise ValueError(f"block {k} is damaged")
-    raw = zstandard.decompress(table)
-    (n,) = struct.unpack_from("<Q", raw)
-    doc_ids, counts = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n)
-    known = np.frombuffer(raw, np.uint8, n, 8 + 12 * n)
-    return [int(i) if k else None for i, k in zip(doc_ids, known)], np.split(rows.ravel()[:total], np.cumsum(counts.astype(np.int64))[:-1]) if n else []
+    return (codes, length, order0), heads, zstandard.decompress(table), total
+
+
+def unpack_files(some: list[tuple]) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """What unpack_file() gives for each of several opened files."""
+    for rows, (_, heads, raw, total) in zip(rangecoder.decode_files([x[0] for x in some]), some):
+        for k, (n, _, c) in enumerate(heads):
+            if crc(rows[k, :n]) != c:
+                raise ValueError(f"block {k} is damaged")
+        (n,) = struct.unpack_from("<Q", raw)
+        doc_ids, counts = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n)
+        known = np.frombuffer(raw, np.uint8, n, 8 + 12 * n)
+        yield [int(i) if k else None for i, k in zip(doc_ids, known)], np.split(rows.ravel()[:total], np.cumsum(counts.astype(np.int64))[:-1]) if n else []
 
 
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
@@ -88,24 +121,27 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("tokens", pa.int64()), ("documents", pa.int64())])
 
     def run(it):
-        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        doc_ids, ids, held = [], [], 0
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
+        doc_ids, ids, held, seq = [], [], 0, 0
 
         def flush():
-            return record(schema, [part], [seq], [files.write(folder, "tokens", pack_file(doc_ids, ids))], [held], [len(ids)])
+            """Two files at a time where there are ids for them: a step of the coder costs little more for both than for one."""
+            nonlocal doc_ids, ids, held, seq
+            cuts = halves([len(x) for x in ids], file_tokens)
+            for k, (cut, data) in enumerate(zip(cuts, pack_files([(doc_ids[c], ids[c]) for c in cuts]))):
+                yield record(schema, [part], [seq + k], [files.write(folder, "tokens", data)], [sum(map(len, ids[cut]))], [len(ids[cut])])
+            doc_ids, ids, held, seq = [], [], 0, seq + len(cuts)
 
-        for names, texts in batches(it):
-            names = names.to_pylist()
-            for lo in range(0, len(names), 200):
-                for i, t in zip(names[lo : lo + 200], encoder.encode(texts[lo : lo + 200])):
+        for b in it:
+            for lo, hi in ranges(pc.binary_length(b.column(1)).to_pylist(), AT_ONCE):
+                for i, t in zip(b.column(0).slice(lo, hi - lo).to_pylist(), encoder.encode(b.column(1).slice(lo, hi - lo))):
                     doc_ids.append(i)
                     ids.append(t)
                     held += len(t)
-                    if held >= file_tokens:
-                        yield flush()
-                        doc_ids, ids, held, seq = [], [], 0, seq + 1
+                    if held >= 2 * file_tokens:
+                        yield from flush()
         if ids:
-            yield flush()
+            yield from flush()
 
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
@@ -124,14 +160,24 @@ def read(folder: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     found = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "content")
 
     def run(it):
-        for b in it:
-            for first, content in zip(b.column(0).to_pylist(), b.column(1)):
-                doc_ids, ids = unpack_file(content.as_py())
+        def rows(some):
+            for first, (doc_ids, ids) in zip([f for f, _ in some], unpack_files([x for _, x in some])):
                 size = np.array([len(x) for x in ids])
                 start = first + np.cumsum(size) - size
                 for lo in range(0, len(ids), 1000):
                     part = ids[lo : lo + 1000]
                     yield record(schema, doc_ids[lo : lo + 1000], start[lo : lo + 1000], size[lo : lo + 1000], [crc(x) for x in part], *[[x.astype("<u4").tobytes() for x in part]] * with_ids)
 
+        encoder_of.cache_clear()  # its words would take the room of the files
+        some = []
+        for b in it:
+            for first, content in zip(b.column(0).to_pylist(), b.column(1)):
+                some.append((first, opened(content.as_py())))
+                if sum(len(x[1]) for _, x in some) > LANES:  # two files of usual size
+                    yield from rows(some)
+                    some = []
+        if some:
+            yield from rows(some)
+
     joined = manifest.select("file", "first").join(found, "file").select("first", "content")
     return joined.mapInArrow(run, columns)

@@ -84,6 +84,40 @@ def test_a_step_of_the_coder_takes_few_calls():
     assert zlib.crc32(b"".join(codes)) == 689101239 and (rangecoder.decode(codes, 500, order0) == ids).all()
 
 
+def test_files_coded_together_are_as_one_by_one():
+    rng = np.random.default_rng(8)
+    rows = [rng.zipf(1.2, (k, 300)) % m for k, m in ((5, 900), (40, 70_000), (1, 3))]
+    parts = [(x, rangecoder.Order0.of(x)) for x in rows]
+    codes = rangecoder.encode_files(parts)
+    assert codes == [rangecoder.encode(*p) for p in parts]
+    shorter = rows[0][:, :50], rangecoder.Order0.of(rows[0][:, :50])
+    files = [(rangecoder.encode(*shorter), 50, shorter[1])] + [(c, 300, o) for c, (_, o) in zip(codes, parts)]
+    assert all((x == y).all() for x, y in zip(rangecoder.decode_files(files), [shorter[0], *rows]))
+
+
+def test_a_little_over_a_file_is_one_file():
+    """Few ids over the size of a file were a file of few blocks, whose steps cost as much as those of a full one."""
+    ids = [np.full(3, 7, np.uint32)] * 40
+    assert tokenfile.halves([3] * 40, 100) == [slice(None)] and tokenfile.halves([500], 100) == [slice(None)]
+    assert tokenfile.halves([3] * 60, 100) == [slice(0, 30), slice(30, None)] and tokenfile.halves([1, 500], 100) == [slice(0, 1), slice(1, None)]
+    made = tokenfile.pack_files([([*range(c.start or 0, c.stop or 40)], ids[c]) for c in tokenfile.halves([3] * 40, 50)])
+    found = [tokenfile.unpack_file(x) for x in made]
+    assert [i for f, _ in found for i in f] == [*range(40)] and all(list(x) == [7] * 3 for _, f in found for x in f)
+
+
+def test_words_are_kept_for_the_next_task(monkeypatch, tokenizer):
+    """A worker's encoder serves all its tasks; of too many words, those that come once are forgotten."""
+    assert tokens.encoder_of(None) is tokens.encoder_of(None)
+    monkeypatch.setattr(tokens, "MAX_WORDS", 4)
+    encoder, first, then = tokens.Encoder(), b"one two, two, three once Ever four five", b" ever  two, six <|endoftext|> Seven."
+    for text in (first, then, first + then, b"", then):
+        assert [x.tolist() for x in encoder.encode([text, None])] == [list(ids_of(tokenizer, text.decode())), [2]]
+    encoder.clear()
+    encoder.encode([b"again once", b"again more and more others"])
+    encoder.forget()
+    assert list(encoder.words.number) == [b"again", b"more"] and encoder.of_words.size.sum() == len(encoder.of_words.flat)
+
+
 def test_new_words_are_read_from_the_end():
     class Numbers(dict):
         def __iter__(self):
