@@ -8,9 +8,12 @@ stands the tokens behind it are compared with the rest of the term.
 from __future__ import annotations
 
 import re
+import sys
+from collections import defaultdict
 from collections.abc import Iterable
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -21,6 +24,8 @@ LETTERS, ASCII = r"\p{L}\p{N}_", r"\w"
 SMALL = 20_000
 #: A lexicon whose terms begin with no more different tokens than these is found by one pattern of them; leaves aren't cut.
 FEW = 200
+#: No more terms than these are put into one pattern as a whole, each with so many characters at most.
+WHOLE, LONG = 2_000, 64
 
 
 def cut(text: Column, letters: str = LETTERS) -> Column:
@@ -77,7 +82,7 @@ def hits(el: DataFrame, words: DataFrame, context: int = 0, spans: Column | None
     literal = small and spans is None and not any(r["loose"] or r["head"] or r["tail"] or "\u0307" in r["first"] + "".join(x["gap"] + x["word"] for x in r["rest"]) for r in some)
     if literal and len(firsts) <= FEW:
         sides = ["before"] * bool(context) + ["after"] * after
-        return marked(el, words, firsts, letters, context, after).select(*keep, *own(words), "s", "m", *sides, "e")
+        return marked(el, words, some, letters, context, after).select(*keep, *own(words), "s", "m", *sides, "e")
     known = (lambda raw: F.lower(raw).isin(firsts)) if firsts is not None else (lambda raw: F.lit(True))
     rows = el
     if firsts is not None:  # most leaves hold none of the first tokens
@@ -125,19 +130,45 @@ def few(firsts: list[str], letters: str) -> str | None:
     """A pattern of any of the first tokens, whole and in any case; none if they are many, or a letter has two in lower case."""
     if len(firsts) > FEW or any("\u0307" in x for x in firsts):
         return None
-    heads = "".join(re.escape(c) for c in sorted({x[0] for x in firsts}))
-    return f"(?iu:(?=[{heads}]))(?<![{letters}])(?iu:{T.either(firsts)})(?![{letters}])"
+    return f"{begin(firsts, letters)}(?iu:{T.either(firsts)})(?![{letters}])"
 
 
-def marked(el: DataFrame, words: DataFrame, firsts: list[str], letters: str, context: int = 0, after: bool = False) -> DataFrame:
+@lru_cache(1)
+def cased() -> dict[str, str]:
+    """The other characters that have each character in lower case."""
+    out = defaultdict(str)
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if c.lower() != c:
+            out[c.lower()] += c
+    return dict(out)
+
+
+def begin(firsts: Iterable[str], letters: str) -> str:
+    """A pattern of the places where a token begins like one of the first tokens. Most places are told by one character or two."""
+    heads = {x[0] for x in firsts}
+    either = "".join(re.escape(c) for c in sorted(heads | {*"".join(cased().get(c, "") for c in heads)}))
+    return f"(?<![a-z])(?=[{either}])(?<![{letters}])"
+
+
+def whole(terms: list[Row], letters: str) -> str:
+    """A pattern of the first tokens of terms, in any case, where a whole term stands, or the first LONG characters of a long one."""
+    texts = {r["first"] + "".join(x["gap"] + x["word"] for x in r["rest"]) for r in terms}
+    short, cut_ = [x for x in texts if len(x) <= LONG], {x[:LONG] for x in texts if len(x) > LONG}
+    ways = [f"{T.either(short)}(?![{letters}])"] * bool(short) + [T.either(cut_)] * bool(cut_)
+    return f"{begin(texts, letters)}(?iu:(?={'|'.join(ways)}))[{letters}]+"
+
+
+def marked(el: DataFrame, words: DataFrame, terms: list[Row], letters: str, context: int = 0, after: bool = False) -> DataFrame:
     """hits of terms as they stand: one pattern marks the first tokens, and the text behind each is compared with the rest.
 
+    Up to WHOLE terms are looked for as a whole: where first tokens are frequent words, most of them begin no term.
+
     The pattern takes what stands behind a token along with it, and what stands before it is the end of the pieces before, so
     no place is counted from the beginning of its text: long texts cost in proportion to their length.
     """
     words = words.withColumn("more", F.array_join(F.transform("rest", lambda x: F.concat(x["gap"], x["word"])), ""))
     reach = words.agg(F.max(F.length("more"))).first()[0] + 1 + (context if after else 0)
-    token = few(firsts, letters)
+    token = whole(terms, letters) if len(terms) <= WHOLE else few(sorted({r["first"] for r in terms}), letters)
     rows = el.where(F.col("text").rlike(token))
 
     def piece(x: Column, i: Column) -> Column:

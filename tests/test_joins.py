@@ -231,3 +231,21 @@ def test_hits_in_a_long_leaf_cost_in_proportion(article, spark):
 def test_either():
     for words in (["you", "your", "you're", "a"], ["a"], ["ab", "abc", "b.c", "ab"]):
         assert [w for w in [*words, "bxc", "yo", "abcd"] if re.fullmatch(T.either(words), w)] == words
+
+
+def test_first_tokens_that_begin_no_term_are_not_marked(spark, article):
+    """First tokens may be frequent words; marking each of them cost most."""
+    import re
+
+    long = "the " + "way " * 40 + "out"
+    words = ["the ring", "the ring road", "ring road", "the", "Kelvin", "ßa", long]
+    pairs = phrases.lexicon(spark, [(w,) for w in words[:2]], "term string").collect()
+    pattern = phrases.whole(pairs, phrases.ASCII)
+    assert re.findall(pattern.replace("(?iu:", "(?i:"), "the road, the ring roads, other rings, THE RING") == ["the", "THE"]
+    texts = ["The ring road the RING roads", "others the-ring the ring", "\u212aelvin kelvins KELVIN", "\u1e9eA ßa xßa", f"{long}, {long}s {long.upper()}", "the the ring ring road"]
+    el = article(*texts)
+    terms = phrases.lexicon(spark, [(w,) for w in words], "term string")
+    got = {(r.idx, r.term, r.s, r.m) for r in phrases.hits(el, terms).collect()}
+    token = r"(?<![^\W]){}(?![^\W])"
+    want = {(i, w, m.start(1), m[1]) for i, t in enumerate(texts) for w in words for m in re.finditer("(?=(" + token.format(re.escape(w)) + "))", t, re.I)}
+    assert got == want and len(want) > 15
