@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +65,56 @@ def resolved(checked: DataFrame, step: int = STEP) -> DataFrame:
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "start_offset", "ordinal").mapInArrow(sweep, kind)
 
 
+#: So many leaves are taken at a time.
+LEAVES = 512
+
+
+def resolved_in_leaves(leaves: DataFrame, fixes: Callable, step: int = LEAVES) -> DataFrame:
+    """(doc_id, start_offset, held) of fixes that are cut out of the leaves themselves; held: where the applied one begins that it overlaps.
+
+    leaves: doc_id, start_offset and what fixes needs. fixes(batch) gives three arrays: a fix's leaf in the batch, start and end
+    in that leaf, in this order and not empty. Fixes inside different leaves can't overlap, so each leaf is settled where it is:
+    nothing is joined, shuffled or sorted. resolved takes fixes from tables, checks their texts and has insertions.
+    """
+    kind = T.StructType([leaves.schema["doc_id"], T.StructField("start_offset", T.LongType()), T.StructField("held", T.LongType())])
+
+    def settle(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def holders(starts, ends):
+            """Of fixes in the order of start, none of them empty: the place of the one taken before that each overlaps, -1 for those taken.
+
+            Behind one that is taken the next is the first that begins at its end or later; only those taken are walked.
+            """
+            behind, at, i = np.searchsorted(starts, ends).tolist(), [], 0
+            while i < len(behind):
+                at.append(i)
+                i = behind[i]
+            last = np.zeros(len(behind), np.int64)
+            last[at] = at
+            last = np.maximum.accumulate(last)
+            last[at] = -1
+            return last
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                leaf, s, e = fixes(batch)
+                if not len(leaf):
+                    continue
+                # the leaves of a batch one after the other, each as wide as its fixes reach
+                first = np.flatnonzero(np.diff(leaf, prepend=-1))
+                wide = np.zeros(batch.num_rows + 1, np.int64)
+                wide[leaf[first] + 1] = np.maximum.reduceat(e, first)
+                base = np.cumsum(wide)[leaf]
+                by = holders(base + s, base + e)
+                start = batch.column("start_offset").to_numpy()[leaf] + s
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(leaf)), pa.array(start, pa.int64()), pa.array(start[by], pa.int64(), mask=by < 0)], kind.names)
+
+    return leaves.mapInArrow(settle, kind)
+
+
 def splice(text: Column, fixes: Column) -> Column:
     """Text with sorted, disjoint fixes (struct<s, e, fix>) in place: gaps and fixes one after the other."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -133,6 +133,30 @@ def test_ten_thousand_fixes_that_overlap_in_one_leaf(spark):
     assert n == {"applied": 5000, "downgraded": 5000}
 
 
+def test_fixes_in_leaves_equal_taking_them_in_turn_without_a_shuffle(spark):
+    from proofmill.plans import joins
+
+    rng = random.Random(12)
+    words = ["a", "to", "abc", "abcd", "été", "x_1", "word\U0001d4d0", "eightéé8", "seven77"]
+    lines = ["".join(rng.choice(["", " ", ", ", "--"]) + rng.choice(words) + rng.choice([" ", " … ", "-", "\r"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    lines += ["", "one", "...", "abc def"]
+    made = [(i // 8, i, 1000 * i, x) for i, x in enumerate(lines)]
+    el = spark.createDataFrame(made, "doc_id long, idx long, start_offset long, text string")
+    want = []
+    for doc, _, at, text in made:
+        found = list(re.finditer(r"\w+", text))
+        spans = [(at + a.start(), at + b.end()) for a, b in zip(found, found[1:]) if len(a[0]) % 4]
+        for k, (status, by) in in_turn(spans).items():
+            want.append((doc, spans[int(k)][0], status, f"{doc}:{spans[int(by)][0]}" if by else None))
+    key = lambda r: (r[0], r[1])
+    plan = joins.fix_conflicts(spark, None, el)
+    assert len(want) > 300 and not re.search("Exchange|Sort", plan._jdf.queryExecution().executedPlan().toString())
+    cols = ("doc_id", "start_offset", "status", "conflicts_with")
+    assert sorted((tuple(r) for r in plan.select(*cols).collect()), key=key) == sorted(want, key=key)
+    rows = edits.resolved_in_leaves(joins.token_lengths(el.coalesce(1)), joins.chained(), 3)
+    assert sorted((r.doc_id, r.start_offset, r.held and f"{r.doc_id}:{r.held}") for r in rows.collect() if r.held is not None) == sorted((d, s, by) for d, s, _, by in want if by)
+
+
 def test_few_first_tokens_are_marked_and_give_the_same_hits(spark, article, monkeypatch):
     rng = random.Random(11)
     words = ["as", "well", "As", "WELL", "asé", "éas", "so", "ſo", "İs", "K", "k", "k9", "a.b", "x_so"]
