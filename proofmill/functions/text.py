@@ -51,14 +51,17 @@ def starts(lengths: Column) -> Column:
 
 
 SPAN = "struct<start:int,end:int,text:string>"
+#: A span with what stands in front of it.
+PLACED = "struct<start:int,end:int,text:string,before:string>"
 
 
-def located(gaps: Column, hits: Column) -> Column:
+def located(gaps: Column, hits: Column, before: int = 0) -> Column:
     """Spans of hits, from the gaps before each of them: gaps and hits walk the text together."""
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
     at = lambda ps: starts(F.transform(ps, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
     begin = lambda x, s: s + F.length(x["gap"])
-    span = lambda x, s: F.struct(begin(x, s).alias("start"), (begin(x, s) + F.length(x["hit"])).alias("end"), x["hit"].alias("text"))
+    front = lambda x: [F.substring(x["gap"], -before, before).alias("before")] if before else []
+    span = lambda x, s: F.struct(begin(x, s).alias("start"), (begin(x, s) + F.length(x["hit"])).alias("end"), x["hit"].alias("text"), *front(x))
     return let(pairs, lambda ps: F.zip_with(ps, at(ps), span))
 
 
@@ -66,24 +69,29 @@ def located(gaps: Column, hits: Column) -> Column:
 OPEN, CLOSE = "\ue000", "\ue001"
 
 
-def match_spans(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+def match_spans(text: Column, pattern: str, ignore_case: bool = False, before: int = 0) -> Column:
     """array<struct<start, end, text>> of the matches, in order. The pattern must not match the empty string.
 
     One pass of the pattern puts marks around its matches; the pieces between the marks give the offsets without Python.
-    Texts without a match are only searched, not copied and cut.
+    Texts without a match are only searched, not copied and cut. With before, a span also has before: up to so many characters
+    of what stands between it and the match in front of it.
     """
     p = lit_regex(pattern, ignore_case)
+    nothing = F.array().cast(f"array<{PLACED if before else SPAN}>")
 
     def marked(pieces: Column) -> Column:
         hit = lambda x: F.substring_index(x, CLOSE, 1)
         span = lambda x, at: let(hit(x), lambda h: F.struct(at.alias("start"), (at + F.length(h)).alias("end"), h.alias("text")))
         at = starts(F.transform(pieces, lambda x, i: F.length(x) - F.when(i > 0, 1).otherwise(0)))
         found = F.slice(F.zip_with(pieces, at, span), 2, F.size(pieces) - 1)
-        return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+        if before:
+            # a piece's gap, behind its mark, stands before the next piece's match
+            gaps = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.substring(F.substring_index(x, CLOSE, -1), -before, before))
+            found = F.zip_with(found, gaps, lambda x, gap: x.withField("before", gap))
+        return F.when(F.size(pieces) > 1, found).otherwise(nothing)
 
     plain = let(F.split(F.regexp_replace(text, p, f"{OPEN}$0{CLOSE}"), OPEN, -1), marked)
-    walked = located(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    nothing = F.array().cast(f"array<{SPAN}>")
+    walked = located(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)), before)
     return F.when(~text.rlike(p), nothing).when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), walked).otherwise(plain)
 
 

@@ -458,21 +458,27 @@ def brand_names(el: DataFrame, canonical: str, operators: list[str], mapping: di
 # --- numeric consistency ---
 
 
-#: What stands within the reach of a place where a claim begins: most places are passed by it without a search for the value.
+#: What stands within the reach of a place where a whole claim begins: a look-ahead for searches by the claim's own pattern.
 AHEAD = {"BONUS_AMOUNT": r"(?=[^$]{0,40}\$)", "BONUS_PERCENT": r"(?=\D{0,40}\d)", "WAGERING": r"(?=\D{0,40}\d)", "GAME_COUNT": r"(?=[^\d,]{0,40}[\d,])"}
 
 
 def claims(el: DataFrame) -> DataFrame:
     """(doc_id, idx, category, kind, value, number, context, offset) of the numeric claims of paragraphs, in one scan.
 
-    Only leaves that hold a value with its sign or noun are searched for its surroundings.
+    Patterns look for the value with what follows it. The text in front, whose reach the claim's pattern begins with, is taken
+    from the gap: it begins behind the claim before, behind the last line end, or as far back as it reaches.
     """
 
     def of(category: str, p: str) -> Column:
-        claim = lambda x: F.struct(F.lit(category).alias("category"), x["start"].alias("s"), x["text"].alias("m"), F.regexp_extract(x["text"], "(?i)" + p, 1).alias("value"))
-        bare = re.sub(r"\.\{0,\d+\}\??", "", p)
-        found = T.match_spans(F.col("text"), AHEAD.get(category, "") + p, True)
-        return F.transform(F.when(F.col("text").rlike("(?i)" + bare), found).otherwise(F.array().cast(f"array<{T.SPAN}>")), claim)
+        reach = re.match(r"\.\{0,(\d+)\}\?", p)
+        rest = p[reach.end() :]
+        front = lambda x: F.regexp_replace(x["before"], r"(?s)^.*[\n\r\u0085\u2028\u2029]", "")
+        claim = lambda x, f: F.struct(
+            F.lit(category).alias("category"), (x["start"] - F.length(f)).alias("s"), F.concat(f, x["text"]).alias("m"),
+            F.regexp_extract(x["text"], "(?i)" + rest, 1).alias("value"), F.lower(F.concat(f, x["text"])).alias("low"),
+        )
+        found = T.match_spans(F.col("text"), rest, True, before=int(reach[1]))
+        return F.transform(found, lambda x: T.let(front(x), lambda f: claim(x, f)))
 
     rows = of_type(el, "paragraph").where(F.col("text").rlike(r"\d"))
     rows = rows.select("doc_id", "idx", "start_offset", F.explode(F.flatten(F.array(*(of(*c) for c in L.CLAIM_PATTERNS.items())))).alias("c")).select("doc_id", "idx", "start_offset", "c.*")
@@ -483,19 +489,20 @@ def claims(el: DataFrame) -> DataFrame:
     for name, words in L.CLAIM_KINDS.items():
         hit = F.lit(False)
         for w in words:
-            hit = hit | F.contains(F.lower("m"), F.lit(w))
+            hit = hit | F.contains("low", F.lit(w))
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
     return rows.select("doc_id", "idx", "category", kind.otherwise("generic").alias("kind"), "value", "number", F.trim("m").alias("context"), at("s").alias("offset"))
 
 
-def claim_classes(found: DataFrame) -> DataFrame:
+def claim_classes(found: DataFrame, carry: tuple[str, ...] = ("value", "idx", "context")) -> DataFrame:
     """(doc_id, category, kind, number, n, first, links, lead): the values that claims of one kind in a document give.
 
     n claims give the value, the first of them at first; links of them with claims that give another one. lead is the value
     most claims give, the earliest of equals. Only kinds with more than one value have rows: one a value, however many pairs.
+    carry: what first has beside its offset; without any the claims are counted by hash, not sorted.
     """
     whole = Window.partitionBy("doc_id", "category", "kind")
-    one = F.min(F.struct("offset", "value", "idx", "context")).alias("first")
+    one = (F.min(F.struct("offset", *carry)) if carry else F.struct(F.min("offset").alias("offset"))).alias("first")
     rows = found.groupBy("doc_id", "category", "kind", "number").agg(F.count("*").alias("n"), one)
     lead = F.min(F.struct((-F.col("n")).alias("less"), F.col("first.offset").alias("offset"), "number", "first")).over(whole)
     rows = rows.withColumn("links", F.col("n") * (F.sum("n").over(whole) - F.col("n"))).withColumn("lead", lead)

@@ -99,6 +99,34 @@ def test_claims_are_the_same_with_a_look_ahead():
     assert found > 500
 
 
+def test_claims_found_by_their_values_equal_the_whole_patterns(article):
+    import random
+    import re
+
+    from proofmill.functions import lexicons as L
+
+    rng = random.Random(8)
+    parts = ["$", "$1,200.50", "$70", "35x", "12x3", "150%", "7 %", "1500%", "40 games", "1,000+ Slots", ",", "\r", "\u2028", "aaaa bbbb cccc dddd eeee ", "welcome x", " ", "9", "\U0001f600", "…"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    texts += [x + "\ue000$90\ue001" for x in texts[:20]]
+    el, want, at = article(*texts), [], 0
+    for text in texts:
+        for k, p in L.CLAIM_PATTERNS.items():
+            for m in re.finditer(p.replace(".{0,", "[^\n\r\x85\u2028\u2029]{0,"), text, re.I | re.A):
+                number = float(re.sub(r"(?i)[x%+]$", "", re.sub(r"[$,\s]", "", m[1])) or 0)
+                if number >= {"GAME_COUNT": 10, "BONUS_AMOUNT": 5}.get(k, 0):
+                    want.append((k, at + m.start(), m[1], number, m[0].strip(" ")))
+        at += len(text) + 1
+    found = checks.claims(el)
+    assert len(want) > 500 and rows(found, "category", "offset", "value", "number", "context") == sorted(want)
+    # no place is tried for a claim that begins up to 40 characters before its value, and values are counted without a sort
+    classes = checks.claim_classes(found, ())
+    plan = classes._jdf.queryExecution().executedPlan().toString()
+    assert ".{0,40}?" not in plan and "SortAggregate" not in plan
+    cols = ("kind", "number", "links", "offset")
+    assert rows(classes.select("*", "first.offset"), *cols) == rows(checks.claim_classes(found).select("*", "first.offset"), *cols)
+
+
 def test_transitions_are_looked_for_only_where_they_stand(article):
     got = profile.transitions(article("Also, alsoo and thusly. Thus also", "As well as"))
     assert rows(got.where("layer = 'house'"), "phrase", "n") == [("also", 2), ("and", 1), ("as well as", 1), ("thus", 1)]
